@@ -1,0 +1,180 @@
+"""Web data derived from the given tables.
+
+The given ``pages`` have no images, forms, JSON-LD, response headers or link checks. These views
+make such data out of the given rows, one output row per input row, so the work of every operator
+grows with the tables. Each view is one SELECT that Spark and DuckDB both run unchanged.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crawlsight.functions.urls import hostname
+from crawlsight.operators.extract import PASS_THROUGH, lower_header_keys, with_optional
+from crawlsight.session import spread
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+    "conversations"
+).split()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _img(when: str, tag: str) -> str:
+    return f"CASE WHEN {when} THEN '{tag}' ELSE '' END"
+
+
+# One catalogue page per part, with markup the given pages lack. Site = brand.
+CATALOG_PAGES = """
+SELECT 1000000000 + p_partkey AS page_id,
+  site, url,
+  '<!DOCTYPE html><html' || CASE WHEN p_size % 10 = 0 THEN '' ELSE ' lang="en"' END
+  || CASE WHEN p_size = 33 THEN ' vocab="https://schema.org/"' ELSE '' END || '><head>'
+  || CASE WHEN p_size % 13 = 0 THEN '' ELSE '<meta charset="utf-8">' END
+  || CASE WHEN p_size = 1 THEN '' WHEN p_size < 6 THEN '<title>' || p_name || '</title>'
+       WHEN p_size > 46 THEN '<title>' || p_name || ' &amp; more from the ' || p_brand || ' catalogue of tools, fittings and parts, page ' || key || '</title>'
+       ELSE '<title>' || p_name || ' by ' || p_brand || ' no ' || key || '</title>' END
+  || CASE WHEN p_size % 4 = 0 THEN ''
+       WHEN p_size % 4 = 1 THEN '<meta name="description" content="Order the ' || p_name || ' from ' || p_brand || ', in stock with fast delivery and a long warranty.">'
+       WHEN p_size % 8 = 2 THEN '<meta name="description" content="' || p_name || '">'
+       WHEN p_size % 8 = 6 THEN '<meta name="description" content="' || p_name || ' by ' || p_brand || ' no ' || key || '">'
+       ELSE '<meta name="description" content="The ' || p_type || ' range by ' || p_brand || ' has every size from small to large, ready to ship.">' END
+  || CASE WHEN p_size % 5 = 0 THEN '' WHEN p_size % 5 = 1 THEN '<link rel="canonical" href="/p/' || key || '">'
+       WHEN p_size % 5 = 2 THEN '<link rel="canonical" href="https://mirror.example.org/p/' || key || '">'
+       ELSE '<link rel="canonical" href="' || url || '">' END
+  || CASE WHEN p_size % 9 = 0 THEN '<meta name="robots" content="NOINDEX, follow">' WHEN p_size % 9 = 1 THEN '<meta name="robots" content="index, noai">' ELSE '' END
+  || CASE WHEN p_size % 3 = 0 THEN '<meta name="viewport" content="width=device-width, initial-scale=1">'
+       WHEN p_size % 3 = 1 THEN '<meta name="viewport" content="width=device-width, maximum-scale=1.0, user-scalable=no">' ELSE '' END
+  || CASE WHEN p_size % 2 = 0 THEN '<meta property="og:title" content="' || p_name || '"><meta property="og:description" content="' || p_type || ' part">' ELSE '' END
+  || CASE WHEN p_size % 6 = 0 THEN '<meta property="og:image" content="https://cdn.example.net/' || key || '.jpg"><meta property="og:url" content="' || url || '">' ELSE '' END
+  || CASE WHEN p_size % 12 = 0 THEN '<meta property="og:type" content="product"><meta property="og:site_name" content="' || p_brand || '">' ELSE '' END
+  || CASE WHEN p_size % 7 = 0 THEN '<meta name="twitter:card" content="summary">' WHEN p_size % 7 = 1 THEN '<meta name="twitter:card" content="gallery"><meta name="twitter:image" content="https://cdn.example.net/' || key || '.jpg">' ELSE '' END
+  || CASE WHEN p_size % 11 = 0 THEN '<link rel="alternate" hreflang="en" href="' || url || '"><link rel="alternate" hreflang="de-de" href="https://de.example.com/p/' || key || '">'
+       WHEN p_size % 11 = 1 THEN '<link rel="alternate" hreflang="english" href="/other"><link rel="alternate" hreflang="x-default" href="' || url || '">'
+       WHEN p_size % 11 = 2 THEN '<link rel="alternate" hreflang="fr" href="https://fr.example.com/">' ELSE '' END
+  || CASE WHEN p_size % 2 = 1 THEN '<link rel="icon" href="/favicon.ico">' ELSE '' END
+  || CASE WHEN p_size % 4 = 3 THEN '<link rel="manifest" href="/manifest.json">' ELSE '' END
+  || CASE WHEN p_size % 10 = 9 THEN '<link rel="stylesheet" href="/1.css"><link rel="stylesheet" href="/2.css"><link rel="stylesheet" href="/3.css"><link rel="stylesheet" href="/4.css"><link rel="stylesheet" href="/5.css">' ELSE '<link rel="stylesheet" href="/1.css">' END
+  || CASE WHEN p_size % 6 = 1 THEN '<script src="/a.js"></script><script src="/b.js"></script><script>var q = "<a href=/no>";</script>'
+       WHEN p_size % 6 = 2 THEN '<script src="/a.js"></script>' WHEN p_size % 6 = 3 THEN '<script src="/a.js" defer></script><script type="module" src="/m.js"></script>'
+       WHEN p_size % 6 = 4 THEN '<script async src="/wp-content/x.js"></script><!-- <img src="/hidden.png"> -->' ELSE '' END
+  || CASE WHEN p_type = 'STANDARD' THEN '<script type="application/ld+json">{"@context":"https://schema.org","@type":"Product","name":"' || p_name || '"'
+         || CASE WHEN p_size % 2 = 0 THEN ',"image":"https://cdn.example.net/' || key || '.jpg"' ELSE '' END
+         || CASE WHEN p_size % 3 = 0 THEN ',"offers":{"@type":"Offer","price":"' || p_size || '","priceCurrency":"EUR"}' WHEN p_size % 3 = 1 THEN ',"offers":[{"@type":"Offer","price":"' || p_size || '"}]' ELSE '' END
+         || '}</script>'
+       WHEN p_type = 'PROMO' THEN '<script type="application/ld+json">{"@context":"https://schema.org","@graph":[{"@type":"Organization","name":"' || p_brand || '"'
+         || CASE WHEN p_size % 2 = 0 THEN ',"url":"https://' || site || '/"' ELSE '' END
+         || CASE WHEN p_size % 4 = 0 THEN ',"logo":"https://cdn.example.net/logo.png"' ELSE '' END
+         || CASE WHEN p_size % 5 = 0 THEN ',"sameAs":["https://en.wikipedia.org/wiki/Tool","https://x.example.com"]' WHEN p_size % 5 = 1 THEN ',"sameAs":"https://social.example.com/b"' ELSE '' END
+         || '},{"@type":"WebSite","name":"' || p_brand || '","url":"https://' || site || '/"'
+         || CASE WHEN p_size % 3 = 0 THEN ',"potentialAction":{"@type":"SearchAction","target":{"@type":"EntryPoint","urlTemplate":"https://' || site || '/s?q={search_term_string}"},"query-input":"required name=search_term_string"}'
+              WHEN p_size % 3 = 1 THEN ',"potentialAction":[{"@type":"SearchAction","target":"https://' || site || '/s","query-input":"required name=search_term_string"}]' ELSE '' END
+         || '}]}</script>'
+       WHEN p_type = 'SMALL' THEN '<script type="application/ld+json">[{"@context":"https://schema.org","@type":"FAQPage","mainEntity":[{"@type":"Question","name":"How big is it?"'
+         || CASE WHEN p_size % 3 = 0 THEN '' ELSE ',"acceptedAnswer":{"@type":"Answer","text":"Size ' || p_size || '"}' END
+         || '}]' || CASE WHEN p_size % 4 = 0 THEN ',"speakable":{"@type":"SpeakableSpecification"}' ELSE '' END
+         || '},{"@context":"https://schema.org","@type":"BreadcrumbList","itemListElement":[{"@type":"ListItem","position":1,"name":"Home","item":"https://' || site || '/"},{"@type":"ListItem"'
+         || CASE WHEN p_size % 2 = 0 THEN ',"position":2,"name":"' || p_name || '","item":"' || url || '"' ELSE ',"name":"' || p_name || '"' END
+         || '}]}]</script>'
+       WHEN p_type = 'LARGE' THEN '<script type="application/ld+json">{"@type":"NewsArticle","headline":"' || p_name || '"'
+         || CASE WHEN p_size % 2 = 0 THEN ',"author":{"@type":"Person","name":"Ann"}' ELSE '' END || CASE WHEN p_size % 3 = 0 THEN ',"datePublished":"2024-01-02"' ELSE '' END || '}</script>'
+         || CASE WHEN p_size % 5 = 0 THEN '<script type="application/ld+json"></script>' WHEN p_size % 5 = 1 THEN '<script type="application/ld+json">{"@type":"Product",}</script>' ELSE '' END
+       WHEN p_type = 'MEDIUM' THEN '<script type="application/ld+json">{"@context":"https://schema.org","@type":["LocalBusiness","Shop_Front"],"name":"' || p_brand || '"'
+         || CASE WHEN p_size % 2 = 0 THEN ',"address":"1 High Street"' ELSE ',"address":" "' END || CASE WHEN p_size % 3 = 0 THEN ',"telephone":"+44 1"' ELSE '' END || '}</script>'
+       ELSE '' END
+  || '</head><body>'
+  || CASE WHEN p_size % 5 = 4 THEN '' ELSE '<nav><ul><li><a href="/">Home</a></li><li><a href="/p/' || key || '?utm_source=nav&amp;c=1#top">' || p_name || '</a></li></ul></nav>' END
+  || CASE WHEN p_size % 4 = 1 THEN '<div>' ELSE '<main>' END
+  || CASE WHEN p_size % 8 = 0 THEN '' WHEN p_size % 8 = 1 THEN '<h1>' || p_name || '</h1><h1>Again</h1>' ELSE '<h1>' || p_name || '</h1>' END
+  || CASE WHEN p_size % 6 = 5 THEN '' WHEN p_size % 6 = 4 THEN '<p>Short text.</p>' ELSE '<p>The ' || p_name || ' is a ' || p_type || ' item of ' || p_size || ' units.</p>' END
+  || CASE WHEN p_size % 3 = 0 THEN '<h2 id="how">How does it work?</h2><p>Turn it.</p><h2>Price</h2><p>It costs ' || p_size || ' percent less.</p><h3>Detail</h3><p>None.</p>'
+       WHEN p_size % 3 = 1 THEN '<h3>Skipped</h3><p>Text.</p><h4>Sub</h4>' ELSE '<h2>One</h2><p>1</p><h3>Two</h3><p>2</p><h3>Three</h3><p>3</p>' END
+  || CASE WHEN p_size >= 5 THEN '<img src="/img/' || key || '.jpg" alt="' || p_name || '" width="400" height="300">' ELSE '' END
+  || CASE WHEN p_size >= 10 THEN '<img src="/img/b' || p_size || '.webp" loading="lazy" width="100" height="100">' ELSE '' END
+  || CASE WHEN p_size >= 15 THEN '<img src="/img/spacer.gif" alt="' || CASE WHEN p_size % 2 = 0 THEN 'line' ELSE '' END || '">' ELSE '' END
+  || CASE WHEN p_size >= 20 THEN '<picture><source type="image/webp" srcset="/img/c.webp"><img src="/img/c.png" alt="c" loading="lazy"></picture>' ELSE '' END
+  || CASE WHEN p_size >= 30 THEN '<img src="/img/d.png" srcset="/img/d.webp 2x, /img/d3.png 3x" sizes="100vw" alt="d" loading="' || CASE WHEN p_size % 2 = 0 THEN 'lazy' ELSE 'eager' END || '"><img data-src="/img/e.png" alt=" "><img src="data:image/png;base64,AA" alt="inline"><img src="/img/d.png" alt="again">' ELSE '' END
+  || CASE WHEN p_size % 7 = 3 THEN '<form action="/s"><input type="hidden" name="h"><label for="q' || key || '">Q</label><input id="q' || key || '" name="q"><label>Wrapped <input name="w"></label><input name="bare"><input aria-label="named" name="a"><select name="s"><option>1</option></select><textarea name="t"></textarea><input type="submit" value="Go"></form>'
+       WHEN p_size % 7 = 5 THEN '<form><input name="1"><input name="2"><input name="3"><input name="4"><input name="5"><input name="6"><textarea name="7"></textarea></form>' ELSE '' END
+  || CASE WHEN p_size % 5 = 0 THEN '<button><svg></svg></button>' WHEN p_size % 5 = 1 THEN '<button aria-label="Close"></button><a href="#" role="button"></a>' ELSE '' END
+  || CASE WHEN p_size % 4 = 0 THEN '<a href="/cart">Click here</a>' WHEN p_size % 4 = 1 THEN '<a href="https://partner.example.org/deal?id=' || key || '" target="_blank">Partner offer</a><a href="https://partner.example.org/deal?id=' || key || '" target="_blank" rel="nofollow noopener">Same offer</a>'
+       WHEN p_size % 4 = 2 THEN '<a href="">Empty</a><a href="javascript:void(0)">Script</a><a href="mailto:x@example.com">Mail</a><a href="htt p://broken url">Bad</a>' ELSE '<a href="../up/' || p_size || '"><img src="/i.png" alt="Up"></a><a href="//cdn.example.net/f.pdf"></a>' END
+  || CASE WHEN p_size % 6 = 0 THEN '<table><tr><th>Size</th></tr><tr><td>' || p_size || '</td></tr></table>' WHEN p_size % 6 = 1 THEN '<table><tbody><tr><td>' || p_size || '</td></tr></tbody></table>' ELSE '' END
+  || CASE WHEN p_size % 9 = 2 THEN '<div itemscope itemtype="https://schema.org/Offer">x</div>' WHEN p_size % 9 = 3 THEN '<div itemscope>x</div><div itemscope itemtype="http://data.example.org/T">y</div>' ELSE '' END
+  || CASE WHEN p_size % 11 = 0 THEN '<span typeof="Product">z</span>' ELSE '' END
+  || CASE WHEN p_size % 10 = 3 THEN '<time datetime="2024-05-01">May</time>' ELSE '' END
+  || CASE WHEN p_size % 10 = 4 THEN '<p>Rated by customers. <a rel="author" href="/by">By Ann</a></p>' ELSE '' END
+  || CASE WHEN p_size % 4 = 1 THEN '</div>' ELSE '</main>' END
+  || CASE WHEN p_size % 3 = 2 THEN '' ELSE '<footer>&copy; ' || p_brand || '</footer>' END
+  || '</body></html>' AS html,
+  CASE WHEN p_size % 10 = 7 THEN 404 ELSE 200 END AS status,
+  CAST(p_size * 41 AS BIGINT) AS elapsed_ms,
+  CASE WHEN p_partkey < 25 THEN 0 WHEN p_partkey < 250 THEN 1 ELSE 2 END AS depth,
+  CASE WHEN p_partkey < 25 THEN NULL ELSE 'https://' || site || '/p/' || CAST(FLOOR(p_partkey / 10) AS BIGINT) END AS parent_url,
+  p_partkey, p_name, p_brand, p_type, p_size
+FROM (SELECT p_partkey, p_name, p_brand, p_type, p_size, CAST(p_partkey AS STRING) AS key,
+        LOWER(REPLACE(p_brand, '#', '')) || '.example.com' AS site,
+        CASE WHEN p_type = 'ECONOMY' THEN 'http' ELSE 'https' END || '://' || LOWER(REPLACE(p_brand, '#', '')) || '.example.com'
+          || CASE WHEN p_size % 12 = 5 THEN '/Item_' ELSE '/p/' END || CAST(p_partkey AS STRING)
+          || CASE WHEN p_size % 12 = 7 THEN '?colour=dark-blue&size=extra-large&page=1' ELSE '' END AS url
+      FROM part) b
+"""
+
+# Response headers of the catalogue pages: name and value columns, NULL when absent.
+CATALOG_HEADERS = {
+    "Content-Encoding": "CASE WHEN p_size % 3 = 0 THEN 'gzip' WHEN p_size % 3 = 1 THEN 'br' END",
+    "Cache-Control": "CASE WHEN p_size % 2 = 0 THEN 'max-age=60' END",
+    "Strict-Transport-Security": "CASE WHEN p_size % 4 = 0 THEN 'max-age=31536000' WHEN p_size % 4 = 1 THEN 'includeSubDomains' END",
+    "Content-Security-Policy": "CASE WHEN p_size % 5 = 0 THEN 'default-src ''self''' WHEN p_size % 5 = 1 THEN 'default-src *; style-src ''unsafe-inline''' END",
+    "X-Frame-Options": "CASE WHEN p_size % 3 = 0 THEN 'DENY' END",
+    "X-Content-Type-Options": "CASE WHEN p_size % 6 < 3 THEN 'nosniff' END",
+    "Referrer-Policy": "CASE WHEN p_size % 7 < 3 THEN 'same-origin' END",
+    "Permissions-Policy": "CASE WHEN p_size % 8 < 3 THEN 'camera=()' END",
+    "Cross-Origin-Opener-Policy": "CASE WHEN p_size % 9 < 3 THEN 'same-origin' END",
+    "Cross-Origin-Embedder-Policy": "CASE WHEN p_size % 10 < 3 THEN 'require-corp' END",
+    "X-Powered-By": "CASE WHEN p_size % 6 = 0 THEN 'PHP/8.2' WHEN p_size % 6 = 1 THEN 'ASP.NET' END",
+    "Server": "CASE WHEN p_size % 5 = 2 THEN 'Apache/2.4.57 (Debian) OpenSSL' WHEN p_size % 5 = 3 THEN 'cloudflare' END",
+}
+
+
+def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Run a portable SELECT over the given tables of one folder."""
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+    views = {t: table(spark, sf_dir, t) for t in used}
+    names = {t: "{" + t + "}" for t in used}
+    text = sql.replace("{", "{{").replace("}", "}}")
+    for t in used:
+        text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {names[t]}", text)
+    return spark.sql(text, **views)
+
+
+def catalog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, CATALOG_PAGES)
+
+
+def catalog_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue pages with their response headers as a map."""
+    df = catalog_pages(spark, sf_dir)
+    pairs = F.filter(
+        F.array(*[F.struct(F.lit(k).alias("key"), F.expr(v).alias("value")) for k, v in CATALOG_HEADERS.items()]),
+        lambda e: e["value"].isNotNull(),
+    )
+    return df.withColumn("headers", F.map_from_entries(pairs))
+
+
+def given_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"))
+
+
+def audit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given pages and the catalogue pages as one input for the audits."""
+    crawled = given_pages(spark, sf_dir).withColumn("site", hostname(F.col("url")))
+    cols = [*PASS_THROUGH, "html"]
+    shop = lower_header_keys(catalog_fetches(spark, sf_dir))
+    return spread(with_optional(crawled).select(*cols).unionByName(with_optional(shop).select(*cols)))
