@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from crawlsight.functions.text import let
+
 # Query parameters that do not change a page.
 TRACKING_PARAMS = (
     "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid",
@@ -68,24 +70,33 @@ def squeeze_dots(p: Column) -> Column:
     return F.when(p.rlike(r"/\.{1,2}(/|$)"), F.regexp_replace(out, "^//$", "/")).otherwise(p)
 
 
+def percent_encode(url: Column) -> Column:
+    """Blanks and non-ASCII characters as UTF-8 percent escapes; the rest is kept."""
+    pieces = F.call_function(
+        "transform",
+        F.regexp_extract_all(url, F.lit("[\\x21-\\x7e]+|[^\\x21-\\x7e]+"), F.lit(0)),
+        F.expr("u_p -> CASE WHEN u_p RLIKE '^[!-~]' THEN u_p ELSE replace(url_encode(u_p), '+', '%20') END"),
+    )
+    return F.when(url.rlike(r"[^\x21-\x7e]"), F.array_join(pieces, "")).otherwise(url)
+
+
 def canonical_form(url: Column) -> Column:
     """Lower-case scheme and host, default port off, '/' for an empty path, dot segments resolved."""
     rest = F.regexp_extract(url, r"^[^?#]*([?#].*)$", 1)
-    return F.concat(origin(url), squeeze_dots(path(url)), F.replace(rest, F.lit(" "), F.lit("%20")))
+    return F.concat(origin(url), percent_encode(squeeze_dots(path(url))), percent_encode(rest))
 
 
-def resolve(href: Column, base: Column) -> Column:
-    """Absolute form of ``href`` seen on page ``base``; NULL when it cannot be parsed.
+def absolute_form(href: Column, base: Column) -> Column:
+    """``href`` joined to the page ``base``, not yet normalised; NULL when it cannot be parsed.
 
     A scheme other than http(s) that parses (``data:``, ``ftp:``) is kept as it is written.
     """
     h = F.trim(href)
     base_dir = F.regexp_replace(path(base), "[^/]*$", "")
-    with_scheme = h.rlike(r"(?i)^[a-z][a-z0-9+.-]*:")
-    absolute = (
+    joined = (
         F.when(h.rlike(r"(?i)^https?://[^/?#\s<>\[\]^|]+(?:[/?#].*)?$"), h)
         .when(h.rlike(r"(?i)^https?:"), F.lit(None).cast("string"))
-        .when(with_scheme, h)
+        .when(h.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), h)
         .when(h.startswith("//"), F.when(h.rlike(r"^//[^/?#\s<>]+"), F.concat(scheme(base), F.lit(":"), h)))
         .when(h.startswith("/"), F.concat(origin(base), h))
         .when(h.startswith("?"), F.concat(origin(base), path(base), h))
@@ -93,10 +104,12 @@ def resolve(href: Column, base: Column) -> Column:
         .when(h.rlike(r"(?i)^[^\s:/?#]*\s[^:/?#]*:"), F.lit(None).cast("string"))
         .otherwise(F.concat(origin(base), base_dir, h))
     )
-    http = is_http(absolute)
-    return F.when(origin(base) == "", F.lit(None).cast("string")).when(
-        http, F.replace(canonical_form(absolute), F.lit(" "), F.lit("%20"))
-    ).otherwise(absolute)
+    return F.when(origin(base) != "", joined)
+
+
+def resolve(href: Column, base: Column) -> Column:
+    """Absolute, normalised form of ``href`` seen on page ``base``."""
+    return let(absolute_form(href, base), lambda a: F.when(is_http(a), canonical_form(a)).otherwise(a))
 
 
 def normalize(url: Column) -> Column:

@@ -1,38 +1,6 @@
-"""All registered queries and their DuckDB twins."""
+"""Loads every registry module."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from crawlsight.operators import extract as X
-from crawlsight.operators import page_rules as R
-from crawlsight.plans import oracle_pages as OP
-from crawlsight.sources import given as G
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, oracle: str | None = None):
-    """Add a query, and its twin when SQL can express it on whole tables."""
-
-    def add(fn):
-        if name in QUERIES:
-            raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-
-    return add
-
-
-FINDING_COLUMNS = ["page_id", "rule_id", "passed", "weight", "severity"]
-
-for _family in R.FAMILIES:
-    register(
-        f"audit_{_family}", OP.security() if _family == "security_headers" else OP.family(_family)
-    )(lambda spark, sf, fam=_family: R.audit(G.audit_pages(spark, sf), fam).select(*FINDING_COLUMNS))
+from crawlsight.plans import registry_links, registry_pages  # noqa: F401
+from crawlsight.plans.catalog import ORACLES, QUERIES  # noqa: F401
