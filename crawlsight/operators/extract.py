@@ -7,7 +7,7 @@ explode and no shuffle: pages stay in the partition they were read in. Operators
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -235,6 +235,7 @@ def _with_head(parsed: DataFrame) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=8)
 def page_features(pages: DataFrame) -> DataFrame:
     """One row per page with every field the page rules read.
 

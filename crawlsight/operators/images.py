@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crawlsight.functions import markup as M
 from crawlsight.functions import urls as U
 from crawlsight.functions.findings import Checks, explode_findings
+from crawlsight.session import fence
 
 c = F.col
 
@@ -51,7 +52,7 @@ def images(pages: DataFrame) -> DataFrame:
     )
     firsts = F.filter(
         F.transform(F.split("srcset", ","), lambda p: F.get(F.split(F.trim(p), r"\s+"), F.lit(0))), lambda u: u != "")
-    return (
+    return fence(
         rows.withColumn("resolved_url", _image_url(c("src"), c("url")))
         .withColumn("srcset_urls", F.when(F.trim("srcset") == "", F.array().cast("array<string>")).otherwise(
             F.array_distinct(F.filter(F.transform(firsts, lambda u: _image_url(u, c("url"))), lambda u: u.isNotNull()))))

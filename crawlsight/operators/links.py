@@ -9,6 +9,7 @@ from crawlsight.functions import markup as M
 from crawlsight.functions import text as T
 from crawlsight.functions import urls as U
 from crawlsight.functions.findings import Checks, explode_findings
+from crawlsight.session import fence
 
 c = F.col
 
@@ -67,7 +68,7 @@ def classify(links: DataFrame) -> DataFrame:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    return classify(raw_links(pages))
+    return fence(classify(raw_links(pages)))
 
 
 def checkable(links_df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -435,6 +437,7 @@ def audit(pages: DataFrame, family: str) -> DataFrame:
     return explode_findings(f, ["page_id", "url"], FAMILIES[family]())
 
 
+@lru_cache(maxsize=8)
 def page_audit(pages: DataFrame) -> DataFrame:
     """One row per page with every page-level finding of the six report categories."""
     f = page_features(pages)
@@ -442,5 +445,6 @@ def page_audit(pages: DataFrame) -> DataFrame:
     return f.select("page_id", "url", "site", F.coalesce("depth", F.lit(0)).alias("depth"), "parent_url", found.alias("findings"))
 
 
+@lru_cache(maxsize=8)
 def all_findings(pages: DataFrame) -> DataFrame:
     return explode_findings(page_audit(pages), ["page_id", "url", "site", "depth"], c("findings"))

@@ -96,17 +96,16 @@ UNION ALL SELECT 'link-check-coverage', true, 0, nc FROM t, a WHERE nc < nu"""
 
 IMAGES = f"""
 {AUDIT_PAGES},
-im AS (SELECT page_id, url, p_size AS sz, regexp_extract(url, '([0-9]+)(?:\\?|$)', 1) AS key, i FROM ap, range(0, 8) t(i)
-       WHERE p_size IS NOT NULL AND p_size >= CASE i WHEN 0 THEN 5 WHEN 1 THEN 10 WHEN 2 THEN 15 WHEN 3 THEN 20 ELSE 30 END),
-images AS (SELECT page_id, url, sz, i::INT AS idx,
+im AS (SELECT page_id, url, p_size AS sz, regexp_extract(url, '([0-9]+)(?:\\?|$)', 1) AS key, i FROM ap, range(0, 9) t(i)
+       WHERE p_size IS NOT NULL AND (p_size >= CASE i WHEN 0 THEN 5 WHEN 1 THEN 10 WHEN 2 THEN 15 WHEN 3 THEN 20 WHEN 8 THEN 99 ELSE 30 END OR (i = 8 AND p_size % 4 = 3))),
+images AS (SELECT page_id, url, sz, i, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS idx,
   CASE i WHEN 0 THEN '/img/' || key || '.jpg' WHEN 1 THEN '/img/b' || sz || '.webp' WHEN 2 THEN '/img/spacer.gif' WHEN 3 THEN '/img/c.png'
-    WHEN 5 THEN '/img/e.png' WHEN 6 THEN 'data:image/png;base64,AA' ELSE '/img/d.png' END AS src,
-  CASE i WHEN 0 THEN p.p_name WHEN 1 THEN NULL WHEN 2 THEN CASE WHEN sz % 2 = 0 THEN 'line' ELSE '' END WHEN 3 THEN 'c' WHEN 4 THEN 'd' WHEN 5 THEN ' ' WHEN 6 THEN 'inline' ELSE 'again' END AS alt,
-  i IN (1, 3) OR (i = 4 AND sz % 2 = 0) AS is_lazy, i IN (1, 3, 4) AS is_modern, i IN (3, 4) AS is_responsive, i = 4 AS has_srcset, i = 3 AS in_picture,
-  i < 2 AS above_fold, CASE i WHEN 0 THEN 400 WHEN 1 THEN 100 END AS width
+    WHEN 5 THEN '/img/e.png' WHEN 6 THEN 'data:image/png;base64,AA' WHEN 8 THEN '/i.png' ELSE '/img/d.png' END AS src,
+  CASE i WHEN 0 THEN p.p_name WHEN 1 THEN NULL WHEN 2 THEN CASE WHEN sz % 2 = 0 THEN 'line' ELSE '' END WHEN 3 THEN 'c' WHEN 4 THEN 'd' WHEN 5 THEN ' ' WHEN 6 THEN 'inline' WHEN 8 THEN 'Up' ELSE 'again' END AS alt,
+  i IN (1, 3) OR (i = 4 AND sz % 2 = 0) AS is_lazy, i IN (3, 4) AS is_modern, i IN (3, 4) AS is_responsive, i = 4 AS has_srcset, i = 3 AS in_picture, CASE i WHEN 0 THEN 400 WHEN 1 THEN 100 END AS width
   FROM im JOIN part p ON p.p_partkey = page_id - 1000000000),
-img AS (SELECT *, CASE WHEN src LIKE '/%' THEN {ORIGIN} || src END AS resolved_url FROM images),
-sset AS (SELECT page_id, idx, {ORIGIN} || x AS candidate_url FROM img, (SELECT unnest(['/img/d.webp', '/img/d3.png']) AS x) WHERE idx = 4),
+img AS (SELECT *, idx < 2 AS above_fold, CASE WHEN src LIKE '/%' THEN {ORIGIN} || src END AS resolved_url FROM images),
+sset AS (SELECT page_id, idx, {ORIGIN} || x AS candidate_url FROM img, (SELECT unnest(['/img/d.webp', '/img/d3.png']) AS x) WHERE i = 4),
 probe AS (SELECT resolved_url, length(resolved_url) % 5 <> 0 AS ok, length(resolved_url) * 6000 AS file_size_bytes, length(resolved_url) * 20 AS actual_width
   FROM (SELECT resolved_url FROM img WHERE resolved_url IS NOT NULL UNION SELECT candidate_url FROM sset))"""
 

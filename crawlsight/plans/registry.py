@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from crawlsight.plans import registry_links, registry_pages  # noqa: F401
+from crawlsight.plans import registry_links, registry_pages, registry_scores  # noqa: F401
 from crawlsight.plans.catalog import ORACLES, QUERIES  # noqa: F401

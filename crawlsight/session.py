@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "crawlsight", cpus: str = "8", **conf: str) -> SparkSession:
@@ -50,3 +51,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def fence(df: DataFrame) -> DataFrame:
+    """Keep later filters above the columns computed so far.
+
+    The optimizer pushes a filter below the projection that makes its columns by copying their
+    expressions into it. For columns made by long chains of regular expressions that computes the
+    chain twice and makes the plan explode. A one-row generator stops that and costs nothing else.
+    """
+    return df.select(F.inline_outer(F.array(F.struct(*df.columns))))

@@ -8,6 +8,7 @@ grows with the tables. Each view is one SELECT that Spark and DuckDB both run un
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,9 +173,51 @@ def given_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages"))
 
 
+@lru_cache(maxsize=8)
 def audit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given pages and the catalogue pages as one input for the audits."""
     crawled = given_pages(spark, sf_dir).withColumn("site", hostname(F.col("url")))
     cols = [*PASS_THROUGH, "html"]
     shop = lower_header_keys(catalog_fetches(spark, sf_dir))
     return spread(with_optional(crawled).select(*cols).unionByName(with_optional(shop).select(*cols)))
+
+
+# Scan history out of the events: a site per user, a scan per site and day, a category per event type,
+# a rule per (type, k).
+SCAN_EVENTS = """
+SELECT CAST(user_id AS STRING) || '-' || CAST(CAST(ts AS DATE) AS STRING) AS scan_id, 'https://site' || CAST(user_id AS STRING) || '.example.com/' AS url,
+  CASE WHEN user_id % 3 = 0 THEN 'single' ELSE 'site' END AS mode, CAST(ts AS DATE) AS day, ts, event_type AS category,
+  event_type || '-' || REPLACE(REPLACE(REPLACE(props, '{"k": ', ''), '}', ''), '"', '') AS rule_id, CAST(LEAST(100, FLOOR(value)) AS INT) AS score
+FROM events
+"""
+SCAN_SCORES = f"SELECT scan_id, category, CAST(ROUND(AVG(score)) AS INT) AS score FROM ({SCAN_EVENTS}) e GROUP BY scan_id, category"
+SCANS = f"""
+SELECT s.scan_id, s.url, s.mode, s.created_at, o.overall_score FROM
+ (SELECT scan_id, url, mode, MAX(ts) AS created_at FROM ({SCAN_EVENTS}) e GROUP BY scan_id, url, mode) s
+ JOIN (SELECT scan_id, CAST(ROUND(AVG(score)) AS INT) AS overall_score FROM ({SCAN_SCORES}) x GROUP BY scan_id) o ON s.scan_id = o.scan_id
+"""
+SCAN_FINDINGS = f"SELECT DISTINCT scan_id, category, rule_id FROM ({SCAN_EVENTS}) e"
+
+# One schedule per customer.
+SCHEDULES = """
+SELECT c_custkey AS id, 'https://c' || CAST(c_custkey AS STRING) || '.example.com/' AS url,
+  CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'hourly' WHEN 'MACHINERY' THEN 'daily' WHEN 'FURNITURE' THEN 'weekly' WHEN 'BUILDING' THEN 'monthly' ELSE 'yearly' END AS frequency,
+  c_acctbal > 0 AS enabled, CAST('2024-01-31 08:00:00' AS TIMESTAMP) + INTERVAL '1' DAY * CAST(c_nationkey AS INT) AS next_run_at,
+  CAST(NULL AS TIMESTAMP) AS last_run_at
+FROM customer
+"""
+
+# Redirects between customer profile URLs.
+REDIRECTS = """
+SELECT '/u/' || CAST(c_custkey AS STRING) AS url,
+  CASE WHEN c_mktsegment IN ('HOUSEHOLD', 'MACHINERY', 'FURNITURE') THEN 301 WHEN c_mktsegment = 'BUILDING' AND c_nationkey < 5 THEN 404 ELSE 200 END AS status,
+  CASE c_mktsegment WHEN 'HOUSEHOLD' THEN '/u/' || CAST(CAST(FLOOR(c_custkey / 2) AS BIGINT) AS STRING) WHEN 'MACHINERY' THEN '/u/' || CAST(c_custkey + 1 AS STRING)
+    WHEN 'FURNITURE' THEN CASE WHEN c_nationkey < 3 THEN NULL ELSE '/u/' || CAST(c_custkey - 1 AS STRING) END END AS location
+FROM customer
+"""
+
+# Who is linked from where: parts and suppliers joined by their line items, both ways.
+EDGES = """
+SELECT DISTINCT 'p' || CAST(l_partkey AS STRING) AS src, 's' || CAST(l_suppkey AS STRING) AS dst FROM lineitem
+UNION SELECT DISTINCT 's' || CAST(l_suppkey AS STRING) AS src, 'p' || CAST(l_partkey AS STRING) AS dst FROM lineitem
+"""
