@@ -52,6 +52,11 @@ def without_exact(keys: DataFrame) -> DataFrame:
     return keys.join(groups_by(keys, "body_key"), "body_key", "left_anti")
 
 
+def representatives(keys: DataFrame) -> DataFrame:
+    """One document per distinct text: the smallest id stands for all exact copies."""
+    return keys.groupBy("body_key").agg(F.min("id").alias("id"), F.first("text").alias("text")).select("id", "text")
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """(id, shingle hashes). 64-bit hashes of the distinct 5-word runs."""
     hashed = F.transform(T.shingles(T.words(c("text"))), lambda s: F.xxhash64(s))

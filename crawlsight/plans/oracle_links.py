@@ -152,6 +152,14 @@ n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
 p AS (SELECT a.id AS ia, b.id AS ib, count(*) AS common FROM sh a JOIN sh b ON a.x = b.x AND a.id < b.id GROUP BY ALL),
 near AS (SELECT ia AS id_a, ib AS id_b, common / (na.n + nb.n - common) AS similarity FROM p JOIN n na ON na.id = ia JOIN n nb ON nb.id = ib
   WHERE common / (na.n + nb.n - common) >= 0.9)"""
+REPS = "s AS (SELECT min(id) AS id, any_value(text) AS text FROM k GROUP BY body_key)"
+
+
+def near_reps(threshold: float) -> str:
+    """Near duplicates among distinct texts."""
+    return f"WITH {DOCS}, {LONG}, {REPS}, {NEAR.replace('0.9', str(threshold))}"
+
+
 DUP_ALL = f"WITH {DOCS}, {LONG}, {EXACT}, {SOLO}, {NEAR}"
 
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)

@@ -219,22 +219,26 @@ def anti_exact_dupes(spark, sf):
     return D.without_exact(D.body_keys(_docs(spark, sf))).select("id")
 
 
-@register("join_near_dup", O.DUP_ALL + " SELECT id_a, id_b, round(similarity, 6) AS similarity FROM near")
+def _near(spark, sf, threshold):
+    sets = D.shingle_sets(D.representatives(D.body_keys(_docs(spark, sf))))
+    return sets, D.near_duplicates(sets, threshold)
+
+
+@register("join_near_dup", O.near_reps(0.9) + " SELECT id_a, id_b, round(similarity, 6) AS similarity FROM near")
 def join_near_dup(spark, sf):
-    return D.duplicate_pairs(_docs(spark, sf)).withColumn("similarity", F.round("similarity", 6))
+    """Distinct texts with similarity of at least 0.9."""
+    return _near(spark, sf, 0.9)[1].withColumn("similarity", F.round("similarity", 6))
 
 
-@register("srt_near_dup", O.DUP_ALL + " SELECT id_a, id_b, round(similarity, 6) AS similarity FROM near ORDER BY 3 DESC, 1, 2")
+@register("srt_near_dup", O.near_reps(0.7) + " SELECT id_a, id_b, round(similarity, 6) AS similarity FROM near ORDER BY 3 DESC, 1, 2")
 def srt_near_dup(spark, sf):
-    return join_near_dup(spark, sf).orderBy(F.desc("similarity"), "id_a", "id_b")
+    return _near(spark, sf, 0.7)[1].withColumn("similarity", F.round("similarity", 6)).orderBy(F.desc("similarity"), "id_a", "id_b")
 
 
-@register("set_intersect_shingles", O.DUP_ALL + ", q AS (SELECT common, ia, ib FROM p JOIN near ON ia = id_a AND ib = id_b) SELECT ia AS id_a, ib AS id_b, common FROM q")
+@register("set_intersect_shingles", O.near_reps(0.7) + " SELECT ia AS id_a, ib AS id_b, common FROM p JOIN near ON ia = id_a AND ib = id_b")
 def set_intersect_shingles(spark, sf):
-    """Shared shingles of each near-duplicate pair."""
-    docs = _docs(spark, sf)
-    sets = D.shingle_sets(D.without_exact(D.body_keys(docs)))
-    pairs = D.near_duplicates(sets)
+    """Shared shingles of each similar pair."""
+    sets, pairs = _near(spark, sf, 0.7)
     return (
         pairs.join(sets.select(c("id").alias("id_a"), c("sh").alias("sa")), "id_a").join(sets.select(c("id").alias("id_b"), c("sh").alias("sb")), "id_b")
         .select("id_a", "id_b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("common")))

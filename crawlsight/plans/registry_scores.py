@@ -185,11 +185,11 @@ UNION ALL SELECT url, CASE WHEN outcome = 'unknown' THEN 'redirect-error' WHEN e
 def audit_redirects(spark, sf):
     chains = GR.redirect_chains(G.run(spark, sf, G.REDIRECTS))
     entries = F.when(c("outcome") == "too-many", 8).otherwise(c("hops") + 1)
+    row = lambda rule, weight: F.struct(F.lit(rule).alias("rule_id"), F.lit(weight).alias("weight"))
     main = (
-        F.when(c("outcome") == "unknown", F.struct(F.lit("redirect-error").alias("rule_id"), F.lit(4).alias("weight")))
-        .when(entries > 3, F.struct(F.lit("redirect-chain-long"), F.lit(6)))
-        .when(c("outcome") == "error", F.struct(F.lit("redirect-status"), F.lit(10))).otherwise(F.struct(F.lit("redirect-ok"), F.lit(0))))
-    loop = F.when(c("outcome") == "loop", F.struct(F.lit("redirect-loop").alias("rule_id"), F.lit(10).alias("weight")))
+        F.when(c("outcome") == "unknown", row("redirect-error", 4)).when(entries > 3, row("redirect-chain-long", 6))
+        .when(c("outcome") == "error", row("redirect-status", 10)).otherwise(row("redirect-ok", 0)))
+    loop = F.when(c("outcome") == "loop", row("redirect-loop", 10))
     rows = chains.select("url", F.explode(F.filter(F.array(loop, main), lambda x: x.isNotNull())).alias("x"))
     return rows.select("url", "x.rule_id", "x.weight")
 

@@ -221,3 +221,40 @@ EDGES = """
 SELECT DISTINCT 'p' || CAST(l_partkey AS STRING) AS src, 's' || CAST(l_suppkey AS STRING) AS dst FROM lineitem
 UNION SELECT DISTINCT 's' || CAST(l_suppkey AS STRING) AS src, 'p' || CAST(l_partkey AS STRING) AS dst FROM lineitem
 """
+
+# Crawl files of a site per supplier: robots.txt and its status, a sitemap, llms.txt, two fetches of the home page.
+SITE_FILES = """
+SELECT s_name AS site, 'https://' || LOWER(REPLACE(s_name, '#', '')) || '.example.com' AS origin, k,
+  CASE WHEN k = 1 THEN 404 WHEN k = 2 THEN 500 ELSE 200 END AS robots_status,
+  CASE WHEN k = 3 THEN '  ' WHEN k = 4 THEN 'just text' ELSE
+    '# robots' || CHR(10) || 'User-agent: *' || CHR(10) || CASE WHEN k = 5 THEN 'Disallow: /' WHEN k = 6 THEN 'Disallow: /*' ELSE 'Disallow: /private # keep out' END || CHR(10)
+    || CASE WHEN k >= 12 THEN CHR(10) || 'User-agent: GPTBot' || CHR(10) || 'User-agent: CCBot' || CHR(10) || CASE WHEN k >= 18 THEN 'Disallow: /' ELSE 'Allow: /' END || CHR(10) ELSE '' END
+    || CASE WHEN k IN (7, 15) THEN 'Noindex: /x' || CHR(10) ELSE '' END
+    || CASE WHEN k >= 8 THEN 'Sitemap: https://' || LOWER(REPLACE(s_name, '#', '')) || '.example.com/sitemap.xml' || CHR(10) ELSE '' END END AS robots,
+  CASE WHEN k = 9 THEN 'application/json' ELSE 'text/plain; charset=utf-8' END AS robots_type,
+  CASE WHEN k = 10 THEN 503 ELSE 200 END AS sitemap_status,
+  CASE WHEN k = 11 THEN 'not xml' WHEN k = 12 THEN '<feed></feed>' WHEN k = 13 THEN '<urlset></urlset>'
+    WHEN k = 14 THEN '<?xml version="1.0"?><sitemapindex><sitemap><loc>https://' || LOWER(REPLACE(s_name, '#', '')) || '.example.com/s1.xml</loc></sitemap><sitemap></sitemap><sitemap><loc>/rel.xml</loc></sitemap></sitemapindex>'
+    WHEN k = 16 THEN '<urlset><url><loc>https://other.example.org/a</loc></url><url><loc>https://other.example.org/b</loc></url></urlset>'
+    ELSE '<?xml version="1.0"?><urlset><url><loc>https://' || LOWER(REPLACE(s_name, '#', '')) || '.example.com/</loc><lastmod>2024-06-15</lastmod></url>'
+      || CASE WHEN k = 17 THEN '<url><lastmod>June</lastmod></url><url><loc>/relative</loc></url>' WHEN k = 18 THEN '<url><loc>https://' || LOWER(REPLACE(s_name, '#', '')) || '.example.com/</loc></url>'
+           WHEN k = 19 THEN '<url><loc>https://other.example.org/x</loc><lastmod>15/06/2024</lastmod></url>' ELSE '' END || '</urlset>' END AS sitemap,
+  CASE WHEN s_acctbal > 5000 THEN '# Site' WHEN s_acctbal > 3000 THEN ' ' END AS llms,
+  200 AS browser_status, CASE WHEN s_acctbal > 8000 THEN 403 WHEN s_acctbal > 6000 THEN NULL ELSE 200 END AS bot_status
+FROM (SELECT *, CAST(s_nationkey AS INT) AS k FROM supplier) x
+"""
+
+# Page speed responses, one per order.
+VITALS = """
+SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN
+   '{"loadingExperience":{"overall_category":"FAST","metrics":{"LARGEST_CONTENTFUL_PAINT_MS":{"percentile":' || CAST(ms AS STRING) || ',"category":"' || cat || '"},"INTERACTION_TO_NEXT_PAINT":{"percentile":150,"category":"' || cat || '"},"CUMULATIVE_LAYOUT_SHIFT_SCORE":{"percentile":12,"category":"' || cat || '"}}},"lighthouseResult":{"categories":{"performance":{"score":0.87}},"audits":{"total-blocking-time":{"numericValue":900}}}}'
+  WHEN o_orderstatus = 'P' THEN '{"originLoadingExperience":{"metrics":{"LARGEST_CONTENTFUL_PAINT_MS":{"percentile":' || CAST(ms AS STRING) || ',"category":"' || cat || '"}}},"lighthouseResult":{"audits":{"total-blocking-time":{"numericValue":' || CAST(ms AS STRING) || '},"cumulative-layout-shift":{"numericValue":0.2}}}}'
+  ELSE '{"lighthouseResult":{"categories":{"performance":{"score":0.5}},"audits":{"largest-contentful-paint":{"numericValue":' || CAST(ms AS STRING) || '},"cumulative-layout-shift":{"numericValue":0.05}}}}' END AS body,
+  o_orderstatus AS st, ms, cat
+FROM (SELECT *, CAST(o_custkey * 4 AS BIGINT) AS ms, CASE o_orderpriority WHEN '1-URGENT' THEN 'SLOW' WHEN '2-HIGH' THEN 'AVERAGE' ELSE 'FAST' END AS cat FROM orders) o
+"""
+
+# Render logs, one per conversation turn.
+RENDERS = """
+SELECT conv_id * 1000 + turn AS page_id, LENGTH(text) % 3 = 0 AS timed_out, LENGTH(text) % 4 AS n_errors, LENGTH(text) * 10 AS render_ms FROM conversations
+"""
