@@ -72,7 +72,7 @@ def audit_files(files: DataFrame) -> DataFrame:
         k.issue(rule, 0, n > 0, n=n, severity=severity)
     for name, pattern in SECRETS:
         hit = F.regexp_extract(text, rf"({pattern})", 1)
-        before = F.substring_index(text, hit, 1)
+        before = F.substr(text, F.lit(1), F.greatest(F.instr(text, hit) - 1, F.lit(0)))
         safe = F.right(before, F.lit(40)).rlike(r"process\.env|import\.meta\.env|\$\{")
         k.issue("secret-" + name, 0, (hit != "") & ~safe, n=1, info=redact(hit), severity="critical")
     imgs = F.regexp_count(text, F.lit(r"<(?:img|Image|NuxtImg|nuxt-img|Img)\b[^>]*>"))

@@ -88,9 +88,9 @@ register("src_events_ndjson", "SELECT event_id, CAST(json_extract(props, '$.k')
 # --- stack
 
 PRIMARY = "CASE WHEN p_size % 6 = 4 THEN 'WordPress' WHEN p_size % 6 = 0 THEN 'PHP' WHEN p_size % 5 = 3 THEN 'Cloudflare Pages' ELSE 'Static HTML / unknown' END"
-STACK = AP + f", st AS (SELECT page_id, site, depth, {PRIMARY} AS primary, ((p_size % 6 = 4)::INT + (p_size % 6 = 0)::INT + (p_size % 5 = 3)::INT)::BIGINT AS n_signals FROM ap)"
-register("audit_stack", STACK + " SELECT page_id, primary, coalesce(n_signals, 0) AS n_signals FROM st")(lambda s, sf: ST.detect(_pages(s, sf)).select("page_id", "primary", "n_signals"))
-register("agg_site_stack", STACK + " SELECT site, arg_min(primary, (depth <> 0, page_id)) AS primary FROM st WHERE n_signals > 0 GROUP BY site")(lambda s, sf: ST.site_stack(ST.detect(_pages(s, sf))))
+STACK = AP + f", st AS (SELECT page_id, site, depth, {PRIMARY} AS \"primary\", ((p_size % 6 = 4)::INT + (p_size % 6 = 0)::INT + (p_size % 5 = 3)::INT)::BIGINT AS n_signals FROM ap)"
+register("audit_stack", STACK + " SELECT page_id, \"primary\", coalesce(n_signals, 0) AS n_signals FROM st")(lambda s, sf: ST.detect(_pages(s, sf)).select("page_id", "primary", "n_signals"))
+register("agg_site_stack", STACK + " SELECT site, arg_min(\"primary\", (depth <> 0, page_id)) AS \"primary\" FROM st WHERE n_signals > 0 GROUP BY site")(lambda s, sf: ST.site_stack(ST.detect(_pages(s, sf))))
 
 # --- generators and sinks
 
@@ -190,7 +190,7 @@ register("udf_rule_registry", "SELECT user_id AS rule_id, t AS updated_at FROM (
 
 
 def _stream(s, sf, name):
-    return J.read_files(s, f"{sf}/{name}.parquet")
+    return J.read_files(s, sf, f"{name}.parquet")
 
 
 def _site(df):

@@ -29,9 +29,10 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
-def read_files(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_files(spark: SparkSession, folder: str, glob: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Files landing in a folder whose name matches ``glob``."""
+    schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
 def append_to_table(stream: DataFrame, folder: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -78,7 +79,7 @@ def partial_report(pages: DataFrame) -> DataFrame:
 
 def seen_dedup(events: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
     """``str_seen_dedup``: one row per key within the watermark."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+    return events.withColumn("ts", c("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
 def unseen(pages: DataFrame, seen: DataFrame) -> DataFrame:
