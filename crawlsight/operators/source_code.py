@@ -145,3 +145,61 @@ def project_stack(files: DataFrame) -> DataFrame:
     for kind, cond in reversed(kinds):
         out = F.when(cond, kind).otherwise(out)
     return per_file.groupBy("project").agg(out.alias("stack"))
+
+
+def fixable(path: Column, content: Column) -> Column:
+    """``flt_source_fixable``: files whose markup can be audited, by extension and content."""
+    script = path.rlike(r"\.(js|mjs|cjs)$") & (content.rlike(r"<[A-Za-z][\w.-]*[\s/>]") | content.rlike(r"""target\s*=\s*["']_blank["']"""))
+    typed = path.rlike(r"\.ts$") & (
+        (content.rlike(r"@Component\s*\(") & content.rlike(r"template\s*:\s*`")) | content.rlike(r"(?s)\brender\s*\(\s*\)\s*\{.*?\bhtml\s*`"))
+    left_out = path.rlike(r"\.d\.ts$") | path.rlike(r"(?i)(\.(test|spec|stories)\.[a-z]+$|(^|/)__tests__/)")
+    return ~left_out & (path.rlike(r"\.(tsx|jsx|vue|svelte|astro|hbs)$") | script | typed)
+
+
+def full_document(content: Column) -> Column:
+    """``flt_full_document``"""
+    return content.rlike(r"(?i)<html[\s>]|<!doctype\s+html|<head[\s>]")
+
+
+def has_metadata_above(files: DataFrame) -> DataFrame:
+    """``join_ancestor_metadata``: files below a folder whose layout exports metadata."""
+    exports = c("content").rlike(r"export\s+(const\s+metadata\b|(async\s+)?function\s+generateMetadata\b)")
+    folder = lambda p: F.regexp_replace(p, r"/?[^/]*$", "")
+    layouts = files.filter(c("path").rlike(r"(^|/)layout\.(tsx|jsx)$") & exports).select("project", folder(c("path")).alias("dir"))
+    segs = F.split(folder(c("path")), "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(segs)), lambda n: F.array_join(F.slice(segs, F.lit(1), n), "/"))
+    below = files.select("project", "path", F.explode(F.array_distinct(above)).alias("dir"))
+    return below.join(layouts, ["project", "dir"], "left_semi").select("project", "path").distinct()
+
+
+def internal_links(files: DataFrame) -> DataFrame:
+    """``join_resolve_internal_links``: distinct edges between files of a project, no self loops."""
+    base = F.regexp_replace(F.regexp_replace(F.regexp_replace(c("path"), r"(?i)\.(html?|jsx?|tsx?|vue|svelte|astro)$", ""), r"(?i)/(index|page)$", ""), r"^\.?/", "")
+    names = files.select("project", c("path").alias("target"), F.explode(F.array_distinct(F.array(F.when(base == "", "home").otherwise(base), c("path")))).alias("key"))
+    targets = names.groupBy("project", "key").agg(F.max("target").alias("target"))
+    href = F.regexp_extract_all(c("content"), F.lit(r"""\b(?:href|to)\s*=\s*["']([^"']+)["']"""), F.lit(1))
+    links = files.select("project", c("path").alias("source"), F.explode(F.array_distinct(href)).alias("href")).filter(
+        ~c("href").rlike(r"^(https?:)?//|^mailto:|^tel:")).withColumn("clean", F.regexp_replace("href", "[#?].*$", "")).filter(c("clean") != "")
+    folder = F.regexp_replace(c("source"), "[^/]*$", "")
+    joined = F.when(c("clean").startswith("/"), F.substr(c("clean"), F.lit(2))).otherwise(F.regexp_replace(F.concat(folder, c("clean")), r"(^|/)(?:\./)+", "$1"))
+    keyed = links.withColumn("key", F.regexp_replace(joined, "/$", ""))
+    return keyed.join(targets, ["project", "key"]).filter(c("source") != c("target")).select("project", "source", "target").distinct()
+
+
+# Weight of a project finding by severity.
+PROJECT_WEIGHTS = {"critical": 16, "high": 10, "medium": 6, "low": 3, "informational": 1, "good": 0}
+
+
+def affected_files(findings: DataFrame) -> DataFrame:
+    """``agg_affected_files``: distinct files per finding, with the project weight of its severity."""
+    weight = F.coalesce(*[F.when(c("severity") == s, w) for s, w in PROJECT_WEIGHTS.items()])
+    per_file = findings.groupBy("project", "rule_id", "path").agg(F.max("severity").alias("severity"))
+    return per_file.groupBy("project", "rule_id").agg(F.count(F.lit(1)).alias("n_files"), F.min("path").alias("first_path"), F.max(weight).alias("weight"))
+
+
+def project_wide(files: DataFrame) -> DataFrame:
+    """``audit_project_wide``: which site-wide files a project has."""
+    has = lambda p: F.max(c("path").rlike(p))
+    return files.groupBy("project").agg(
+        has(r"(^|/)robots\.(txt|ts|js)$").alias("has_robots"), has(r"(^|/)sitemap(\.xml|\.ts|\.js)$").alias("has_sitemap"),
+        has(r"(^|/)(next\.config\.(js|mjs|ts)|vercel\.json|netlify\.toml|_headers|\.htaccess)$").alias("has_headers_config"))
