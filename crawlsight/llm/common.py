@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -65,3 +65,26 @@ def range_ordered(df: DataFrame, *keys: str) -> DataFrame:
     tied = df.withColumn("tie", F.monotonically_increasing_id())
     order = [*keys, "tie"]
     return tied.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).drop("tie")
+
+
+def prefix_sums(placed: DataFrame, value: str) -> DataFrame:
+    """Adds start (the sum of ``value`` over all rows before), number (the rows before) and total (the sum of all).
+
+    ``placed`` has ``part`` and ``at`` from :func:`range_ordered` and is stored. Each part is summed on its own; only
+    one row per part meets in one place.
+    """
+    inside = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = placed.withColumns({"value_to": F.sum(value).over(inside), "rows_to": F.count(F.lit(1)).over(inside)})
+    totals = placed.groupBy("part").agg(F.sum(value).alias("values"), F.count(F.lit(1)).alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    bases = totals.select(
+        "part",
+        F.coalesce(F.sum("values").over(before), F.lit(0)).alias("values_before"),
+        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
+        F.sum("values").over(everything).alias("total"),
+    )
+    summed = running.join(F.broadcast(bases), "part").withColumns(
+        {"start": F.col("values_before") + F.col("value_to") - F.col(value), "number": F.col("rows_before") + F.col("rows_to") - 1}
+    )
+    return summed.drop("value_to", "rows_to", "values_before", "rows_before")

@@ -87,7 +87,8 @@ RULES = (
     Rule("length", "n_words between 60 and 100000", "n_words < 50"),
     Rule("word_length", "word_chars between 3 * n_words and 10 * n_words", "word_chars < 2.5 * n_words or word_chars > 14 * n_words"),
     Rule("symbols", "20 * n_symbols < n_words", "10 * n_symbols > n_words"),
-    Rule("repeated_lines", "n_lines >= 2 and 20 * n_dup_lines <= n_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("marked_words", "50 * n_symbols < n_words", "2 * n_symbols > n_words"),
+    Rule("repeated_lines", "n_lines >= 2 and 20 * n_dup_lines <= n_lines", "n_dup_lines >= 3 and 10 * n_dup_lines > 3 * n_lines"),
     Rule("repeated_words", "10 * n_repeat_words <= n_words", "10 * n_repeat_words > 3 * n_words"),
     Rule("letters", "10 * n_alpha_words >= 9 * n_words", "10 * n_alpha_words < 7 * n_words"),
     Rule("sentences", "2 * n_end_lines >= n_lines", "n_lines >= 4 and 10 * n_end_lines < n_lines"),

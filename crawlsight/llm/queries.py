@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlsight.llm import quality, secrets, shards
-from crawlsight.llm.common import documents
+from crawlsight.llm import packing, quality, secrets, shards, token_files
+from crawlsight.llm.common import documents, scratch
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,15 @@ FROM cut
 def op10_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.quality_scores(documents(spark, sf_dir))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
+@query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    token_files.write_tokens(documents(spark, sf_dir), path)
+    return token_files.token_index(token_files.read_tokens(spark, path))

@@ -8,10 +8,10 @@ the partition. A shard is cut where the prefix passes an equal share of all byte
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlsight.llm.common import range_ordered, stored
+from crawlsight.llm.common import prefix_sums, range_ordered, stored
 
 
 def byte_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -25,24 +25,8 @@ def byte_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     placed = stored(range_ordered(rows, "doc_id", "text_crc32", "size"), "shards-order")
-
-    inside = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = placed.withColumns({"bytes_to": F.sum("size").over(inside), "rows_to": F.count(F.lit(1)).over(inside)})
-
-    # one row per partition: as many as the session has shuffle partitions
-    totals = placed.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    bases = totals.select(
-        "part",
-        F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_base"),
-        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_base"),
-        F.sum("bytes").over(everything).alias("all_bytes"),
-    )
-    prefix = running.join(F.broadcast(bases), "part").withColumns(
-        {"start": F.col("bytes_base") + F.col("bytes_to") - F.col("size"), "number": F.col("rows_base") + F.col("rows_to") - 1}
-    )
-    share = F.expr(f"div((2 * start + size) * {int(shards)}, 2 * all_bytes)")
+    prefix = prefix_sums(placed, "size")
+    share = F.expr(f"div((2 * start + size) * {int(shards)}, 2 * total)")
     cut = prefix.withColumn("shard", F.least(F.lit(shards - 1), share).cast("int"))
     sharded = stored(cut.select("doc_id", "size", "text_crc32", "shard", "number"), "shards-cut")
     firsts = sharded.groupBy("shard").agg(F.min("number").alias("first"))  # a row per shard
