@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlsight.llm import packing, quality, secrets, shards, token_files
+from crawlsight.llm import packing, quality, secrets, shards, token_counts, token_files
 from crawlsight.llm.common import documents, scratch
 
 QUERIES = {}
@@ -81,3 +81,8 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     token_files.write_tokens(documents(spark, sf_dir), path)
     return token_files.token_index(token_files.read_tokens(spark, path))
+
+
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))

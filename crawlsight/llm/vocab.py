@@ -55,6 +55,12 @@ class Words:
 
     def __init__(self, name: str):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")")
+
+    def parts(self, piece: str) -> list[tuple[str, bool]]:
+        """The stretches of a piece, and whether each is an added token."""
+        return [(part, i % 2 == 1) for i, part in enumerate(self.added.split(piece)) if part]
 
     def pieces(self, text: str) -> list[str]:
         return NOT_SPACES.findall(text) if SEPARATORS.search(text) else text.split()
