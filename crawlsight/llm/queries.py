@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlsight.llm import packing, quality, secrets, shards, token_counts, token_files
+from crawlsight.llm import licenses, packing, quality, secrets, shards, token_counts, token_files
 from crawlsight.llm.common import documents, scratch
 
 QUERIES = {}
@@ -86,3 +86,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
+
+
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(documents(spark, sf_dir))
+
+
+ORACLES["op5_license_scan"] = licenses.oracle()
