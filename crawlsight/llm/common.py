@@ -88,3 +88,8 @@ def prefix_sums(placed: DataFrame, value: str) -> DataFrame:
         {"start": F.col("values_before") + F.col("value_to") - F.col(value), "number": F.col("rows_before") + F.col("rows_to") - 1}
     )
     return summed.drop("value_to", "rows_to", "values_before", "rows_before")
+
+
+def numbered(docs: DataFrame, name: str = "row_no") -> DataFrame:
+    """A number for each row of a table in files: its split and its place there, the same in every scan of a session."""
+    return docs.withColumn(name, F.monotonically_increasing_id())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlsight.llm import licenses, packing, quality, secrets, shards, token_counts, token_files
+from crawlsight.llm import decontaminate, licenses, packing, quality, secrets, shards, token_counts, token_files
 from crawlsight.llm.common import documents, scratch
 
 QUERIES = {}
@@ -94,3 +94,19 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_license_scan"] = licenses.oracle()
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+ORACLES["op6_decontamination"] = decontaminate.ORACLE
