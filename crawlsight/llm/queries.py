@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlsight.llm import decontaminate, licenses, packing, quality, secrets, shards, token_counts, token_files
+from crawlsight.llm import decontaminate, katz, licenses, packing, quality, secrets, shards, token_counts, token_files
 from crawlsight.llm.common import documents, scratch
 
 QUERIES = {}
@@ -110,3 +110,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_decontamination"] = decontaminate.ORACLE
+
+
+@query
+def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = katz.log_scores(documents(spark, sf_dir))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
