@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlsight.llm.common import LOWER_AZ, scratch, stored
+from crawlsight.llm.common import LOWER_AZ, bucketed, stored
 
 K = 5
 #: Tokens in a batch: what a task holds at once, beside one text.
@@ -423,14 +423,6 @@ def batch_scores(row: dict, word_parts: int, width: int, hot: np.ndarray, parts:
     return {"held_out": b.held, "n_tokens": b.sizes, "n_known": add((count > 0).astype(np.int64)), "base_score": add(base), "score": add(log_p[p.which])}
 
 
-def bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
-    """``df`` stored in the shared folder in buckets of ``batch``: a join on it moves only the other side."""
-    path = scratch(df.sparkSession, name)
-    table = path.rsplit("/", 1)[1].replace("-", "_")
-    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, "batch").saveAsTable(table)
-    return df.sparkSession.table(table)
-
-
 def gathered(answers: DataFrame, name: str, *columns: str) -> DataFrame:
     """A batch's answers of all partitions in one row."""
     rows = answers.filter("batch >= 0").groupBy("batch")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlsight.llm import decontaminate, katz, licenses, packing, quality, secrets, shards, token_counts, token_files
+from crawlsight.llm import decontaminate, jaccard, katz, licenses, packing, quality, secrets, shards, token_counts, token_files
 from crawlsight.llm.common import documents, scratch
 
 QUERIES = {}
@@ -116,3 +116,9 @@ ORACLES["op6_decontamination"] = decontaminate.ORACLE
 def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = katz.log_scores(documents(spark, sf_dir))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_duplicates(documents(spark, sf_dir), jaccard.Similarity(words=4, num=85))
+    return found.select("doc_id", "n_shingles", "component_id")
