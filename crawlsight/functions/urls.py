@@ -18,7 +18,7 @@ NON_PAGE_EXTENSIONS = (
     r"doc|docx|xls|xlsx|ppt|pptx|woff2?|ttf|eot|otf|csv|rss|atom"
 )
 
-_AUTHORITY = r"(?i)^([a-z][a-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]+)(:[0-9]+)?"
+_AUTHORITY = r"(?i)^([a-z][a-z0-9+.-]*)://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/?#:\[\]]+)(:[0-9]+)?"
 
 
 def scheme(url: Column) -> Column:
@@ -30,16 +30,24 @@ def hostname(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, _AUTHORITY, 2))
 
 
-def origin(url: Column) -> Column:
-    """scheme://host[:port]; a default port is dropped."""
-    port = F.regexp_extract(url, _AUTHORITY, 3)
-    sch = scheme(url)
-    default = ((sch == "http") & (port == ":80")) | ((sch == "https") & (port == ":443"))
-    return F.when(hostname(url) == "", F.lit("")).otherwise(
-        F.concat(sch, F.lit("://"), hostname(url), F.when(default, F.lit("")).otherwise(port))
+def parts(url: Column) -> Column:
+    """A URL read once: scheme, host, port (with its colon), path, rest (query and fragment)."""
+    return F.struct(
+        scheme(url).alias("scheme"), hostname(url).alias("host"), F.regexp_extract(url, _AUTHORITY, 3).alias("port"), path(url).alias("path"),
+        F.regexp_extract(url, r"^[^?#]*([?#].*)$", 1).alias("rest"),
     )
 
 
+def origin_of(u: Column) -> Column:
+    """scheme://host[:port] of :func:`parts`; a default port is dropped."""
+    default = ((u["scheme"] == "http") & (u["port"] == ":80")) | ((u["scheme"] == "https") & (u["port"] == ":443"))
+    return F.when(u["host"] == "", F.lit("")).otherwise(F.concat(u["scheme"], F.lit("://"), u["host"], F.when(default, F.lit("")).otherwise(u["port"])))
+
+
+def origin(url: Column) -> Column:
+    return let(parts(url), origin_of)
+
+
 def path(url: Column) -> Column:
     p = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
     return F.when(p == "", F.lit("/")).otherwise(p)
@@ -80,10 +88,14 @@ def percent_encode(url: Column) -> Column:
     return F.when(url.rlike(r"[^\x21-\x7e]"), F.array_join(pieces, "")).otherwise(url)
 
 
+def clean_path(p: Column) -> Column:
+    """Dot segments resolved, blanks and non-ASCII characters escaped."""
+    return let(squeeze_dots(p), percent_encode)
+
+
 def canonical_form(url: Column) -> Column:
     """Lower-case scheme and host, default port off, '/' for an empty path, dot segments resolved."""
-    rest = F.regexp_extract(url, r"^[^?#]*([?#].*)$", 1)
-    return F.concat(origin(url), percent_encode(squeeze_dots(path(url))), percent_encode(rest))
+    return let(parts(url), lambda u: F.concat(origin_of(u), clean_path(u["path"]), percent_encode(u["rest"])))
 
 
 def absolute_form(href: Column, base: Column) -> Column:
@@ -91,20 +103,24 @@ def absolute_form(href: Column, base: Column) -> Column:
 
     A scheme other than http(s) that parses (``data:``, ``ftp:``) is kept as it is written.
     """
-    h = F.trim(href)
-    base_dir = F.regexp_replace(path(base), "[^/]*$", "")
-    joined = (
-        F.when(h.rlike(r"(?i)^https?://[^/?#\s<>\[\]^|]+(?:[/?#].*)?$"), h)
-        .when(h.rlike(r"(?i)^https?:"), F.lit(None).cast("string"))
-        .when(h.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), h)
-        .when(h.startswith("//"), F.when(h.rlike(r"^//[^/?#\s<>]+"), F.concat(scheme(base), F.lit(":"), h)))
-        .when(h.startswith("/"), F.concat(origin(base), h))
-        .when(h.startswith("?"), F.concat(origin(base), path(base), h))
-        .when(h.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), h))
-        .when(h.rlike(r"(?i)^[^\s:/?#]*\s[^:/?#]*:"), F.lit(None).cast("string"))
-        .otherwise(F.concat(origin(base), base_dir, h))
-    )
-    return F.when(origin(base) != "", joined)
+    known = F.struct(F.trim(href).alias("h"), origin(base).alias("origin"), path(base).alias("path"))
+
+    def joined(k: Column) -> Column:
+        h, no = k["h"], F.lit(None).cast("string")
+        whole = (
+            F.when(h.rlike(r"(?i)^https?://(?:\[[0-9a-f:.]+\](?::[0-9]*)?|[^/?#\s<>\[\]^|]+)(?:[/?#].*)?$"), h)
+            .when(h.rlike(r"(?i)^https?:"), no)
+            .when(h.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), h)
+            .when(h.startswith("//"), F.when(h.rlike(r"^//[^/?#\s<>]+"), F.concat(scheme(base), F.lit(":"), h)))
+            .when(h.startswith("/"), F.concat(k["origin"], h))
+            .when(h.startswith("?"), F.concat(k["origin"], k["path"], h))
+            .when(h.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), h))
+            .when(h.rlike(r"(?i)^[^\s:/?#]*\s[^:/?#]*:"), no)
+            .otherwise(F.concat(k["origin"], F.regexp_replace(k["path"], "[^/]*$", ""), h))
+        )
+        return F.when(k["origin"] != "", whole)
+
+    return let(known, joined)
 
 
 def resolve(href: Column, base: Column) -> Column:
@@ -114,17 +130,19 @@ def resolve(href: Column, base: Column) -> Column:
 
 def normalize(url: Column) -> Column:
     """Key under which two spellings of a page address are one page."""
-    no_hash = F.regexp_replace(canonical_form(url), "#.*$", "")
-    q = query(no_hash)
     tracked = "|".join(TRACKING_PARAMS)
-    kept = F.array_join(
-        F.filter(F.split(F.substr(q, F.lit(2)), "&"), lambda p: ~p.rlike(rf"^(?:{tracked})(?:=|$)")), "&"
-    )
-    p = path(no_hash)
-    p = F.when(F.length(p) > 1, F.regexp_replace(p, "/$", "")).otherwise(p)
-    return F.when(~is_http(url), url).otherwise(
-        F.concat(origin(no_hash), p, F.when((q == "") | (kept == ""), F.lit("")).otherwise(F.concat(F.lit("?"), kept)))
-    )
+
+    def key(u: Column) -> Column:
+        p, q = u["path"], u["query"]
+        kept = F.array_join(F.filter(F.split(F.substr(q, F.lit(2)), "&"), lambda x: ~x.rlike(rf"^(?:{tracked})(?:=|$)")), "&")
+        slim = F.when(F.length(p) > 1, F.regexp_replace(p, "/$", "")).otherwise(p)
+        return F.concat(u["origin"], slim, let(kept, lambda k: F.when(k == "", F.lit("")).otherwise(F.concat(F.lit("?"), k))))
+
+    def cleaned(u: Column) -> Column:
+        raw = F.regexp_extract(u["rest"], r"^(\?[^#]*)", 1)
+        return F.struct(origin_of(u).alias("origin"), clean_path(u["path"]).alias("path"), percent_encode(raw).alias("query"))
+
+    return F.when(~is_http(url), url).otherwise(let(let(parts(url), cleaned), key))
 
 
 def crawlable(url: Column, site_origin: Column) -> Column:
