@@ -6,48 +6,75 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlsight.functions.findings import Checks, explode_findings
-from crawlsight.functions.text import let, redact
+from crawlsight.functions.text import redact
 
 c = F.col
 
+# Tags that are links, calls to action and images in the templates of common frameworks.
+ANCHOR_TAGS = "a|Link|NuxtLink|nuxt-link|router-link|RouterLink"
+CTA_TAGS = ANCHOR_TAGS + "|button"
+IMAGE_TAGS = "img|Image|NuxtImg|nuxt-img|Img"
+#: End of a tag; one that an arrow function's sign cuts short does not count.
+END = r"[^>]*(?<!=)>"
 # Check id, category, severity, pattern counted in the file.
 COUNTED = [
-    ("noopener", "Conversions", "medium", r"""<(?:a|Link|NuxtLink|nuxt-link|router-link|RouterLink)\b(?=[^>]*target\s*=\s*["']_blank["'])(?![^>]*rel\s*=\s*["'][^"']*noopener)[^>]*>"""),
-    ("missing-alt", "Accessibility", "high", r"""<(?:img|Image|NuxtImg|nuxt-img|Img)\b(?![^>]*(?:\s|:|\[|v-bind:)alt\]?\s*=)[^>]*>"""),
-    ("generic-cta", "Conversions", "low", r"(?i)<(a|Link|NuxtLink|nuxt-link|router-link|RouterLink|button)\b[^>]*>\s*(?:submit|click here|here|go|learn more|read more)\s*</\1>"),
-    ("clickable-role", "Accessibility", "high", r"<(?:div|span)\b(?=[^>]*\s(?:onClick|onclick|@click|v-on:click|\(click\)|on:click)\s*=)(?![^>]*\s(?:role|tabindex|tabIndex)\s*=)[^>]*>"),
-    ("hash-link", "Accessibility", "low", r"""<a\b(?=[^>]*href\s*=\s*["']#["'])(?=[^>]*\s(?:onClick|onclick|@click)\s*=)[^>]*>"""),
+    ("noopener", "Conversions", "medium", rf"""<(?:{ANCHOR_TAGS})\b(?=[^>]*target\s*=\s*["']_blank["'])(?![^>]*rel\s*=\s*["'][^"']*noopener){END}"""),
+    ("missing-alt", "Accessibility", "high", rf"""<(?:{IMAGE_TAGS})\b(?![^>]*(?:\s|:|\[|v-bind:)alt\]?\s*=){END}"""),
+    ("generic-cta", "Conversions", "low", rf"(?i)<({CTA_TAGS})\b[^>]*>\s*(?:submit|click here|here|go|learn more|read more)\s*</\1>"),
+    ("clickable-role", "Accessibility", "high", rf"<(?:div|span)\b(?=[^>]*\s(?:onClick|onclick|@click|v-on:click|\(click\)|on:click)\s*=)(?![^>]*\s(?:role|tabindex|tabIndex)\s*=){END}"),
+    ("hash-link", "Accessibility", "low", rf"""<(?:{ANCHOR_TAGS})\b(?=[^>]*href\s*=\s*(["'])#\1)(?=[^>]*\s(?:onClick|onclick|@click(?:\.\w+)*|v-on:click|\(click\)|on:click)\s*=){END}"""),
     ("srcset-sizes", "Performance", "low", r"(?i)<(?:img|Image)\b(?=[^>]*\ssrcset\s*=)(?![^>]*\ssizes\s*=)[^>]*>"),
-    ("autoplay-muted", "Accessibility", "medium", r"<(?:video|audio)\b(?=[^>]*\bautoplay)(?![^>]*\bmuted)[^>]*>"),
+    ("autoplay-muted", "Accessibility", "medium", rf"<(?:video|audio)\b(?=[^>]*\bautoplay)(?![^>]*\bmuted){END}"),
+    ("autoplay-controls", "Accessibility", "low", rf"<(?:video|audio)\b(?=[^>]*\bautoplay)(?![^>]*\bcontrols){END}"),
     ("mixed-content", "Security", "medium", r"""(?i)\b(?:src|href)\s*=\s*(['"])http://(?!localhost|127\.0\.0\.1)[^'"]*\1"""),
     ("console", "Best Practices", "low", r"console\.(?:log|debug|trace)\s*\("),
     ("debugger", "Best Practices", "medium", r"(?:^|[^.\w])debugger\s*;"),
     ("xss-inner-html", "Security", "high", r"dangerouslySetInnerHTML\s*=\s*\{"),
     ("xss-v-html", "Security", "high", r"\bv-html\s*="),
+    ("xss-bound-inner-html", "Security", "high", r"\[innerHTML\]\s*="),
+    ("xss-at-html", "Security", "high", r"\{@html\b"),
+    ("xss-set-html", "Security", "high", r"\bset:html\s*="),
     ("list-key", "Best Practices", "medium", r"\.map\(\s*(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>[\s\S]{0,40}?<[A-Za-z][\w.]*\b(?![^>]*\bkey\s*=)[^>]*>"),
+    ("v-for-key", "Best Practices", "medium", r"<[A-Za-z][\w-]*\b(?=[^>]*\bv-for\s*=)(?![^>]*(?::key|v-bind:key)\s*=)[^>]*>"),
+    ("ng-for-track-by", "Best Practices", "low", r"<[A-Za-z][\w-]*\b(?=[^>]*\*ngFor\s*=)(?![^>]*trackBy)[^>]*>"),
+    ("table-headers", "Accessibility", "medium", r"(?i)<table\b[^>]*>(?:(?!<th\b|</table>)[\s\S])*</table>"),
 ]
-# Shapes of credentials.
+# Shapes of credentials, and what may stand before one that is none.
 SECRETS = [
-    ("aws-access-key", r"\bAKIA[0-9A-Z]{16}\b"), ("google-api-key", r"\bAIza[0-9A-Za-z_-]{35}\b"), ("stripe-live-key", r"\bsk_live_[0-9a-zA-Z]{20,}\b"),
-    ("openai-api-key", r"\bsk-[A-Za-z0-9]{20,}\b"), ("slack-token", r"\bxox[baprs]-[0-9A-Za-z-]{10,}\b"), ("github-token", r"\bgh[pousr]_[A-Za-z0-9]{30,}\b"),
+    ("aws-access-key", r"\bAKIA[0-9A-Z]{16}\b"),
+    ("google-api-key", r"\bAIza[0-9A-Za-z\-_]{35}\b"),
+    ("stripe-live-key", r"\bsk_live_[0-9a-zA-Z]{20,}\b"),
+    ("openai-api-key", r"\bsk-[A-Za-z0-9]{20,}\b"),
+    ("slack-token", r"\bxox[baprs]-[0-9A-Za-z-]{10,}\b"),
+    ("github-token", r"\bgh[pousr]_[A-Za-z0-9]{30,}\b"),
     ("private-key", r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"),
-    ("generic-secret", r"""(?i)\b(?:api[_-]?key|secret|token|password)\s*[:=]\s*["'][A-Za-z0-9_./+-]{16,}["']"""),
+    ("generic-secret", r"""(?i)\b(?:api[_-]?key|secret|token|password)\s*[:=]\s*["'][A-Za-z0-9_\-./+]{16,}["']"""),
 ]
-# Rules with positions.
+NOT_SECRET = r"process\.env|import\.meta\.env|\$\{|__[A-Z_]+_PLACEHOLDER__"
+# Rules with positions, and the files that they are for.
 LIVE = [
-    ("img-missing-alt", r"<(?:img|Image|NuxtImg|nuxt-img)\b(?![^>]*\balt=)[^>]*>"),
-    ("console-debugger-statement", r"\b(?:console\.(?:log|debug|warn)|debugger)\b\s*[;(]"),
-    ("hash-only-link", r"""<a\b[^>]*href=["']#["'][^>]*>"""),
-    ("mixed-content-http", r"""src=["']http://[^"']+["']"""),
-    ("xss-risky-binding", r"dangerouslySetInnerHTML|v-html\s*="),
+    ("img-missing-alt", r"<(img|Image|NuxtImg|nuxt-img)\b(?![^>]*\balt=)[^>]*>", None),
+    ("a-target-blank-noopener", r"""<a\b(?=[^>]*target=["']_blank["'])(?![^>]*\brel=["'][^"']*noopener)[^>]*>""", None),
+    ("generic-cta-text", r"(?i)<(a|button)\b[^>]*>\s*(Click here|Submit|Learn more|Read more|Here|Go)\s*</\1>", None),
+    ("clickable-div-no-role", r"<div\b(?=[^>]*\b(onClick|onclick|@click)\s*=)(?![^>]*\brole=)[^>]*>", None),
+    ("console-debugger-statement", r"\b(console\.(log|debug|warn)|debugger)\b\s*[;(]", None),
+    ("hardcoded-secret", r"""(?i)\b(?:api[_-]?key|secret|token|password)\s*[:=]\s*["'][A-Za-z0-9_\-./+]{12,}["']""", None),
+    ("autoplay-video-not-muted", r"<video\b(?=[^>]*\bautoplay)(?![^>]*\bmuted)[^>]*>", None),
+    ("img-no-lazy-loading", r"<(img|Image)\b(?![^>]*\bloading=)[^>]*>", None),
+    ("form-field-missing-label", r"""<input\b(?![^>]*\btype=["'](hidden|submit|button)["'])(?![^>]*\baria-label)(?![^>]*\bid=)[^>]*>""", None),
+    ("hash-only-link", r"""<a\b[^>]*href=["']#["'][^>]*>""", None),
+    ("title-empty", r"<title>\s*</title>", r"(?i)\.html?$"),
+    ("meta-description-empty", r"""(?i)<meta\s+name=["']description["']\s+content=["']\s*["']""", r"(?i)\.html?$"),
+    ("missing-list-key", r"\.map\(\s*\([^)]*\)\s*=>\s*<[A-Za-z][\w.]*(?![^>]*\bkey=)", r"(?i)\.(jsx|tsx)$"),
+    ("xss-risky-binding", r"dangerouslySetInnerHTML|v-html\s*=", None),
+    ("mixed-content-http", r"""src=["']http://[^"']+["']""", None),
 ]
-MAX_MATCHES = 4000
 
 
 def kept_files(files: DataFrame) -> DataFrame:
     """``src_project_files``: path cleaned, build and vendor folders dropped."""
     segs = F.filter(F.split(F.replace(c("path"), F.lit("\\"), F.lit("/")), "/"), lambda s: ~s.isin("", ".", ".."))
-    return files.withColumn("path", F.array_join(segs, "/")).filter(~c("path").rlike(r"(^|/)(node_modules|\.git|dist|build|\.next|vendor)/"))
+    return files.withColumn("path", F.array_join(segs, "/")).filter(~c("path").rlike(r"(^|/)(node_modules|\.next|\.nuxt|\.svelte-kit|\.angular|\.git|dist|build|out)/"))
 
 
 def page_level(path: Column) -> Column:
@@ -64,6 +91,22 @@ def next_route(path: Column) -> Column:
     return F.when(path.rlike(r"(?:^|/)app/(?:.*/)?page\.(?:tsx|jsx|ts|js)$") & ~inner.contains("["), F.concat(F.lit("/"), F.array_join(segs, "/")))
 
 
+def spans(text: Column, pattern: str) -> Column:
+    """start, end and match of every match of a pattern. One fold over the matches carries the running offset."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)  # one more than matches
+    rows = F.transform(
+        F.filter(F.arrays_zip(found.alias("m"), gaps.alias("g")), lambda x: x["m"].isNotNull()), lambda x: F.struct(x["m"].alias("match"), F.length(x["g"]).alias("gap")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["match"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("out"))
+
+    return F.when(text.rlike(pattern), F.aggregate(rows, none, step)["out"])
+
+
 def audit_files(files: DataFrame) -> DataFrame:
     """``audit_source_files``: one row per file and check that found something."""
     text, k = c("content"), Checks("source")
@@ -71,38 +114,66 @@ def audit_files(files: DataFrame) -> DataFrame:
         n = F.regexp_count(text, F.lit(pattern))
         k.issue(rule, 0, n > 0, n=n, severity=severity)
     for name, pattern in SECRETS:
-        hit = F.regexp_extract(text, rf"({pattern})", 1)
-        before = F.substr(text, F.lit(1), F.greatest(F.instr(text, hit) - 1, F.lit(0)))
-        safe = F.right(before, F.lit(40)).rlike(r"process\.env|import\.meta\.env|\$\{")
-        k.issue("secret-" + name, 0, (hit != "") & ~safe, n=1, info=redact(hit), severity="critical")
-    imgs = F.regexp_count(text, F.lit(r"<(?:img|Image|NuxtImg|nuxt-img|Img)\b[^>]*>"))
-    sized = F.regexp_count(text, F.lit(r"<(?:img|Image|NuxtImg|nuxt-img|Img)\b(?=[^>]*\swidth\s*=)(?=[^>]*\sheight\s*=)[^>]*>"))
-    k.issue("image-dimensions", 0, (imgs - sized) / imgs > 0.5, n=imgs - sized, severity="high")
-    k.issue("image-dimensions", 0, ((imgs - sized) > 0) & ((imgs - sized) / imgs <= 0.5), n=imgs - sized, severity="medium")
+        real = F.filter(spans(text, pattern), lambda s: ~F.substr(text, F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40))).rlike(NOT_SECRET))
+        first = F.get(F.transform(real, lambda s: s["match"]), F.lit(0))
+        k.issue("secret-" + name, 0, first.isNotNull(), n=F.size(real), info=redact(first), severity="critical")
+    tag = lambda names: F.regexp_extract_all(text, F.lit(rf"<(?:{names})\b{END}"), F.lit(0))
+    has = lambda t, name: t.rlike(rf"(?i)(?:^|\s)(?:{name}|:{name}|v-bind:{name}|\[{name}\])\s*=") | t.rlike(rf"\{{\s*{name}\s*\}}")
+    imgs = F.regexp_count(text, F.lit(rf"<(?:{IMAGE_TAGS})\b[^>]*>"))
+    sized = F.regexp_count(text, F.lit(rf"<(?:{IMAGE_TAGS})\b(?=[^>]*\swidth\s*=)(?=[^>]*\sheight\s*=)[^>]*>"))
+    k.issue("image-dimensions", 0, 2 * (imgs - sized) > imgs, n=imgs - sized, severity="high")
+    k.issue("image-dimensions", 0, (imgs > sized) & (2 * (imgs - sized) <= imgs), n=imgs - sized, severity="medium")
+    # the first two images of a file are likely in view and stay eager
+    lazy = F.size(F.filter(tag(IMAGE_TAGS), lambda t, i: (i >= 2) & ~has(t, "loading") & ~has(t, "priority")))
+    k.issue("lazy-images", 0, lazy > 0, n=lazy, severity="medium")
+    unlabelled = F.regexp_replace(text, r"<label\b[^>]*>[\s\S]*?</label>", "")
+    fields = F.regexp_extract_all(unlabelled, F.lit(rf"<(?:input|select|textarea)\b{END}"), F.lit(0))
+    bare = F.size(F.filter(fields, lambda t: ~t.rlike(r"""(?i)\btype\s*=\s*(["'])(?:hidden|submit|button|reset|image)\1""") & ~has(t, "aria-label") & ~has(t, "aria-labelledby")))
+    k.issue("field-label", 0, bare > 0, n=bare, severity="high")
+    whole = F.regexp_extract_all(text, F.lit(rf"(<({CTA_TAGS})\b{END}(?:[\s\S]*?)</\2>)"), F.lit(1))
+    start = lambda w: F.regexp_extract(w, r"^<[^>]*>", 0)
+    inner = lambda w: F.regexp_replace(w, r"^<[^>]*>|</[^>]*>$", "")
+    icons = F.size(F.filter(whole, lambda w: ~has(start(w), "aria-label") & ~has(start(w), "aria-labelledby") & ~has(start(w), "title")
+        & (F.regexp_replace(inner(w), r"<[^>]*>|\{[^}]*\}|\s+", "") == "") & ~inner(w).rlike(r"""\balt\s*=\s*["'][^"']+["']|aria-label\s*=""")))
+    k.issue("icon-only", 0, icons > 0, n=icons, severity="medium")
     gone = sum(((~text.rlike(p)).cast("int") for p in (r"(?i)<main\b|role\s*=\s*[\"']main", r"(?i)<nav\b|role\s*=\s*[\"']navigation", r"(?i)<footer\b|role\s*=\s*[\"']contentinfo")), F.lit(0))
     k.issue("landmarks", 0, page_level(c("path")) & (gone > 0), n=gone, severity="low")
-    fields = F.regexp_count(F.regexp_extract(text, r"(?is)<form\b.*?</form>", 0), F.lit(r"(?i)<(?:input|select|textarea)\b"))
-    k.issue("form-fields", 0, fields > 6, n=fields, severity="low")
+    in_form = F.regexp_count(F.regexp_extract(text, r"(?is)<form\b.*?</form>", 0), F.lit(r"(?i)<(?:input|select|textarea)\b"))
+    k.issue("form-fields", 0, in_form > 6, n=in_form, severity="low")
     return explode_findings(files, ["project", "path"], k.column())
 
 
+def native_components(files: DataFrame, stacks: DataFrame) -> DataFrame:
+    """Plain images and internal links in files of projects whose framework has its own components for them."""
+    plain = F.regexp_count("content", F.lit(r"<img\b"))
+    links = F.regexp_count("content", F.lit(r"""<a\b[^>]*\bhref\s*=\s*["']/(?!/)[^"']*["']"""))
+    n_img = F.when(~c("content").rlike(r"""from\s+["']next/image["']"""), plain).otherwise(0)
+    n_link = F.when(~c("content").rlike(r"""from\s+["']next/link["']"""), links).otherwise(0)
+    rows = F.array(F.struct(F.lit("framework-image").alias("rule_id"), n_img.cast("long").alias("n")), F.struct(F.lit("framework-link").alias("rule_id"), n_link.cast("long").alias("n")))
+    return files.join(stacks.filter(c("stack") == "next").select("project"), "project", "left_semi").select("project", "path", F.inline(rows)).filter(c("n") > 0)
+
+
 def positions(files: DataFrame) -> DataFrame:
-    """``ext_findings_pos`` / ``audit_source_live``: start and end of every match, at most 4000 per rule and file."""
+    """``ext_findings_pos``: project, path, rule_id, start and end of every match of every rule for the file."""
+
+    def of(rule: str, pattern: str, only: str | None) -> Column:
+        rows = F.transform(spans(c("content"), pattern), lambda s: F.struct(F.lit(rule).alias("rule_id"), s["start"].alias("start"), s["end"].alias("end")))
+        return F.coalesce(F.when(c("path").rlike(only), rows) if only else rows, F.array().cast("array<struct<rule_id:string,start:int,end:int>>"))
+
+    return files.select("project", "path", F.inline(F.concat(*[of(*rule) for rule in LIVE])))
 
-    def spans(rule: str, pattern: str) -> Column:
-        found = F.slice(F.regexp_extract_all(c("content"), F.lit(f"({pattern})"), F.lit(0)), 1, MAX_MATCHES)
-        gaps = F.split(c("content"), pattern, -1)
 
-        def locate(both: Column) -> Column:
-            # Running sums over the pieces before each match; a file's matches are few.
-            ends = lambda i: F.aggregate(F.slice(both["gaps"], F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(
-                F.slice(both["found"], F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-            return F.transform(both["found"], lambda m, i: F.struct(
-                F.lit(rule).alias("rule_id"), ends(i).alias("start"), (ends(i) + F.length(m)).alias("end")))
+def live_counts(files: DataFrame) -> DataFrame:
+    """``audit_source_live``: how often each rule fires in a file; counted in the row, without positions."""
+    counts = [F.when(c("path").rlike(only) if only else F.lit(True), F.struct(F.lit(rule).alias("rule_id"), F.regexp_count("content", F.lit(pattern)).cast("long").alias("n"))) for rule, pattern, only in LIVE]
+    return files.select("project", "path", F.inline(F.array_compact(F.array(*counts)))).filter(c("n") > 0)
 
-        return let(F.struct(found.alias("found"), gaps.alias("gaps")), locate)
 
-    return files.select("project", "path", F.inline_outer(F.concat(*[spans(r, p) for r, p in LIVE]))).filter(c("rule_id").isNotNull())
+def issue_counts(findings: DataFrame) -> DataFrame:
+    """``agg_file_issue_counts``: findings of every file and of every top folder, as (project, name, kind, n)."""
+    folder = F.get(F.split("path", "/"), F.lit(0))
+    names = F.array(F.struct(c("path").alias("name"), F.lit("file").alias("kind")), F.struct(folder.alias("name"), F.lit("folder").alias("kind")))
+    return findings.select("project", F.inline(names)).groupBy("project", "name", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def integrity(files: DataFrame) -> DataFrame:
@@ -135,10 +206,12 @@ def project_stack(files: DataFrame) -> DataFrame:
         ("next", dep("next")), ("nuxt", dep("nuxt", "nuxt3") | has(r"(^|/)nuxt\.config\.(js|ts|mjs)$")), ("angular", dep("@angular/core") | has(r"(^|/)angular\.json$")),
         ("sveltekit", dep("@sveltejs/kit") | has(r"(^|/)svelte\.config\.(js|ts|mjs)$")), ("svelte", dep("svelte") | has(r"\.svelte$")), ("remix", dep("@remix-run/react")),
         ("astro", dep("astro") | has(r"(^|/)astro\.config\.(js|ts|mjs)$")), ("gatsby", dep("gatsby")), ("qwik", dep("@builder.io/qwik", "@builder.io/qwik-city")),
-        ("solidstart", dep("solid-start")), ("solid", dep("solid-js", "vite-plugin-solid")), ("preact", dep("preact", "preact-render-to-string")),
+        ("solidstart", dep("solid-start") | has(r"(^|/)vite\.config\.(js|ts|mjs).*solid-start")),
+        ("solid", dep("solid-js", "vite-plugin-solid") | has(r"(^|/)solid\.config\.(js|ts|mjs)$")), ("preact", dep("preact", "preact-render-to-string")),
         ("lit", dep("lit", "lit-element", "lit-html")), ("ember", dep("ember-cli", "ember-source") | has(r"(^|/)ember-cli-build\.js$")), ("vue", dep("vue") | has(r"\.vue$")),
         ("cra", dep("react-scripts")), ("vite-react", dep("vite") & dep("react")), ("react", dep("react")), ("alpine", dep("alpinejs")),
-        ("next", ~F.max("is_pkg") & has(r"(^|/)app/(.*/)?layout\.(tsx|jsx)$|(^|/)pages/_app\.(tsx|jsx)$")), ("react", ~F.max("is_pkg") & has(r"\.(tsx|jsx)$")),
+        ("next", ~F.max("is_pkg") & has(r"(^|/)app/(.*/)?layout\.(tsx|jsx)$|(^|/)pages/_app\.(tsx|jsx)$")),
+        ("astro", ~F.max("is_pkg") & has(r"\.astro$")), ("react", ~F.max("is_pkg") & has(r"\.(tsx|jsx)$")),
         ("static", has(r"(?i)\.html?$")),
     ]
     out = F.lit("unknown")

@@ -31,7 +31,7 @@ register("join_resolve_internal_links", LF + " SELECT project, 'app/shop/page.ts
 register("audit_project_wide", LF + " SELECT project, bool_or(path = 'robots.txt') AS has_robots, false AS has_sitemap, false AS has_headers_config FROM lf GROUP BY 1")(lambda s, sf: SC.project_wide(_linked(s, sf)))
 register("agg_affected_files", PF + f" SELECT project, rule_id, count(DISTINCT p) AS n_files, min(p) AS first_path FROM ({' UNION ALL '.join(f'''SELECT project, p, '{r}' AS rule_id FROM pf WHERE {cond}''' for r, cond in _src)}) GROUP BY ALL")(
     lambda s, sf: SC.affected_files(SC.audit_files(_files(s, sf))).select("project", "rule_id", "n_files", "first_path"))
-register("ext_source_tags", PF + """ SELECT p_partkey, ((p_size % 3 = 0)::INT)::BIGINT AS n_img_without_alt, 1::BIGINT AS n_img FROM pf""")(
+register("ext_source_tags", PF + """ SELECT p_partkey, ((p_size % 3 = 0 AND p_size % 11 <> 0)::INT)::BIGINT AS n_img_without_alt, ((p_size % 11 <> 0)::INT + 3 * (p_size % 15 = 7)::INT)::BIGINT AS n_img FROM pf""")(
     lambda s, sf: _files(s, sf).select("p_partkey", F.regexp_extract_all("content", F.lit(r"<(?:img|Image)\b[^>]*>"), F.lit(0)).alias("tags")).select(
         "p_partkey", F.size(F.filter("tags", lambda t: ~t.rlike(r"=>\s*$") & ~t.rlike(r"(?i)(?:^|\s)(?:alt|:alt|v-bind:alt|\[alt\])\s*="))).cast("long").alias("n_img_without_alt"),
         F.size("tags").cast("long").alias("n_img")))

@@ -139,16 +139,29 @@ def _files(s, sf):
 register("src_project_files", PF + " SELECT project, p AS path, length(content) AS n FROM pf")(lambda s, sf: _files(s, sf).select("project", "path", F.length("content").cast("long").alias("n")))
 register("flt_page_level_file", PF + " SELECT p_partkey, p_type IN ('MEDIUM', 'LARGE', 'PROMO', 'STANDARD') AS page_level FROM pf")(lambda s, sf: _files(s, sf).select("p_partkey", SC.page_level(c("path")).alias("page_level")))
 register("ext_next_routes", PF + " SELECT p_partkey, '/p' || p_partkey AS route FROM pf WHERE p_type = 'MEDIUM'")(lambda s, sf: _files(s, sf).select("p_partkey", SC.next_route(c("path")).alias("route")).filter(c("route").isNotNull()))
-_src = [("missing-alt", "p_size % 3 = 0"), ("image-dimensions", "p_size % 3 = 0"), ("console", "p_size % 4 = 0"), ("debugger", "p_size % 4 = 0"), ("generic-cta", "p_size % 5 = 0"), ("hash-link", "p_size % 5 = 0"), ("noopener", "p_size % 5 = 1"),
-        ("mixed-content", "p_size % 5 = 1"), ("secret-generic-secret", "p_size % 6 = 0"), ("secret-aws-access-key", "p_size % 6 = 1"), ("clickable-role", "p_size % 7 = 0"), ("xss-inner-html", "p_size % 7 = 0"), ("landmarks", "p_size % 8 <> 0 AND p_type <> 'SMALL'")]
+_img = "p_size % 11 <> 0"
+_src = [("missing-alt", f"p_size % 3 = 0 AND {_img}"), ("image-dimensions", f"p_size % 3 = 0 AND {_img}"), ("console", "p_size % 4 = 0"), ("debugger", "p_size % 4 = 0"), ("generic-cta", "p_size % 5 = 0"), ("hash-link", "p_size % 5 = 0"), ("noopener", "p_size % 5 = 1"),
+        ("mixed-content", "(p_size % 5 = 1 OR p_size % 9 = 0)"), ("secret-generic-secret", "(p_size % 6 = 0 OR p_size % 16 = 9)"), ("secret-aws-access-key", "p_size % 6 = 1"), ("clickable-role", "p_size % 7 = 0"), ("xss-inner-html", "p_size % 7 = 0"), ("landmarks", "p_size % 8 <> 0 AND p_type <> 'SMALL'"),
+        ("table-headers", "p_size % 9 = 0"), ("field-label", "p_size % 9 = 0"), ("autoplay-muted", "p_size % 9 = 0"), ("autoplay-controls", "p_size % 9 = 0"), ("list-key", "p_size % 10 = 7"), ("v-for-key", "p_size % 12 = 5"), ("ng-for-track-by", "p_size % 12 = 5"),
+        ("xss-bound-inner-html", "p_size % 15 = 2"), ("xss-at-html", "p_size % 15 = 2"), ("xss-set-html", "p_size % 15 = 2"), ("icon-only", "p_size % 15 = 4"), ("lazy-images", "p_size % 15 = 7")]
 register("audit_source_files", PF + " " + " UNION ALL ".join(f"SELECT project, p AS path, '{r}' AS rule_id FROM pf WHERE {cond}" for r, cond in _src))(lambda s, sf: SC.audit_files(_files(s, sf)).select("project", "path", "rule_id"))
-for _n in ("ext_findings_pos", "audit_source_live"):
-    register(_n, PF + """, m AS (SELECT project, p, content, 'img-missing-alt' AS rule_id, '<img src="/a.png">' AS t FROM pf WHERE p_size % 3 = 0 UNION ALL SELECT project, p, content, 'console-debugger-statement', x FROM pf, (SELECT unnest(['console.log(', 'debugger;']) AS x) WHERE p_size % 4 = 0
- UNION ALL SELECT project, p, content, 'hash-only-link', '<a href="#" onClick={go}>' FROM pf WHERE p_size % 5 = 0 UNION ALL SELECT project, p, content, 'xss-risky-binding', 'dangerouslySetInnerHTML' FROM pf WHERE p_size % 7 = 0)
-SELECT project, p AS path, rule_id, (instr(content, t) - 1)::INT AS start, (instr(content, t) - 1 + length(t))::INT AS "end" FROM m""")(lambda s, sf: SC.positions(_files(s, sf)))
-register("agg_file_issue_counts", PF + f" SELECT project, count(*) AS n FROM ({' UNION ALL '.join(f'SELECT project FROM pf WHERE {cond}' for r, cond in _src)}) GROUP BY 1")(lambda s, sf: SC.audit_files(_files(s, sf)).groupBy("project").agg(F.count(F.lit(1)).alias("n")))
-register("topk_worst_files", PF + f" SELECT path, count(*) AS n FROM ({' UNION ALL '.join(f'SELECT project, p AS path FROM pf WHERE {cond}' for r, cond in _src)}) GROUP BY 1 ORDER BY n DESC, path LIMIT 8")(
-    lambda s, sf: SC.audit_files(_files(s, sf)).groupBy("path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "path").limit(8))
+_html, _jsx = "p_type = 'STANDARD'", "p_type IN ('SMALL', 'MEDIUM', 'LARGE')"
+_plain, _whole = '<img src="/a.png">', '<img src="/a.png" alt="a" width="1" height="2">'
+_three = [f'<img src="/{i}.png" alt="{i}" width="1" height="2">' for i in (1, 2, 3)]
+_live = [("img-missing-alt", _plain, f"p_size % 3 = 0 AND {_img}"), ("img-no-lazy-loading", _plain, f"p_size % 3 = 0 AND {_img}"), ("img-no-lazy-loading", _whole, f"p_size % 3 <> 0 AND {_img}"), *[("img-no-lazy-loading", x, "p_size % 15 = 7") for x in _three],
+         ("console-debugger-statement", "console.log(", "p_size % 4 = 0"), ("console-debugger-statement", "debugger;", "p_size % 4 = 0"), ("hash-only-link", '<a href="#" onClick={go}>', "p_size % 5 = 0"), ("generic-cta-text", '<a href="#" onClick={go}>Here</a>', "p_size % 5 = 0"),
+         ("a-target-blank-noopener", '<a target="_blank" href="http://plain.example.com/x">', "p_size % 5 = 1"), ("hardcoded-secret", 'password = "abcdefghij1234567890"', "p_size % 6 = 0"), ("clickable-div-no-role", "<div onClick={f}>", "p_size % 7 = 0"), ("xss-risky-binding", "dangerouslySetInnerHTML", "p_size % 7 = 0"),
+         ("form-field-missing-label", '<input name="q">', "p_size % 9 = 0"), ("form-field-missing-label", '<input name="n">', "p_size % 9 = 0"), ("autoplay-video-not-muted", '<video autoplay src="http://v.example.com/v.mp4">', "p_size % 9 = 0"), ("mixed-content-http", 'src="http://v.example.com/v.mp4"', "p_size % 9 = 0"),
+         ("title-empty", "<title></title>", f"p_size % 10 = 3 AND {_html}"), ("meta-description-empty", '<meta name="description" content=""', f"p_size % 10 = 3 AND {_html}"), ("missing-list-key", ".map((x) => <li", f"p_size % 10 = 7 AND {_jsx}"),
+         ("hardcoded-secret", 'token = "aaaaaaaaaaaaaaaaaaaa"', "p_size % 16 = 9"), ("hardcoded-secret", 'secret = "bbbbbbbbbbbbbbbbbbbb"', "p_size % 16 = 9")]
+_lm = PF + ", m AS (" + " UNION ALL ".join(f"SELECT project, p, p_partkey, content, '{r}' AS rule_id, '{x}' AS t FROM pf WHERE {cond}" for r, x, cond in _live) + ")"
+register("ext_findings_pos", _lm + ' SELECT project, p AS path, rule_id, (instr(content, t) - 1)::INT AS start, (instr(content, t) - 1 + length(t))::INT AS "end" FROM m')(lambda s, sf: SC.positions(_files(s, sf)))
+register("audit_source_live", _lm + " SELECT project, p AS path, rule_id, count(*) AS n FROM m GROUP BY project, p, rule_id, p_partkey")(lambda s, sf: SC.live_counts(_files(s, sf)))
+_found = " UNION ALL ".join(f"SELECT project, p, '{r}' AS rule_id FROM pf WHERE {cond}" for r, cond in _src)
+register("agg_file_issue_counts", PF + f", x AS ({_found}) SELECT project, p AS name, 'file' AS kind, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT project, split_part(p, '/', 1), 'folder', count(*) FROM x GROUP BY ALL")(
+    lambda s, sf: SC.issue_counts(SC.audit_files(_files(s, sf))))
+register("topk_worst_files", PF + f" SELECT project, p AS path, count(*) AS n FROM ({_found}) GROUP BY ALL ORDER BY n DESC, project, path LIMIT 8")(
+    lambda s, sf: SC.audit_files(_files(s, sf)).groupBy("project", "path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "project", "path").limit(8))
 register("audit_project_stack", PF + " SELECT project, CASE WHEN bool_or(p_type = 'PROMO') THEN 'vue' WHEN bool_or(p_type IN ('SMALL', 'MEDIUM', 'LARGE')) THEN 'react' ELSE 'static' END AS stack FROM pf GROUP BY 1")(lambda s, sf: SC.project_stack(_files(s, sf)))
 register("audit_fix_integrity", """SELECT p_partkey, CASE p_size % 5 WHEN 1 THEN 'shrunk' WHEN 2 THEN 'angle-brackets' WHEN 3 THEN 'quotes' WHEN 4 THEN 'closing-tag' END AS reason FROM part""")(
     lambda s, sf: SC.integrity(G.table(s, sf, "part").select(
