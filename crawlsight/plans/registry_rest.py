@@ -202,8 +202,9 @@ register("udf_rule_registry", "SELECT user_id AS rule_id, t AS updated_at FROM (
 # --- streams
 
 
-def _stream(s, sf, name):
-    return J.read_files(s, sf, f"{name}.parquet")
+def _stream(s, sf, name, files=3):
+    """The table in several files, one for each micro-batch."""
+    return J.read_files(s, J.landed(G.table(s, sf, name), J.work_folder(s), files), "*.parquet", 1)
 
 
 def _site(df):

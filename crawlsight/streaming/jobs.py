@@ -35,6 +35,12 @@ def read_files(spark: SparkSession, folder: str, glob: str, files_per_trigger: i
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+def landed(df: DataFrame, folder: str, files: int) -> str:
+    """``df`` as a folder of so many files, as if they had landed one after the other."""
+    df.repartition(files).write.parquet(f"{folder}/landed")
+    return f"{folder}/landed"
+
+
 def append_to_table(stream: DataFrame, folder: str, partition_by: list[str] | None = None) -> DataFrame:
     """Run all available data in append mode and read the table back."""
     w = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True)
@@ -77,9 +83,13 @@ def partial_report(pages: DataFrame) -> DataFrame:
         F.sum("score").alias("score_sum"), F.count(F.lit(1)).alias("pages"))
 
 
-def seen_dedup(events: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
-    """``str_seen_dedup``: one row per key within the watermark."""
-    return events.withColumn("ts", c("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+def seen_dedup(events: DataFrame, keys: list[str]) -> DataFrame:
+    """``str_seen_dedup``: the first row of every key of the stream.
+
+    The keys stay in the state for as long as the stream's folder does: a crawl has one stream, and its state goes with
+    it. A watermark would forget addresses that are still to be met.
+    """
+    return events.dropDuplicates(keys)
 
 
 def unseen(pages: DataFrame, seen: DataFrame) -> DataFrame:
@@ -103,24 +113,23 @@ def route(events: DataFrame) -> DataFrame:
     return events.withColumn("p", F.from_json("props", "k long")).filter(c("p.k").isNotNull()).select("event_id", c("p.k").alias("k"), "event_type")
 
 
-def scan_compare(spark: SparkSession, stream: DataFrame, scans_of: Callable[[DataFrame], tuple[DataFrame, DataFrame]], folder: str) -> DataFrame:
-    """``str_scan_compare``: every new scan against the scan of its site before it.
+def scan_compare(spark: SparkSession, stream: DataFrame, scans_of: Callable[[DataFrame], tuple[DataFrame, DataFrame]], folder: str, key: str = "user_id") -> DataFrame:
+    """``str_scan_compare``: every scan against the scan of its site before it, however its events fall into batches.
 
-    The last scan of each site and its findings are tables; a batch reads the version the batch
-    before it wrote, so a batch that runs again gives the same result.
+    A batch keeps its events and compares the scans of the sites (``key``) it touches anew, from all their events so far.
+    Of a site's comparisons those of its last batch hold. A batch that runs again overwrites its own part.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        scans, findings = scans_of(batch)
-        if batch_id > 0:
-            scans = scans.unionByName(spark.read.parquet(f"{folder}/last/{batch_id - 1}"))
-            findings = findings.unionByName(spark.read.parquet(f"{folder}/last_findings/{batch_id - 1}"))
+        batch.write.mode("overwrite").parquet(f"{folder}/events/batch={batch_id}")
+        seen = spark.read.parquet(f"{folder}/events").filter(c("batch") <= batch_id)
+        touched = seen.filter(c("batch") == batch_id).select(key).distinct()
+        scans, findings = scans_of(seen.drop("batch").join(touched, key, "left_semi"))
         pairs = H.previous_scan(scans).filter(c("prev_scan_id").isNotNull()).select("scan_id", "prev_scan_id")
-        H.issue_changes(findings, pairs).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
-        last = scans.groupBy("url", "mode").agg(F.max_by(F.struct("scan_id", "created_at", "overall_score"), F.struct("created_at", "scan_id")).alias("s")).select(
-            "s.scan_id", "url", "mode", "s.created_at", "s.overall_score")
-        last.write.mode("overwrite").parquet(f"{folder}/last/{batch_id}")
-        findings.join(last.select("scan_id"), "scan_id", "left_semi").write.mode("overwrite").parquet(f"{folder}/last_findings/{batch_id}")
+        sites = scans.select("scan_id", "url", "mode")
+        H.issue_changes(findings, pairs).join(sites, "scan_id").write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        sites.select("url", "mode").distinct().write.mode("overwrite").parquet(f"{folder}/sites/batch={batch_id}")
 
     each_batch(stream, folder, handle)
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    last = spark.read.parquet(f"{folder}/sites").groupBy("url", "mode").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{folder}/out").join(last, ["url", "mode", "batch"]).drop("url", "mode", "batch")
