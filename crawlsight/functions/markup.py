@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from crawlsight.functions.text import decode_entities, decode_sql, let_sql, trim_ws
+from crawlsight.functions.text import decode_entities, decode_sql, let, let_sql, trim_ws
 
 ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 SCRIPT_OPEN = rf"<script(?=[\s/>]){ATTRS}>"
@@ -124,10 +124,20 @@ def element_text(element: Column) -> Column:
     return trim_ws(text_of(element))
 
 
-def without(html: Column, name: str, depth: int = 4) -> Column:
-    """Remove elements of one name with their content; innermost first, so nesting is handled."""
-    out = html
+def nesting(html: Column, name: str) -> Column:
+    """How deep elements of one name stand in each other."""
+    tags = F.regexp_extract_all(html, F.lit(rf"(?i)</?{name}(?=[\s/>])"), F.lit(0))
+    step = lambda a, t: F.when(t.startswith("</"), F.struct(F.greatest(F.lit(0), a["now"] - 1).alias("now"), a["most"].alias("most"))).otherwise(
+        F.struct((a["now"] + 1).alias("now"), F.greatest(a["most"], a["now"] + 1).alias("most")))
+    return F.aggregate(tags, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
+
+
+def without(html: Column, name: str) -> Column:
+    """Remove elements of one name with their content; innermost first, as often as they are nested."""
     innermost = rf"(?is)<{name}(?=[\s/>]){ATTRS}>(?:(?!</?{name}(?=[\s/>])).)*+</{name}\s*+>"
-    for _ in range(depth):
-        out = F.regexp_replace(out, innermost, "")
-    return out
+
+    def cut(page: Column) -> Column:
+        rounds = let(nesting(page, name), lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")))
+        return F.aggregate(rounds, page, lambda a, _: F.regexp_replace(a, innermost, ""))
+
+    return F.when(F.lower(html).contains("<" + name), let(html, cut)).otherwise(html)

@@ -92,7 +92,7 @@ def near_duplicates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     right = ranked.select(c("id").alias("ib"), c("n").alias("nb"), "h", "df", cls.alias("cb"))
     # A shingle with many documents is cut into chunks: the left row goes to one chunk of its own, the
     # right row is copied to every chunk, so each pair still meets exactly once.
-    chunks = F.greatest(F.lit(1), F.least(F.lit(512), F.ceil(c("df") / 256))).cast("int")
+    chunks = F.greatest(F.lit(1), F.ceil(c("df") / 256)).cast("int")
     left = left.select("ia", "na", "h", F.explode(F.array(c("ca") - 1, c("ca"), c("ca") + 1)).alias("cls"),
                        F.pmod(F.xxhash64("ia"), chunks).cast("int").alias("chunk"))
     right = right.select("ib", "nb", "h", c("cb").alias("cls"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))

@@ -7,7 +7,7 @@ explode and no shuffle: pages stay in the partition they were read in. Operators
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,6 +91,14 @@ def _graph(nodes: Column) -> Column:
     return F.flatten(F.transform(nodes, lambda n: parse_nodes(F.coalesce(node_prop(n, "@graph"), F.lit("")))))
 
 
+def nested_nodes(top: Column, levels: Column) -> Column:
+    """Nodes below ``top`` in ``@graph``, level by level; ``levels`` is how often the word stands in the page."""
+    rounds = F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(F.array().cast("array<int>"))
+    none = F.struct(F.array().cast(NODE).alias("below"), top.alias("level"))
+    step = lambda acc, _: T.let(_graph(acc["level"]), lambda g: F.struct(F.concat(acc["below"], g).alias("below"), g.alias("level")))
+    return F.aggregate(rounds, none, step)["below"]
+
+
 def jsonld_columns(nc: Column) -> list[Column]:
     return [F.regexp_extract_all(nc, F.lit(LD_BLOCK), F.lit(1)).alias("ld_blocks")]
 
@@ -235,7 +243,6 @@ def _with_head(parsed: DataFrame) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=8)
 def page_features(pages: DataFrame) -> DataFrame:
     """One row per page with every field the page rules read.
 
@@ -244,9 +251,9 @@ def page_features(pages: DataFrame) -> DataFrame:
     """
     p = _with_head(parsed_pages(pages))
     g1 = F.col("ld_top")
-    g2 = _graph(g1)
-    p = p.withColumn("ld_g2", g2).withColumn("ld_g3", _graph(F.col("ld_g2")))
-    all_nodes = F.concat(g1, F.col("ld_g2"), F.col("ld_g3"))
+    levels = F.aggregate("ld_blocks", F.lit(0), lambda a, b: a + F.regexp_count(b, F.lit('"@graph"')))
+    p = p.withColumn("ld_below", nested_nodes(g1, levels))
+    all_nodes = F.concat(g1, F.col("ld_below"))
 
     skel, url, body_text = F.col("skel"), F.col("url"), F.col("body_text")
     low = F.col("low")

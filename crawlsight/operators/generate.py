@@ -10,20 +10,21 @@ from crawlsight.functions import urls as U
 
 c = F.col
 
-SITEMAP_LIMIT = 50_000
+#: Expected entries of a sitemap file; the protocol allows 50,000, which hashing does not reach.
+SITEMAP_ENTRIES = 40_000
 
 
 def sitemap_lines(pages: DataFrame, day: str) -> DataFrame:
     """``gen_sitemap``: one <url> entry per page and the file it belongs to.
 
     A site can hold a third of all pages, so files are not numbered by one sort per site: pages are
-    hashed into as many files as the site needs (40,000 expected per file keeps each below the limit).
+    hashed into as many files as the site needs.
     """
     sizes = pages.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
-    files = F.greatest(F.lit(1), F.ceil(c("n") / 40000)).cast("int")
+    files = F.greatest(F.lit(1), F.ceil(c("n") / SITEMAP_ENTRIES)).cast("int")
     entry = F.concat(F.lit("  <url><loc>"), T.escape_xml(c("url")), F.lit(f"</loc><lastmod>{day}</lastmod></url>"))
     return pages.join(sizes, "site").select(
-        "site", F.when(c("n") <= SITEMAP_LIMIT, F.lit(0)).otherwise(F.pmod(F.xxhash64("url"), files).cast("int")).alias("file_no"), "url", entry.alias("line"))
+        "site", F.pmod(F.xxhash64("url"), files).cast("int").alias("file_no"), "url", entry.alias("line"))
 
 
 def write_sitemaps(pages: DataFrame, day: str, out: str) -> None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlsight.session import cut_lineage
+from crawlsight.session import cut_lineage, stored
 
 c = F.col
 
@@ -19,6 +19,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
 
     The smallest parent of the previous level counts as the one that found the node.
     """
+    edges = stored(edges.select("src", "dst"), "edges")  # read once per level
     found = seeds.select("node", F.lit(0).alias("depth"), F.lit(None).cast(seeds.schema["node"].dataType).alias("parent")).distinct()
     frontier = found
     for depth in range(1, max_depth + 1):
@@ -46,6 +47,8 @@ def redirect_chains(redirects: DataFrame, max_hops: int = 8) -> DataFrame:
     active = redirects.select("url", c("url").alias("cur"), F.array().cast("array<string>").alias("chain"))
     finished = None
     for hop in range(max_hops):
+        if hop and active.isEmpty():
+            break
         j = active.join(step, "cur", "left")
         loop = F.array_contains(F.array_append("chain", c("cur")), c("loc"))
         outcome = (
@@ -70,26 +73,27 @@ def page_tree(pages: DataFrame) -> DataFrame:
     return j.select("url", F.when(c("depth") == 0, F.lit(None).cast("string")).when(c("known"), c("parent_url")).otherwise(F.lit("(root)")).alias("parent"))
 
 
-def descendants(tree: DataFrame, max_depth: int = 64) -> DataFrame:
+def descendants(tree: DataFrame) -> DataFrame:
     """``agg_descendants``: nodes below each node of (node, parent).
 
     Counts move up one level per round: a node passes its finished count to its parent, so no
-    (ancestor, node) pairs are made.
+    (ancestor, node) pairs are made. There are as many rounds as levels; a tree has no more levels than nodes, so more
+    rounds mean a cycle, which is an error.
     """
+    n_nodes = tree.count()
     level = tree.select("node", "parent")
     total = tree.select("node", F.lit(0).cast("long").alias("n"))
     moving = level.select(c("parent").alias("node"), F.lit(1).cast("long").alias("n")).filter(c("node").isNotNull()).groupBy("node").agg(F.sum("n").alias("n"))
     parents = tree.select("node", "parent")
     parts = [total]
-    for _ in range(max_depth):
+    while True:
         moving = cut_lineage(moving)
         if moving.isEmpty():
             break
+        if len(parts) > n_nodes:
+            raise ValueError("the tree has a cycle")
         parts.append(moving)
         moving = moving.join(parents, "node").filter(c("parent").isNotNull()).groupBy(c("parent").alias("node")).agg(F.sum("n").alias("n"))
-    else:
-        if not moving.isEmpty():
-            raise ValueError(f"the tree is deeper than {max_depth} levels or has a cycle")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -47,8 +47,8 @@ def images(pages: DataFrame) -> DataFrame:
         M.attr_or_null(tag, "loading", False).alias("loading"),
         F.coalesce(M.attr_or_null(tag, "srcset"), M.attr(tag, "data-srcset")).alias("srcset"),
         M.attr(tag, "sizes").alias("sizes"),
-        F.nullif(F.regexp_extract(M.attr(tag, "width", False), r"^\s*(\d{1,9})", 1).try_cast("int"), F.lit(0)).alias("width"),
-        F.nullif(F.regexp_extract(M.attr(tag, "height", False), r"^\s*(\d{1,9})", 1).try_cast("int"), F.lit(0)).alias("height"),
+        F.nullif(F.regexp_extract(M.attr(tag, "width", False), r"^\s*(\d+)", 1).try_cast("int"), F.lit(0)).alias("width"),
+        F.nullif(F.regexp_extract(M.attr(tag, "height", False), r"^\s*(\d+)", 1).try_cast("int"), F.lit(0)).alias("height"),
     )
     firsts = F.filter(
         F.transform(F.split("srcset", ","), lambda p: F.get(F.split(F.trim(p), r"\s+"), F.lit(0))), lambda u: u != "")

@@ -76,15 +76,15 @@ def checkable(links_df: DataFrame) -> DataFrame:
 
 
 def dedupe_status(status: DataFrame) -> DataFrame:
-    """One check result per URL."""
-    return status.groupBy("resolved_url").agg(F.first("ok").alias("ok"), F.first("status_code").alias("status_code"), F.first("error").alias("error"))
+    """One check result per URL: a failed one if there is any."""
+    return status.groupBy("resolved_url").agg(F.min(F.struct("ok", "status_code", "error")).alias("s")).select("resolved_url", "s.*")
 
 
 def join_status(links_df: DataFrame, status: DataFrame) -> DataFrame:
     """``join_link_status``: links with the result of their check.
 
-    Menu links repeat on every page of a site, so one URL can hold a large share of the links. The
-    links are first reduced to distinct (url) before the status shuffle, and AQE splits a hot key.
+    ``status`` has one row per URL. Menu links repeat on every page of a site, so one URL can hold a large share of the
+    links: AQE splits its rows, as nothing above the join needs them together.
     """
     return checkable(links_df).join(status, "resolved_url", "left")
 
@@ -179,13 +179,10 @@ def audit_links_page(pages: DataFrame, status: DataFrame | None = None) -> DataF
     return explode_findings(f, ["page_id"], k.column())
 
 
-def audit_links_site(links_df: DataFrame, status: DataFrame, limit: int = LINK_CHECK_LIMIT) -> DataFrame:
-    """``audit_links_site``: broken links over the whole crawl, the most referenced URLs checked.
-
-    ``limit`` is the feature of the link check (a budget of checks), not a cap on results.
-    """
+def audit_links_site(links_df: DataFrame, status: DataFrame, limit: int | None = None) -> DataFrame:
+    """``audit_links_site``: broken links over the whole crawl, all checked URLs. A ``limit`` is a budget of checks."""
     refs = link_refs(links_df)
-    checked = most_referenced(refs, limit).join(status, "resolved_url").withColumn("pages_shown", F.least("n_pages", F.lit(PAGES_PER_LINK)))
+    checked = (refs if limit is None else most_referenced(refs, limit)).join(status, "resolved_url")
     n = lambda cond: F.count_if(cond).cast("long")
     tested = checked.agg(
         n(~c("ok") & ~c("is_external")).alias("bad_internal"), n(~c("ok") & c("is_external")).alias("bad_external"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -231,7 +230,7 @@ def structured() -> Column:
     types = F.array_distinct(F.flatten(F.transform(nodes, node_types)))
     bare = lambda t: F.regexp_replace(t, "(?i)^https?://schema\\.org/", "")
     unknown = F.filter(types, lambda t: ~bare(t).rlike("^[A-Z][A-Za-z0-9]*$") | ~bare(t).isin(*KNOWN_TYPES))
-    k.issue("schema-invalid-type", 7, F.size(unknown) > 0, n=F.size(unknown), info=F.array_join(F.slice(unknown, 1, 3), ", "))
+    k.issue("schema-invalid-type", 7, F.size(unknown) > 0, n=F.size(unknown), info=F.array_join(unknown, ", "))
 
     m = Checks("seo")
     m.issue("microdata-missing-itemtype", 5, c("n_itemscope_untyped") > 0, n=c("n_itemscope_untyped"))
@@ -388,7 +387,7 @@ def security_all() -> Column:
     for name, weight in SECURITY_HEADERS.items():
         value = header(name)
         k.issue("missing-" + name, weight, value == "")
-        k.ok("present-" + name, value != "", info=F.left(value, F.lit(50)))
+        k.ok("present-" + name, value != "", info=value)
         if name == "strict-transport-security":
             k.issue("hsts-no-max-age", 5, (value != "") & ~value.contains("max-age"))
         if name == "content-security-policy":
@@ -437,7 +436,6 @@ def audit(pages: DataFrame, family: str) -> DataFrame:
     return explode_findings(f, ["page_id", "url"], FAMILIES[family]())
 
 
-@lru_cache(maxsize=8)
 def page_audit(pages: DataFrame) -> DataFrame:
     """One row per page with every page-level finding of the six report categories."""
     f = page_features(pages)
@@ -445,6 +443,10 @@ def page_audit(pages: DataFrame) -> DataFrame:
     return f.select("page_id", "url", "site", F.coalesce("depth", F.lit(0)).alias("depth"), "parent_url", found.alias("findings"))
 
 
-@lru_cache(maxsize=8)
+def findings_of(audited: DataFrame) -> DataFrame:
+    """The findings of :func:`page_audit`, one row each."""
+    return explode_findings(audited, ["page_id", "url", "site", "depth"], c("findings"))
+
+
 def all_findings(pages: DataFrame) -> DataFrame:
-    return explode_findings(page_audit(pages), ["page_id", "url", "site", "depth"], c("findings"))
+    return findings_of(page_audit(pages))

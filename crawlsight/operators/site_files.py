@@ -63,7 +63,7 @@ def robots_sitemaps(files: DataFrame) -> DataFrame:
 def robots_malformed(files: DataFrame) -> DataFrame:
     """``ext_robots_malformed``"""
     bad = F.filter(robots_lines(c("robots")), lambda x: ~x["directive"].isin(*DIRECTIVES))
-    return files.select("site", F.explode(bad).alias("s")).select("site", F.left(c("s.line"), F.lit(80)).alias("line"))
+    return files.select("site", F.explode(bad).alias("s")).select("site", c("s.line").alias("line"))
 
 
 def _blocked(lines: Column, agent: str) -> Column:
@@ -142,8 +142,7 @@ def audit_crawl_files(files: DataFrame) -> DataFrame:
         some = some | cond
     k.ok("sitemap-valid", listed & ~some)
     index = xml & (c("root") == "sitemapindex")
-    first = F.slice("children", 1, 5)
-    no_loc, bad = F.exists(first, lambda u: u == ""), F.exists(first, lambda u: (u != "") & ~U.is_http(u))
+    no_loc, bad = F.exists("children", lambda u: u == ""), F.exists("children", lambda u: (u != "") & ~U.is_http(u))
     k.issue("sitemap-index-empty", 9, index & (F.size("children") == 0))
     k.issue("sitemap-index-missing-loc", 8, index & no_loc).issue("sitemap-index-invalid-loc", 7, index & bad)
     k.ok("sitemap-index-valid", index & (F.size("children") > 0) & ~no_loc & ~bad)

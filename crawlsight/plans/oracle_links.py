@@ -86,7 +86,7 @@ fx AS ({' UNION ALL '.join(_finding(r, w, (k, k + (' > 50' if k == 'x' else ' >
 SELECT page_id, rule_id, passed, weight, n, {SEVERITY} AS severity FROM fx"""
 
 AUDIT_LINKS_SITE = f"""WITH {LINKS}, {STATUS}, refs AS (SELECT resolved_url, count(DISTINCT url) n, bool_or(is_external) x FROM links WHERE kind = 'link' GROUP BY ALL),
-ck AS (SELECT * FROM (SELECT * FROM refs ORDER BY n DESC, resolved_url LIMIT 500) JOIN status USING (resolved_url)),
+ck AS (SELECT * FROM refs JOIN status USING (resolved_url)),
 t AS (SELECT count_if(NOT ok AND NOT x)::BIGINT bi, count_if(NOT ok AND x)::BIGINT be, count(*) nc FROM ck), a AS (SELECT count(*) nu FROM refs)
 SELECT 'broken-internal-links' AS rule_id, bi = 0 AS passed, CASE WHEN bi > 0 THEN 12 ELSE 0 END AS weight, CASE WHEN bi > 0 THEN bi END AS n FROM t
 UNION ALL SELECT 'broken-external-links', be = 0, CASE WHEN be > 0 THEN 4 ELSE 0 END, CASE WHEN be > 0 THEN be END FROM t

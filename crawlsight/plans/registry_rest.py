@@ -18,7 +18,7 @@ from crawlsight.operators import stack as ST
 from crawlsight.plans import oracle_pages as OP
 from crawlsight.plans.catalog import register
 from crawlsight.plans.oracle_links import normalize
-from crawlsight.plans.registry_scores import CARD, CAT, CHANGES, PCS, SC as SCAN_CTES, _all
+from crawlsight.plans.registry_scores import CARD, CAT, CHANGES, PCS, SC as SCAN_CTES, _all, _audited, _findings
 from crawlsight.sources import given as G
 from crawlsight.streaming import jobs as J
 
@@ -115,7 +115,8 @@ register("topk_keyword_search", "SELECT doc_id, score FROM (SELECT doc_id, ((len
 
 
 def _card(s, sf):
-    return S.category_cards(R.page_audit(_pages(s, sf)), R.all_findings(_pages(s, sf)))
+    audited = _audited(s, sf)
+    return S.category_cards(audited, R.findings_of(audited))
 
 
 CARDS = CAT + CARD
@@ -176,7 +177,7 @@ PLAN = f", pl AS (SELECT page_id, rule_id, {_st} AS status FROM fx WHERE NOT pas
 
 
 def _plan(s, sf):
-    return FX.plan(R.all_findings(_pages(s, sf)))
+    return FX.plan(_findings(s, sf))
 
 
 register("audit_fix_plan", _all(PLAN, "SELECT * FROM pl WHERE status IS NOT NULL"))(lambda s, sf: _plan(s, sf).select("page_id", "rule_id", "status"))
@@ -194,7 +195,7 @@ for _n in ("audit_fix_apply", "join_fix_bank"):
 # --- custom rules
 
 register("udf_custom_rules", _all("", "SELECT 'heavy' AS custom_rule, page_id, rule_id FROM fx WHERE weight >= 14 UNION ALL SELECT 'images', page_id, rule_id FROM fx WHERE NOT passed AND rule_id LIKE '%alt%'"))(
-    lambda s, sf: CU.run_rules(R.all_findings(_pages(s, sf)).select("page_id", "rule_id", "passed", "weight"), [
+    lambda s, sf: CU.run_rules(_findings(s, sf).select("page_id", "rule_id", "passed", "weight"), [
         ("heavy", "weight >= 14"), ("broken", "no_such_column > 1"), ("images", lambda d: d.filter(~c("passed") & c("rule_id").contains("alt")))])[0].select("custom_rule", "page_id", "rule_id"))
 register("udf_rule_registry", "SELECT user_id AS rule_id, t AS updated_at FROM (SELECT user_id, arg_max(event_type <> 'error', ts) AS e, max(ts) AS t FROM events GROUP BY 1) WHERE e")(
     lambda s, sf: CU.registry(G.table(s, sf, "events").select(c("user_id").alias("rule_id"), (c("event_type") != "error").alias("enabled"), c("ts").alias("updated_at"))).select("rule_id", "updated_at"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlsight.functions.findings import SEVERITIES, severity_of, severity_rank
@@ -11,6 +12,7 @@ from crawlsight.operators import page_rules as R
 from crawlsight.operators import score as S
 from crawlsight.plans import oracle_pages as OP
 from crawlsight.plans.catalog import register
+from crawlsight.session import stored
 from crawlsight.sources import given as G
 
 c = F.col
@@ -18,12 +20,23 @@ ALL = OP.all_findings
 ROUND = "CAST(round(avg({x})) AS INT)"
 
 
+_tables: dict[tuple, DataFrame] = {}
+
+
 def _audited(spark, sf):
-    return R.page_audit(G.audit_pages(spark, sf))
+    """Pages with their findings, written once to the shared folder and read by every query over them.
+
+    The table holds as long as the files of its inputs are the same and the session lives.
+    """
+    key = (spark.sparkContext.applicationId, sf, G.state(spark, sf, "pages", "part"))
+    if key not in _tables:
+        _tables.clear()
+        _tables[key] = stored(R.page_audit(G.audit_pages(spark, sf)), "page-audit")
+    return _tables[key]
 
 
 def _findings(spark, sf):
-    return R.all_findings(G.audit_pages(spark, sf))
+    return R.findings_of(_audited(spark, sf))
 
 
 # --- oracle fragments over fx(category, page_id, url, rule_id, passed, weight) and f
@@ -52,7 +65,8 @@ CARD_SELECT = f"""SELECT category, {LBL} AS label, score, pages_analyzed, rule_i
 
 @register("agg_category_card", _all(CAT + CARD, CARD_SELECT))
 def agg_category_card(spark, sf):
-    return S.category_cards(_audited(spark, sf), _findings(spark, sf))
+    audited = _audited(spark, sf)
+    return S.category_cards(audited, R.findings_of(audited))
 
 
 register("srt_issues_weight", _all(CARD, "SELECT category, rule_id, weight FROM ci ORDER BY category, weight DESC, rule_id"))(
@@ -101,8 +115,8 @@ register("prj_mark_resolved", _all(CAT + CARD, "SELECT category, score, CASE WHE
                                   S.card_issues(_findings(s, sf)).filter(c("rule_id").contains("e") & (c("category") != "geo")).select("category", "weight")))
 register("topk_security", OP.security())(lambda s, sf: R.audit(G.audit_pages(s, sf), "security_headers").select("page_id", "rule_id", "passed", "weight", "severity"))
 register("set_union_findings", _all(f", sec AS (SELECT * FROM ({OP.security()}))", "SELECT page_id, rule_id, passed, weight FROM fx UNION ALL SELECT page_id, rule_id, passed, weight FROM sec"))(
-    lambda s, sf: (lambda p: R.all_findings(p).select("page_id", "rule_id", "passed", "weight").unionByName(
-        R.audit(p, "security_headers").select("page_id", "rule_id", "passed", "weight")))(G.audit_pages(s, sf)))
+    lambda s, sf: _findings(s, sf).select("page_id", "rule_id", "passed", "weight").unionByName(
+        R.audit(G.audit_pages(s, sf), "security_headers").select("page_id", "rule_id", "passed", "weight")))
 register("flt_issue_listing", _all(FX, "SELECT page_id, rule_id, severity, count(*) OVER () AS total FROM fd WHERE NOT passed AND category = 'seo' AND url LIKE 'https://brand1.example.com/%' ORDER BY page_id, rule_id LIMIT 30"))(
     lambda s, sf: (lambda x: x.join(F.broadcast(x.agg(F.count(F.lit(1)).alias("total")))).orderBy("page_id", "rule_id").limit(30).select("page_id", "rule_id", "severity", "total"))(
         _findings(s, sf).filter(~c("passed") & (c("category") == "seo") & c("url").startswith("https://brand1.example.com/"))))

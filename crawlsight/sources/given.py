@@ -8,14 +8,13 @@ grows with the tables. Each view is one SELECT that Spark and DuckDB both run un
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlsight.functions.urls import hostname
 from crawlsight.operators.extract import PASS_THROUGH, lower_header_keys, with_optional
-from crawlsight.session import spread
+from crawlsight.session import dealt
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -27,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def state(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """What the files of some tables are now: paths, sizes and times. It changes when files land or are replaced."""
+    rows = [table(spark, sf_dir, n).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct() for n in names]
+    return tuple(tuple(sorted(map(tuple, df.collect()))) for df in rows)  # a row per file
+
+
 def _img(when: str, tag: str) -> str:
     return f"CASE WHEN {when} THEN '{tag}' ELSE '' END"
 
@@ -170,16 +175,15 @@ def catalog_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def given_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"))
+    return table(spark, sf_dir, "pages")
 
 
-@lru_cache(maxsize=8)
 def audit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given pages and the catalogue pages as one input for the audits."""
     crawled = given_pages(spark, sf_dir).withColumn("site", hostname(F.col("url")))
     cols = [*PASS_THROUGH, "html"]
     shop = lower_header_keys(catalog_fetches(spark, sf_dir))
-    return spread(with_optional(crawled).select(*cols).unionByName(with_optional(shop).select(*cols)))
+    return dealt(with_optional(crawled).select(*cols).unionByName(with_optional(shop).select(*cols)))
 
 
 # Scan history out of the events: a site per user, a scan per site and day, a category per event type,

@@ -5,7 +5,6 @@ Results go to Parquet tables under the shared checkpoint folder, never through t
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,18 +14,14 @@ from pyspark.sql import functions as F
 from crawlsight.functions import urls as U
 from crawlsight.operators import history as H
 from crawlsight.operators import page_rules as R
+from crawlsight.session import shared_folder
 
 c = F.col
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared folder; a local one only for local sessions."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="crawlsight-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new folder under the shared folder."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read_files(spark: SparkSession, folder: str, glob: str, files_per_trigger: int = 1000) -> DataFrame:
