@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from crawlsight.functions import text as T
 from crawlsight.functions.findings import Checks, explode_findings
+from crawlsight.session import fence, stored
 
 c = F.col
 
@@ -22,8 +23,8 @@ MIN_WORDS = 30
 
 
 def normalised(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) with whitespace collapsed and case folded."""
-    return texts.select(c(id_col).alias("id"), F.lower(T.collapse_ws(c(text_col))).alias("text"))
+    """(id, text) with whitespace collapsed and case folded, computed once per text."""
+    return fence(texts.select(c(id_col).alias("id"), F.lower(T.collapse_ws(c(text_col))).alias("text")))
 
 
 def body_keys(docs: DataFrame) -> DataFrame:
@@ -31,6 +32,11 @@ def body_keys(docs: DataFrame) -> DataFrame:
     return docs.filter(T.word_count(c("text")) >= MIN_WORDS).select("id", F.sha2("text", 256).alias("body_key"), "text")
 
 
+def member_rows(docs: DataFrame) -> DataFrame:
+    """Rows of every group of equal texts. Only ids and hashes are kept; texts are read and hashed once."""
+    return members(stored(body_keys(docs).select("id", "body_key"), "body-keys"), "body_key")
+
+
 def groups_by(df: DataFrame, key: str) -> DataFrame:
     """``agg_dup_groups``: rows sharing a key, as (key, size, smallest id).
 
@@ -73,9 +79,11 @@ def near_duplicates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     A hot shingle that still holds many documents is not paired inside one task: the join key is
     (shingle, size class, chunk of the probing side), so its rows spread over the cluster.
     """
+    sets = stored(sets, "shingle-sets")  # read for the counts, the prefixes and the check
     sizes = sets.select("id", F.size("sh").alias("n"), "sh").filter(c("n") > 0)
     rows = sizes.select("id", "n", F.explode("sh").alias("h"))
-    df = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    # stored, so that the join's two sides are plain exchanges and AQE can split a shingle that a third of all texts have
+    df = stored(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "shingle-counts")
     # A shingle of one document can never match: it holds a prefix slot but joins nothing.
     ranked = (
         rows.join(df, "h")
@@ -96,12 +104,15 @@ def near_duplicates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     left = left.select("ia", "na", "h", F.explode(F.array(c("ca") - 1, c("ca"), c("ca") + 1)).alias("cls"),
                        F.pmod(F.xxhash64("ia"), chunks).cast("int").alias("chunk"))
     right = right.select("ib", "nb", "h", c("cb").alias("cls"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
-    candidates = (
+    candidates = stored((
         left.join(right, ["h", "cls", "chunk"])
         .filter((c("ia") < c("ib"))
                 & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9))
         .select("ia", "ib").distinct()
-    )
+    ), "candidates")
+    # few documents are candidates: only their sets move to the check
+    asked = candidates.select(c("ia").alias("id")).unionByName(candidates.select(c("ib").alias("id"))).distinct()
+    sets = sets.join(asked, "id", "left_semi")
     a = sets.select(c("id").alias("ia"), c("sh").alias("sa"))
     b = sets.select(c("id").alias("ib"), c("sh").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -114,11 +125,6 @@ def near_duplicates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
-def duplicate_pairs(docs: DataFrame) -> DataFrame:
-    """Near duplicates among documents that have no exact copy."""
-    return near_duplicates(shingle_sets(without_exact(body_keys(docs))))
-
-
 def audit_duplicates(titles: DataFrame, descriptions: DataFrame, docs: DataFrame) -> DataFrame:
     """``audit_duplicates``: one finding of each kind for the whole crawl.
 
@@ -157,8 +163,8 @@ def keyword_density(texts: DataFrame, id_col: str, text_col: str, top: int = 8)
     Counted inside the row: a text's words are one array, no shuffle.
     """
     tokens = F.regexp_extract_all(F.lower(c(text_col)), F.lit("[a-z0-9']{3,}"), F.lit(0))
-    kept = F.array_sort(F.filter(tokens, lambda w: ~w.isin(*T.STOPWORDS)))
-    rows = texts.select(c(id_col), F.size(tokens).alias("total"), kept.alias("kept"))
+    kept = F.array_sort(F.filter("tokens", lambda w: ~w.isin(*T.STOPWORDS)))
+    rows = fence(fence(texts.select(c(id_col), tokens.alias("tokens"))).select(id_col, F.size("tokens").alias("total"), kept.alias("kept")))
     # Runs of the sorted array: a word starts where it differs from its left neighbour.
     starts = F.filter(F.sequence(F.lit(0), F.size("kept") - 1), lambda i: (i == 0) | (F.get("kept", i) != F.get("kept", i - 1)))
     runs = rows.filter(F.size("kept") > 0).withColumn("starts", starts)
