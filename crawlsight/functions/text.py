@@ -88,13 +88,14 @@ def decode_sql(var: str) -> str:
 
     One pass over the pieces between ampersands; text without an ampersand is returned as it is.
     """
-    code = "decode(unhex(lpad({hex}, 8, '0')), 'UTF-32')"
-    value = (
-        f"CASE WHEN e_n = '' THEN NULL WHEN e_n RLIKE '^#[xX]' THEN {code.format(hex='substring(e_n, 3)')} "
-        f"WHEN startswith(e_n, '#') THEN {code.format(hex='hex(CAST(substring(e_n, 2) AS BIGINT))')} "
-        f"ELSE try_element_at({ENTITY_TABLE}, e_n) END"
+    # at most seven significant digits; more, and numbers that are no character, are U+FFFD
+    number = (
+        "transform(array(CASE WHEN e_n RLIKE '^#[xX]0*[0-9a-fA-F]{1,7}$' THEN CAST(conv(substring(e_n, 3), 16, 10) AS BIGINT) "
+        "WHEN e_n RLIKE '^#0*[0-9]{1,7}$' THEN CAST(substring(e_n, 2) AS BIGINT) ELSE 0L END), e_c -> CASE WHEN e_c = 0 OR e_c > 1114111 "
+        "OR e_c BETWEEN 55296 AND 57343 THEN '\\ufffd' ELSE decode(unhex(lpad(hex(e_c), 8, '0')), 'UTF-32') END)[0]"
     )
-    name = "regexp_extract(e_p, '^(#[0-9]{1,6}|#[xX][0-9a-fA-F]{1,5}|[a-zA-Z][a-zA-Z0-9]{1,7});', 1)"
+    value = f"CASE WHEN e_n = '' THEN NULL WHEN startswith(e_n, '#') THEN {number} ELSE try_element_at({ENTITY_TABLE}, e_n) END"
+    name = "regexp_extract(e_p, '^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);', 1)"
     piece = (
         f"transform(array({name}), e_n -> coalesce({value} || substring(e_p, length(e_n) + 2), '&' || e_p))[0]"
     )

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crawlsight.functions import markup as M
+from crawlsight.functions import text as T
 from crawlsight.functions import urls as U
 from crawlsight.operators import extract as X
 from crawlsight.operators import graph as GR
@@ -94,3 +95,9 @@ def test_hosts_that_are_numbers_in_brackets(spark):
     assert one(spark, U.resolve(F.lit("http://[::1]:8080/x"), F.lit("https://a.example/"))) == "http://[::1]:8080/x"
     assert one(spark, U.hostname(F.lit("http://[::1]/x"))) == "[::1]"
     assert one(spark, U.is_safe(F.lit("http://[::1]/x"))) is False and one(spark, U.is_safe(F.lit("http://[2001:db8::1]/x"))) is True
+
+
+def test_numbers_of_any_length_in_references(spark):
+    cases = {"&#65;&#x42;": "AB", "&#0000000000066;": "B", "&#128512;": "\U0001f600", "&#1114112;": "\ufffd", "&#55357;": "\ufffd", "&#99999999999999999999;": "\ufffd", "&#xFFFFFFFFFFFF;": "\ufffd", "&amp;&nosuchname;&": "&&nosuchname;&"}
+    got = spark.createDataFrame(list(cases.items()), "a string, b string").select("b", T.decode_entities(F.col("a")).alias("x")).collect()
+    assert [r["x"] for r in got] == [r["b"] for r in got]
