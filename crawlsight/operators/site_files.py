@@ -5,7 +5,7 @@ A file is parsed inside its row (its lines are one array), so a site never needs
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlsight.functions import urls as U
@@ -48,12 +48,21 @@ def _with_groups(lines: Column, shared: bool = True) -> Column:
 
 
 def robots_rows(files: DataFrame) -> DataFrame:
-    """``ext_robots`` / ``win_robots_group``: one row per rule line of a group and per agent line."""
+    """``ext_robots``: one row per rule line of a group and per agent line."""
     return files.select("site", F.inline_outer(_with_groups(robots_lines(c("robots"))))).filter(c("group_no") > 0).select(
         "site", c("group_no").cast("long").alias("group_no"), "directive",
         F.when(c("directive") == "user-agent", F.lower("value")).otherwise(c("value")).alias("value"))
 
 
+def robots_groups(files: DataFrame) -> DataFrame:
+    """``win_robots_group``: the same rows by a running count over a site's lines."""
+    lines = files.select("site", F.posexplode(robots_lines(c("robots"))).alias("pos", "x")).select("site", "pos", "x.directive", "x.value")
+    w = Window.partitionBy("site").orderBy("pos")  # the lines of one file
+    opens = (c("directive") == "user-agent") & (F.coalesce(F.lag("directive").over(w), F.lit("")) != "user-agent")
+    numbered = lines.withColumn("opens", opens.cast("long")).withColumn("group_no", F.sum("opens").over(w)).filter(c("group_no") > 0)
+    return numbered.select("site", "group_no", "directive", F.when(c("directive") == "user-agent", F.lower("value")).otherwise(c("value")).alias("value"))
+
+
 def robots_sitemaps(files: DataFrame) -> DataFrame:
     """``ext_robots_sitemaps``"""
     found = F.filter(robots_lines(c("robots")), lambda x: (x["directive"] == "sitemap") & (x["value"] != ""))
@@ -109,9 +118,10 @@ def with_features(files: DataFrame) -> DataFrame:
 
 
 def audit_crawl_files(files: DataFrame) -> DataFrame:
-    """``audit_crawl_files``: robots.txt and sitemap findings per site."""
+    """``audit_crawl_files``: robots.txt and sitemap findings per site. A null status is a fetch that failed."""
     k = Checks("crawl")
     st, ok = c("robots_status"), c("ok_robots")
+    k.issue("robots-fetch", 7, st.isNull()).issue("sitemap-fetch", 10, c("sitemap_status").isNull())
     k.issue("robots-missing", 6, st == 404)
     k.issue("robots-error", 8, (st != 404) & ~st.between(200, 299))
     k.issue("robots-empty", 5, st.between(200, 299) & (trim_ws(c("robots")) == ""))
@@ -145,7 +155,8 @@ def audit_crawl_files(files: DataFrame) -> DataFrame:
     no_loc, bad = F.exists("children", lambda u: u == ""), F.exists("children", lambda u: (u != "") & ~U.is_http(u))
     k.issue("sitemap-index-empty", 9, index & (F.size("children") == 0))
     k.issue("sitemap-index-missing-loc", 8, index & no_loc).issue("sitemap-index-invalid-loc", 7, index & bad)
-    k.ok("sitemap-index-valid", index & (F.size("children") > 0) & ~no_loc & ~bad)
+    k.issue("sitemap-index-size", 8, index & (F.size("children") > 50000))
+    k.ok("sitemap-index-valid", index & F.size("children").between(1, 50000) & ~no_loc & ~bad)
     k.issue("sitemap-file-size", 7, xml & (F.octet_length("sitemap") > 50 * 1024 * 1024))
     return explode_findings(with_features(files), ["site"], k.column())
 
@@ -170,6 +181,7 @@ def audit_robots_tool(files: DataFrame) -> DataFrame:
     k = Checks("robots")
     st = c("robots_status")
     there = st != 404
+    k.issue("robots-fetch-error", 10, st.isNull())
     k.issue("robots-missing", 3, ~there, severity="low")
     k.issue("robots-error-status", 6, there & (st >= 400)).ok("robots-reachable", st < 400)
     declared = F.exists("raw", lambda x: x["directive"] == "sitemap")
@@ -192,7 +204,7 @@ def audit_sitemap_tool(files: DataFrame) -> DataFrame:
     index, known = c("sitemap").rlike("(?i)<sitemapindex"), c("sitemap").rlike("(?i)<urlset|<sitemapindex")
     n = F.regexp_count("sitemap", F.lit("(?i)<loc>[^<]+</loc>"))
     mods = F.regexp_count("sitemap", F.lit("(?i)<lastmod>"))
-    k.issue("sitemap-error-status", 12, ~up)
+    k.issue("sitemap-fetch-error", 12, c("sitemap_status").isNull()).issue("sitemap-error-status", 12, ~up)
     k.issue("sitemap-not-xml", 12, up & ~known).ok("sitemap-valid-xml", up & known)
     k.issue("sitemap-empty", 8, up & (n == 0) & ~index).ok("sitemap-url-count", up & (n > 0))
     k.issue("sitemap-no-lastmod", 2, up & ~index & (n > 0) & (mods == 0), severity="low").ok("sitemap-has-lastmod", up & (mods > 0))

@@ -41,8 +41,9 @@ register("src_fetch_log", AP + " SELECT page_id, coalesce(h_server, '') AS serve
     lambda s, sf: _pages(s, sf).select("page_id", R.header("server").alias("server"), R.header("cache-control").alias("cache_control"), "elapsed_ms"))
 register("src_page_filter", f"WITH cat AS ({G.CATALOG_PAGES}) SELECT url, status, CASE WHEN status = 200 THEN NULL ELSE 'HTTP ' || status END AS reason FROM cat")(
     lambda s, sf: G.catalog_pages(s, sf).select("url", "status", F.when(~c("status").between(200, 299), F.concat(F.lit("HTTP "), c("status").cast("string"))).alias("reason")))
-register("src_body_cap", "SELECT doc_id, length(text) > 2000 AS truncated, least(length(text), 2000) AS kept FROM documents")(
-    lambda s, sf: G.table(s, sf, "documents").select("doc_id", (F.length("text") > 2000).alias("truncated"), F.length(F.left("text", F.lit(2000))).cast("long").alias("kept")))
+BODY_CAP = 6 << 20  # bytes of a page body that are kept
+register("src_body_cap", f"SELECT page_id, strlen(html) > {BODY_CAP} AS truncated, least(strlen(html), {BODY_CAP}) AS kept FROM pages")(
+    lambda s, sf: G.given_pages(s, sf).select("page_id", (F.octet_length("html") > BODY_CAP).alias("truncated"), F.octet_length(F.substring(F.encode("html", "UTF-8"), 1, BODY_CAP)).cast("long").alias("kept")))
 register("ext_elements", AP + r""", t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<[a-z/!](?:[^''">]|"[^"]*"|''[^'']*'')*>|[^<]+|<')) AS token FROM ap)
 SELECT page_id, lower(regexp_extract(token, '(?i)^</?([a-z][a-z0-9:-]*)', 1)) AS tag, count(*) AS n, sum(length(token))::BIGINT AS n_chars FROM t GROUP BY ALL""")(
     lambda s, sf: X.tokens(_pages(s, sf)).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("token")).alias("n_chars")))
@@ -67,8 +68,8 @@ register("ext_sections")(lambda s, sf: _feat(s, sf).filter(c("n_h23") >= 2).sele
 register("ext_jsonld", f"""WITH cat AS ({G.CATALOG_PAGES}), t AS (SELECT page_id, unnest(CASE p_type WHEN 'STANDARD' THEN ['Product'] WHEN 'PROMO' THEN ['Organization', 'WebSite'] WHEN 'SMALL' THEN ['FAQPage', 'BreadcrumbList']
  WHEN 'LARGE' THEN ['NewsArticle'] WHEN 'MEDIUM' THEN ['LocalBusiness,Shop_Front'] ELSE []::VARCHAR[] END) AS types FROM cat) SELECT * FROM t""")(
     lambda s, sf: X.jsonld_nodes(_pages(s, sf)).filter(F.size("types") > 0).select("page_id", F.array_join("types", ",").alias("types")))
-register("ext_jsonld_strict", f"SELECT page_id, CASE WHEN p_type = 'ECONOMY' THEN 0 WHEN p_type = 'LARGE' AND p_size % 5 < 2 THEN 2 ELSE 1 END::BIGINT AS n_ld_blocks, (p_type = 'LARGE' AND p_size % 5 = 0)::BIGINT AS n_ld_empty, (p_type = 'LARGE' AND p_size % 5 = 1)::BIGINT AS n_ld_bad FROM ({G.CATALOG_PAGES})")(
-    lambda s, sf: _feat(s, sf).filter(c("page_id") >= 1000000000).select("page_id", "n_ld_blocks", "n_ld_empty", "n_ld_bad"))
+register("ext_jsonld_strict", f"SELECT page_id, CASE WHEN p_type = 'ECONOMY' THEN 0 WHEN p_type = 'LARGE' AND p_size % 5 < 2 THEN 2 ELSE 1 END::BIGINT AS n_ld_blocks, (p_type = 'LARGE' AND p_size % 5 = 0)::BIGINT AS n_ld_empty, (p_type = 'LARGE' AND p_size % 5 = 1)::BIGINT AS n_ld_bad FROM ({G.CATALOG_PAGES}) UNION ALL SELECT page_id, 0, 0, 0 FROM pages")(
+    lambda s, sf: _feat(s, sf).select("page_id", "n_ld_blocks", "n_ld_empty", "n_ld_bad"))
 register("ext_microdata_rdfa", OP.FEATURES + " SELECT page_id, n_scope::BIGINT AS n_itemscope, n_scope_untyped::BIGINT AS n_untyped, has_typeof, has_vocab FROM f")(
     lambda s, sf: _feat(s, sf).select("page_id", "n_itemscope", c("n_itemscope_untyped").alias("n_untyped"), "has_typeof", "has_vocab"))
 for _n in ("ext_form_fields", "join_label_inputs"):
@@ -108,8 +109,8 @@ register("gen_jsonld", """SELECT p_partkey, '{"@context":"https://schema.org","@
     lambda s, sf: G.table(s, sf, "part").select("p_partkey", GE.jsonld("Product", name=c("p_name"), brand=c("p_brand"), description=F.lit(""), price=F.when(c("p_size") % 2 == 0, c("p_size").cast("string")).otherwise("")).alias("jsonld")))
 register("gen_hreflang", """SELECT p_partkey, '<link rel="alternate" hreflang="en" href="/en/' || p_partkey || '" />' || chr(10) || '<link rel="alternate" hreflang="x-default" href="/en/' || p_partkey || '" />' AS tags FROM part""")(
     lambda s, sf: G.table(s, sf, "part").select("p_partkey", GE.hreflang(F.array(F.struct(F.lit("en").alias("lang"), F.concat(F.lit("/en/"), c("p_partkey").cast("string")).alias("url")))).alias("tags")))
-register("gen_slug", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(strip_accents(lower(substr(text, 1, 60))), '[^a-z0-9\s-]', '', 'g')), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents WHERE NOT contains(substr(text, 1, 60), chr(10))")(
-    lambda s, sf: G.table(s, sf, "documents").filter(~F.left("text", F.lit(60)).contains("\n")).select("doc_id", T.slugify(F.left("text", F.lit(60))).alias("slug")))
+register("gen_slug", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9\s-]', '', 'g')), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")(
+    lambda s, sf: G.table(s, sf, "documents").select("doc_id", T.slugify(c("text")).alias("slug")))
 register("topk_keyword_search", "SELECT doc_id, score FROM (SELECT doc_id, ((length(lower(text)) - length(replace(lower(text), 'tion', ''))) / 4 + (length(lower(text)) - length(replace(lower(text), 'heed', ''))) / 4)::BIGINT AS score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 3")(
     lambda s, sf: GE.keyword_search(G.table(s, sf, "documents"), "doc_id", "text", "tion heed of").select("doc_id", "score"))
 

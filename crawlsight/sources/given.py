@@ -229,14 +229,14 @@ UNION SELECT DISTINCT 's' || CAST(l_suppkey AS STRING) AS src, 'p' || CAST(l_par
 # Crawl files of a site per supplier: robots.txt and its status, a sitemap, llms.txt, two fetches of the home page.
 SITE_FILES = """
 SELECT s_name AS site, 'https://' || LOWER(REPLACE(s_name, '#', '')) || '.example.com' AS origin, k,
-  CASE WHEN k = 1 THEN 404 WHEN k = 2 THEN 500 ELSE 200 END AS robots_status,
+  CASE WHEN k = 1 THEN 404 WHEN k = 2 THEN 500 WHEN k = 20 THEN NULL ELSE 200 END AS robots_status,
   CASE WHEN k = 3 THEN '  ' WHEN k = 4 THEN 'just text' ELSE
     '# robots' || CHR(10) || 'User-agent: *' || CHR(10) || CASE WHEN k = 5 THEN 'Disallow: /' WHEN k = 6 THEN 'Disallow: /*' ELSE 'Disallow: /private # keep out' END || CHR(10)
     || CASE WHEN k >= 12 THEN CHR(10) || 'User-agent: GPTBot' || CHR(10) || 'User-agent: CCBot' || CHR(10) || CASE WHEN k >= 18 THEN 'Disallow: /' ELSE 'Allow: /' END || CHR(10) ELSE '' END
     || CASE WHEN k IN (7, 15) THEN 'Noindex: /x' || CHR(10) ELSE '' END
     || CASE WHEN k >= 8 THEN 'Sitemap: https://' || LOWER(REPLACE(s_name, '#', '')) || '.example.com/sitemap.xml' || CHR(10) ELSE '' END END AS robots,
   CASE WHEN k = 9 THEN 'application/json' ELSE 'text/plain; charset=utf-8' END AS robots_type,
-  CASE WHEN k = 10 THEN 503 ELSE 200 END AS sitemap_status,
+  CASE WHEN k = 10 THEN 503 WHEN k = 21 THEN NULL ELSE 200 END AS sitemap_status,
   CASE WHEN k = 11 THEN 'not xml' WHEN k = 12 THEN '<feed></feed>' WHEN k = 13 THEN '<urlset></urlset>'
     WHEN k = 14 THEN '<?xml version="1.0"?><sitemapindex><sitemap><loc>https://' || LOWER(REPLACE(s_name, '#', '')) || '.example.com/s1.xml</loc></sitemap><sitemap></sitemap><sitemap><loc>/rel.xml</loc></sitemap></sitemapindex>'
     WHEN k = 16 THEN '<urlset><url><loc>https://other.example.org/a</loc></url><url><loc>https://other.example.org/b</loc></url></urlset>'
