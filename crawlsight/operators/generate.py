@@ -126,7 +126,7 @@ def csv_lines(rows: DataFrame, columns: list[str]) -> Column:
 
 
 def markdown_lines(card: DataFrame) -> DataFrame:
-    """``sink_markdown`` / ``sink_txt``: ordered lines of a report, grouped by category."""
+    """``sink_markdown``: ordered lines of a report, grouped by category."""
     head = card.select("label", "score", F.lit(0).alias("seq"), F.lit("").alias("rule_id")).distinct().select(
         "label", "seq", "rule_id", F.concat(F.lit("## "), c("label"), F.lit(" ("), c("score").cast("string"), F.lit("/100)")).alias("line"))
     rows = card.select("label", (F.lit(1000) - c("weight")).alias("seq"), "rule_id", F.concat(
@@ -134,6 +134,16 @@ def markdown_lines(card: DataFrame) -> DataFrame:
     return head.unionByName(rows).orderBy("label", "seq", "rule_id")
 
 
+def text_lines(card: DataFrame) -> DataFrame:
+    """``sink_txt``: a line of scores per category, then each category's name and its numbered issues."""
+    order = Window.partitionBy("label").orderBy(F.desc("weight"), "rule_id")  # the rules of one category
+    scores = card.select(F.lit(0).alias("part"), "label", F.lit(0).alias("seq"), F.concat(F.rpad("label", 28, " "), F.lit(" "), F.lpad(c("score").cast("string"), 3, " "), F.lit("/100")).alias("line"))
+    names = card.select(F.lit(1).alias("part"), "label", F.lit(0).alias("seq"), F.concat(F.lit("["), c("label"), F.lit("]")).alias("line"))
+    rows = card.filter(c("rule_id").isNotNull()).withColumn("seq", F.row_number().over(order)).select(F.lit(1).alias("part"), "label", "seq", F.concat(
+        c("seq").cast("string"), F.lit(". ("), F.upper("severity"), F.lit(", OPEN) "), c("rule_id")).alias("line"))
+    return scores.distinct().unionByName(names.distinct()).unionByName(rows).orderBy("part", "label", "seq")
+
+
 def yaml_lines(card: DataFrame) -> DataFrame:
     quote = lambda v: F.concat(F.lit('"'), F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     return card.select("label", "weight", "rule_id", F.concat(

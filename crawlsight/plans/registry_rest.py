@@ -125,9 +125,11 @@ register("sink_tsv", _all(CARDS, "SELECT concat_ws(chr(9), category, rule_id, se
 register("sink_csv", _all(CARDS, "SELECT concat_ws(',', category, rule_id, severity, weight, n_affected) AS line FROM ci"))(lambda s, sf: (lambda k: k.select(GE.csv_lines(k, ["category", "rule_id", "severity", "weight", "n_affected"]).alias("line")))(_card(s, sf)))
 register("sink_json", _all(CARDS, """SELECT '{"category":"' || category || '","rule_id":"' || rule_id || '","weight":' || weight || '}' AS line FROM ci"""))(lambda s, sf: _card(s, sf).select(F.to_json(F.struct("category", "rule_id", "weight")).alias("line")))
 register("sink_yaml", _all(CARDS, """SELECT '  - id: "' || rule_id || '"' || chr(10) || '    severity: "' || severity || '"' || chr(10) || '    weight: ' || weight AS line FROM ci"""))(lambda s, sf: GE.yaml_lines(_card(s, sf)).select("line"))
-for _n in ("sink_markdown", "sink_txt"):
-    register(_n, _all(CARDS, "SELECT '- **[' || upper(severity) || ']** ' || rule_id || ' (' || n_affected || ')' AS line FROM ci UNION ALL SELECT '## ' || CASE category WHEN 'seo' THEN 'SEO' WHEN 'aeo' THEN 'AEO' WHEN 'geo' THEN 'GEO' WHEN 'speed' THEN 'Performance' WHEN 'a11y' THEN 'Accessibility' ELSE 'Conversions' END || ' (' || score || '/100)' FROM cs"))(
-        lambda s, sf: GE.markdown_lines(_card(s, sf)).select("line"))
+register("sink_markdown", _all(CARDS, "SELECT '- **[' || upper(severity) || ']** ' || rule_id || ' (' || n_affected || ')' AS line FROM ci UNION ALL SELECT '## ' || CASE category WHEN 'seo' THEN 'SEO' WHEN 'aeo' THEN 'AEO' WHEN 'geo' THEN 'GEO' WHEN 'speed' THEN 'Performance' WHEN 'a11y' THEN 'Accessibility' ELSE 'Conversions' END || ' (' || score || '/100)' FROM cs"))(
+    lambda s, sf: GE.markdown_lines(_card(s, sf)).select("line"))
+_label = "CASE category WHEN 'seo' THEN 'SEO' WHEN 'aeo' THEN 'AEO' WHEN 'geo' THEN 'GEO' WHEN 'speed' THEN 'Performance' WHEN 'a11y' THEN 'Accessibility' ELSE 'Conversions' END"
+register("sink_txt", _all(CARDS, f"SELECT rpad({_label}, 28, ' ') || ' ' || lpad(score::VARCHAR, 3, ' ') || '/100' AS line FROM cs UNION ALL SELECT '[' || {_label} || ']' FROM cs UNION ALL SELECT row_number() OVER (PARTITION BY category ORDER BY weight DESC, rule_id) || '. (' || upper(severity) || ', OPEN) ' || rule_id FROM ci"))(
+    lambda s, sf: GE.text_lines(_card(s, sf)).select("line"))
 
 # --- source files
 
