@@ -52,6 +52,9 @@ class Words:
     """A vocabulary with word ends, lower case and no white space: pieces are what white space separates."""
 
     simple = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{L1}]+|[{N1}]|[^{SPACE}{L1}{N1}]+")
+    #: What stands before every piece but a text's first.
+    between = ""
+    remembered = REMEMBERED
 
     def __init__(self, name: str):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
@@ -74,7 +77,10 @@ class Words:
 
 
 class Bytes:
-    """A byte-level vocabulary that keeps white space: pieces start with the space before a word."""
+    """A byte-level vocabulary that keeps white space: every piece but the first starts with the space before it."""
+
+    between = " "
+    remembered = 2 * REMEMBERED  # pieces are words with their line feeds, of which there are more
 
     simple = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{L1}]+| ?[{N1}]+| ?[^{SPACE}{L1}{N1}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
@@ -83,8 +89,7 @@ class Bytes:
 
     def pieces(self, text: str) -> list[str]:
         even = not ("  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or UNEVEN.search(text))
-        first, *rest = text.split(" ") if even else BETWEEN.split(text)
-        return [first, *[" " + p for p in rest]]
+        return text.split(" ") if even else BETWEEN.split(text)
 
     def is_simple(self, piece: str) -> bool:
         return LATIN1(piece) is not None and "<|" not in piece
@@ -110,14 +115,15 @@ class Encoder:
         self.by_word[word] = ids
         return ids
 
+    def ids(self, piece: str) -> bytes:
+        if self.split.is_simple(piece):
+            get = self.by_word.get
+            return b"".join([get(w) or self.word(w) for w in self.split.words(piece)])
+        return array("I", self.split.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
     def piece(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            if self.split.is_simple(piece):
-                get = self.by_word.get
-                ids = b"".join([get(w) or self.word(w) for w in self.split.words(piece)])
-            else:
-                ids = array("I", self.split.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        """Ids of a piece inside a text, remembered without what stands before it."""
+        ids = self.older.get(piece) or self.ids(self.split.between + piece)
         self.by_piece[piece] = ids
         return ids
 
@@ -125,12 +131,16 @@ class Encoder:
         """Ids of the whole text; null is empty."""
         if not text:
             return b""
-        if len(self.by_piece) > REMEMBERED:
+        if len(self.by_piece) > self.split.remembered:
             self.older, self.by_piece = self.by_piece, {}
         if len(self.by_word) > REMEMBERED:
             self.by_word = {}
         get, new = self.by_piece.get, self.piece
-        return b"".join([get(p) or new(p) for p in self.split.pieces(text)])
+        pieces = self.split.pieces(text)
+        ids = [get(p) or new(p) for p in pieces]
+        if self.split.between and pieces:
+            ids[0] = self.ids(pieces[0])
+        return b"".join(ids)
 
 
 _encoders: dict[str, Encoder] = {}
