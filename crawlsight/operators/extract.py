@@ -501,6 +501,16 @@ def headings(pages: DataFrame) -> DataFrame:
     )
 
 
+def unlabelled_inputs(pages: DataFrame) -> DataFrame:
+    """``join_label_inputs``: fields outside a label that no label of their page names, one row each."""
+    p = parsed_pages(pages).select("page_id", "inputs_outside_label", "label_for")
+    tag = F.col("tag")
+    fields = p.select("page_id", F.posexplode("inputs_outside_label").alias("pos", "tag")).filter(
+        ~F.lower(M.attr(tag, "type", False)).isin("hidden", "submit", "button") & (M.attr(tag, "aria-label", False) == "") & (M.attr(tag, "aria-labelledby", False) == ""))
+    named = p.select("page_id", F.explode("label_for").alias("id")).filter("id <> ''").distinct()
+    return fields.select("page_id", "pos", M.attr(tag, "id", False).alias("id"), M.attr(tag, "name", False).alias("name")).join(named, ["page_id", "id"], "left_anti")
+
+
 def jsonld_nodes(pages: DataFrame) -> DataFrame:
     """``ext_jsonld``: typed JSON-LD nodes with @graph flattened, one row per node."""
     f = page_features(pages)

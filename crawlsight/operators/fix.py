@@ -65,8 +65,13 @@ def bank(values: DataFrame) -> DataFrame:
     return values.groupBy("kind", "category").agg(F.max_by("value", "seq").alias("value"))
 
 
+def banked_values(targets: DataFrame, stored: DataFrame) -> DataFrame:
+    """``join_fix_bank``: targets with the bank's value for their kind and category, where it has one."""
+    return targets.join(stored, ["kind", "category"]).select("target_id", "kind", "category", "value")
+
+
 def apply_values(targets: DataFrame, values: DataFrame, stored: DataFrame) -> DataFrame:
-    """``audit_fix_apply`` / ``join_fix_bank``: a supplied value, else the bank's, else skipped."""
+    """``audit_fix_apply``: a supplied value, else the bank's, else skipped."""
     j = targets.join(values.select("target_id", c("value").alias("own"), "confidence"), "target_id", "left").join(
         stored.select("kind", "category", c("value").alias("banked")), ["kind", "category"], "left")
     status = (

@@ -72,9 +72,10 @@ register("ext_jsonld_strict", f"SELECT page_id, CASE WHEN p_type = 'ECONOMY' THE
     lambda s, sf: _feat(s, sf).select("page_id", "n_ld_blocks", "n_ld_empty", "n_ld_bad"))
 register("ext_microdata_rdfa", OP.FEATURES + " SELECT page_id, n_scope::BIGINT AS n_itemscope, n_scope_untyped::BIGINT AS n_untyped, has_typeof, has_vocab FROM f")(
     lambda s, sf: _feat(s, sf).select("page_id", "n_itemscope", c("n_itemscope_untyped").alias("n_untyped"), "has_typeof", "has_vocab"))
-for _n in ("ext_form_fields", "join_label_inputs"):
-    register(_n, OP.FEATURES + " SELECT page_id, n_inputs::BIGINT AS n_inputs, n_unlabelled::BIGINT AS n_unlabelled, n_fields::BIGINT AS n_form_fields FROM f")(
-        lambda s, sf: _feat(s, sf).select("page_id", "n_inputs", "n_unlabelled", "n_form_fields"))
+register("ext_form_fields", OP.FEATURES + " SELECT page_id, n_inputs::BIGINT AS n_inputs, n_unlabelled::BIGINT AS n_unlabelled, n_fields::BIGINT AS n_form_fields FROM f")(
+    lambda s, sf: _feat(s, sf).select("page_id", "n_inputs", "n_unlabelled", "n_form_fields"))
+register("join_label_inputs", OP.FEATURES + " SELECT page_id, n_unlabelled::BIGINT AS n FROM f WHERE n_unlabelled > 0")(
+    lambda s, sf: X.unlabelled_inputs(_pages(s, sf)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n")))
 register("set_missing_props", f"SELECT page_id, array_to_string(list_filter([CASE WHEN p_size % 2 <> 0 THEN 'author' END, CASE WHEN p_size % 3 <> 0 THEN 'datePublished' END], lambda x: x IS NOT NULL), ',') AS missing FROM ({G.CATALOG_PAGES}) WHERE p_type = 'LARGE'")(
     lambda s, sf: X.jsonld_nodes(_pages(s, sf)).filter(F.array_contains("types", "NewsArticle")).select("page_id", F.array_join(R.missing_props(c("node"), R.REQUIRED["Article"]), ",").alias("missing")))
 register("agg_sentence_stats", f"""WITH t AS (SELECT doc_id, {OP.collapse('text')} AS x FROM documents), q AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(x, '[^.!?]+[.!?]+'), lambda z: {OP.words('trim(z)')}), lambda n: n >= 4) AS ns FROM t)
@@ -191,9 +192,10 @@ register("fix_repaired_pages")(lambda s, sf: (lambda p: FX.repaired(X.page_featu
 BANK = "SELECT p_type AS kind, p_brand AS category, arg_max(p_name, p_partkey) AS value FROM part WHERE p_size % 10 = 0 GROUP BY 1, 2"
 _parts = lambda s, sf: G.table(s, sf, "part").select(c("p_partkey").alias("target_id"), c("p_type").alias("kind"), c("p_brand").alias("category"), c("p_name").alias("value"), c("p_partkey").alias("seq"), F.when(c("p_size") % 2 == 0, "low").otherwise("high").alias("confidence"), "p_size")
 register("agg_fix_bank_update", BANK)(lambda s, sf: FX.bank(_parts(s, sf).filter(c("p_size") % 10 == 0)))
-for _n in ("audit_fix_apply", "join_fix_bank"):
-    register(_n, f"WITH b AS ({BANK}) SELECT p_partkey AS target_id, CASE WHEN p_size % 3 = 0 AND p_size % 2 = 0 THEN 'needs-review' WHEN p_size % 3 = 0 THEN 'fixed' WHEN b.value IS NOT NULL THEN 'duplicated' ELSE 'skipped' END AS status, CASE WHEN p_size % 3 = 0 THEN p_name ELSE b.value END AS value FROM part LEFT JOIN b ON kind = p_type AND category = p_brand")(
-        lambda s, sf: (lambda p: FX.apply_values(p.select("target_id", "kind", "category"), p.filter(c("p_size") % 3 == 0), FX.bank(p.filter(c("p_size") % 10 == 0))))(_parts(s, sf)))
+register("join_fix_bank", f"WITH b AS ({BANK}) SELECT p_partkey AS target_id, kind, category, value FROM part JOIN b ON kind = p_type AND category = p_brand")(
+    lambda s, sf: (lambda p: FX.banked_values(p.select("target_id", "kind", "category"), FX.bank(p.filter(c("p_size") % 10 == 0))))(_parts(s, sf)))
+register("audit_fix_apply", f"WITH b AS ({BANK}) SELECT p_partkey AS target_id, CASE WHEN p_size % 3 = 0 AND p_size % 2 = 0 THEN 'needs-review' WHEN p_size % 3 = 0 THEN 'fixed' WHEN b.value IS NOT NULL THEN 'duplicated' ELSE 'skipped' END AS status, CASE WHEN p_size % 3 = 0 THEN p_name ELSE b.value END AS value FROM part LEFT JOIN b ON kind = p_type AND category = p_brand")(
+    lambda s, sf: (lambda p: FX.apply_values(p.select("target_id", "kind", "category"), p.filter(c("p_size") % 3 == 0), FX.bank(p.filter(c("p_size") % 10 == 0))))(_parts(s, sf)))
 
 # --- custom rules
 
