@@ -29,9 +29,9 @@ from crawlsight.llm.common import LOWER_AZ, bucketed, stored
 
 K = 5
 #: Tokens in a batch: what a task holds at once, beside one text.
-BATCH = 2_500_000
+BATCH = 1_600_000
 #: Distinct words or pairs that a partition of a table answers for, at about 100 bytes each while it works.
-PARTITION = 2_000_000
+PARTITION = 1_200_000
 #: The most frequent words of a partition that are looked at when contexts are split. Splitting changes no result.
 TOP = 64
 END = xxhash.xxh64_intdigest(b"\n")  # no word has a line feed
