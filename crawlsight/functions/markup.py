@@ -138,6 +138,7 @@ def without(html: Column, name: str) -> Column:
 
     def cut(page: Column) -> Column:
         rounds = let(nesting(page, name), lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")))
-        return F.aggregate(rounds, page, lambda a, _: F.regexp_replace(a, innermost, ""))
+        shorter = F.aggregate(rounds, page, lambda a, _: F.regexp_replace(a, innermost, ""))
+        return F.when(F.lower(page).contains("<" + name), shorter).otherwise(page)
 
-    return F.when(F.lower(html).contains("<" + name), let(html, cut)).otherwise(html)
+    return let(html, cut)  # the page stands in it once, so removals may follow each other
