@@ -99,5 +99,11 @@ def prefix_sums(placed: DataFrame, value: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame, name: str = "row_no") -> DataFrame:
-    """A number for each row of a table in files: its split and its place there, the same in every scan of a session."""
+    """A number for each row: its split and its place there. Another scan may split the files otherwise (splits follow
+    the live executors' cores), so what reads the numbers twice reads them from a stored table."""
     return docs.withColumn(name, F.monotonically_increasing_id())
+
+
+def with_texts(rows: DataFrame, names: list[str]) -> DataFrame:
+    """row_no, doc_id, text of rows whose columns ``names`` are called c0, c1 and so on."""
+    return rows.select("row_no", *[F.col(f"c{names.index(c)}").alias(c) for c in ("doc_id", "text")])

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlsight.llm.common import LOWER, UPPER, numbered, stored
+from crawlsight.llm.common import LOWER, UPPER, numbered, stored, with_texts
 
 WINDOW = 10
 #: Rows broadcast at once: windows (about 200 bytes each) or words. A larger benchmark is met block by block.
@@ -60,13 +60,13 @@ def anchored(windows: DataFrame, docs: DataFrame) -> DataFrame:
     return known.filter(F.col("found") == F.size("win")).select("item_id", "win", "rarest.offset", "rarest.term")
 
 
-def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
+def postings(numbered_docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
     """The index: row_no, doc_id, n_words, term, at (from 1), around (words from ``at - reach`` on), first (its place).
 
     Every document has one more posting with the empty term at 0, so that documents without postings are kept too.
     ``terms`` is one block of words.
     """
-    rows = numbered(docs.select("doc_id", "text")).select("row_no", "doc_id", words().alias("w"))
+    rows = numbered_docs.select("row_no", "doc_id", words().alias("w"))
     tokens = rows.select("row_no", "doc_id", "w", F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("at", "term"))
     first = F.greatest(F.lit(1), F.col("at") - reach)
     around = F.slice("w", first, F.col("at") + reach - first + 1)
@@ -85,25 +85,37 @@ def phrase_at(slop: int = 0) -> tuple[Column, Column]:
     return exact, near
 
 
+def looked_up(docs: DataFrame, items: DataFrame, size: int) -> list[DataFrame]:
+    """The windows of ``items`` that may occur, with the word they are looked up by, in blocks."""
+    windows = stored(item_windows(items, size), "benchmark-windows")
+    return blocks(stored(anchored(windows, docs), "benchmark-anchors"), "win")
+
+
 def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 0) -> DataFrame:
     """row_no, doc_id, n_words of every document, and start, end (words, from 1), item_id, exact of each occurrence.
 
     Documents without an occurrence have one row with nulls there. With ``slop`` above 0, occurrences in which all
     words of a window stand within so many places of their own count too, with exact false.
     """
-    windows = stored(item_windows(items, size), "benchmark-windows")
-    looked_up = stored(anchored(windows, docs), "benchmark-anchors")
+    parts = looked_up(docs, items, size)
+    rows = numbered(docs.select("doc_id", "text"))
+    # each block scans the documents
+    return row_matches(stored(rows, "numbered-documents") if len(parts) > 1 else rows, parts, size, slop)
+
+
+def row_matches(rows: DataFrame, windows: list[DataFrame], size: int, slop: int = 0) -> DataFrame:
+    """:func:`matches` of rows that have their row_no, in a stored table if there are several blocks of ``windows``."""
     exact, near = phrase_at(slop)
     parts = []
-    for i, block in enumerate(blocks(looked_up, "win")):
+    for i, block in enumerate(windows):
         # every block finds the hits; the rows for the documents themselves come from the first
         always = block.sparkSession.createDataFrame([("",)] if i == 0 else [], "term string")
         terms = block.select("term").distinct().unionByName(always)
-        index = stored(postings(docs, terms, size - 1 + slop), "training-postings")
+        index = stored(postings(rows, terms, size - 1 + slop), "training-postings")
         hit = index.filter("term != ''").join(F.broadcast(block), "term").filter(near if slop else exact)
         start = F.col("at") - F.col("offset")
         own = index.filter("term = ''").select("row_no", "doc_id", "n_words", *[F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("end", "int"))])
-        own = own.withColumns({"item_id": F.lit(None).cast(items.schema["item_id"].dataType), "exact": F.lit(None).cast("boolean")})
+        own = own.withColumns({"item_id": F.lit(None).cast(block.schema["item_id"].dataType), "exact": F.lit(None).cast("boolean")})
         parts += [hit.select("row_no", "doc_id", "n_words", start.alias("start"), (start + F.size("win") - 1).alias("end"), "item_id", exact.alias("exact")), own]
     return reduce(DataFrame.unionByName, parts)
 
@@ -115,7 +127,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     occurrence but is not listed. Repeated rows are reported one by one. Without items nothing is hit. Other columns of
     both tables are ignored.
     """
-    found = matches(docs, items, size)
+    return by_row(matches(docs, items, size))
+
+
+def by_row(found: DataFrame) -> DataFrame:
+    """The occurrences of :func:`matches`, one row per document."""
     spans = F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "end")))
     by_row = found.groupBy("row_no", "doc_id").agg(
         F.max("n_words").cast("long").alias("n_words"), spans.alias("spans"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items")
@@ -134,8 +150,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 def clean_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no window of ``items`` occurs."""
     names = docs.columns
-    rows = numbered(docs.toDF(*[f"c{i}" for i in range(len(names))]))
-    hit = stored(contamination(docs, items, size).filter("n_hit > 0").select("row_no"), "contaminated")
+    rows = stored(numbered(docs.toDF(*[f"c{i}" for i in range(len(names))])), "numbered-documents")
+    texts = with_texts(rows, names)
+    found = by_row(row_matches(texts, looked_up(texts, items, size), size))
+    hit = stored(found.filter("n_hit > 0").select("row_no"), "contaminated")
     return rows.join(hit, "row_no", "left_anti").drop("row_no").toDF(*names)
 
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlsight.llm.common import LOWER_AZ, bucketed, numbered, stored
+from crawlsight.llm.common import LOWER_AZ, bucketed, numbered, stored, with_texts
 
 #: Bytes of text in a batch.
 BATCH = 8 << 20
@@ -312,9 +312,13 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity()) -> DataFram
     row_no of the classes that they do. Documents without words have an empty set and are linked with nothing, not
     with each other. Repeated rows and equal sets are linked. Other columns are ignored; no rows give no rows.
     """
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = bucketed(batches(numbered(docs.select("doc_id", "text"))), "jaccard-batches", buckets)
+    return near_rows(numbered(docs.select("doc_id", "text")), sim)
+
+
+def near_rows(docs: DataFrame, sim: Similarity) -> DataFrame:
+    """:func:`near_duplicates` of rows that have their row_no; it is read once."""
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = bucketed(batches(docs), "jaccard-batches", buckets)
     members = stored(classes_of(rows, sim), "jaccard-members")
     filled = members.filter("key is not null")
     classes = stored(filled.groupBy("key").agg(F.min(F.struct("row_no", "batch", "place")).alias("f"), F.min("doc_id").alias("least_id")), "jaccard-classes")
@@ -340,8 +344,8 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity()) -> DataFram
 def one_of_each(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     """The rows of ``docs``, with all their columns, that come first in their group: smallest doc_id, then first row."""
     names = docs.columns
-    found = stored(near_duplicates(docs, sim), "near-duplicates")
+    rows = stored(numbered(docs.toDF(*[f"c{i}" for i in range(len(names))])), "numbered-documents")
+    found = stored(near_rows(with_texts(rows, names), sim), "near-duplicates")
     stay = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")).alias("m")).select("component", F.col("m.row_no").alias("stays"))
     gone = stored(found.join(stay, "component").filter("row_no <> stays").select("row_no"), "duplicates")
-    rows = numbered(docs.toDF(*[f"c{i}" for i in range(len(names))]))
     return rows.join(gone, "row_no", "left_anti").drop("row_no").toDF(*names)

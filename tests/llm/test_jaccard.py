@@ -7,7 +7,7 @@ import re
 import pytest
 
 from crawlsight.llm import jaccard
-from tests.llm.helpers import bag, empty, given, odd
+from tests.llm.helpers import bag, empty, given, in_files, odd, resplit
 
 
 def plain_sets(rows, words):
@@ -105,3 +105,9 @@ def test_keys_survive_their_planes():
 
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << jaccard.KEY_BITS, 1000).astype(np.uint64))
     assert (jaccard.from_planes(jaccard.planes(keys)) == keys).all()
+
+
+def test_the_right_rows_stay_when_a_later_scan_splits_the_files_otherwise(spark, tmp_path, monkeypatch):
+    docs = in_files(spark, tmp_path, [(i, f"text {i // 2} of five words") for i in range(60)])
+    with resplit(spark, monkeypatch, jaccard, "near-duplicates"):
+        assert bag(r["doc_id"] for r in jaccard.one_of_each(docs).collect()) == bag(range(0, 60, 2))

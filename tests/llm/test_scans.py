@@ -12,7 +12,7 @@ import duckdb
 import pytest
 
 from crawlsight.llm import decontaminate, licenses, quality, queries, secrets, shards
-from tests.llm.helpers import bag, empty, given, odd
+from tests.llm.helpers import bag, empty, given, in_files, odd, resplit
 
 SF = "/root/testdata/sf0.001"
 
@@ -155,6 +155,19 @@ def test_contamination_of_odd_rows(spark, monkeypatch, block):
     assert bag((r["doc_id"], r["text"]) for r in clean.collect()) == bag(want)
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK, 2])
+def test_rows_keep_their_numbers_when_a_later_scan_splits_the_files_otherwise(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (block,))
+    leak = "a b c d e f g h i j k l m n"
+    docs = in_files(spark, tmp_path, [(i, f"{i} {leak}" if i % 3 == 0 else f"{i} others") for i in range(60)])
+    items = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    with resplit(spark, monkeypatch, decontaminate, "training-postings"):
+        assert bag(r["doc_id"] for r in decontaminate.clean_documents(docs, items).collect()) == bag(i for i in range(60) if i % 3)
+    with resplit(spark, monkeypatch, decontaminate, "training-postings"):
+        got = decontaminate.contamination(docs, items).collect()
+        assert bag((r["doc_id"], r["n_hit"]) for r in got) == bag((i, 14 if i % 3 == 0 else 0) for i in range(60))
+
+
 def test_contamination_without_rows(spark):
     none, items = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
     assert {r["n_hit"] for r in decontaminate.contamination(odd(spark), none).collect()} == {0}
