@@ -103,6 +103,44 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-4",)),
     ("CC-BY-4.0", ("cc-by-4-work",)),
 )
+#: Sentences and rules that the SQL of :func:`oracle` does not have.
+LATER_SENTENCES = {
+    "apache-copy-at": "You may obtain a copy of the License at",
+    "apache-url": "http://www.apache.org/licenses/LICENSE-2.0",
+    # lines of a comment are not empty, so the address has no end
+    "apache-copy-unless": SENTENCES["apache-copy"] + " " + SENTENCES["apache-unless"],
+    "mpl-copy-https": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "name-gpl2": "GPL-2.0",
+    "name-gpl2-only": "GPL-2.0-only",
+    "name-gpl2-later": "GPL-2.0-or-later",
+    "name-gpl3-plain": "GPL-3.0",
+    "name-gpl3-only": "GPL-3.0-only",
+    **{f"name-lgpl-{v}{e}": f"LGPL-{v}{e}" for v in ("2.0", "2.1", "3.0") for e in ("", "-only", "-or-later")},
+    "name-bsd2": "BSD-2-Clause",
+    "name-unlicense": "Unlicense",
+    "name-cc-by-nc-4": "CC-BY-NC-4.0",
+    "name-cc-by-sa-4": "CC-BY-SA-4.0",
+    "name-cc-by-4": "CC-BY-4.0",
+}
+LATER_RULES = (
+    ("Apache-2.0", ("apache-licensed-the", "apache-compliance", "apache-copy-at", "apache-url", "apache-unless", "apache-see")),
+    ("Apache-2.0", ("apache-compliance", "apache-copy-unless", "apache-see")),
+    ("MPL-2.0", ("mpl-subject", "mpl-copy-https")),
+    ("GPL-2.0", ("spdx", "name-gpl2")),
+    ("GPL-2.0", ("spdx", "name-gpl2-only")),
+    ("GPL-2.0-or-later", ("spdx", "name-gpl2-later")),
+    ("GPL-3.0", ("spdx", "name-gpl3-plain")),
+    ("GPL-3.0", ("spdx", "name-gpl3-only")),
+    *(("LGPL", ("spdx", name)) for name in LATER_SENTENCES if name.startswith("name-lgpl")),
+    ("BSD-2-Clause", ("spdx", "name-bsd2")),
+    ("Unlicense", ("spdx", "name-unlicense")),
+    ("CC-BY-NC-4.0", ("spdx", "name-cc-by-nc-4")),
+    ("CC-BY-SA-4.0", ("spdx", "name-cc-by-sa-4")),
+    ("CC-BY-4.0", ("spdx", "name-cc-by-4")),
+)
+ORDER = list(dict.fromkeys(licence for licence, _ in RULES))
+#: The rules of a licence together, in the order of the answer.
+ALL_RULES = sorted((*RULES, *LATER_RULES), key=lambda r: ORDER.index(r[0]))
 #: Every rule has a sentence with one of these in it, within a word: a text without all of them has no licence.
 ANCHORS = ("licens", "permission", "redistribut", "unencumbered")
 ENDS = r"[.;:!?]+(?=\s)|\n\s*\n"
@@ -115,14 +153,17 @@ def normalised(sentence: str) -> str:
 
 NUMBERS = {name: i for i, name in enumerate(SENTENCES)}
 BY_TEXT = {normalised(s): NUMBERS[name] for name, s in SENTENCES.items()}
+ALL_SENTENCES = SENTENCES | LATER_SENTENCES
+ALL_NUMBERS = {name: i for i, name in enumerate(ALL_SENTENCES)}
+ALL_BY_TEXT = {normalised(s): ALL_NUMBERS[name] for name, s in ALL_SENTENCES.items()}
 
 
 def identifiers(low: Column, ends: str) -> Column:
     """Numbers of the known sentences of a lower-cased text, in its order."""
     plain = F.regexp_replace(F.regexp_replace(low, ends, " \x01 "), "[^a-z0-9\x01]+", " ")
     sentences = F.transform(F.split(plain, "\x01"), lambda s: F.trim(s))
-    known = F.filter(sentences, lambda s: s.isin(*BY_TEXT))
-    numbers = F.create_map(*[F.lit(x) for pair in BY_TEXT.items() for x in pair])
+    known = F.filter(sentences, lambda s: s.isin(*ALL_BY_TEXT))
+    numbers = F.create_map(*[F.lit(x) for pair in ALL_BY_TEXT.items() for x in pair])
     return F.transform(known, lambda s: F.element_at(numbers, s))
 
 
@@ -137,17 +178,18 @@ def licences(docs: DataFrame) -> DataFrame:
     those whose rule's identifiers stand one after the other among them, each once, in the order of the rules. A null or
     empty text has none. Rows are independent of each other; other columns are ignored.
     """
-    low = F.translate("text", UPPER, LOWER)
+    # the normalised sentence has no plus sign
+    low = F.regexp_replace(F.translate("text", UPPER, LOWER), r"(gpl-[0-9.]+)\+", "$1-or-later")
     maybe = reduce(lambda a, b: a | b, [F.lower("text").contains(a) for a in ANCHORS])
     none = F.array().cast("array<int>")
     found = docs.select("doc_id", F.when(maybe, F.struct(identifiers(low, ENDS).alias("run"), identifiers(low, LINE_ENDS).alias("lines"))).alias("ids"))
     ids = found.select("doc_id", *[F.coalesce(F.col("ids")[k], none).alias(k) for k in ("run", "lines")])
     matched = []
-    for licence, sequence in RULES:
-        wanted = "," + ",".join(str(NUMBERS[s]) for s in sequence) + ","
+    for licence, sequence in ALL_RULES:
+        wanted = "," + ",".join(str(ALL_NUMBERS[s]) for s in sequence) + ","
         matched.append(F.when(line(F.col("run")).contains(wanted) | line(F.col("lines")).contains(wanted), F.lit(licence)))
     longer = F.when(F.size("lines") > F.size("run"), F.col("lines")).otherwise(F.col("run"))
-    names = F.array(*map(F.lit, SENTENCES))
+    names = F.array(*map(F.lit, ALL_SENTENCES))
     return ids.select(
         "doc_id",
         F.size(longer).cast("long").alias("n_known"),
@@ -157,7 +199,7 @@ def licences(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same rows in DuckDB SQL."""
+    """The same rows in DuckDB SQL, for texts without LATER_SENTENCES."""
     known = ", ".join(f"('{text}', {i}, '{list(SENTENCES)[i]}')" for text, i in BY_TEXT.items())
     rules = ", ".join(f"({i}, '{licence}', ',{','.join(str(NUMBERS[s]) for s in sequence)},')" for i, (licence, sequence) in enumerate(RULES))
     maybe = " OR ".join(f"contains(lower(text), '{a}')" for a in ANCHORS)

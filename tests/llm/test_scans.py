@@ -100,6 +100,32 @@ def test_licences(spark):
     assert licenses.licences(odd(spark)).count() == 12 and licenses.licences(empty(spark)).collect() == []
 
 
+APACHE = """Copyright [yyyy] [name of copyright owner]
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n"
+
+
+def test_licences_in_their_published_layout(spark):
+    spdx = {"GPL-2.0": "GPL-2.0", "GPL-2.0-only": "GPL-2.0", "GPL-2.0+": "GPL-2.0-or-later", "GPL-2.0-or-later": "GPL-2.0-or-later", "GPL-3.0-only": "GPL-3.0", "GPL-3.0+": "GPL-3.0-or-later"}
+    spdx |= {"LGPL-2.1-or-later": "LGPL", "LGPL-2.1+": "LGPL"} | {x: x for x in ("BSD-2-Clause", "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")}
+    want = [(APACHE, "Apache-2.0"), ("".join(f" * {x}\n" for x in APACHE.splitlines()), "Apache-2.0"), (MPL, "MPL-2.0")]
+    want += [(f"// SPDX-License-Identifier: {k}\ncode", v) for k, v in spdx.items()]
+    got = licenses.licences(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")).collect()
+    assert [r["licences"] for r in sorted(got)] == [v for _, v in want]
+
+
 def test_every_rule_has_an_anchor_and_no_python():
     for _, sequence in licenses.RULES:
         assert any(a in licenses.SENTENCES[s].lower() for s in sequence for a in licenses.ANCHORS)
