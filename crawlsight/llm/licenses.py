@@ -174,6 +174,7 @@ def line(ids: Column) -> Column:
 def licences(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_known, sentences, licences.
 
+    A text without a word of ANCHORS has n_known 0 and no sentences: no rule can match there. For the others,
     sentences names the known sentences in the order of the text (comma-joined), n_known their number. licences are
     those whose rule's identifiers stand one after the other among them, each once, in the order of the rules. A null or
     empty text has none. Rows are independent of each other; other columns are ignored.
