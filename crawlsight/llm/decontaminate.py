@@ -3,8 +3,8 @@
 A benchmark item is cut into windows of consecutive words. A window can only occur where its rarest word does, so words
 are counted over all documents first, and each window is looked up by the word of it that occurs least. The index holds
 the postings of these words: document, position and the words around it. It is split by documents, as search engines
-split theirs: a document's postings lie together, so the lists of a window's words, each moved by the word's offset, are
-intersected inside the posting's neighbourhood and nothing is shuffled for it.
+split theirs: a document's postings lie together, so a window is compared with the words around the posting and
+nothing is shuffled for it. Lists of a window's other words are neither kept nor intersected.
 
 The benchmark is taken in blocks of a fixed number of windows; each block is broadcast and met by all documents once.
 Everything is DataFrame functions.
