@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlsight.llm import decontaminate, jaccard, katz, licenses, packing, quality, secrets, shards, token_counts, token_files
+from crawlsight.llm import decontaminate, interactions, jaccard, katz, licenses, packing, quality, secrets, shards, token_counts, token_files, toxicity, tries
 from crawlsight.llm.common import documents, scratch
 
 QUERIES = {}
@@ -122,3 +122,28 @@ def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.near_duplicates(documents(spark, sf_dir), jaccard.Similarity(words=4, num=85))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.filter_interactions(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+ORACLES["op12_filter_interactions"] = interactions.ORACLE
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLES["op13_prefix_trie"] = tries.ORACLE
