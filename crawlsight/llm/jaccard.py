@@ -4,10 +4,12 @@
 2. The number of classes that hold an n-gram is counted for all n-grams. All sets are put in one order, rare first.
 3. Two sets that are similar enough share an n-gram among the first few of both (prefix filter). Only n-grams that some
    other class has too make a posting, so most documents make none.
-4. Postings of one n-gram meet. First each class is paired with one other only, the one that most of its prefix leads
-   to, and verified; that joins the large groups without all their pairs. Then pairs across groups follow, of which one
-   side is outside the n-gram's largest group. Lengths, positions and a bitmap of the whole set (a bound on what the
-   two suffixes can still share) are tested in the join; what passes is verified once per pair, exactly.
+4. Postings of one n-gram meet. First each class is paired with one other only and verified: with the hub of an n-gram's
+   classes, the one whose n-grams are shared the most. Among copies that were edited each in its own way, the least
+   edited one is similar to all that are similar to any, so large groups join without their pairs. Then pairs across
+   groups follow, of which one side is outside the n-gram's largest group. Lengths, positions and a bitmap of the whole
+   set (a bound on what the two suffixes can still share) are tested in the join; what passes is verified once per pair,
+   exactly. N-grams that no other class has lie before a posting but cannot be common, so positions do not count them.
 
 The counts do not come by a join on n-grams. A batch of documents asks each partition of the n-gram table once, with its
 distinct n-grams as a sorted array, and gets an array of counts back; batches are stored bucketed by their number, so
@@ -84,10 +86,10 @@ class Similarity:
         return self.den * common >= self.num * (a + b - common)
 
     def may_link(self, a: str, b: str) -> Column:
-        """Length, positional and suffix filter on two postings of one shingle: columns n, at and bits."""
+        """Length, positional and suffix filter on two postings of one shingle: columns n, at, alone and bits."""
         na, nb, ia, ib = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.at"), F.col(f"{b}.at")
         length = (self.num * na <= self.den * nb) & (self.num * nb <= self.den * na)
-        most = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
+        most = F.least(ia - F.col(f"{a}.alone"), ib - F.col(f"{b}.alone")) + 1 + F.least(na - ia - 1, nb - ib - 1)
         position = (self.num + self.den) * most >= self.num * (na + nb)
         differ = sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(1, BITMAP)), F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
         suffix = (self.num + self.den) * differ <= (self.den - self.num) * (na + nb)
@@ -216,8 +218,9 @@ def answer(asked: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame, sim: Similarity) -> DataFrame:
-    """Classes whose prefix has an n-gram that another class has too: row_no, n, elements (the set), b0.. (its bitmap),
-    prefix (shingle and at, its place in the rare-first order)."""
+    """Classes whose prefix has an n-gram that another class has too: row_no, n, alone (elements that no other class
+    has), hub (how much the others are shared, on the mean), elements (the set), b0.. (its bitmap), prefix (shingle and
+    at, its place in the rare-first order)."""
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
@@ -229,19 +232,20 @@ def candidates(rows: DataFrame, sim: Similarity) -> DataFrame:
                 for row_no, s in own:
                     code = codes[at : at + len(s)]
                     at += len(s)
-                    length = sim.prefix(len(s))
-                    if (code == 1).sum() >= length:
+                    length, alone = sim.prefix(len(s)), int((code == 1).sum())
+                    if alone >= length:
                         continue
                     order = np.lexsort((s, code))[:length]
                     shared = np.flatnonzero(code[order] > 1)
                     prefix = [{"shingle": int(x), "at": int(i)} for x, i in zip(s[order[shared]].view(np.int64), shared, strict=True)]
-                    out.append((row_no, len(s), s.tobytes(), *bitmap(s).tolist(), prefix))
-                kinds = (pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * BITMAP, pa.list_(pa.struct([("shingle", pa.int64()), ("at", pa.int64())])))
-                names = ("row_no", "n", "elements", *[f"b{i}" for i in range(BITMAP)], "prefix")
+                    hub = (int(code.sum()) - alone) / len(s)
+                    out.append((row_no, len(s), alone, hub, s.tobytes(), *bitmap(s).tolist(), prefix))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), *[pa.int64()] * BITMAP, pa.list_(pa.struct([("shingle", pa.int64()), ("at", pa.int64())])))
+                names = ("row_no", "n", "alone", "hub", "elements", *[f"b{i}" for i in range(BITMAP)], "prefix")
                 yield pa.RecordBatch.from_pydict({c: pa.array([x[j] for x in out], k) for j, (c, k) in enumerate(zip(names, kinds, strict=True))})
 
     bits = ", ".join(f"b{i} long" for i in range(BITMAP))
-    return rows.mapInArrow(run, f"row_no long, n long, elements binary, {bits}, prefix array<struct<shingle: long, at: long>>")
+    return rows.mapInArrow(run, f"row_no long, n long, alone long, hub double, elements binary, {bits}, prefix array<struct<shingle: long, at: long>>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
@@ -279,17 +283,31 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def postings_of(sets: DataFrame) -> DataFrame:
+    """A row per class and n-gram of its prefix that others have too, with what :meth:`Similarity.may_link` asks for."""
+    own = ["row_no", "n", "alone", "hub", *[f"b{i}" for i in range(BITMAP)]]
+    return stored(sets.select(*own, F.explode("prefix").alias("p")).select(*own, "p.shingle", "p.at"), "postings")
+
+
+def all_links(sets: DataFrame, sim: Similarity) -> DataFrame:
+    """Every link (a, b) between candidates, verified: as many rows as there are similar pairs of different sets."""
+    postings = postings_of(sets)
+    met = postings.alias("x").join(postings.alias("y"), "shingle").filter((F.col("x.row_no") < F.col("y.row_no")) & sim.may_link("x", "y"))
+    pairs = stored(met.select(F.col("x.row_no").alias("a"), F.col("y.row_no").alias("b")).distinct(), "all-pairs")
+    return verified(pairs, sets.select("row_no", "elements"), sim)
+
+
 def links(sets: DataFrame, sim: Similarity) -> DataFrame:
     """Links (a, b) between candidates, enough to join every two that a chain of similar pairs joins.
 
     A pair is left out only if both are in one group already.
     """
-    bits = [f"b{i}" for i in range(BITMAP)]
-    postings = stored(sets.select("row_no", "n", *bits, F.explode("prefix").alias("p")).select("row_no", "n", *bits, "p.shingle", "p.at"), "postings")
-    firsts = stored(postings.groupBy("shingle").agg(F.min(F.struct("row_no", "n", "at", *bits)).alias("f"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("shingle", "f.*"), "blocks")
-    led = postings.alias("x").join(firsts.alias("y"), "shingle").filter(F.col("x.row_no") > F.col("y.row_no")).filter(sim.may_link("x", "y"))
-    votes = led.groupBy(F.col("x.row_no").alias("b"), F.col("y.row_no").alias("a")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("b").agg(F.max(F.struct("votes", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
+    postings = postings_of(sets)
+    best_hub = F.struct("hub", (-F.col("row_no")).alias("before"), "row_no", "n", "at", "alone", *[f"b{i}" for i in range(BITMAP)])
+    hubs = stored(postings.groupBy("shingle").agg(F.max(best_hub).alias("f"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("shingle", "f.*"), "blocks")
+    led = postings.alias("x").join(hubs.alias("y"), "shingle").filter(F.col("x.row_no") != F.col("y.row_no")).filter(sim.may_link("x", "y"))
+    votes = led.groupBy(F.col("x.row_no").alias("b"), F.col("y.row_no").alias("a"), F.col("y.hub").alias("hub")).agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("b").agg(F.max(F.struct("votes", "hub", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     one = stored(verified(stored(best, "first-pairs"), sets.select("row_no", "elements"), sim), "first-links")
     groups = components(one)
 
@@ -312,16 +330,34 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity()) -> DataFram
     row_no of the classes that they do. Documents without words have an empty set and are linked with nothing, not
     with each other. Repeated rows and equal sets are linked. Other columns are ignored; no rows give no rows.
     """
-    return near_rows(numbered(docs.select("doc_id", "text")), sim)
+    members, labelled = near_classes(numbered(docs.select("doc_id", "text")), sim)
+    per_group = stored(labelled.groupBy("component").agg(F.min("least_id").alias("component_id")), "jaccard-groups")
+    named = stored(labelled.join(per_group, "component").select("key", "component", "component_id"), "jaccard-named")
+    found = members.filter("key is not null").join(named, "key").select("row_no", "doc_id", "n_shingles", "component_id", "component")
+    alone = members.filter("key is null").select("row_no", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row_no").alias("component"))
+    return found.unionByName(alone)
+
 
+def similar_classes(docs: DataFrame, sim: Similarity = Similarity()) -> tuple[DataFrame, DataFrame]:
+    """The whole join: class_no of every document (row_no, doc_id; null without words), and every link between classes
+    with different sets (a, b; class numbers, a < b) once.
+
+    Links are as many as there are similar pairs of different sets, which in a large group of edited copies grows with
+    its square; components need far fewer (:func:`near_duplicates`). Nulls, empty texts and repeated rows as there.
+    """
+    members, classes, sets = prepared(numbered(docs.select("doc_id", "text")), sim)
+    named = members.join(classes.select("key", F.col("f.row_no").alias("class_no")), "key", "left")
+    return named.select("row_no", "doc_id", "class_no"), all_links(sets, sim)
 
-def near_rows(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """:func:`near_duplicates` of rows that have their row_no; it is read once."""
+
+def prepared(docs: DataFrame, sim: Similarity) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows that have their row_no: the documents with the key of their set, the classes, the candidates' sets."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = bucketed(batches(docs), "jaccard-batches", buckets)
     members = stored(classes_of(rows, sim), "jaccard-members")
     filled = members.filter("key is not null")
-    classes = stored(filled.groupBy("key").agg(F.min(F.struct("row_no", "batch", "place")).alias("f"), F.min("doc_id").alias("least_id")), "jaccard-classes")
+    first, stays = F.min(F.struct("row_no", "batch", "place")), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no"))
+    classes = stored(filled.groupBy("key").agg(first.alias("f"), F.min("doc_id").alias("least_id"), stays.alias("stays")), "jaccard-classes")
     firsts = stored(classes.groupBy("f.batch").agg(F.collect_list("f.place").alias("firsts")), "jaccard-firsts")
     total = filled.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(buckets, math.ceil(total / PARTITION))
@@ -329,23 +365,26 @@ def near_rows(docs: DataFrame, sim: Similarity) -> DataFrame:
     own = rows.join(firsts, "batch")
     codes = stored(answer(ask(own, sim, parts)), "jaccard-rarity")
     answers = codes.groupBy("batch").agg(F.collect_list(F.struct("part", "codes")).alias("answers"))
-    sets = stored(candidates(own.join(answers, "batch").select("batch", "row_nos", "texts", "firsts", "answers"), sim), "jaccard-candidates")
-    groups = components(links(sets, sim))
+    return members, classes, stored(candidates(own.join(answers, "batch").select("batch", "row_nos", "texts", "firsts", "answers"), sim), "jaccard-candidates")
 
-    labelled = classes.select("key", "least_id", F.col("f.row_no").alias("row_no")).join(groups, F.col("row_no") == F.col("node"), "left")
-    labelled = stored(labelled.select("key", "least_id", "row_no", F.coalesce("component", "row_no").alias("component")), "jaccard-labels")
-    per_group = stored(labelled.groupBy("component").agg(F.min("least_id").alias("component_id")), "jaccard-groups")
-    named = stored(labelled.join(per_group, "component").select("key", "component", "component_id"), "jaccard-named")
-    found = filled.join(named, "key").select("row_no", "doc_id", "n_shingles", "component_id", "component")
-    alone = members.filter("key is null").select("row_no", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row_no").alias("component"))
-    return found.unionByName(alone)
+
+def near_classes(docs: DataFrame, sim: Similarity) -> tuple[DataFrame, DataFrame]:
+    """The documents with the key of their set, and each key's least_id, stays (its first document) and component."""
+    members, classes, sets = prepared(docs, sim)
+    groups = components(links(sets, sim))
+    labelled = classes.select("key", "least_id", "stays", F.col("f.row_no").alias("row_no")).join(groups, F.col("row_no") == F.col("node"), "left")
+    return members, stored(labelled.select("key", "least_id", "stays", F.coalesce("component", "row_no").alias("component")), "jaccard-labels")
 
 
 def one_of_each(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that come first in their group: smallest doc_id, then first row."""
+    """The rows of ``docs``, with all their columns, that come first in their group: smallest doc_id, then first row.
+
+    A null doc_id comes after all others. Null and empty texts, and those of white space, have no words: such rows all
+    stay, repeated or not. Of other repeated rows one stays.
+    """
     names = docs.columns
     rows = stored(numbered(docs.toDF(*[f"c{i}" for i in range(len(names))])), "numbered-documents")
-    found = stored(near_rows(with_texts(rows, names), sim), "near-duplicates")
-    stay = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")).alias("m")).select("component", F.col("m.row_no").alias("stays"))
-    gone = stored(found.join(stay, "component").filter("row_no <> stays").select("row_no"), "duplicates")
-    return rows.join(gone, "row_no", "left_anti").drop("row_no").toDF(*names)
+    members, labelled = near_classes(with_texts(rows, names), sim)
+    first = labelled.groupBy("component").agg(F.min("stays").alias("m")).select("m.row_no")
+    stay = stored(first.unionByName(members.filter("key is null").select("row_no")), "near-duplicates")
+    return rows.join(stay, "row_no", "left_semi").drop("row_no").toDF(*names)

@@ -111,3 +111,31 @@ def test_the_right_rows_stay_when_a_later_scan_splits_the_files_otherwise(spark,
     docs = in_files(spark, tmp_path, [(i, f"text {i // 2} of five words") for i in range(60)])
     with resplit(spark, monkeypatch, jaccard, "near-duplicates"):
         assert bag(r["doc_id"] for r in jaccard.one_of_each(docs).collect()) == bag(range(0, 60, 2))
+
+
+def test_all_links_and_their_classes(spark):
+    """Every similar pair of different sets once, whatever groups they are in."""
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = [" ".join(edited(rnd, base, 0.02)) for _ in range(60)] + [" ".join(base)] * 5 + ["", None, "one two"]
+    docs, sim = list(enumerate(rows)), jaccard.Similarity()
+    members, links = jaccard.similar_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), sim)
+    named = {r["doc_id"]: r["class_no"] for r in members.collect()}
+    sets = plain_sets(docs, sim.words)
+    assert all((named[i] is None) == (not s) for i, s in sets)
+    assert all((named[i] == named[j]) == (s == t) for i, s in sets for j, t in sets if s and t)
+    of = {named[i]: s for i, s in sets if s}
+    linked = {(a, b) for a in of for b in of if a < b and sim.den * len(of[a] & of[b]) >= sim.num * len(of[a] | of[b])}
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == linked and linked
+
+
+def test_a_large_group_joins_without_its_pairs(spark):
+    """Copies edited each in its own way, around the threshold: few pairs are left once the hub has taken its own."""
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = [" ".join(edited(rnd, base, rnd.choice([0.003, 0.01, 0.02, 0.03]))) for _ in range(500)]
+    docs, sim = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4), jaccard.Similarity()
+    compare(docs, sim)
+    _, _, sets = jaccard.prepared(jaccard.numbered(docs), sim)
+    assert jaccard.links(sets, sim).count() < 3 * len(rows) < jaccard.all_links(sets, sim).count()
