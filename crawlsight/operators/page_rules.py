@@ -128,6 +128,15 @@ def missing_props(node: Column, props: list[str]) -> Column:
     return F.array_except(F.array(*[F.lit(p) for p in props]), present)
 
 
+def missing_by_type(nodes: DataFrame) -> DataFrame:
+    """A row per node and type with required properties: those that the node lacks (none is an empty array)."""
+    articles = {kind: REQUIRED["Article"] for kind in ("Article", "NewsArticle", "BlogPosting")}
+    wanted = articles | {"Corporation": REQUIRED["Organization"]} | {kind: props for kind, props in REQUIRED.items() if kind != "Article"}
+    node = F.col("node")
+    per_type = [F.when(F.array_contains("types", kind), F.struct(F.lit(kind).alias("type"), missing_props(node, props).alias("missing"))) for kind, props in wanted.items()]
+    return nodes.select("page_id", F.explode(F.filter(F.array(*per_type), lambda x: x.isNotNull())).alias("m")).select("page_id", "m.type", "m.missing")
+
+
 def _search_action_state(node: Column) -> Column:
     action = F.get(
         F.filter(parse_nodes(F.coalesce(node_prop(node, "potentialAction"), F.lit(""))),

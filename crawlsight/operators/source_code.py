@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlsight.functions.findings import Checks, explode_findings
-from crawlsight.functions.text import redact
+from crawlsight.functions.text import let, redact
 
 c = F.col
 
@@ -77,6 +77,16 @@ def kept_files(files: DataFrame) -> DataFrame:
     return files.withColumn("path", F.array_join(segs, "/")).filter(~c("path").rlike(r"(^|/)(node_modules|\.next|\.nuxt|\.svelte-kit|\.angular|\.git|dist|build|out)/"))
 
 
+# Names of the files that say how a project is built and served.
+META_FILES = r"(?:^|/)(?:package\.json|robots\.txt|sitemap\.xml|llms\.txt|next\.config\.(?:js|ts|mjs)|nuxt\.config\.(?:js|ts|mjs)|angular\.json|svelte\.config\.(?:js|ts|mjs)|astro\.config\.(?:js|ts|mjs)|vercel\.json|netlify\.toml|_headers)$"
+
+
+def meta_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """``src_project_meta``: config and crawl files of a project, outside its dependencies and build output."""
+    kept = kept_files(files).filter(c("path").rlike(META_FILES))
+    return kept if max_bytes is None else kept.filter(F.octet_length("content") <= max_bytes)
+
+
 def page_level(path: Column) -> Column:
     """``flt_page_level_file``"""
     return (
@@ -91,20 +101,21 @@ def next_route(path: Column) -> Column:
     return F.when(path.rlike(r"(?:^|/)app/(?:.*/)?page\.(?:tsx|jsx|ts|js)$") & ~inner.contains("["), F.concat(F.lit("/"), F.array_join(segs, "/")))
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """start, end and match of every match of a pattern. One fold over the matches carries the running offset."""
+def pieces(text: Column, pattern: str) -> Column:
+    """Every match of a pattern and the text between it and the match before, in order."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)  # one more than matches
-    rows = F.transform(
-        F.filter(F.arrays_zip(found.alias("m"), gaps.alias("g")), lambda x: x["m"].isNotNull()), lambda x: F.struct(x["m"].alias("match"), F.length(x["g"]).alias("gap")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+    zipped = F.filter(F.arrays_zip(found.alias("match"), gaps.alias("gap")), lambda x: x["match"].isNotNull())
+    return F.when(text.rlike(pattern), zipped)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["match"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, none, step)["out"])
+def with_context(found: Column) -> Column:
+    """match, and the 40 characters before it, of :func:`pieces` whose matches have at least 15 characters: no more than
+    three matches reach into them."""
+    empty = F.lit("")
+    part = lambda x, i, back, name: F.coalesce(F.get(x, i - back)[name], empty)
+    before = lambda x, i: F.concat(part(x, i, 3, "match"), part(x, i, 2, "gap"), part(x, i, 2, "match"), part(x, i, 1, "gap"), part(x, i, 1, "match"), part(x, i, 0, "gap"))
+    return let(found, lambda f: F.transform(f, lambda m, i: F.struct(m["match"].alias("match"), F.right(before(f, i), F.lit(40)).alias("before"))))
 
 
 def audit_files(files: DataFrame) -> DataFrame:
@@ -114,7 +125,7 @@ def audit_files(files: DataFrame) -> DataFrame:
         n = F.regexp_count(text, F.lit(pattern))
         k.issue(rule, 0, n > 0, n=n, severity=severity)
     for name, pattern in SECRETS:
-        real = F.filter(spans(text, pattern), lambda s: ~F.substr(text, F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40))).rlike(NOT_SECRET))
+        real = F.filter(with_context(pieces(text, pattern)), lambda s: ~s["before"].rlike(NOT_SECRET))
         first = F.get(F.transform(real, lambda s: s["match"]), F.lit(0))
         k.issue("secret-" + name, 0, first.isNotNull(), n=F.size(real), info=redact(first), severity="critical")
     tag = lambda names: F.regexp_extract_all(text, F.lit(rf"<(?:{names})\b{END}"), F.lit(0))
@@ -154,13 +165,22 @@ def native_components(files: DataFrame, stacks: DataFrame) -> DataFrame:
 
 
 def positions(files: DataFrame) -> DataFrame:
-    """``ext_findings_pos``: project, path, rule_id, start and end of every match of every rule for the file."""
+    """``ext_findings_pos``: project, path, rule_id, start and end of every match of every rule for the file.
 
-    def of(rule: str, pattern: str, only: str | None) -> Column:
-        rows = F.transform(spans(c("content"), pattern), lambda s: F.struct(F.lit(rule).alias("rule_id"), s["start"].alias("start"), s["end"].alias("end")))
-        return F.coalesce(F.when(c("path").rlike(only), rows) if only else rows, F.array().cast("array<struct<rule_id:string,start:int,end:int>>"))
+    Lengths of matches and gaps are summed by a window per file and rule: only matches are shuffled, and a file with
+    many of them costs no more for each.
+    """
+    kind = "array<struct<rule_id:string,at:int,step:int,size:int>>"
 
-    return files.select("project", "path", F.inline(F.concat(*[of(*rule) for rule in LIVE])))
+    def of(rule: str, pattern: str, only: str | None) -> Column:
+        size = lambda x: F.length(x["match"])
+        rows = F.transform(pieces(c("content"), pattern), lambda x, i: F.struct(F.lit(rule).alias("rule_id"), i.alias("at"), (F.length(x["gap"]) + size(x)).alias("step"), size(x).alias("size")))
+        return F.coalesce(F.when(c("path").rlike(only), rows) if only else rows, F.array().cast(kind))
+
+    numbered = files.select(F.monotonically_increasing_id().alias("file_no"), "project", "path", "content")
+    found = numbered.select("file_no", "project", "path", F.inline(F.concat(*[of(*rule) for rule in LIVE])))
+    end = F.sum("step").over(Window.partitionBy("file_no", "rule_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
+    return found.withColumn("end", end).select("project", "path", "rule_id", (c("end") - c("size")).alias("start"), "end")
 
 
 def live_counts(files: DataFrame) -> DataFrame:

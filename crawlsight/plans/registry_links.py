@@ -13,7 +13,7 @@ from crawlsight.operators import links as L
 from crawlsight.plans import oracle_links as O
 from crawlsight.plans.catalog import register
 from crawlsight.plans.oracle_pages import AUDIT_PAGES, H23, HEADS, NC, SITE, SKEL, collapse, decode, meta, strip, words
-from crawlsight.session import dealt
+from crawlsight.session import spread
 from crawlsight.sources import given as G
 
 c = F.col
@@ -207,7 +207,7 @@ def ext_content_text(spark, sf):
 
 
 def _docs(spark, sf):
-    return D.normalised(dealt(G.table(spark, sf, "documents")), "doc_id", "text")
+    return D.normalised(spread(G.table(spark, sf, "documents")), "doc_id", "text")
 
 
 @register("agg_dup_groups", f"WITH {O.DOCS}, {O.LONG}, {O.EXACT} SELECT k.id, g.n, g.first_id FROM k JOIN g USING (body_key)")
@@ -258,6 +258,6 @@ def audit_duplicates(spark, sf):
     return D.audit_duplicates(key("title"), key("meta_desc"), _docs(spark, sf)).select("rule_id", "weight", "n")
 
 
-register("agg_keyword_density", O.KEYWORDS)(lambda spark, sf: D.keyword_density(dealt(G.table(spark, sf, "documents")), "doc_id", "text"))
+register("agg_keyword_density", O.KEYWORDS)(lambda spark, sf: D.keyword_density(spread(G.table(spark, sf, "documents")), "doc_id", "text"))
 register("topk_keywords", f"SELECT doc_id, word FROM ({O.KEYWORDS}) WHERE rank <= 8")(
-    lambda spark, sf: D.keyword_density(dealt(G.table(spark, sf, "documents")), "doc_id", "text").select("doc_id", "word"))
+    lambda spark, sf: D.keyword_density(spread(G.table(spark, sf, "documents")), "doc_id", "text").select("doc_id", "word"))

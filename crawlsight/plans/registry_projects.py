@@ -19,8 +19,8 @@ def _linked(s, sf):
     return G.run(s, sf, G.LINKED_FILES)
 
 
-register("src_project_meta", LF + " SELECT project, path FROM lf WHERE path IN ('package.json', 'robots.txt') AND length(content) <= 30")(
-    lambda s, sf: _linked(s, sf).filter(c("path").rlike(r"(^|/)(package\.json|robots\.txt|sitemap\.xml|manifest\.json)$") & (F.octet_length("content") <= 30)).select("project", "path"))
+register("src_project_meta", LF + " SELECT project, path, strlen(content) AS n FROM lf WHERE path IN ('package.json', 'robots.txt')")(
+    lambda s, sf: SC.meta_files(_linked(s, sf)).select("project", "path", F.octet_length("content").cast("long").alias("n")))
 register("flt_source_fixable", PF + " SELECT p_partkey, p_type <> 'STANDARD' AS fixable FROM pf")(
     lambda s, sf: _files(s, sf).select("p_partkey", SC.fixable(c("path"), c("content")).alias("fixable")))
 register("flt_full_document", LF + " SELECT project, path, path = 'about.html' AS full_document FROM lf")(

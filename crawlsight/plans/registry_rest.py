@@ -76,17 +76,16 @@ register("ext_form_fields", OP.FEATURES + " SELECT page_id, n_inputs::BIGINT AS
     lambda s, sf: _feat(s, sf).select("page_id", "n_inputs", "n_unlabelled", "n_form_fields"))
 register("join_label_inputs", OP.FEATURES + " SELECT page_id, n_unlabelled::BIGINT AS n FROM f WHERE n_unlabelled > 0")(
     lambda s, sf: X.unlabelled_inputs(_pages(s, sf)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n")))
-register("set_missing_props", f"SELECT page_id, array_to_string(list_filter([CASE WHEN p_size % 2 <> 0 THEN 'author' END, CASE WHEN p_size % 3 <> 0 THEN 'datePublished' END], lambda x: x IS NOT NULL), ',') AS missing FROM ({G.CATALOG_PAGES}) WHERE p_type = 'LARGE'")(
-    lambda s, sf: X.jsonld_nodes(_pages(s, sf)).filter(F.array_contains("types", "NewsArticle")).select("page_id", F.array_join(R.missing_props(c("node"), R.REQUIRED["Article"]), ",").alias("missing")))
+_lacks = [("Product", "STANDARD", "''"), ("Organization", "PROMO", "CASE WHEN p_size % 2 <> 0 THEN 'url' ELSE '' END"), ("WebSite", "PROMO", "''"),
+          ("NewsArticle", "LARGE", "concat_ws(',', CASE WHEN p_size % 2 <> 0 THEN 'author' END, CASE WHEN p_size % 3 <> 0 THEN 'datePublished' END)"), ("LocalBusiness", "MEDIUM", "CASE WHEN p_size % 2 <> 0 THEN 'address' ELSE '' END")]
+register("set_missing_props", " UNION ALL ".join(f"SELECT page_id, '{t}' AS type, {x} AS missing FROM ({G.CATALOG_PAGES}) WHERE p_type = '{k}'" for t, k, x in _lacks))(
+    lambda s, sf: R.missing_by_type(X.jsonld_nodes(_pages(s, sf))).select("page_id", "type", F.array_join("missing", ",").alias("missing")))
 register("agg_sentence_stats", f"""WITH t AS (SELECT doc_id, {OP.collapse('text')} AS x FROM documents), q AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(x, '[^.!?]+[.!?]+'), lambda z: {OP.words('trim(z)')}), lambda n: n >= 4) AS ns FROM t)
 SELECT doc_id, len(ns)::BIGINT AS n_sentences, round(list_avg(ns), 4) AS mean_words FROM q WHERE len(ns) > 0""")(
     lambda s, sf: G.table(s, sf, "documents").select("doc_id", F.filter(F.transform(F.regexp_extract_all(T.collapse_ws(c("text")), F.lit("[^.!?]+[.!?]+"), F.lit(0)), lambda z: T.word_count(F.trim(z))), lambda n: n >= 4).alias("ns"))
     .filter(F.size("ns") > 0).select("doc_id", F.size("ns").cast("long").alias("n_sentences"), F.round(F.aggregate("ns", F.lit(0), lambda a, x: a + x) / F.size("ns"), 4).alias("mean_words")))
 register("agg_page_snapshot", OP.FEATURES + " SELECT page_id, title, meta_desc, substr(intro, 1, 500) AS intro, n_words::BIGINT AS n_words, n_outbound::BIGINT AS n_outbound, substr(body_text, 1, 2500) AS excerpt FROM f")(
     lambda s, sf: _feat(s, sf).select("page_id", "title", "meta_desc", F.left("intro", F.lit(500)).alias("intro"), "n_words", "n_outbound", F.left("body_text", F.lit(2500)).alias("excerpt")))
-register("src_events_ndjson", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")(
-    lambda s, sf: G.table(s, sf, "events").withColumn("p", F.from_json("props", "k long", {"mode": "PERMISSIVE"})).filter(c("p").isNotNull()).select("event_id", c("p.k").alias("k")))
-
 # --- stack
 
 PRIMARY = "CASE WHEN p_size % 6 = 4 THEN 'WordPress' WHEN p_size % 6 = 0 THEN 'PHP' WHEN p_size % 5 = 3 THEN 'Cloudflare Pages' ELSE 'Static HTML / unknown' END"
@@ -189,13 +188,13 @@ register("agg_fix_summary", _all(PLAN, "SELECT page_id, count_if(status = 'fixed
 register("set_open_fix_items", _all(PLAN, "SELECT page_id, rule_id, 'target' AS item FROM pl WHERE status = 'ai-needed' AND rule_id <> 'title' UNION ALL SELECT page_id, rule_id, 'result' FROM pl WHERE status = 'skipped'"))(
     lambda s, sf: (lambda p: FX.open_items(p, p.filter(c("rule_id") == "title").select("page_id", "rule_id")))(_plan(s, sf)))
 register("fix_repaired_pages")(lambda s, sf: (lambda p: FX.repaired(X.page_features(p), p))(_pages(s, sf)))
-BANK = "SELECT p_type AS kind, p_brand AS category, arg_max(p_name, p_partkey) AS value FROM part WHERE p_size % 10 = 0 GROUP BY 1, 2"
+BANK = "SELECT p_type AS kind, p_brand AS category, arg_max(p_name, p_partkey) AS value FROM part GROUP BY 1, 2"
 _parts = lambda s, sf: G.table(s, sf, "part").select(c("p_partkey").alias("target_id"), c("p_type").alias("kind"), c("p_brand").alias("category"), c("p_name").alias("value"), c("p_partkey").alias("seq"), F.when(c("p_size") % 2 == 0, "low").otherwise("high").alias("confidence"), "p_size")
-register("agg_fix_bank_update", BANK)(lambda s, sf: FX.bank(_parts(s, sf).filter(c("p_size") % 10 == 0)))
+register("agg_fix_bank_update", BANK)(lambda s, sf: FX.bank(_parts(s, sf)))
 register("join_fix_bank", f"WITH b AS ({BANK}) SELECT p_partkey AS target_id, kind, category, value FROM part JOIN b ON kind = p_type AND category = p_brand")(
-    lambda s, sf: (lambda p: FX.banked_values(p.select("target_id", "kind", "category"), FX.bank(p.filter(c("p_size") % 10 == 0))))(_parts(s, sf)))
+    lambda s, sf: (lambda p: FX.banked_values(p.select("target_id", "kind", "category"), FX.bank(p)))(_parts(s, sf)))
 register("audit_fix_apply", f"WITH b AS ({BANK}) SELECT p_partkey AS target_id, CASE WHEN p_size % 3 = 0 AND p_size % 2 = 0 THEN 'needs-review' WHEN p_size % 3 = 0 THEN 'fixed' WHEN b.value IS NOT NULL THEN 'duplicated' ELSE 'skipped' END AS status, CASE WHEN p_size % 3 = 0 THEN p_name ELSE b.value END AS value FROM part LEFT JOIN b ON kind = p_type AND category = p_brand")(
-    lambda s, sf: (lambda p: FX.apply_values(p.select("target_id", "kind", "category"), p.filter(c("p_size") % 3 == 0), FX.bank(p.filter(c("p_size") % 10 == 0))))(_parts(s, sf)))
+    lambda s, sf: (lambda p: FX.apply_values(p.select("target_id", "kind", "category"), p.filter(c("p_size") % 3 == 0), FX.bank(p)))(_parts(s, sf)))
 
 # --- custom rules
 
@@ -226,12 +225,35 @@ register("str_seen_dedup", "SELECT DISTINCT user_id, event_type FROM events")(la
 SEEN = f"SELECT page_id, {normalize('url')} AS norm_url FROM pages WHERE {normalize('url')} NOT IN (SELECT {normalize('url')} FROM pages WHERE url LIKE 'https:%')"
 register("anti_seen_urls", SEEN)(lambda s, sf: (lambda p: J.unseen(p, p.filter(c("url").startswith("https:"))).select("page_id", "norm_url"))(G.given_pages(s, sf)))
 register("str_resume", SEEN)(lambda s, sf: J.resume(s, _stream(s, sf, "pages"), G.given_pages(s, sf).filter(c("url").startswith("https:")), J.work_folder(s)).select("page_id", "norm_url"))
-register("str_event_router", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type FROM events")(lambda s, sf: J.append_to_table(J.route(_stream(s, sf, "events")), J.work_folder(s), ["event_type"]))
+# NDJSON lines of the events; every seventeenth is cut short, as lines are that a crash leaves behind.
+NDJSON = """SELECT CASE WHEN event_id % 17 = 3 THEN SUBSTRING(line, 1, LENGTH(line) - 5) ELSE line END AS value FROM
+ (SELECT event_id, '{"event_id":' || CAST(event_id AS STRING) || ',"event_type":"' || event_type || '","props":' || props || '}' AS line FROM events) x"""
+EVENT = "event_id long, event_type string, props struct<k: long>"
+
+
+def _routed(s, sf):
+    folder = J.work_folder(s)
+    G.run(s, sf, NDJSON).repartition(3).write.text(f"{folder}/landed")
+    return J.route(s, J.read_lines(s, f"{folder}/landed", 1), EVENT, "event_type", folder)
+
+
+register("str_event_router", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type FROM events WHERE event_id % 17 <> 3")(
+    lambda s, sf: _routed(s, sf)[0].select("event_id", c("props.k").alias("k"), "event_type"))
+register("str_rejected_events", f"SELECT value AS bad FROM ({NDJSON.replace('STRING', 'VARCHAR')}) WHERE NOT json_valid(value)")(lambda s, sf: _routed(s, sf)[1])
+
+
+@register("src_events_ndjson", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 17 <> 3")
+def src_events_ndjson(spark, sf):
+    """Lines as a batch, files read by Spark's text source."""
+    folder = J.work_folder(spark)
+    G.run(spark, sf, NDJSON).write.text(f"{folder}/landed")
+    return J.parsed_lines(spark.read.text(f"{folder}/landed"), EVENT).filter("bad is null").select("event_id", c("props.k").alias("k"))
 
 
-def _scans_of(batch):
-    run = lambda sql: batch.sparkSession.sql(sql.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}"), events=batch)
-    return run(G.SCANS), run(G.SCAN_FINDINGS)
+def _scan_events(stream):
+    """A site per user, a scan per site and day, as in the batch queries."""
+    sql = G.SCAN_EVENTS.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}")
+    return stream.sparkSession.sql(sql, events=stream)
 
 
-register("str_scan_compare", SCAN_CTES + CHANGES + " SELECT * FROM ch")(lambda s, sf: J.scan_compare(s, _stream(s, sf, "events"), _scans_of, J.work_folder(s)))
+register("str_scan_compare", SCAN_CTES + CHANGES + " SELECT * FROM ch")(lambda s, sf: J.scan_compare(s, _scan_events(_stream(s, sf, "events")), J.work_folder(s)))

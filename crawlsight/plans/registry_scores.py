@@ -20,19 +20,21 @@ ALL = OP.all_findings
 ROUND = "CAST(round(avg({x})) AS INT)"
 
 
-_tables: dict[tuple, DataFrame] = {}
+_tables: dict[tuple[str, str], tuple[tuple, DataFrame]] = {}
 
 
 def _audited(spark, sf):
     """Pages with their findings, written once to the shared folder and read by every query over them.
 
-    The table holds as long as the files of its inputs are the same and the session lives.
+    A table for each folder holds as long as the files of its inputs are the same and the session lives.
     """
-    key = (spark.sparkContext.applicationId, sf, G.state(spark, sf, "pages", "part"))
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = stored(R.page_audit(G.audit_pages(spark, sf)), "page-audit")
-    return _tables[key]
+    app = spark.sparkContext.applicationId
+    for old in [k for k in _tables if k[0] != app]:
+        del _tables[old]  # of sessions that have ended
+    files = G.state(spark, sf, "pages", "part")
+    if (app, sf) not in _tables or _tables[app, sf][0] != files:
+        _tables[app, sf] = files, stored(R.page_audit(G.audit_pages(spark, sf)), "page-audit")
+    return _tables[app, sf][1]
 
 
 def _findings(spark, sf):

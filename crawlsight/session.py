@@ -53,12 +53,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """Rows dealt evenly over the session's shuffle partitions, whatever their number.
+def spread(df: DataFrame, *scans: DataFrame) -> DataFrame:
+    """``df`` as it is, unless the scans that feed it have fewer splits than the session has cores.
 
-    Auditing a page takes far longer than moving it, and files hold very different numbers of pages.
+    Extraction is map-only on any input with enough splits (``spark.sql.files.maxPartitionBytes`` sets how much a task
+    reads). Only an input of a few splits, so at most cores x that size, is dealt over the cores first: auditing a page
+    takes far longer than moving it.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = sum(s.rdd.getNumPartitions() for s in scans or (df,))
+    return df if splits >= cores else df.repartition(cores)
 
 
 def fence(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from crawlsight.functions.urls import hostname
 from crawlsight.operators.extract import PASS_THROUGH, lower_header_keys, with_optional
-from crawlsight.session import dealt
+from crawlsight.session import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -28,8 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def state(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
     """What the files of some tables are now: paths, sizes and times. It changes when files land or are replaced."""
-    rows = [table(spark, sf_dir, n).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct() for n in names]
-    return tuple(tuple(sorted(map(tuple, df.collect()))) for df in rows)  # a row per file
+    files = [table(spark, sf_dir, n).select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("h")).distinct() for n in names]
+    of = [df.agg(F.count("h").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s")) for df in files]
+    return tuple(tuple(df.first()) for df in of)  # one row a table, however many files it has
 
 
 def _img(when: str, tag: str) -> str:
@@ -183,7 +184,8 @@ def audit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     crawled = given_pages(spark, sf_dir).withColumn("site", hostname(F.col("url")))
     cols = [*PASS_THROUGH, "html"]
     shop = lower_header_keys(catalog_fetches(spark, sf_dir))
-    return dealt(with_optional(crawled).select(*cols).unionByName(with_optional(shop).select(*cols)))
+    both = with_optional(crawled).select(*cols).unionByName(with_optional(shop).select(*cols))
+    return spread(both, given_pages(spark, sf_dir), table(spark, sf_dir, "part"))
 
 
 # Scan history out of the events: a site per user, a scan per site and day, a category per event type,

@@ -6,13 +6,14 @@ Results go to Parquet tables under the shared checkpoint folder, never through t
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from crawlsight.functions import urls as U
-from crawlsight.operators import history as H
 from crawlsight.operators import page_rules as R
 from crawlsight.session import shared_folder
 
@@ -78,13 +79,13 @@ def partial_report(pages: DataFrame) -> DataFrame:
         F.sum("score").alias("score_sum"), F.count(F.lit(1)).alias("pages"))
 
 
-def seen_dedup(events: DataFrame, keys: list[str]) -> DataFrame:
+def seen_dedup(events: DataFrame, keys: list[str], time: str | None = None, keep: str | None = None) -> DataFrame:
     """``str_seen_dedup``: the first row of every key of the stream.
 
-    The keys stay in the state for as long as the stream's folder does: a crawl has one stream, and its state goes with
-    it. A watermark would forget addresses that are still to be met.
+    Without ``time`` the keys stay in the state for as long as the stream's folder does: a crawl has one stream, and its
+    state goes with it. A stream that goes on names its event time and how long a key is kept (``keep``, as '7 days').
     """
-    return events.dropDuplicates(keys)
+    return events.dropDuplicates(keys) if time is None else events.withWatermark(time, keep).dropDuplicatesWithinWatermark(keys)
 
 
 def unseen(pages: DataFrame, seen: DataFrame) -> DataFrame:
@@ -103,28 +104,110 @@ def resume(spark: SparkSession, stream: DataFrame, seen: DataFrame, folder: str)
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
-def route(events: DataFrame) -> DataFrame:
-    """``str_event_router``: parsed events; malformed payloads are skipped. Written partitioned by type."""
-    return events.withColumn("p", F.from_json("props", "k long")).filter(c("p.k").isNotNull()).select("event_id", c("p.k").alias("k"), "event_type")
+def read_lines(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Lines of landed NDJSON files; the last line of a file needs no line feed."""
+    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
 
 
-def scan_compare(spark: SparkSession, stream: DataFrame, scans_of: Callable[[DataFrame], tuple[DataFrame, DataFrame]], folder: str, key: str = "user_id") -> DataFrame:
-    """``str_scan_compare``: every scan against the scan of its site before it, however its events fall into batches.
+def parsed_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """``src_events_ndjson``: the fields of each line and ``bad``, the line itself where it is no JSON object of the schema.
+
+    Blank lines are no events.
+    """
+    read = F.from_json("value", f"{schema}, bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
+    return lines.filter(F.trim("value") != "").select(read.alias("e")).select("e.*")
+
 
-    A batch keeps its events and compares the scans of the sites (``key``) it touches anew, from all their events so far.
-    Of a site's comparisons those of its last batch hold. A batch that runs again overwrites its own part.
+def route(spark: SparkSession, lines: DataFrame, schema: str, key: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """``str_event_router``: events as a table partitioned by ``key``, and the lines that are none as a table of their own.
+
+    Both are written from one reading of a batch; a batch that runs again overwrites its own part of both.
     """
+    fields = [f.split()[0] for f in schema.split(", ")]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/events/batch={batch_id}")
-        seen = spark.read.parquet(f"{folder}/events").filter(c("batch") <= batch_id)
-        touched = seen.filter(c("batch") == batch_id).select(key).distinct()
-        scans, findings = scans_of(seen.drop("batch").join(touched, key, "left_semi"))
-        pairs = H.previous_scan(scans).filter(c("prev_scan_id").isNotNull()).select("scan_id", "prev_scan_id")
-        sites = scans.select("scan_id", "url", "mode")
-        H.issue_changes(findings, pairs).join(sites, "scan_id").write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
-        sites.select("url", "mode").distinct().write.mode("overwrite").parquet(f"{folder}/sites/batch={batch_id}")
+        events = parsed_lines(batch, schema).persist()
+        events.filter("bad is null").select(fields).write.mode("overwrite").partitionBy(key).parquet(f"{folder}/events/batch={batch_id}")
+        events.filter("bad is not null").select("bad").write.mode("overwrite").parquet(f"{folder}/rejected/batch={batch_id}")
+        events.unpersist()
 
-    each_batch(stream, folder, handle)
-    last = spark.read.parquet(f"{folder}/sites").groupBy("url", "mode").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{folder}/out").join(last, ["url", "mode", "batch"]).drop("url", "mode", "batch")
+    each_batch(lines, folder, handle)
+    return spark.read.parquet(f"{folder}/events").select(fields), spark.read.parquet(f"{folder}/rejected").select("bad")
+
+
+class SiteScans(StatefulProcessor):
+    """The scans of one site and mode: what each found, and their order in time.
+
+    A batch's rows touch some of its scans. Only those, the ones after them and the ones before either are read; what a
+    batch costs does not grow with the batches before it, but for the list of the site's scans, which is kept as
+    (time, id) pairs.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.order = handle.getValueState("order", "times array<long>, ids array<string>")
+        self.found = handle.getMapState("found", "scan_id string", "issues array<string>")
+
+    def issues(self, scan_id: str) -> set[str]:
+        kept = self.found.getValue((scan_id,)) if self.found.containsKey((scan_id,)) else None
+        return set(kept[0]) if kept is not None else set()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[str, tuple[int, set[str]]] = {}
+        for part in rows:
+            for scan_id, at, category, rule_id in zip(part["scan_id"], part["at"], part["category"], part["rule_id"], strict=True):
+                latest, issues = new.get(scan_id, (at, set()))
+                issues.add(f"{category}\x00{rule_id}")
+                new[scan_id] = max(latest, at), issues
+        kept = self.order.get() if self.order.exists() else None
+        times = dict(zip(kept[1], kept[0], strict=True)) if kept else {}
+        before = self.previous(times)
+        for scan_id, (at, issues) in new.items():
+            times[scan_id] = max(at, times.get(scan_id, at))
+            self.found.updateValue((scan_id,), (sorted(issues | self.issues(scan_id)),))
+        after = self.previous(times)
+        ids = sorted(times, key=lambda x: (times[x], x))
+        self.order.update(([times[x] for x in ids], ids))
+        out = []
+        for scan_id, prev in after.items():
+            if scan_id in new or prev in new or before.get(scan_id, prev) != prev:
+                now, then = self.issues(scan_id), self.issues(prev) if prev else set()
+                out.append((scan_id, None, None, None))  # what is known of the scan holds no more
+                if prev:
+                    out += [(scan_id, *x.split("\x00", 1), "new") for x in sorted(now - then)]
+                    out += [(scan_id, *x.split("\x00", 1), "resolved") for x in sorted(then - now)]
+        yield pd.DataFrame(out, columns=["scan_id", "category", "rule_id", "change"])
+
+    @staticmethod
+    def previous(times: dict[str, int]) -> dict[str, str | None]:
+        """For each scan the one before it."""
+        ids = sorted(times, key=lambda x: (times[x], x))
+        return dict(zip(ids, [None, *ids], strict=False))
+
+    def close(self) -> None:
+        pass
+
+
+def scan_compare(spark: SparkSession, events: DataFrame, folder: str) -> DataFrame:
+    """``str_scan_compare``: every scan against the scan of its site before it, however its events fall into batches.
+
+    ``events`` has url, mode, scan_id, ts, category and rule_id. The scans of a (url, mode) are keyed state; a batch
+    reads its own rows and the state of the sites that it touches. Of a scan's comparisons that of the last batch holds;
+    a batch that runs again overwrites its own part.
+    """
+    rows = events.select("url", "mode", "scan_id", F.unix_micros(c("ts").cast("timestamp")).alias("at"), "category", "rule_id")
+    compared = rows.groupBy("url", "mode").transformWithStateInPandas(
+        statefulProcessor=SiteScans(), outputStructType="scan_id string, category string, rule_id string, change string", outputMode="Append", timeMode="None")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    store, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    old = spark.conf.get(store, None)
+    spark.conf.set(store, rocks)  # keyed state of this kind needs it
+    try:
+        each_batch(compared, folder, handle)
+    finally:
+        spark.conf.set(store, old) if old else spark.conf.unset(store)
+    out = spark.read.parquet(f"{folder}/out")
+    last = out.filter("change is null").groupBy("scan_id").agg(F.max("batch").alias("batch"))
+    return out.filter("change is not null").join(last, ["scan_id", "batch"]).select("scan_id", "category", "rule_id", "change")
