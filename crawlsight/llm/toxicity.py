@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from crawlsight.llm.common import in_arrow, stored
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Documents that a task scores.
+ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -78,16 +80,6 @@ def held_out(doc_id: Column, s: Settings) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % s.folds == s.fold
 
 
-def g_squared(a: int, b: int, n_a: int, n_b: int) -> float:
-    """How far a term's documents (a of n_a, b of n_b) are from the same share in both classes."""
-    total = 0.0
-    for seen, of in ((a, n_a), (b, n_b)):
-        for got, share in ((seen, (a + b) / (n_a + n_b)), (of - seen, 1 - (a + b) / (n_a + n_b))):
-            if got:
-                total += 2 * got * math.log(got / (of * share))
-    return total
-
-
 def examples(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[DataFrame, dict[int, float]]:
     """doc_id, toxic, text of the examples (stored), and how many labelled documents one example of a class stands for."""
     learnt = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"), s))
@@ -175,31 +167,31 @@ class BlockMaxIndex:
     def nearest(self, terms: list[int], counts: list[int], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples with the largest cosine above 0, and the cosines; equal ones go by the example's number."""
         q, own = self.unit(terms, counts), np.asarray(terms, np.int64)
+        none = np.zeros(0, np.int64), np.zeros(0)
         if not len(own) or not self.size:
-            return np.zeros(0, np.int64), np.zeros(0)
+            return none
         bound = q @ self.most[own]
+        # the blocks with the largest bounds first; what they hold says which others may hold a nearer example
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order.tolist():
-            if bound[b] < least - 1e-9:  # rounding of the two sums aside, no example there is nearer
-                break
-            sums = np.zeros(self.block)
-            for t, w in zip(own.tolist(), q.tolist(), strict=True):
-                cell = t * self.n_blocks + b
-                i, j = self.at[cell], self.at[cell + 1]
-                if i < j:
-                    sums[self.example[i:j] - b * self.block] += w * self.weight[i:j]
-            hit = np.flatnonzero(sums)
-            ids = hit + b * self.block
-            hit = hit[ids != without]
-            found, scores = np.concatenate([found, hit + b * self.block]), np.concatenate([scores, sums[hit]])
-            if len(found) >= k:
-                best = np.lexsort((found, -scores))[:k]
-                found, scores = found[best], scores[best]
-                least = scores[-1]
-        best = np.lexsort((found, -scores))[:k]
-        return found[best], scores[best]
+        near = self.scores(own, q, order[:4])
+        near[without : without + 1] = 0
+        least = np.partition(near, -k)[-k] if len(near) >= k else 0.0
+        open_blocks = np.flatnonzero((bound > 0) & (bound >= least - 1e-9))  # rounding of the two sums aside
+        scores = self.scores(own, q, open_blocks)
+        scores[without : without + 1] = 0
+        hit = np.flatnonzero(scores)
+        if len(hit) > k:
+            hit = hit[scores[hit] >= np.partition(scores[hit], -k)[-k]]
+        best = hit[np.lexsort((hit, -scores[hit]))[:k]]
+        return best, scores[best]
+
+    def scores(self, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines of all examples in ``blocks`` (0 elsewhere): the blocks' postings of all terms in one go."""
+        cells = (terms[:, None] * self.n_blocks + np.sort(blocks)).ravel()
+        starts = self.at[cells]
+        lengths = self.at[cells + 1] - starts
+        at = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        return np.bincount(self.example[at], np.repeat(np.repeat(q, len(blocks)), lengths) * self.weight[at], self.size)
 
 
 @dataclass
@@ -213,6 +205,7 @@ class Model:
     base: float
     bare: float
     neighbours: int
+    n_docs: int = 0
     curve: tuple[float, float] = (0.0, 1.0)
     seen: dict = field(default_factory=dict, repr=False)
 
@@ -276,7 +269,7 @@ def fit(texts: DataFrame, counted: DataFrame, terms: list[str], stands: dict[int
     leads = lambda r: (r["terms"][int(np.argmax(np.log1p(r["counts"]) * idf[r["terms"]]))], r["toxic"], r["terms"], r["counts"], str(r["doc_id"]))
     rows = sorted((r for r in rows if r["terms"]), key=leads)
     index = BlockMaxIndex([(r["terms"], r["counts"]) for r in rows], idf, s.block)
-    model = Model(index, [r["doc_id"] for r in rows], np.array([r["toxic"] for r in rows], float), np.array([weight(r) for r in rows]), base, bare_rate, s.neighbours)
+    model = Model(index, [r["doc_id"] for r in rows], np.array([r["toxic"] for r in rows], float), np.array([weight(r) for r in rows]), base, bare_rate, s.neighbours, n_docs)
     spark = texts.sparkSession
     if rows:
         given = spark.sparkContext.broadcast(model)
@@ -315,5 +308,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Da
         near = pa.list_(pa.struct([("doc_id", batch.column("doc_id").type), ("similarity", pa.float64()), ("toxic", pa.int32())]))
         return {"doc_id": batch.column("doc_id"), "score": pa.array([p for p, _ in own], pa.float64()), "evidence": pa.array([e for _, e in own], near)}
 
-    scored = in_arrow(counted, one, f"doc_id {kind.simpleString()}, score double, evidence array<struct<doc_id: {kind.simpleString()}, similarity: double, toxic: int>>")
+    # vectors are small, so that the stored files are few: they are dealt out for the search
+    parts = max(counted.sparkSession.sparkContext.defaultParallelism, -(-model.value.n_docs // ROWS))
+    scored = in_arrow(counted.repartition(parts), one, f"doc_id {kind.simpleString()}, score double, evidence array<struct<doc_id: {kind.simpleString()}, similarity: double, toxic: int>>")
     return scored.select("doc_id", held_out(F.col("doc_id"), s).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
