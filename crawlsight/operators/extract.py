@@ -18,6 +18,11 @@ from crawlsight.functions import urls as U
 
 # Elements that never have an end tag.
 VOID_TAGS = "area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr"
+# Elements that end an open paragraph.
+BLOCKS = (
+    "address|article|aside|blockquote|center|details|dialog|dir|div|dl|fieldset|figcaption|figure|footer|form|h[1-6]|header|hgroup|hr|"
+    "main|menu|nav|ol|p|pre|search|section|summary|table|ul"
+)
 
 # Wording that marks a question heading.
 QUESTION_WORDS = "what|why|how|when|where|who|which|can|does|do|is|are|will|should"
@@ -358,24 +363,33 @@ def page_features(pages: DataFrame) -> DataFrame:
 def section_words(body: Column) -> Column:
     """Words after each h2/h3 inside sibling elements, up to the next h2/h3 or the parent's end.
 
-    The fold keeps three numbers per section (open elements, words, ended), so it is linear.
+    The fold keeps four numbers per section (open elements, the open paragraph, words, ended), so it is linear. A
+    paragraph without an end tag ends where a block opens or what holds it closes.
     """
     sections = F.slice(F.split(body, r"(?is)<h[23](?=[\s/>])[^>]*+>.*?</h[23]\s*+>", -1), F.lit(2), F.lit(1 << 30))
 
     def words_in(section: Column) -> Column:
         tokens = F.regexp_extract_all(section, F.lit(M.TOKEN), F.lit(0))
-        start = F.struct(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("words"), F.lit(False).alias("done"))
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("p"), F.lit(0).cast("long").alias("words"), F.lit(False).alias("done"))
 
         def step(acc: Column, t: Column) -> Column:
             opens = t.rlike("(?i)^<[a-z]") & ~t.rlike(rf"(?i)^<(?:{VOID_TAGS})(?=[\s/>])|/>$|^<(?:script|style)\b")
-            closes = t.rlike("(?i)^</[a-z]")
-            is_text = ~t.startswith("<")
-            depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+            closes, is_text = t.rlike("(?i)^</[a-z]"), ~t.startswith("<")
+            depth, p = acc["depth"], acc["p"]
+            block, end_block = t.rlike(rf"(?i)^<(?:{BLOCKS})(?=[\s/>])"), t.rlike(rf"(?i)^</(?:{BLOCKS})\s*>")
+            ended = block & (p > 0)
+            before = F.when(ended, p - 1).otherwise(depth)
+            end_p = t.rlike(r"(?i)^</p\s*>")
+            outer = closes & ~end_p & (p > 0) & ((depth == p) | end_block)
+            after = (
+                F.when(opens, before + 1).when(end_p, F.when(p > 0, p - 1).otherwise(depth)).when(outer, p - 2)
+                .when(closes, depth - 1).otherwise(before))
+            paragraph = F.when(opens & t.rlike(r"(?i)^<p(?=[\s/>])"), before + 1).when(ended | end_p | outer, 0).otherwise(p)
             return F.when(acc["done"], acc).otherwise(F.struct(
-                depth.alias("depth"),
-                (acc["words"] + F.when(is_text & (acc["depth"] > 0), T.word_count(T.collapse_ws(t))).otherwise(0))
+                after.alias("depth"), paragraph.alias("p"),
+                (acc["words"] + F.when(is_text & (depth > 0), T.word_count(T.collapse_ws(t))).otherwise(0))
                 .cast("long").alias("words"),
-                (depth < 0).alias("done"),
+                (after < 0).alias("done"),
             ))
 
         return F.aggregate(tokens, start, step)["words"]

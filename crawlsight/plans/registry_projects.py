@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crawlsight.operators import extract as X
+from crawlsight.operators import dom as DOM
 from crawlsight.operators import source_code as SC
+from crawlsight.plans import oracle_dom as OD
 from crawlsight.plans import oracle_pages as OP
 from crawlsight.plans.catalog import register
 from crawlsight.plans.registry_rest import PF, _files, _src
@@ -37,15 +38,7 @@ register("ext_source_tags", PF + """ SELECT p_partkey, ((p_size % 3 = 0 AND p_si
         F.size("tags").cast("long").alias("n_img")))
 
 
-@register("audit_element_annotations", OP.FEATURES + """, a AS (SELECT page_id, 'img-alt' AS rule_id, n_no_alt AS n FROM f UNION ALL SELECT page_id, 'h1-extra', greatest(n_h1 - 1, 0) FROM f UNION ALL SELECT page_id, 'noindex', (lower(meta_robots) LIKE '%noindex%')::INT FROM f
- UNION ALL SELECT page_id, 'generic-cta', len(list_filter(cta_texts, t -> t IN ('submit', 'click here', 'here', 'go', 'learn more', 'read more'))) FROM f)
-SELECT page_id, rule_id, n::BIGINT AS n FROM a WHERE n > 0""".replace("t -> ", "lambda t: "))
-def audit_element_annotations(spark, sf):
-    """Offending elements per page and rule."""
-    f = X.page_features(G.audit_pages(spark, sf))
-    rows = F.array(*[F.struct(F.lit(r).alias("rule_id"), n.cast("long").alias("n")) for r, n in (
-        ("img-alt", c("n_img_no_alt")), ("h1-extra", F.greatest(c("n_h1") - 1, F.lit(0))), ("noindex", c("meta_robots").rlike("(?i)noindex").cast("int")), ("generic-cta", c("n_generic_ctas")))])
-    return f.select("page_id", F.inline_outer(rows)).filter(c("n") > 0)
+register("audit_element_annotations", OD.ANNOTATIONS)(lambda s, sf: DOM.annotations(G.audit_pages(s, sf)).select("page_id", "rule_id", "start"))
 
 
 @register("join_site_signals", OP.AUDIT_PAGES.join(["WITH ", " "]) + "SELECT page_id, site, rule_id FROM ap, (SELECT unnest(['robots-missing', 'sitemap-missing']) AS rule_id) WHERE depth = 0")

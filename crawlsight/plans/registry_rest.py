@@ -8,6 +8,7 @@ from crawlsight.functions import markup as M
 from crawlsight.functions import text as T
 from crawlsight.functions import urls as U
 from crawlsight.operators import custom as CU
+from crawlsight.operators import dom as DOM
 from crawlsight.operators import extract as X
 from crawlsight.operators import fix as FX
 from crawlsight.operators import generate as GE
@@ -15,6 +16,7 @@ from crawlsight.operators import page_rules as R
 from crawlsight.operators import score as S
 from crawlsight.operators import source_code as SC
 from crawlsight.operators import stack as ST
+from crawlsight.plans import oracle_dom as OD
 from crawlsight.plans import oracle_pages as OP
 from crawlsight.plans.catalog import register
 from crawlsight.plans.oracle_links import normalize
@@ -64,7 +66,7 @@ def win_heading_skip(spark, sf):
 register("win_heading_clamp", HEADINGS.replace("WITH ", "WITH RECURSIVE ", 1) + """, w(page_id, pos, cur, seq) AS (SELECT page_id, 0, level, level::VARCHAR FROM hd WHERE pos = 0
  UNION ALL SELECT hd.page_id, hd.pos, least(hd.level, w.cur + 1), w.seq || least(hd.level, w.cur + 1) FROM w JOIN hd ON hd.page_id = w.page_id AND hd.pos = w.pos + 1)
 SELECT ap.page_id, coalesce(m.seq, '') AS levels FROM ap LEFT JOIN (SELECT page_id, arg_max(seq, pos) AS seq FROM w GROUP BY 1) m USING (page_id)""")(lambda s, sf: FX.clamp_levels(_pages(s, sf)))
-register("ext_sections")(lambda s, sf: _feat(s, sf).filter(c("n_h23") >= 2).select("page_id", "n_h23", "max_section_words"))
+register("ext_sections", OD.SECTIONS)(lambda s, sf: DOM.sections(_pages(s, sf)))
 register("ext_jsonld", f"""WITH cat AS ({G.CATALOG_PAGES}), t AS (SELECT page_id, unnest(CASE p_type WHEN 'STANDARD' THEN ['Product'] WHEN 'PROMO' THEN ['Organization', 'WebSite'] WHEN 'SMALL' THEN ['FAQPage', 'BreadcrumbList']
  WHEN 'LARGE' THEN ['NewsArticle'] WHEN 'MEDIUM' THEN ['LocalBusiness,Shop_Front'] ELSE []::VARCHAR[] END) AS types FROM cat) SELECT * FROM t""")(
     lambda s, sf: X.jsonld_nodes(_pages(s, sf)).filter(F.size("types") > 0).select("page_id", F.array_join("types", ",").alias("types")))
@@ -72,8 +74,7 @@ register("ext_jsonld_strict", f"SELECT page_id, CASE WHEN p_type = 'ECONOMY' THE
     lambda s, sf: _feat(s, sf).select("page_id", "n_ld_blocks", "n_ld_empty", "n_ld_bad"))
 register("ext_microdata_rdfa", OP.FEATURES + " SELECT page_id, n_scope::BIGINT AS n_itemscope, n_scope_untyped::BIGINT AS n_untyped, has_typeof, has_vocab FROM f")(
     lambda s, sf: _feat(s, sf).select("page_id", "n_itemscope", c("n_itemscope_untyped").alias("n_untyped"), "has_typeof", "has_vocab"))
-register("ext_form_fields", OP.FEATURES + " SELECT page_id, n_inputs::BIGINT AS n_inputs, n_unlabelled::BIGINT AS n_unlabelled, n_fields::BIGINT AS n_form_fields FROM f")(
-    lambda s, sf: _feat(s, sf).select("page_id", "n_inputs", "n_unlabelled", "n_form_fields"))
+register("ext_form_fields", OD.FIELDS)(lambda s, sf: DOM.form_fields(_pages(s, sf)))
 register("join_label_inputs", OP.FEATURES + " SELECT page_id, n_unlabelled::BIGINT AS n FROM f WHERE n_unlabelled > 0")(
     lambda s, sf: X.unlabelled_inputs(_pages(s, sf)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n")))
 _lacks = [("Product", "STANDARD", "''"), ("Organization", "PROMO", "CASE WHEN p_size % 2 <> 0 THEN 'url' ELSE '' END"), ("WebSite", "PROMO", "''"),
@@ -187,7 +188,7 @@ register("audit_fix_plan", _all(PLAN, "SELECT * FROM pl WHERE status IS NOT NULL
 register("agg_fix_summary", _all(PLAN, "SELECT page_id, count_if(status = 'fixed')::BIGINT AS fixed, count_if(status = 'ai-needed')::BIGINT AS ai_needed, count_if(status = 'skipped')::BIGINT AS skipped FROM pl WHERE status IS NOT NULL GROUP BY 1"))(lambda s, sf: FX.summary(_plan(s, sf)))
 register("set_open_fix_items", _all(PLAN, "SELECT page_id, rule_id, 'target' AS item FROM pl WHERE status = 'ai-needed' AND rule_id <> 'title' UNION ALL SELECT page_id, rule_id, 'result' FROM pl WHERE status = 'skipped'"))(
     lambda s, sf: (lambda p: FX.open_items(p, p.filter(c("rule_id") == "title").select("page_id", "rule_id")))(_plan(s, sf)))
-register("fix_repaired_pages")(lambda s, sf: (lambda p: FX.repaired(X.page_features(p), p))(_pages(s, sf)))
+register("fix_repaired_pages", OD.REPAIRED)(lambda s, sf: DOM.repaired(_pages(s, sf)).select("page_id", "html"))
 BANK = "SELECT p_type AS kind, p_brand AS category, arg_max(p_name, p_partkey) AS value FROM part GROUP BY 1, 2"
 _parts = lambda s, sf: G.table(s, sf, "part").select(c("p_partkey").alias("target_id"), c("p_type").alias("kind"), c("p_brand").alias("category"), c("p_name").alias("value"), c("p_partkey").alias("seq"), F.when(c("p_size") % 2 == 0, "low").otherwise("high").alias("confidence"), "p_size")
 register("agg_fix_bank_update", BANK)(lambda s, sf: FX.bank(_parts(s, sf)))
