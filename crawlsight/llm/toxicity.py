@@ -252,12 +252,25 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]
     return a, max(b, 0.0)
 
 
+def frequencies(counted: DataFrame, n_terms: int) -> DataFrame:
+    """term, n: in how many documents each term is. A partition sends one row for each term that it has."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column("terms").flatten().to_numpy(), minlength=n_terms)
+        here = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(here, pa.int32()), "n": pa.array(n[here], pa.int64())})
+
+    return counted.select("terms").mapInArrow(tally, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def fit(texts: DataFrame, counted: DataFrame, terms: list[str], stands: dict[int, float], s: Settings) -> Model:
     """The model of the examples; document frequencies are those of ``counted``, the vectors of all documents."""
     n_docs = counted.count()
     frequency = np.zeros(len(terms))
-    for r in counted.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
-        frequency[r["term"]] = r["count"]
+    for r in frequencies(counted, len(terms)).collect():
+        frequency[r["term"]] = r["n"]
     idf = np.log1p(n_docs / np.maximum(frequency, 1))
     rows = vectors(texts, terms, s, ("doc_id", "toxic")).collect()  # at most 2 * per_class, of at most ``terms`` terms
     weight = lambda r: stands.get(r["toxic"], 1.0)
