@@ -1,7 +1,8 @@
 """Crawl graph: frontier search, redirect chains, descendants.
 
-Each loop runs once per level (a handful of joins), never per row; between levels the frontier is
-checkpointed, so lineage stays short and a lost executor only repeats one level.
+The frontier search runs once per level of the crawl; paths and pointers double, so that a chain of any length takes a
+logarithmic number of rounds. What a round leaves is stored in the shared folder: lineage stays short, and a lost
+executor only repeats one round.
 """
 
 from __future__ import annotations
@@ -40,30 +41,42 @@ def redirect_chains(redirects: DataFrame, max_hops: int = 8) -> DataFrame:
 
     ``redirects`` is (url, status, location). Result: url, hops, final_url, final_status, outcome in
     ok / error / no-location / loop / too-many / unknown.
+
+    Paths double: a URL's next 2k stops are its next k and the next k of the last of them, so ``max_hops`` takes
+    log2(max_hops) joins. A path holds ``max_hops`` stops at most, and what became of it is read off the row.
     """
-    step = redirects.select(c("url").alias("cur"), c("status").alias("st"), c("location").alias("loc"))
-    is_redirect = c("st").between(300, 399)
-    done_cols = ["url", "hops", "final_url", "final_status", "outcome"]
-    active = redirects.select("url", c("url").alias("cur"), F.array().cast("array<string>").alias("chain"))
-    finished = None
-    for hop in range(max_hops):
-        if hop and active.isEmpty():
-            break
-        j = active.join(step, "cur", "left")
-        loop = F.array_contains(F.array_append("chain", c("cur")), c("loc"))
-        outcome = (
-            F.when(c("st").isNull(), "unknown").when(~is_redirect, F.when(c("st") < 400, "ok").otherwise("error"))
-            .when(c("loc").isNull(), "no-location").when(loop, "loop")
-        )
-        # Only the loop test moves on to the next URL, as the fetcher does.
-        j = cut_lineage(j.withColumn("outcome", outcome))
-        over = j.filter(c("outcome").isNotNull()).select(
-            "url", F.size("chain").cast("long").alias("hops"),
-            F.when(c("outcome") == "loop", c("loc")).otherwise(c("cur")).alias("final_url"), c("st").alias("final_status"), "outcome")
-        finished = over if finished is None else finished.unionByName(over)
-        active = j.filter(c("outcome").isNull()).select("url", c("loc").alias("cur"), F.array_append("chain", c("cur")).alias("chain"))
-    left = active.select("url", F.size("chain").cast("long").alias("hops"), c("cur").alias("final_url"), F.lit(None).cast("int").alias("final_status"), F.lit("too-many").alias("outcome"))
-    return finished.unionByName(left).select(*done_cols)
+    spot = "struct<url:string,st:int,loc:string>"
+    steps = redirects.select("url", c("status").cast("int").alias("st"), c("location").alias("loc"))
+    goes_on = c("st").between(300, 399) & c("loc").isNotNull()
+    to = steps.select(c("url").alias("next"), F.struct("url", "st", "loc").alias("there"))
+    unknown = F.struct(c("next").alias("url"), F.lit(None).cast("int").alias("st"), F.lit(None).cast("string").alias("loc"))
+    one = F.when(c("next").isNull(), F.array().cast(f"array<{spot}>")).otherwise(F.array(F.coalesce("there", unknown)))
+    paths = stored(
+        steps.withColumn("next", F.when(goes_on, c("loc"))).join(to, "next", "left")
+        .select("url", F.struct("url", "st", "loc").alias("start"), one.alias("path")), "redirect-paths")
+    reach = 1
+    while reach < max_hops:
+        last = F.when(F.size("path") == reach, F.element_at("path", -1)["url"])
+        on = paths.select(c("url").alias("last"), c("path").alias("more")).filter(F.size("more") > 0)
+        paths = stored(
+            paths.withColumn("last", last).join(on, "last", "left")
+            .select("url", "start", F.concat("path", F.coalesce("more", F.array().cast(f"array<{spot}>"))).alias("path")), "redirect-paths")
+        reach *= 2
+    # the stops that are looked at, in order; the first with an outcome ends the walk
+    stops = paths.select("url", F.concat(F.array("start"), F.slice("path", 1, max_hops)).alias("stops"))
+
+    def outcome(x, i):
+        before = F.transform(F.slice("stops", F.lit(1), i + 1), lambda y: y["url"])
+        st, loc = x["st"], x["loc"]
+        return (
+            F.when(i >= max_hops, "too-many").when(st.isNull(), "unknown").when(~st.between(300, 399), F.when(st < 400, "ok").otherwise("error"))
+            .when(loc.isNull(), "no-location").when(F.array_contains(before, loc), "loop"))
+
+    ends = F.transform("stops", lambda x, i: F.struct(i.cast("long").alias("hops"), outcome(x, i).alias("outcome"), x["url"].alias("at"), x["st"].alias("st"), x["loc"].alias("loc")))
+    end = stops.select("url", F.get(F.filter(ends, lambda x: x["outcome"].isNotNull()), F.lit(0)).alias("e"))
+    return end.select(
+        "url", "e.hops", F.when(c("e.outcome") == "loop", c("e.loc")).otherwise(c("e.at")).alias("final_url"),
+        F.when(c("e.outcome") != "too-many", c("e.st")).alias("final_status"), "e.outcome")
 
 
 def page_tree(pages: DataFrame) -> DataFrame:
@@ -74,30 +87,27 @@ def page_tree(pages: DataFrame) -> DataFrame:
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """``agg_descendants``: nodes below each node of (node, parent).
+    """``agg_descendants``: nodes below each node of (node, parent). A parent that is no node itself counts as none.
 
-    Counts move up one level per round: a node passes its finished count to its parent, so no
-    (ancestor, node) pairs are made. There are as many rounds as levels; a tree has no more levels than nodes, so more
-    rounds mean a cycle, which is an error.
+    Pointers double: after k rounds a node knows its 2^k-th ancestor and how many nodes lie less than 2^k levels below
+    it. A round adds the counts of the nodes that point at a node and lets each point where its ancestor points, so a
+    tree of d levels takes log2(d) + 1 rounds. Pointers that are left when 2^k exceeds the number of nodes run in a
+    cycle, which is an error.
     """
     n_nodes = tree.count()
-    level = tree.select("node", "parent")
-    total = tree.select("node", F.lit(0).cast("long").alias("n"))
-    moving = level.select(c("parent").alias("node"), F.lit(1).cast("long").alias("n")).filter(c("node").isNotNull()).groupBy("node").agg(F.sum("n").alias("n"))
-    parents = tree.select("node", "parent")
-    parts = [total]
-    while True:
-        moving = cut_lineage(moving)
-        if moving.isEmpty():
-            break
-        if len(parts) > n_nodes:
+    known = tree.select(c("node").alias("parent"), F.lit(True).alias("known"))
+    state = stored(tree.select("node", "parent").join(known, "parent", "left").select("node", F.when(c("known"), c("parent")).alias("up"), F.lit(1).cast("long").alias("n")), "tree")
+    reach = 1
+    while not state.filter(c("up").isNotNull()).isEmpty():
+        if reach > n_nodes:
             raise ValueError("the tree has a cycle")
-        parts.append(moving)
-        moving = moving.join(parents, "node").filter(c("parent").isNotNull()).groupBy(c("parent").alias("node")).agg(F.sum("n").alias("n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("node").agg(F.sum("n").alias("n_descendants"))
+        below = state.filter(c("up").isNotNull()).groupBy(c("up").alias("node")).agg(F.sum("n").alias("more"))
+        over = state.filter(c("up").isNotNull()).select(c("node").alias("up"), c("up").alias("next"))
+        state = stored(
+            state.join(over, "up", "left").join(below, "node", "left")
+            .select("node", c("next").alias("up"), (c("n") + F.coalesce("more", F.lit(0))).alias("n")), "tree")
+        reach *= 2
+    return state.select("node", (c("n") - 1).alias("n_descendants"))
 
 
 def crawl_source(found: DataFrame) -> DataFrame:

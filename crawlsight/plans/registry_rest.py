@@ -22,6 +22,7 @@ from crawlsight.plans.catalog import register
 from crawlsight.plans.oracle_links import normalize
 from crawlsight.plans.registry_scores import CARD, CAT, CHANGES, PCS, SC as SCAN_CTES, _all, _audited, _findings
 from crawlsight.sources import given as G
+from crawlsight.sources import projects as PJ
 from crawlsight.streaming import jobs as J
 
 c = F.col
@@ -141,7 +142,16 @@ def _files(s, sf):
     return SC.kept_files(G.run(s, sf, G.PROJECT_FILES))
 
 
-register("src_project_files", PF + " SELECT project, p AS path, length(content) AS n FROM pf")(lambda s, sf: _files(s, sf).select("project", "path", F.length("content").cast("long").alias("n")))
+
+
+@register("src_project_files", PF + " SELECT project, regexp_replace(p, '(^|/)(\\.\\.?(/|$))+', '\\1', 'g') AS path, strlen(content) AS n FROM pf")
+def src_project_files(spark, sf):
+    """The projects as archives of up to a thousand files, read by way of their directories."""
+    files = G.run(spark, sf, G.PROJECT_FILES).withColumn("part", F.floor(c("p_partkey") / 1000))
+    read = PJ.archived_files(PJ.zipped(files, ["project", "part"])).filter("problem is null")
+    return SC.kept_files(read.withColumn("project", F.substring_index("archive", "/", 1))).select("project", "path", c("size").alias("n"))
+
+
 register("flt_page_level_file", PF + " SELECT p_partkey, p_type IN ('MEDIUM', 'LARGE', 'PROMO', 'STANDARD') AS page_level FROM pf")(lambda s, sf: _files(s, sf).select("p_partkey", SC.page_level(c("path")).alias("page_level")))
 register("ext_next_routes", PF + " SELECT p_partkey, '/p' || p_partkey AS route FROM pf WHERE p_type = 'MEDIUM'")(lambda s, sf: _files(s, sf).select("p_partkey", SC.next_route(c("path")).alias("route")).filter(c("route").isNotNull()))
 _img = "p_size % 11 <> 0"
