@@ -4,9 +4,10 @@ Documents longer than a sequence are cut; what is packed are pieces of 1 to ``ca
 length are interchangeable, so the plan is made over the number of pieces of each length - at most ``capacity`` numbers,
 whatever the size of the corpus - and the pieces then look up their places by (length, rank among that length).
 
-The plan goes from the longest length down. The gap that a piece leaves is looked up as a single length, then in the
-sums of two and of three lengths; a combination that fills the gap exactly is used as often as its lengths last. What no
-combination completes is packed best-fit, longest first.
+The plan goes from the longest length down. The gap that a piece leaves is looked up as a single length, then, for long
+pieces, in the sums of two and of three lengths; a combination that fills the gap exactly is used as often as its lengths
+last. What no combination completes is packed best-fit, longest first. How long is long is chosen by the number of
+sequences, so that there are never more than best-fit alone makes.
 """
 
 from __future__ import annotations
@@ -49,41 +50,59 @@ class Lengths:
             self.free[x] -= n
 
     def pair(self, total: int, most: int) -> tuple[int, int] | None:
-        """Two free lengths of this sum, the larger one as large as it can be."""
+        """Two free lengths of this sum, as alike as can be: short pieces are kept, which fill what others leave."""
         high = min(most, total - 1)
         low = (total + 1) // 2
         if high < low:
             return None
-        a = np.arange(high, low - 1, -1)
+        a = np.arange(low, high + 1)
         both = np.flatnonzero((self.free[a] > 0) & (self.free[total - a] > (a == total - a)))
         return (int(a[both[0]]), total - int(a[both[0]])) if both.size else None
 
     def triple(self, total: int, most: int) -> tuple[int, int, int] | None:
-        for a in range(min(most, total - 2), (total + 2) // 3 - 1, -1):
+        for a in range((total + 2) // 3, min(most, total - 2) + 1):
             if self.free[a] > 0 and (two := self.pair(total - a, a)) and self.times((a, *two)) > 0:
                 return (a, *two)
         return None
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
-    """Sequences for so many pieces of each length. Every piece is placed once; no sequence is over ``capacity``."""
+def exact(counts: dict[int, int], capacity: int, least: int) -> tuple[list[Pattern], dict[int, int]]:
+    """Sequences that are filled to the last token, and the pieces that are left.
+
+    All full pieces first, then the gaps that one piece fills exactly, then, of pieces of ``least`` and more, those of
+    two and of three, each from the longest piece down.
+    """
     lengths, out = Lengths(counts, capacity), []
-    for longest in range(capacity, 0, -1):
-        gap = capacity - longest
-        finders = (
-            lambda: () if gap == 0 else None,
-            lambda: (gap,) if 0 < gap <= longest and lengths.free[gap] > 0 else None,
-            lambda: lengths.pair(gap, longest) if gap > 1 else None,
-            lambda: lengths.triple(gap, longest) if gap > 2 else None,
-        )
-        for find in finders:
-            while lengths.free[longest] > 0 and (rest := find()) is not None:
+    finders = (
+        (1, lambda gap, longest: () if gap == 0 else None),
+        (1, lambda gap, longest: (gap,) if 0 < gap <= longest and lengths.free[gap] > 0 else None),
+        (least, lambda gap, longest: lengths.pair(gap, longest) if gap > 1 else None),
+        (least, lambda gap, longest: lengths.triple(gap, longest) if gap > 2 else None),
+    )
+    for down_to, find in finders:
+        for longest in range(capacity, down_to - 1, -1):
+            while lengths.free[longest] > 0 and (rest := find(capacity - longest, longest)) is not None:
                 n = lengths.times((longest, *rest))
                 if n == 0:  # the combination needs the last piece of this length more than once
                     break
                 lengths.take((longest, *rest), n)
                 out.append(((longest, *rest), n))
-    return out + best_fit({x: int(n) for x, n in enumerate(lengths.free) if n}, capacity)
+    return out, {x: int(n) for x, n in enumerate(lengths.free) if n}
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
+    """Sequences for so many pieces of each length. Every piece is placed once; no sequence is over ``capacity``.
+
+    Exact complements, then best-fit for the rest. Sums of two and three fill gaps without waste, but spend the short
+    pieces that longer ones would need: down to which length they pay is found by planning with several, and the plan
+    with the fewest sequences (of equal ones that with the most exact complements) is it. Best-fit alone is tried too.
+    """
+    plans = []
+    for sixteenth in range(18):
+        filled, rest = exact(counts, capacity, sixteenth * capacity // 16 + 1)
+        plans.append(filled + best_fit(rest, capacity))
+    plans.append(best_fit(counts, capacity))
+    return min(plans, key=lambda p: sum(n for _, n in p))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:

@@ -145,3 +145,25 @@ def test_packing(spark):
 
 def test_odd_rows_are_all_there():
     assert len(ODD) == 12
+
+
+def test_never_more_sequences_than_best_fit_alone():
+    rnd = random.Random(6)
+    for _ in range(25):
+        top = rnd.choice([64, 300, 1024])
+        counts = collections.Counter(min(1024, max(1, int(rnd.lognormvariate(4, 1.3)) if rnd.random() < 0.7 else rnd.randint(1, top))) for _ in range(rnd.randint(1, 3000)))
+        patterns = packing.plan(dict(counts))
+        placed = collections.Counter()
+        for lengths, n in patterns:
+            assert sum(lengths) <= 1024
+            for x in lengths:
+                placed[x] += n
+        assert placed == counts
+        n_best = sum(n for _, n in packing.best_fit(dict(counts), 1024))
+        assert -(-sum(x * n for x, n in counts.items()) // 1024) <= sum(n for _, n in patterns) <= n_best
+
+
+def test_the_given_documents_fill_their_sequences(spark):
+    rows = packing.packed(given(spark, "sf0.01")).groupBy("sequence_id").sum("length").collect()
+    total = sum(r[1] for r in rows)
+    assert len(rows) <= 966 and -(-total // 1024) == 962
