@@ -73,12 +73,17 @@ def der_block(token: str) -> bool:
 
 @dataclass(frozen=True)
 class Kind:
-    """``keywords`` stand where a match starts; ``holds`` decides on a match; a failed one still takes its characters."""
+    """``keywords`` stand where a match starts; ``holds`` decides on a match; a failed one still takes its characters.
+
+    Where there is no match, all of ``run`` from there on would fail in the same way and is left out, so that a long run
+    of keywords is read once.
+    """
 
     name: str
     keywords: tuple[str, ...]
     pattern: str
     holds: Callable[[re.Match], bool]
+    run: str | None = None
 
 
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -96,7 +101,7 @@ BASE = (
 CHECKED = (
     Kind("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])", lambda m: crc_base62(m[0], 4)),
     Kind("npm", ("npm_",), r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])", lambda m: crc_base62(m[0], 4)),
-    Kind("jwt", ("eyJ",), r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", lambda m: jwt_header(m[0])),
+    Kind("jwt", ("eyJ",), r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", lambda m: jwt_header(m[0]), "[A-Za-z0-9_-]+"),
     Kind("pem", ("-----BEGIN ",), r"-----BEGIN (?:RSA |EC |DSA |ENCRYPTED )?PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:RSA |EC |DSA |ENCRYPTED )?PRIVATE KEY-----", lambda m: der_block(m[0])),
     Kind("card", ("card=", "card:", "card number"), r"card(?: number)?[:=]?\x20*[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", lambda m: luhn(m[0])),
 )
@@ -109,6 +114,7 @@ class Scanner:
     def __init__(self, kinds: tuple[Kind, ...] = KINDS):
         self.kinds = kinds
         self.patterns = [re.compile(k.pattern) for k in kinds]
+        self.runs = [k.run and re.compile(k.run) for k in kinds]
         owners: dict[str, list[int]] = {}
         for i, kind in enumerate(kinds):
             for word in kind.keywords:
@@ -129,12 +135,16 @@ class Scanner:
                 starts[i].append(end - length + 1)
         out = []
         for i, at in enumerate(starts):
-            free, match, holds = 0, self.patterns[i].match, self.kinds[i].holds
+            free, match, holds, run = 0, self.patterns[i].match, self.kinds[i].holds, self.runs[i]
             for start in sorted(at):
-                if start >= free and (m := match(text, start)):
+                if start < free:
+                    continue
+                if m := match(text, start):
                     free = m.end()
                     if holds(m):
                         out.append((start, i, free))
+                elif run and (m := run.match(text, start)):
+                    free = m.end()
         return sorted(out)
 
 
@@ -178,7 +188,10 @@ def without(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]"
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with the secrets in ``text`` replaced; where there is a column n_chars it is the new length."""
+    """``docs`` with the secrets in ``text`` replaced; where there is a column n_chars it is the new length.
+
+    Null and empty texts stay as they are, a null n_chars stays null, and every row stays, repeated or not.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
