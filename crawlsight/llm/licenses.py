@@ -116,6 +116,10 @@ LATER_SENTENCES = {
     "name-gpl3-plain": "GPL-3.0",
     "name-gpl3-only": "GPL-3.0-only",
     **{f"name-lgpl-{v}{e}": f"LGPL-{v}{e}" for v in ("2.0", "2.1", "3.0") for e in ("", "-only", "-or-later")},
+    "either-2.1": "either version 2.1 of the License, or (at your option) any later version.",
+    "either-3": "either version 3 of the License, or (at your option) any later version.",
+    "lgpl2.1-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "name-bsd2": "BSD-2-Clause",
     "name-unlicense": "Unlicense",
     "name-cc-by-nc-4": "CC-BY-NC-4.0",
@@ -131,31 +135,47 @@ LATER_RULES = (
     ("GPL-2.0-or-later", ("spdx", "name-gpl2-later")),
     ("GPL-3.0", ("spdx", "name-gpl3-plain")),
     ("GPL-3.0", ("spdx", "name-gpl3-only")),
-    *(("LGPL", ("spdx", name)) for name in LATER_SENTENCES if name.startswith("name-lgpl")),
+    *((f"LGPL-{v}{'-or-later' if e == '-or-later' else ''}", ("spdx", f"name-lgpl-{v}{e}")) for v in ("2.0", "2.1", "3.0") for e in ("", "-only", "-or-later")),
+    *((f"LGPL-{v}-or-later", (work, "lgpl-terms", end)) for v, end in (("2.0", "gpl2-terms-end"), ("2.1", "either-2.1"), ("3.0", "either-3")) for work in ("lgpl-library", "gpl-free")),
+    *((f"LGPL-{v}-or-later", (work, terms)) for v, terms in (("2.1", "lgpl2.1-terms"), ("3.0", "lgpl3-terms")) for work in ("lgpl-library", "gpl-free")),
     ("BSD-2-Clause", ("spdx", "name-bsd2")),
     ("Unlicense", ("spdx", "name-unlicense")),
     ("CC-BY-NC-4.0", ("spdx", "name-cc-by-nc-4")),
     ("CC-BY-SA-4.0", ("spdx", "name-cc-by-sa-4")),
     ("CC-BY-4.0", ("spdx", "name-cc-by-4")),
 )
-ORDER = list(dict.fromkeys(licence for licence, _ in RULES))
+ORDER = list(dict.fromkeys(licence for licence, _ in (*RULES, *LATER_RULES)))
 #: The rules of a licence together, in the order of the answer.
 ALL_RULES = sorted((*RULES, *LATER_RULES), key=lambda r: ORDER.index(r[0]))
 #: Every rule has a sentence with one of these in it, within a word: a text without all of them has no licence.
 ANCHORS = ("licens", "permission", "redistribut", "unencumbered")
-ENDS = r"[.;:!?]+(?=\s)|\n\s*\n"
-LINE_ENDS = r"[.;:!?]+(?=\s)|\n"
+#: A run of marks is looked at once, as a whole.
+MARKS = r"(?<![.;:!?])[.;:!?]++(?=\s)"
+ENDS = MARKS + r"|\n\s*\n"
+LINE_ENDS = MARKS + r"|\n"
+#: The rest of a line behind the SPDX mark, and what stands between the names of an expression.
+EXPRESSION = r"spdx-license-identifier:[ \t]*([^\r\n]*)"
+OPERATORS = r"[ \t]+(?:or|and|with[ \t]+[^ \t()]+)(?=[ \t(]|$)|[()*/>]"
 
 
 def normalised(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
-NUMBERS = {name: i for i, name in enumerate(SENTENCES)}
-BY_TEXT = {normalised(s): NUMBERS[name] for name, s in SENTENCES.items()}
 ALL_SENTENCES = SENTENCES | LATER_SENTENCES
 ALL_NUMBERS = {name: i for i, name in enumerate(ALL_SENTENCES)}
 ALL_BY_TEXT = {normalised(s): ALL_NUMBERS[name] for name, s in ALL_SENTENCES.items()}
+#: What an SPDX name means, by its normalised form.
+BY_NAME = {normalised(ALL_SENTENCES[sequence[1]]): licence for licence, sequence in ALL_RULES if sequence[0] == "spdx"}
+
+
+def as_line(sequence: tuple[str, ...]) -> str:
+    return "".join(f"<{ALL_NUMBERS[s]}>" for s in sequence)
+
+
+def longer_rules(licence: str, sequence: tuple[str, ...]) -> list[str]:
+    """Lines of other licences' rules of which this one is a part: where they match, it does not count."""
+    return [as_line(other) for name, other in ALL_RULES if name != licence and len(other) > len(sequence) and as_line(sequence) in as_line(other)]
 
 
 def identifiers(low: Column, ends: str) -> Column:
@@ -167,8 +187,15 @@ def identifiers(low: Column, ends: str) -> Column:
     return F.transform(known, lambda s: F.element_at(numbers, s))
 
 
+def spdx_names(low: Column) -> Column:
+    """Normalised names in the SPDX expressions of a lower-cased text."""
+    parts = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(EXPRESSION), F.lit(1)), lambda x: F.split(x, OPERATORS)))
+    named = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, "[^a-z0-9]+", " ")))
+    return F.when(low.contains("spdx-license-identifier:"), named).otherwise(F.array().cast("array<string>"))
+
+
 def line(ids: Column) -> Column:
-    return F.concat(F.lit(","), F.array_join(ids.cast("array<string>"), ","), F.lit(","))
+    return F.concat(F.lit("<"), F.array_join(ids.cast("array<string>"), "><"), F.lit(">"))
 
 
 def licences(docs: DataFrame) -> DataFrame:
@@ -176,19 +203,24 @@ def licences(docs: DataFrame) -> DataFrame:
 
     A text without a word of ANCHORS has n_known 0 and no sentences: no rule can match there. For the others,
     sentences names the known sentences in the order of the text (comma-joined), n_known their number. licences are
-    those whose rule's identifiers stand one after the other among them, each once, in the order of the rules. A null or
-    empty text has none. Rows are independent of each other; other columns are ignored.
+    those whose rule's identifiers stand one after the other among them, and not as part of a longer rule of another
+    licence there, or that an SPDX expression names, each once, in the order of the rules. A null or empty text has none. Rows are independent of each other; other columns are ignored.
     """
     # the normalised sentence has no plus sign
     low = F.regexp_replace(F.translate("text", UPPER, LOWER), r"(gpl-[0-9.]+)\+", "$1-or-later")
     maybe = reduce(lambda a, b: a | b, [F.lower("text").contains(a) for a in ANCHORS])
     none = F.array().cast("array<int>")
-    found = docs.select("doc_id", F.when(maybe, F.struct(identifiers(low, ENDS).alias("run"), identifiers(low, LINE_ENDS).alias("lines"))).alias("ids"))
-    ids = found.select("doc_id", *[F.coalesce(F.col("ids")[k], none).alias(k) for k in ("run", "lines")])
+    found = docs.select("doc_id", F.when(maybe, F.struct(identifiers(low, ENDS).alias("run"), identifiers(low, LINE_ENDS).alias("lines"))).alias("ids"), spdx_names(low).alias("spdx"))
+    ids = found.select("doc_id", *[F.coalesce(F.col("ids")[k], none).alias(k) for k in ("run", "lines")], "spdx")
     matched = []
-    for licence, sequence in ALL_RULES:
-        wanted = "," + ",".join(str(ALL_NUMBERS[s]) for s in sequence) + ","
-        matched.append(F.when(line(F.col("run")).contains(wanted) | line(F.col("lines")).contains(wanted), F.lit(licence)))
+    for licence in ORDER:
+        for sequence in (own for name, own in ALL_RULES if name == licence):
+            for c in ("run", "lines"):
+                seen = reduce(lambda x, other: F.replace(x, F.lit(other), F.lit("<>")), longer_rules(licence, sequence), line(F.col(c)))
+                matched.append(F.when(seen.contains(as_line(sequence)), F.lit(licence)))
+        names = [name for name, own in BY_NAME.items() if own == licence]
+        if names:
+            matched.append(F.when(F.arrays_overlap("spdx", F.array(*map(F.lit, names))), F.lit(licence)))
     longer = F.when(F.size("lines") > F.size("run"), F.col("lines")).otherwise(F.col("run"))
     names = F.array(*map(F.lit, ALL_SENTENCES))
     return ids.select(
@@ -200,32 +232,40 @@ def licences(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same rows in DuckDB SQL, for texts without LATER_SENTENCES."""
-    known = ", ".join(f"('{text}', {i}, '{list(SENTENCES)[i]}')" for text, i in BY_TEXT.items())
-    rules = ", ".join(f"({i}, '{licence}', ',{','.join(str(NUMBERS[s]) for s in sequence)},')" for i, (licence, sequence) in enumerate(RULES))
+    """The same rows in DuckDB SQL."""
+    known = ", ".join(f"('{text}', {i}, '{list(ALL_SENTENCES)[i]}')" for text, i in ALL_BY_TEXT.items())
+    lists = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::VARCHAR[]"
+    rules = ", ".join(f"({ORDER.index(licence)}, '{licence}', '{as_line(sequence)}', {lists(longer_rules(licence, sequence))})" for licence, sequence in ALL_RULES)
+    spdx = ", ".join(f"({ORDER.index(licence)}, '{licence}', '{name}')" for name, licence in BY_NAME.items())
     maybe = " OR ".join(f"contains(lower(text), '{a}')" for a in ANCHORS)
+    low = f"regexp_replace(translate(text, '{UPPER}', '{LOWER}'), '(gpl-[0-9.]+)\\+', '\\1-or-later', 'g')"
 
     def numbers(ends: str) -> str:
         # a look-ahead in the splitter is a captured blank here
-        cut = f"regexp_replace(translate(text, '{UPPER}', '{LOWER}'), '{ends}', ' \x01 ', 'g')"
-        plain = f"regexp_replace({cut}, '[^a-z0-9\x01]+', ' ', 'g')"
+        plain = f"regexp_replace(regexp_replace(low, '{ends}', ' \x01 ', 'g'), '[^a-z0-9\x01]+', ' ', 'g')"
         return f"list_filter(list_transform(string_split({plain}, '\x01'), lambda s: element_at(m, trim(s))[1]), lambda k: k IS NOT NULL)"
 
+    seen = lambda c: f"contains(list_reduce(list_prepend('<' || array_to_string({c}, '><') || '>', masks), lambda a, b: replace(a, b, '<>')), ids)"
     return f"""
-WITH known(txt, id, name) AS (VALUES {known}), rules(n, licence, ids) AS (VALUES {rules}),
+WITH known(txt, id, name) AS (VALUES {known}), rules(n, licence, ids, masks) AS (VALUES {rules}), spdx(n, licence, name) AS (VALUES {spdx}),
 maps AS (SELECT map(list(txt ORDER BY id), list(id ORDER BY id)) AS m, list(name ORDER BY id) AS names FROM known),
+lowered AS (SELECT doc_id, text, {low} AS low, row_number() OVER () AS r FROM documents),
 cut AS (
-  SELECT doc_id, row_number() OVER () AS r, names,
+  SELECT doc_id, r, names,
     CASE WHEN {maybe} THEN {numbers('[.;:!?]+[ \t\n\x0b\f\r]|\n[ \t\n\x0b\f\r]*\n')} ELSE [] END AS run,
     CASE WHEN {maybe} THEN {numbers('[.;:!?]+[ \t\n\x0b\f\r]|\n')} ELSE [] END AS lines
-  FROM documents, maps
+  FROM lowered, maps
 ), picked AS (
   SELECT *, CASE WHEN len(lines) > len(run) THEN lines ELSE run END AS longer FROM cut
+), expressions AS (
+  SELECT r, unnest(string_split(regexp_replace(expression, '[ \t]+(or|and|with[ \t]+[^ \t()]+)([ \t]|$)|[()*/>]', '\x01', 'g'), '\x01')) AS part
+  FROM (SELECT r, unnest(regexp_extract_all(low, 'spdx-license-identifier:[ \t]*([^\r\n]*)', 1)) AS expression
+    FROM lowered WHERE contains(low, 'spdx-license-identifier:'))
 ), hits AS (
   SELECT r, list(licence ORDER BY n) AS licences FROM (
-    SELECT r, licence, min(n) AS n FROM picked JOIN rules
-      ON contains(',' || array_to_string(run, ',') || ',', ids) OR contains(',' || array_to_string(lines, ',') || ',', ids)
-    WHERE len(longer) > 0 GROUP BY r, licence)
+    SELECT DISTINCT r, licence, n FROM (
+      SELECT r, licence, n FROM picked JOIN rules ON {seen('run')} OR {seen('lines')} WHERE len(longer) > 0
+      UNION ALL SELECT r, licence, n FROM expressions JOIN spdx ON trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) = name))
   GROUP BY r
 )
 SELECT doc_id, len(longer)::BIGINT AS n_known,

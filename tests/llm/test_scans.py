@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -119,13 +120,116 @@ MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLice
 
 def test_licences_in_their_published_layout(spark):
     spdx = {"GPL-2.0": "GPL-2.0", "GPL-2.0-only": "GPL-2.0", "GPL-2.0+": "GPL-2.0-or-later", "GPL-2.0-or-later": "GPL-2.0-or-later", "GPL-3.0-only": "GPL-3.0", "GPL-3.0+": "GPL-3.0-or-later"}
-    spdx |= {"LGPL-2.1-or-later": "LGPL", "LGPL-2.1+": "LGPL"} | {x: x for x in ("BSD-2-Clause", "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")}
+    spdx |= {"LGPL-2.1-or-later": "LGPL-2.1-or-later", "LGPL-2.1+": "LGPL-2.1-or-later"} | {x: x for x in ("BSD-2-Clause", "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")}
+    spdx |= {"MIT OR Apache-2.0": "MIT,Apache-2.0", "(MIT AND (ISC OR BSD-3-Clause))": "MIT,BSD-3-Clause,ISC", "GPL-2.0-or-later WITH Classpath-exception-2.0": "GPL-2.0-or-later", "MIT": "MIT", "Unknown-1.0": "", "MIT */": "MIT"}
     want = [(APACHE, "Apache-2.0"), ("".join(f" * {x}\n" for x in APACHE.splitlines()), "Apache-2.0"), (MPL, "MPL-2.0")]
     want += [(f"// SPDX-License-Identifier: {k}\ncode", v) for k, v in spdx.items()]
     got = licenses.licences(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")).collect()
     assert [r["licences"] for r in sorted(got)] == [v for _, v in want]
 
 
+BSD = """Copyright (c) 2024, Someone
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GNU = """This {work} is free software{semi} you can redistribute it and/or
+modify it under the terms of the GNU {kind} as published by the Free Software Foundation{comma} either
+version {version} of the License, or (at your option) any later version.
+
+This {work} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+{kind} for more details.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES.
+"""
+
+
+def gnu(kind, version, work="program", comma=";"):
+    return GNU.format(kind=kind, version=version, work=work, comma=comma, semi=";")
+
+
+def published():
+    """(text, its one licence)."""
+    general, lesser = "General Public License", "Lesser General Public License"
+    return [
+        (MIT, "MIT"),
+        (APACHE, "Apache-2.0"),
+        (MPL, "MPL-2.0"),
+        (ISC, "ISC"),
+        (BSD.format(""), "BSD-2-Clause"),
+        (BSD.format(ENDORSE), "BSD-3-Clause"),
+        (gnu(general, "2"), "GPL-2.0-or-later"),
+        (gnu(general, "3", comma=","), "GPL-3.0-or-later"),
+        (gnu(lesser, "2.1", "library"), "LGPL-2.1-or-later"),
+        (gnu(lesser, "3", "library"), "LGPL-3.0-or-later"),
+        (gnu(lesser, "3", comma=","), "LGPL-3.0-or-later"),
+        (gnu(lesser, "2", "library"), "LGPL-2.0-or-later"),
+        ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy it.\n", "Unlicense"),
+    ]
+
+
+def test_every_published_text_gives_its_licence_alone(spark):
+    texts = published()
+    twice = [(BSD.format(ENDORSE) * 2, "BSD-3-Clause"), (BSD.format(ENDORSE) + BSD.format(""), "BSD-3-Clause,BSD-2-Clause"), (MIT + "\n" + ISC, "MIT,ISC")]
+    rows = list(enumerate(texts + twice))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in rows], "doc_id long, text string")
+    got = licenses.licences(docs).collect()
+    assert {r["doc_id"]: r["licences"] for r in got} == {i: v for i, (_, v) in rows}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, (t, _) in rows] + [(90, "x SPDX-License-Identifier: MIT OR (ISC AND GPL-2.0+)\n"), (91, None)])
+    theirs = {r[0]: r[1:] for r in con.execute(licenses.oracle()).fetchall()}
+    assert {r["doc_id"]: (r["n_known"], r["sentences"], r["licences"]) for r in got} == {i: theirs[i] for i, _ in rows}
+    assert theirs[90][2] == "MIT,GPL-2.0-or-later,ISC" and theirs[91] == (0, "", "")
+
+
+LONG_RUNS = [unit * (1_000_000 // len(unit)) for unit in (".", "eyJ", "a", "漢", "\n", "gpl-2.", "password", "-----BEGIN ", "; ", "SPDX-License-Identifier: MIT OR ")]
+
+
+def test_long_runs_are_read_once(spark):
+    scan = secrets.scanner()
+    for text in LONG_RUNS:
+        began = time.process_time()
+        scan.spans(text)
+        assert time.process_time() - began < 2, text[:20]
+    for i, text in enumerate(LONG_RUNS):
+        docs = spark.createDataFrame([(i, "licens " + text)], "doc_id long, text string")
+        began = time.time()
+        assert licenses.licences(docs).count() == len(licenses.licences(docs).collect()) == 1
+        assert time.time() - began < 12, text[:20]  # two jobs, with their start
+
+
+def test_hits_in_a_run_that_fails_are_left_out_rightly():
+    rnd, kind = random.Random(8), next(k for k in secrets.KINDS if k.name == "jwt")
+    scan, plain = secrets.Scanner((secrets.Kind("jwt", kind.keywords, kind.pattern, lambda m: True, kind.run),)), re.compile(kind.pattern)
+    for _ in range(3000):
+        text = "".join(rnd.choice(["eyJ", "eyJ", ".", "a", "eyJa.eyJb.", "..", " ", "-"]) for _ in range(rnd.randint(1, 14)))
+        assert [(a, b) for a, _, b in scan.spans(text)] == [m.span() for m in plain.finditer(text)], text
+
+
 def test_every_rule_has_an_anchor_and_no_python():
     for _, sequence in licenses.RULES:
         assert any(a in licenses.SENTENCES[s].lower() for s in sequence for a in licenses.ANCHORS)
