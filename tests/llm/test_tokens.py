@@ -151,9 +151,9 @@ def test_never_more_sequences_than_best_fit_alone():
     rnd = random.Random(6)
     for _ in range(25):
         top = rnd.choice([64, 300, 1024])
-        counts = collections.Counter(min(1024, max(1, int(rnd.lognormvariate(4, 1.3)) if rnd.random() < 0.7 else rnd.randint(1, top))) for _ in range(rnd.randint(1, 3000)))
+        counts = Counter(min(1024, max(1, int(rnd.lognormvariate(4, 1.3)) if rnd.random() < 0.7 else rnd.randint(1, top))) for _ in range(rnd.randint(1, 3000)))
         patterns = packing.plan(dict(counts))
-        placed = collections.Counter()
+        placed = Counter()
         for lengths, n in patterns:
             assert sum(lengths) <= 1024
             for x in lengths:
