@@ -13,11 +13,13 @@ from crawlsight.operators import extract as X
 from crawlsight.operators import fix as FX
 from crawlsight.operators import generate as GE
 from crawlsight.operators import page_rules as R
+from crawlsight.operators import report as RP
 from crawlsight.operators import score as S
 from crawlsight.operators import source_code as SC
 from crawlsight.operators import stack as ST
 from crawlsight.plans import oracle_dom as OD
 from crawlsight.plans import oracle_pages as OP
+from crawlsight.plans import oracle_report as ORP
 from crawlsight.plans.catalog import register
 from crawlsight.plans.oracle_links import normalize
 from crawlsight.plans.registry_scores import CARD, CAT, CHANGES, PCS, SC as SCAN_CTES, _all, _audited, _findings
@@ -117,21 +119,21 @@ register("topk_keyword_search", "SELECT doc_id, score FROM (SELECT doc_id, ((len
     lambda s, sf: GE.keyword_search(G.table(s, sf, "documents"), "doc_id", "text", "tion heed of").select("doc_id", "score"))
 
 
-def _card(s, sf):
+SITE, DAY = "https://brand1.example.com/", "2024-01-31"
+
+
+def _report(s, sf, kind):
+    """The document as it was written."""
     audited = _audited(s, sf)
-    return S.category_cards(audited, R.findings_of(audited))
-
-
-CARDS = CAT + CARD
-register("sink_tsv", _all(CARDS, "SELECT concat_ws(chr(9), category, rule_id, severity, weight, n_affected) AS line FROM ci"))(lambda s, sf: (lambda k: k.select(GE.tsv_lines(k, ["category", "rule_id", "severity", "weight", "n_affected"]).alias("line")))(_card(s, sf)))
-register("sink_csv", _all(CARDS, "SELECT concat_ws(',', category, rule_id, severity, weight, n_affected) AS line FROM ci"))(lambda s, sf: (lambda k: k.select(GE.csv_lines(k, ["category", "rule_id", "severity", "weight", "n_affected"]).alias("line")))(_card(s, sf)))
-register("sink_json", _all(CARDS, """SELECT '{"category":"' || category || '","rule_id":"' || rule_id || '","weight":' || weight || '}' AS line FROM ci"""))(lambda s, sf: _card(s, sf).select(F.to_json(F.struct("category", "rule_id", "weight")).alias("line")))
-register("sink_yaml", _all(CARDS, """SELECT '  - id: "' || rule_id || '"' || chr(10) || '    severity: "' || severity || '"' || chr(10) || '    weight: ' || weight AS line FROM ci"""))(lambda s, sf: GE.yaml_lines(_card(s, sf)).select("line"))
-register("sink_markdown", _all(CARDS, "SELECT '- **[' || upper(severity) || ']** ' || rule_id || ' (' || n_affected || ')' AS line FROM ci UNION ALL SELECT '## ' || CASE category WHEN 'seo' THEN 'SEO' WHEN 'aeo' THEN 'AEO' WHEN 'geo' THEN 'GEO' WHEN 'speed' THEN 'Performance' WHEN 'a11y' THEN 'Accessibility' ELSE 'Conversions' END || ' (' || score || '/100)' FROM cs"))(
-    lambda s, sf: GE.markdown_lines(_card(s, sf)).select("line"))
-_label = "CASE category WHEN 'seo' THEN 'SEO' WHEN 'aeo' THEN 'AEO' WHEN 'geo' THEN 'GEO' WHEN 'speed' THEN 'Performance' WHEN 'a11y' THEN 'Accessibility' ELSE 'Conversions' END"
-register("sink_txt", _all(CARDS, f"SELECT rpad({_label}, 28, ' ') || ' ' || lpad(score::VARCHAR, 3, ' ') || '/100' AS line FROM cs UNION ALL SELECT '[' || {_label} || ']' FROM cs UNION ALL SELECT row_number() OVER (PARTITION BY category ORDER BY weight DESC, rule_id) || '. (' || upper(severity) || ', OPEN) ' || rule_id FROM ci"))(
-    lambda s, sf: GE.text_lines(_card(s, sf)).select("line"))
+    findings = R.findings_of(audited)
+    settled = findings.filter(~c("passed") & c("rule_id").contains("alt")).select("category", "rule_id").distinct()
+    out = f"{J.work_folder(s)}/report"
+    RP.write(RP.Report(audited, findings, settled, SITE, DAY), kind, out)
+    return s.read.text(out).withColumnRenamed("value", "line")
+
+
+for _kind in RP.FORMATS:
+    register(f"sink_{_kind}", _all(CAT + CARD, ORP.document(_kind, SITE, DAY)))(lambda s, sf, kind=_kind: _report(s, sf, kind))
 
 # --- source files
 
