@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 c = F.col
 
@@ -34,3 +37,32 @@ def run_rules(scan: DataFrame, rules: list[tuple[str, str | Callable[[DataFrame]
     if out is None:
         out = scan.limit(0).select(F.lit("").alias("custom_rule"), F.lit("").alias("severity"), F.lit("").alias("title"), "*")
     return out, errors
+
+
+def row_rules(scan: DataFrame, rules: dict[str, Callable], keys: list[str]) -> DataFrame:
+    """``udf_custom_rules`` as Python: each rule sees one row and says what it found (a text, or None for nothing).
+
+    The result has the ``keys`` of the row, whatever their types, and custom_rule, found, error. A rule that fails on a
+    row gives that row's error and goes on with the next; the other rules are not touched.
+    """
+
+    class RowRules:
+        @staticmethod
+        def analyze(scan: AnalyzeArgument) -> AnalyzeResult:
+            kept = [f for f in scan.dataType.fields if f.name in keys]
+            return AnalyzeResult(StructType(kept).add("custom_rule", "string").add("found", "string").add("error", "string"))
+
+        def eval(self, row: Row):
+            own = [row[k] for k in row.__fields__ if k in keys]
+            for name, rule in rules.items():
+                try:
+                    found = rule(row)
+                except Exception as e:  # user code
+                    yield (*own, name, None, f"{type(e).__name__}: {e}")
+                else:
+                    if found is not None:
+                        yield (*own, name, str(found), None)
+
+    name = f"row_rules_{uuid.uuid4().hex}"
+    scan.sparkSession.udtf.register(name, F.udtf(RowRules))
+    return scan.sparkSession.sql(f"SELECT * FROM {name}(TABLE({{scan}}))", scan=scan)

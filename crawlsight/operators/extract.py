@@ -515,6 +515,12 @@ def headings(pages: DataFrame) -> DataFrame:
     )
 
 
+def skip_reason(status: Column, content_type: Column) -> Column:
+    """``src_page_filter``: why a fetched page is not audited, NULL when it is."""
+    return F.when(~status.between(200, 299), F.concat(F.lit("HTTP "), status.cast("string"))).when(
+        (F.coalesce(content_type, F.lit("")) != "") & ~content_type.rlike("(?i)text/html"), "Not an HTML page")
+
+
 def unlabelled_inputs(pages: DataFrame) -> DataFrame:
     """``join_label_inputs``: fields outside a label that no label of their page names, one row each."""
     p = parsed_pages(pages).select("page_id", "inputs_outside_label", "label_for")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlsight.functions import markup as M
-from crawlsight.functions.text import escape_attr
 
 c = F.col
 
@@ -30,26 +29,6 @@ def summary(planned: DataFrame) -> DataFrame:
     return planned.groupBy("page_id").agg(n("fixed"), n("ai-needed"), n("skipped"))
 
 
-def repaired(features: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages with missing head tags added, a language set and extra first-level headings demoted."""
-    f = features.select("page_id", "canonical", "has_charset", "has_favicon", "meta_viewport", "html_lang", "og_url", "n_h1")
-    j = pages.select("page_id", "url", "html").join(f, "page_id")
-    u = escape_attr(c("url"))
-    head = F.concat(
-        F.when(~c("has_charset"), F.lit('<meta charset="UTF-8">')).otherwise(""),
-        F.when(c("meta_viewport") == "", F.lit('<meta name="viewport" content="width=device-width, initial-scale=1">')).otherwise(""),
-        F.when(c("canonical") == "", F.concat(F.lit('<link rel="canonical" href="'), u, F.lit('">'))).otherwise(""),
-        F.when(~c("has_favicon"), F.lit('<link rel="icon" href="/favicon.ico">')).otherwise(""),
-        F.when(c("og_url") == "", F.concat(F.lit('<meta property="og:url" content="'), u, F.lit('">'))).otherwise(""))
-    at = F.instr(F.lower("html"), "</head>")
-    html = F.when(at > 0, F.concat(F.substr(c("html"), F.lit(1), at - 1), head, F.substr(c("html"), at))).otherwise(c("html"))
-    html = F.when(c("html_lang") == "", F.regexp_replace(html, r"(?i)<html(?=[\s>])(?![^>]*\slang=)", '<html lang="en"')).otherwise(html)
-    j = j.withColumn("out", html)
-    cut = F.instr(F.lower("out"), "</h1>") + 4
-    demoted = F.concat(F.substr(c("out"), F.lit(1), cut), F.regexp_replace(F.substr(c("out"), cut + 1), r"(?i)<(/?)h1(?=[\s>])", "<$1h2"))
-    return j.select("page_id", F.when((c("n_h1") > 1) & (cut > 4), demoted).otherwise(c("out")).alias("html"))
-
-
 def clamp_levels(pages: DataFrame) -> DataFrame:
     """``win_heading_clamp``: a level may exceed the one before it by one; the clamped level feeds forward."""
     levels = F.transform(M.elements(M.skeleton(c("html")), "h[1-6]"), lambda e: F.substring(M.tag_name(e), 2, 1).cast("int"))
@@ -84,3 +63,28 @@ def open_items(planned: DataFrame, resolved: DataFrame) -> DataFrame:
     """``set_open_fix_items``: unresolved targets and reported findings as one work list."""
     targets = planned.filter(c("status") == "ai-needed").join(resolved, ["page_id", "rule_id"], "left_anti").select("page_id", "rule_id", F.lit("target").alias("item"))
     return targets.unionByName(planned.filter(c("status") == "skipped").select("page_id", "rule_id", F.lit("result").alias("item")))
+
+
+def response_values(raw: Column) -> Column:
+    """The values of a model's answer: id, value, low (it is unsure) of each fix whose id and value are texts.
+
+    A code fence around the JSON is tolerated; what is no JSON has no values.
+    """
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.trim(raw), r"(?i)^```(?:json)?", ""), r"```$", ""))
+    fixes = F.try_variant_get(F.try_parse_json(plain), "$.fixes", "array<variant>")
+    text = lambda x, key: F.when(F.schema_of_variant(F.try_variant_get(x, f"$.{key}", "variant")) == "STRING", F.try_variant_get(x, f"$.{key}", "string"))
+    rows = F.transform(fixes, lambda x: F.struct(text(x, "id").alias("id"), F.trim(text(x, "value")).alias("value"), F.coalesce(F.lower(text(x, "confidence")) == "low", F.lit(False)).alias("low")))
+    return F.coalesce(F.filter(rows, lambda r: r["id"].isNotNull() & (r["value"] != "")), F.array().cast("array<struct<id:string,value:string,low:boolean>>"))
+
+
+def rewrite_problem(original: Column, modified: Column, path: Column) -> Column:
+    """``audit_fix_integrity`` of a file written anew as a whole: why it must be rejected, NULL when it is sound."""
+    new = F.trim(modified)
+    n = lambda ch: F.length(new) - F.length(F.replace(new, F.lit(ch), F.lit("")))
+    sized = F.length(original) > 200
+    exports = lambda text: text.rlike(r"export\s+default")
+    whole = lambda text: text.rlike(r"(?i)<html[\s>]")
+    return (
+        F.when(new == "", "empty").when(sized & (F.length(new) < F.length(original) * 0.4), "truncated").when(sized & (F.length(new) > F.length(original) * 3), "padded")
+        .when(n("{") != n("}"), "curly-braces").when(n("(") != n(")"), "parentheses").when(n("[") != n("]"), "square-brackets")
+        .when(path.rlike(r"\.(tsx|jsx)$") & exports(original) & ~exports(new), "export-lost").when(whole(original) & ~whole(new), "html-lost"))

@@ -7,33 +7,44 @@ from pyspark.sql import functions as F
 
 from crawlsight.functions import text as T
 from crawlsight.functions import urls as U
+from crawlsight.session import stored
 
 c = F.col
 
-#: Expected entries of a sitemap file; the protocol allows 50,000, which hashing does not reach.
-SITEMAP_ENTRIES = 40_000
+#: Entries of a sitemap file, as many as the protocol allows.
+SITEMAP_ENTRIES = 50_000
+SITEMAP = '<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
 
 
-def sitemap_lines(pages: DataFrame, day: str) -> DataFrame:
-    """``gen_sitemap``: one <url> entry per page and the file it belongs to.
+def sitemap_lines(pages: DataFrame, day: str, entries: int = SITEMAP_ENTRIES) -> DataFrame:
+    """``gen_sitemap``: one <url> entry per page, in the order of addresses, and the file of its site it belongs to.
 
-    A site can hold a third of all pages, so files are not numbered by one sort per site: pages are
-    hashed into as many files as the site needs.
+    A site's files hold exactly ``entries`` pages each, but for the last. A site may have a third of all pages: they are
+    sorted by range over all tasks, and a page's number is its place in its range after the site's pages before it.
     """
-    sizes = pages.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
-    files = F.greatest(F.lit(1), F.ceil(c("n") / SITEMAP_ENTRIES)).cast("int")
+    placed = stored(pages.select("site", "url").repartitionByRange("site", "url").withColumn("range", F.spark_partition_id()), "sitemap-pages")
+    counts = placed.groupBy("site", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("site").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select("site", "range", F.coalesce(before, F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("site", "range").orderBy("url"))
     entry = F.concat(F.lit("  <url><loc>"), T.escape_xml(c("url")), F.lit(f"</loc><lastmod>{day}</lastmod></url>"))
-    return pages.join(sizes, "site").select(
-        "site", F.pmod(F.xxhash64("url"), files).cast("int").alias("file_no"), "url", entry.alias("line"))
+    return placed.withColumn("place", place).join(bases, ["site", "range"]).select(
+        "site", F.floor((c("base") + c("place") - 1) / entries).cast("int").alias("file_no"), "url", entry.alias("line"))
 
 
-def write_sitemaps(pages: DataFrame, day: str, out: str) -> None:
+def sitemap_index(lines: DataFrame, day: str) -> DataFrame:
+    """``gen_sitemap``: the entries of each site's index, one per file."""
+    files = lines.select("site", "file_no").distinct()
+    loc = F.concat(F.lit("https://"), c("site"), F.lit("/sitemap-"), (c("file_no") + 1).cast("string"), F.lit(".xml"))
+    return files.select("site", "file_no", F.concat(F.lit("  <sitemap><loc>"), T.escape_xml(loc), F.lit(f"</loc><lastmod>{day}</lastmod></sitemap>")).alias("line"))
+
+
+def write_sitemaps(lines: DataFrame, out: str) -> None:
     """Entry lines partitioned by site and file; the head and foot lines sort first and last."""
-    lines = sitemap_lines(pages, day).select("site", "file_no", F.lit(1).alias("part"), "line")
+    entries = lines.select("site", "file_no", F.lit(1).alias("part"), "url", "line")
     ends = lines.select("site", "file_no").distinct().select("site", "file_no", F.explode(F.array(
-        F.struct(F.lit(0).alias("part"), F.lit('<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">').alias("line")),
-        F.struct(F.lit(2).alias("part"), F.lit("</urlset>").alias("line")))).alias("e")).select("site", "file_no", "e.part", "e.line")
-    lines.unionByName(ends).repartition("site", "file_no").sortWithinPartitions("site", "file_no", "part").select("site", "file_no", "line").write.mode(
+        F.struct(F.lit(0).alias("part"), F.lit(SITEMAP).alias("line")), F.struct(F.lit(2).alias("part"), F.lit("</urlset>").alias("line")))).alias("e")).select("site", "file_no", "e.part", F.lit("").alias("url"), "e.line")
+    entries.unionByName(ends).repartition("site", "file_no").sortWithinPartitions("site", "file_no", "part", "url").select("site", "file_no", "line").write.mode(
         "overwrite").partitionBy("site", "file_no").text(out)
 
 
@@ -114,51 +125,6 @@ def hreflang(entries: Column, x_default: bool = True) -> Column:
     return F.array_join(F.concat(lines, F.array(tag(F.lit("x-default"), F.get(entries, F.lit(0))["url"]))) if x_default else lines, "\n")
 
 
-# --- report lines ------------------------------------------------------------------------------------------
-
-
-def tsv_lines(rows: DataFrame, columns: list[str]) -> Column:
-    return F.concat_ws("\t", *[T.escape_tsv(c(x).cast("string")) for x in columns])
-
-
-def csv_lines(rows: DataFrame, columns: list[str]) -> Column:
-    return F.concat_ws(",", *[T.escape_csv(c(x).cast("string")) for x in columns])
-
-
-def markdown_lines(card: DataFrame) -> DataFrame:
-    """``sink_markdown``: ordered lines of a report, grouped by category."""
-    head = card.select("label", "score", F.lit(0).alias("seq"), F.lit("").alias("rule_id")).distinct().select(
-        "label", "seq", "rule_id", F.concat(F.lit("## "), c("label"), F.lit(" ("), c("score").cast("string"), F.lit("/100)")).alias("line"))
-    rows = card.select("label", (F.lit(1000) - c("weight")).alias("seq"), "rule_id", F.concat(
-        F.lit("- **["), F.upper("severity"), F.lit("]** "), c("rule_id"), F.lit(" ("), c("n_affected").cast("string"), F.lit(")")).alias("line"))
-    return head.unionByName(rows).orderBy("label", "seq", "rule_id")
-
-
-def text_lines(card: DataFrame) -> DataFrame:
-    """``sink_txt``: a line of scores per category, then each category's name and its numbered issues."""
-    order = Window.partitionBy("label").orderBy(F.desc("weight"), "rule_id")  # the rules of one category
-    scores = card.select(F.lit(0).alias("part"), "label", F.lit(0).alias("seq"), F.concat(F.rpad("label", 28, " "), F.lit(" "), F.lpad(c("score").cast("string"), 3, " "), F.lit("/100")).alias("line"))
-    names = card.select(F.lit(1).alias("part"), "label", F.lit(0).alias("seq"), F.concat(F.lit("["), c("label"), F.lit("]")).alias("line"))
-    rows = card.filter(c("rule_id").isNotNull()).withColumn("seq", F.row_number().over(order)).select(F.lit(1).alias("part"), "label", "seq", F.concat(
-        c("seq").cast("string"), F.lit(". ("), F.upper("severity"), F.lit(", OPEN) "), c("rule_id")).alias("line"))
-    return scores.distinct().unionByName(names.distinct()).unionByName(rows).orderBy("part", "label", "seq")
-
-
-def yaml_lines(card: DataFrame) -> DataFrame:
-    quote = lambda v: F.concat(F.lit('"'), F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    return card.select("label", "weight", "rule_id", F.concat(
-        F.lit("  - id: "), quote(c("rule_id")), F.lit("\n    severity: "), quote(c("severity")), F.lit("\n    weight: "), c("weight").cast("string")).alias("line")).orderBy(
-        "label", F.desc("weight"), "rule_id")
-
-
-def write_report(card: DataFrame, out: str) -> None:
-    """JSON, CSV and TSV datasets of the report rows."""
-    card.write.mode("overwrite").json(f"{out}/json")
-    card.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{out}/csv")
-    flat = card.select(*[T.escape_tsv(c(x).cast("string")).alias(x) for x in card.columns])
-    flat.write.mode("overwrite").option("header", True).option("sep", "\t").csv(f"{out}/tsv")
-
-
 def keyword_search(docs: DataFrame, id_col: str, text_col: str, query: str, limit: int = 3) -> DataFrame:
     """``topk_keyword_search``: documents by summed occurrences of the query's terms, with a snippet."""
     terms = [t for t in dict.fromkeys(query.lower().split()) if len(t) > 3]

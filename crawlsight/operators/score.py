@@ -131,12 +131,32 @@ def top_per_category(cards: DataFrame, n: int) -> DataFrame:
     )
 
 
-def report_summary(findings: DataFrame) -> DataFrame:
-    """``agg_report_summary``: open, total and passed rows per category of the card."""
-    cards = card_issues(findings).groupBy("category").agg(F.count(F.lit(1)).alias("total_issues"))
+def issue_listing(findings: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``flt_issue_listing``: the first ``n`` open issues of every value of ``keys``, their rank, and how many there are.
+
+    The count is joined on, so that the window keeps no more than ``n`` rows of a group in each task.
+    """
+    issues = findings.filter(~c("passed"))
+    w = Window.partitionBy(*keys).orderBy("page_id", "rule_id", "weight")
+    totals = issues.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+    return issues.withColumn("rank", F.row_number().over(w)).filter(c("rank") <= n).join(totals, keys)
+
+
+def top_findings(findings: DataFrame, issues: int, passes: int) -> DataFrame:
+    """``topk_security``: the heaviest issues and the first passed checks of every page."""
+    w = Window.partitionBy("page_id", "passed").orderBy(F.desc("weight"), "rule_id")
+    return findings.withColumn("rank", F.row_number().over(w)).filter(c("rank") <= F.when(c("passed"), passes).otherwise(issues))
+
+
+def report_summary(findings: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``agg_report_summary``: open, total and passed rows per category of the card; ``resolved`` (category, rule_id)
+    issues are not open."""
+    done = resolved.select("category", "rule_id", F.lit(True).alias("done")).distinct()
+    issues = card_issues(findings).join(done, ["category", "rule_id"], "left")
+    cards = issues.groupBy("category").agg(F.count_if(c("done").isNull()).alias("open_issues"), F.count(F.lit(1)).alias("total_issues"))
     passed = card_passed(findings).groupBy("category").agg(F.count(F.lit(1)).alias("passed_count"))
     return cards.join(passed, "category", "full_outer").select(
-        "category", F.coalesce("total_issues", F.lit(0)).cast("long").alias("open_issues"),
+        "category", F.coalesce("open_issues", F.lit(0)).cast("long").alias("open_issues"),
         F.coalesce("total_issues", F.lit(0)).cast("long").alias("total_issues"),
         F.coalesce("passed_count", F.lit(0)).cast("long").alias("passed_count"))
 

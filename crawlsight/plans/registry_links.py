@@ -13,7 +13,7 @@ from crawlsight.operators import links as L
 from crawlsight.plans import oracle_links as O
 from crawlsight.plans.catalog import register
 from crawlsight.plans.oracle_pages import AUDIT_PAGES, H23, HEADS, NC, SITE, SKEL, collapse, decode, meta, strip, words
-from crawlsight.session import spread
+from crawlsight.session import spread, stored
 from crawlsight.sources import given as G
 
 c = F.col
@@ -210,9 +210,19 @@ def _docs(spark, sf):
     return D.normalised(spread(G.table(spark, sf, "documents")), "doc_id", "text")
 
 
-@register("agg_dup_groups", f"WITH {O.DOCS}, {O.LONG}, {O.EXACT} SELECT k.id, g.n, g.first_id FROM k JOIN g USING (body_key)")
+T_SQL = "regexp_extract(" + NC + ", '(?is)<title>(.*?)</title>', 1)"
+D_SQL = """regexp_extract(html, '<meta name="description" content="([^"]*)"', 1)"""
+_HEADS = f"h AS (SELECT page_id, lower({collapse(decode(T_SQL))}) AS title, lower({collapse(decode(D_SQL))}) AS description FROM ap)"
+_SAME = " UNION ALL ".join(f"SELECT '{k}' AS kind, page_id AS id, n, first_id FROM h JOIN (SELECT {k}, count(*) AS n, min(page_id) AS first_id FROM h WHERE {k} <> '' GROUP BY 1 HAVING count(*) > 1) USING ({k})" for k in ("title", "description"))
+
+
+@register("agg_dup_groups", f"WITH {AUDIT_PAGES}, {_HEADS}, {O.DOCS}, {O.LONG}, {O.EXACT} {_SAME} UNION ALL SELECT 'body', k.id, g.n, g.first_id FROM k JOIN g USING (body_key)")
 def agg_dup_groups(spark, sf):
-    return D.member_rows(_docs(spark, sf)).select("id", "n", "first_id")
+    """Pages with a title or a description that others have, documents with a body that others have."""
+    heads = stored(X.page_features(G.audit_pages(spark, sf)).select("page_id", "title", "meta_desc"), "page-heads")
+    keys = lambda x: heads.select(c("page_id").alias("id"), F.lower(T.collapse_ws(c(x))).alias("key"))
+    rows = lambda kind, df: df.select(F.lit(kind).alias("kind"), "id", "n", "first_id")
+    return rows("title", D.members(keys("title"), "key")).unionByName(rows("description", D.members(keys("meta_desc"), "key"))).unionByName(rows("body", D.member_rows(_docs(spark, sf))))
 
 
 @register("anti_exact_dupes", f"WITH {O.DOCS}, {O.LONG}, {O.EXACT}, {O.SOLO} SELECT id FROM s")

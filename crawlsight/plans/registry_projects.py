@@ -30,6 +30,8 @@ register("join_ancestor_metadata", LF + " SELECT project, path FROM lf WHERE s_a
 register("join_resolve_internal_links", LF + " SELECT project, 'app/shop/page.tsx' AS source, 'about.html' AS target FROM lf WHERE path = 'about.html' UNION ALL SELECT project, 'about.html', 'app/shop/page.tsx' FROM lf WHERE path = 'about.html'")(
     lambda s, sf: SC.internal_links(_linked(s, sf)))
 register("audit_project_wide", LF + " SELECT project, bool_or(path = 'robots.txt') AS has_robots, false AS has_sitemap, false AS has_headers_config FROM lf GROUP BY 1")(lambda s, sf: SC.project_wide(_linked(s, sf)))
+register("audit_native_components", LF + " SELECT project, 'app/shop/page.tsx' AS path, 'framework-link' AS rule_id, 2::BIGINT AS n FROM lf WHERE path = 'app/shop/page.tsx' AND s_acctbal > 5000")(
+    lambda s, sf: SC.native_components(_linked(s, sf), SC.project_stack(_linked(s, sf))))
 register("agg_affected_files", PF + f" SELECT project, rule_id, count(DISTINCT p) AS n_files, min(p) AS first_path FROM ({' UNION ALL '.join(f'''SELECT project, p, '{r}' AS rule_id FROM pf WHERE {cond}''' for r, cond in _src)}) GROUP BY ALL")(
     lambda s, sf: SC.affected_files(SC.audit_files(_files(s, sf))).select("project", "rule_id", "n_files", "first_path"))
 register("ext_source_tags", PF + """ SELECT p_partkey, ((p_size % 3 = 0 AND p_size % 11 <> 0)::INT)::BIGINT AS n_img_without_alt, ((p_size % 11 <> 0)::INT + 3 * (p_size % 15 = 7)::INT)::BIGINT AS n_img FROM pf""")(

@@ -44,8 +44,9 @@ def _feat(spark, sf):
 register("src_pages", "SELECT page_id, url, length(html) AS n FROM pages")(lambda s, sf: G.given_pages(s, sf).select("page_id", "url", F.length("html").cast("long").alias("n")))
 register("src_fetch_log", AP + " SELECT page_id, coalesce(h_server, '') AS server, coalesce(h_cache_control, '') AS cache_control, elapsed_ms FROM ap")(
     lambda s, sf: _pages(s, sf).select("page_id", R.header("server").alias("server"), R.header("cache-control").alias("cache_control"), "elapsed_ms"))
-register("src_page_filter", f"WITH cat AS ({G.CATALOG_PAGES}) SELECT url, status, CASE WHEN status = 200 THEN NULL ELSE 'HTTP ' || status END AS reason FROM cat")(
-    lambda s, sf: G.catalog_pages(s, sf).select("url", "status", F.when(~c("status").between(200, 299), F.concat(F.lit("HTTP "), c("status").cast("string"))).alias("reason")))
+_TYPE = "CASE WHEN p_size % 14 = 9 THEN 'application/pdf' WHEN p_size % 14 = 3 THEN '' ELSE 'Text/HTML; charset=utf-8' END"
+register("src_page_filter", f"WITH cat AS ({G.CATALOG_PAGES}) SELECT url, status, CASE WHEN status <> 200 THEN 'HTTP ' || status WHEN p_size % 14 = 9 THEN 'Not an HTML page' END AS reason FROM cat")(
+    lambda s, sf: G.catalog_pages(s, sf).select("url", "status", X.skip_reason(c("status"), F.expr(_TYPE)).alias("reason")))
 BODY_CAP = 6 << 20  # bytes of a page body that are kept
 register("src_body_cap", f"SELECT page_id, strlen(html) > {BODY_CAP} AS truncated, least(strlen(html), {BODY_CAP}) AS kept FROM pages")(
     lambda s, sf: G.given_pages(s, sf).select("page_id", (F.octet_length("html") > BODY_CAP).alias("truncated"), F.octet_length(F.substring(F.encode("html", "UTF-8"), 1, BODY_CAP)).cast("long").alias("kept")))
@@ -100,7 +101,9 @@ register("agg_site_stack", STACK + " SELECT site, arg_min(\"primary\", (depth <>
 # --- generators and sinks
 
 ESC = "replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
-register("gen_sitemap", AP + f" SELECT site, 0 AS file_no, url, '  <url><loc>' || {ESC} || '</loc><lastmod>2024-01-31</lastmod></url>' AS line FROM ap")(lambda s, sf: GE.sitemap_lines(_pages(s, sf), "2024-01-31"))
+register("gen_sitemap", AP + f" SELECT site, ((row_number() OVER (PARTITION BY site ORDER BY url) - 1) // 50000)::INT AS file_no, url, '  <url><loc>' || {ESC} || '</loc><lastmod>2024-01-31</lastmod></url>' AS line FROM ap")(lambda s, sf: GE.sitemap_lines(_pages(s, sf), "2024-01-31"))
+register("gen_sitemap_index", AP + " SELECT site, k::INT AS file_no, '  <sitemap><loc>https://' || site || '/sitemap-' || (k + 1) || '.xml</loc><lastmod>2024-01-31</lastmod></sitemap>' AS line FROM (SELECT site, unnest(range((count(*) + 49999) // 50000)) AS k FROM ap GROUP BY site)")(
+    lambda s, sf: GE.sitemap_index(GE.sitemap_lines(_pages(s, sf), "2024-01-31"), "2024-01-31"))
 register("gen_llms_txt", AP + """, r AS (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY url) AS rn, regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') AS p FROM ap)
 SELECT site, '# ' || regexp_replace(site, '^www\\.', '') || chr(10) || chr(10) || '## Pages' || chr(10) || chr(10) || array_to_string(list('- [' || CASE WHEN p = '' THEN 'Home' ELSE substr(p, 2) END || '](' || url || ')' ORDER BY rn), chr(10)) || chr(10) AS text FROM r WHERE rn <= 25 GROUP BY site""")(
     lambda s, sf: GE.llms_txt(_pages(s, sf)))
@@ -203,6 +206,17 @@ register("set_open_fix_items", _all(PLAN, "SELECT page_id, rule_id, 'target' AS
 register("fix_repaired_pages", OD.REPAIRED)(lambda s, sf: DOM.repaired(_pages(s, sf)).select("page_id", "html"))
 BANK = "SELECT p_type AS kind, p_brand AS category, arg_max(p_name, p_partkey) AS value FROM part GROUP BY 1, 2"
 _parts = lambda s, sf: G.table(s, sf, "part").select(c("p_partkey").alias("target_id"), c("p_type").alias("kind"), c("p_brand").alias("category"), c("p_name").alias("value"), c("p_partkey").alias("seq"), F.when(c("p_size") % 2 == 0, "low").otherwise("high").alias("confidence"), "p_size")
+ANSWER = """SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'no json' WHEN p_size % 2 = 0 THEN '```json' || CHR(10) ELSE '' END || CASE WHEN p_size % 7 = 0 THEN '' ELSE
+ '{"fixes":[{"id":"t' || CAST(p_partkey AS STRING) || '","value":" ' || p_name || ' ","confidence":"' || CASE WHEN p_size % 3 = 0 THEN 'LOW' ELSE 'high' END || '"},{"id":' || CAST(p_size AS STRING) || ',"value":"number"},{"id":"e","value":"  "}]}' END
+ || CASE WHEN p_size % 2 = 0 THEN CHR(10) || '```' ELSE '' END AS raw FROM part"""
+register("parse_fix_response", "SELECT p_partkey, 't' || p_partkey AS id, p_name AS value, p_size % 3 = 0 AS low FROM part WHERE p_size % 7 <> 0")(
+    lambda s, sf: G.run(s, sf, ANSWER).select("p_partkey", F.inline(FX.response_values(c("raw")))))
+_long = "REPEAT(p_name || ' ', 40)"
+REWRITES = f"""SELECT p_partkey, CASE WHEN p_size % 9 = 8 THEN 'a.html' ELSE 'a.tsx' END AS path, '<html>export default ' || {_long} AS original,
+ CASE p_size % 9 WHEN 0 THEN '  ' WHEN 1 THEN 'export default x' WHEN 2 THEN '<html>export default ' || REPEAT({_long}, 4) WHEN 3 THEN '<html>export default ' || {_long} || '(' WHEN 4 THEN '<html>export default ' || {_long} || '{{}}}}'
+  WHEN 5 THEN '<html>export default ' || {_long} || '[' WHEN 6 THEN '<html>' || {_long} WHEN 8 THEN {_long} ELSE '<HTML>export  default ' || {_long} || '(a[0]){{}}' END AS modified FROM part"""
+register("audit_fix_rewrite", "SELECT p_partkey, CASE p_size % 9 WHEN 0 THEN 'empty' WHEN 1 THEN 'truncated' WHEN 2 THEN 'padded' WHEN 3 THEN 'parentheses' WHEN 4 THEN 'curly-braces' WHEN 5 THEN 'square-brackets' WHEN 6 THEN 'export-lost' WHEN 8 THEN 'html-lost' END AS reason FROM part")(
+    lambda s, sf: G.run(s, sf, REWRITES).select("p_partkey", FX.rewrite_problem(c("original"), c("modified"), c("path")).alias("reason")))
 register("agg_fix_bank_update", BANK)(lambda s, sf: FX.bank(_parts(s, sf)))
 register("join_fix_bank", f"WITH b AS ({BANK}) SELECT p_partkey AS target_id, kind, category, value FROM part JOIN b ON kind = p_type AND category = p_brand")(
     lambda s, sf: (lambda p: FX.banked_values(p.select("target_id", "kind", "category"), FX.bank(p)))(_parts(s, sf)))
@@ -214,6 +228,20 @@ register("audit_fix_apply", f"WITH b AS ({BANK}) SELECT p_partkey AS target_id,
 register("udf_custom_rules", _all("", "SELECT 'heavy' AS custom_rule, page_id, rule_id FROM fx WHERE weight >= 14 UNION ALL SELECT 'images', page_id, rule_id FROM fx WHERE NOT passed AND rule_id LIKE '%alt%'"))(
     lambda s, sf: CU.run_rules(_findings(s, sf).select("page_id", "rule_id", "passed", "weight"), [
         ("heavy", "weight >= 14"), ("broken", "no_such_column > 1"), ("images", lambda d: d.filter(~c("passed") & c("rule_id").contains("alt")))])[0].select("custom_rule", "page_id", "rule_id"))
+
+
+def _whole(row):
+    return f"{row['rule_id']} costs {row['weight']}" if row["weight"] >= 14 else None
+
+
+def _share(row):
+    if row["weight"] == 0:
+        raise ValueError("nothing to share")
+    return 100 // row["weight"] if row["weight"] < 2 else None
+
+
+register("udf_row_rules", _all("", "SELECT 'whole' AS custom_rule, page_id, rule_id, rule_id || ' costs ' || weight AS found, NULL::VARCHAR AS error FROM fx WHERE weight >= 14 UNION ALL SELECT 'share', page_id, rule_id, CASE WHEN weight = 1 THEN '100' END, CASE WHEN weight = 0 THEN 'ValueError: nothing to share' END FROM fx WHERE weight < 2"))(
+    lambda s, sf: CU.row_rules(_findings(s, sf).select("page_id", "rule_id", "weight"), {"whole": _whole, "share": _share}, ["page_id", "rule_id"]).select("custom_rule", "page_id", "rule_id", "found", "error"))
 register("udf_rule_registry", "SELECT user_id AS rule_id, t AS updated_at FROM (SELECT user_id, arg_max(event_type <> 'error', ts) AS e, max(ts) AS t FROM events GROUP BY 1) WHERE e")(
     lambda s, sf: CU.registry(G.table(s, sf, "events").select(c("user_id").alias("rule_id"), (c("event_type") != "error").alias("enabled"), c("ts").alias("updated_at"))).select("rule_id", "updated_at"))
 

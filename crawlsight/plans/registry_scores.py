@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,9 @@ from crawlsight.operators import page_rules as R
 from crawlsight.operators import score as S
 from crawlsight.plans import oracle_pages as OP
 from crawlsight.plans.catalog import register
-from crawlsight.session import stored
+from crawlsight.session import shared_folder, stored
 from crawlsight.sources import given as G
+from crawlsight.sources import scan_store as STORE
 
 c = F.col
 ALL = OP.all_findings
@@ -79,8 +82,8 @@ register("anti_passed", _all("", "SELECT DISTINCT category, rule_id FROM fx a WH
     lambda s, sf: S.card_passed(_findings(s, sf)))
 register("agg_all_categories", _all(CAT.replace("FROM pcs GROUP BY category", "FROM pcs WHERE depth <= 1 GROUP BY category"), "SELECT * FROM cs"))(
     lambda s, sf: S.category_scores(S.page_category_scores(_audited(s, sf).filter(c("depth") <= 1))))
-register("agg_report_summary", _all(CARD, "SELECT category, n AS open_issues, n AS total_issues, coalesce(p, 0) AS passed_count FROM (SELECT category, count(*) n FROM ci GROUP BY 1) LEFT JOIN (SELECT category, count(DISTINCT rule_id) p FROM fx a WHERE passed AND NOT EXISTS (SELECT 1 FROM fx b WHERE NOT b.passed AND b.category = a.category AND b.rule_id = a.rule_id) GROUP BY 1) USING (category)"))(
-    lambda s, sf: S.report_summary(_findings(s, sf)))
+register("agg_report_summary", _all(CARD, "SELECT category, o AS open_issues, n AS total_issues, coalesce(p, 0) AS passed_count FROM (SELECT category, count(*) n, count_if(NOT contains(rule_id, 'alt'))::BIGINT o FROM ci GROUP BY 1) LEFT JOIN (SELECT category, count(DISTINCT rule_id) p FROM fx a WHERE passed AND NOT EXISTS (SELECT 1 FROM fx b WHERE NOT b.passed AND b.category = a.category AND b.rule_id = a.rule_id) GROUP BY 1) USING (category)"))(
+    lambda s, sf: S.report_summary(_findings(s, sf), _findings(s, sf).filter(~c("passed") & c("rule_id").contains("alt")).select("category", "rule_id").distinct()))
 register("srt_report_issues", _all(CARD, f"SELECT {LBL} AS category, rule_id, severity, 'Open' AS status, weight FROM ci ORDER BY weight DESC, rule_id"))(
     lambda s, sf: S.card_issues(_findings(s, sf)).select(S.label(c("category")).alias("category"), "rule_id", "severity", F.lit("Open").alias("status"), "weight")
     .orderBy(F.desc("weight"), "rule_id"))
@@ -115,13 +118,14 @@ register("prj_score_band", _all(PCS.replace("{top}", "100"), "SELECT page_id, ca
 register("prj_mark_resolved", _all(CAT + CARD, "SELECT category, score, CASE WHEN g IS NULL THEN score ELSE least(97, score + g) END::INT AS new_score FROM cs LEFT JOIN (SELECT category, sum(weight)::INT g FROM ci WHERE rule_id LIKE '%e%' AND category <> 'geo' GROUP BY 1) USING (category)"))(
     lambda s, sf: S.mark_resolved(S.category_scores(S.page_category_scores(_audited(s, sf))),
                                   S.card_issues(_findings(s, sf)).filter(c("rule_id").contains("e") & (c("category") != "geo")).select("category", "weight")))
-register("topk_security", OP.security())(lambda s, sf: R.audit(G.audit_pages(s, sf), "security_headers").select("page_id", "rule_id", "passed", "weight", "severity"))
+register("topk_security", f"SELECT * FROM (SELECT page_id, passed, rule_id, row_number() OVER (PARTITION BY page_id, passed ORDER BY weight DESC, rule_id)::INT AS rank FROM ({OP.security()})) WHERE rank <= CASE WHEN passed THEN 8 ELSE 12 END")(
+    lambda s, sf: S.top_findings(R.audit(G.audit_pages(s, sf), "security_headers"), 12, 8).select("page_id", "passed", "rule_id", "rank"))
 register("set_union_findings", _all(f", sec AS (SELECT * FROM ({OP.security()}))", "SELECT page_id, rule_id, passed, weight FROM fx UNION ALL SELECT page_id, rule_id, passed, weight FROM sec"))(
     lambda s, sf: _findings(s, sf).select("page_id", "rule_id", "passed", "weight").unionByName(
         R.audit(G.audit_pages(s, sf), "security_headers").select("page_id", "rule_id", "passed", "weight")))
-register("flt_issue_listing", _all(FX, "SELECT page_id, rule_id, severity, count(*) OVER () AS total FROM fd WHERE NOT passed AND category = 'seo' AND url LIKE 'https://brand1.example.com/%' ORDER BY page_id, rule_id LIMIT 30"))(
-    lambda s, sf: (lambda x: x.join(F.broadcast(x.agg(F.count(F.lit(1)).alias("total")))).orderBy("page_id", "rule_id").limit(30).select("page_id", "rule_id", "severity", "total"))(
-        _findings(s, sf).filter(~c("passed") & (c("category") == "seo") & c("url").startswith("https://brand1.example.com/"))))
+_SITE = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
+register("flt_issue_listing", _all(FX, f"SELECT * FROM (SELECT {_SITE} AS site, category, page_id, rule_id, severity, row_number() OVER (PARTITION BY {_SITE}, category ORDER BY page_id, rule_id, weight)::INT AS rank, count(*) OVER (PARTITION BY {_SITE}, category) AS total FROM fd WHERE NOT passed) WHERE rank <= 30"))(
+    lambda s, sf: S.issue_listing(_findings(s, sf).withColumn("site", F.regexp_extract("url", "^https?://([^/?#]+)", 1)), ["site", "category"], 30).select("site", "category", "page_id", "rule_id", "severity", "rank", "total"))
 
 # --- scan history
 
@@ -162,10 +166,30 @@ register("str_due_schedules", f"SELECT id, CASE WHEN NOT (enabled AND next_run_a
 CUT = "TIMESTAMP '2024-01-26 00:00:00'"
 register("flt_retention", SC + f" SELECT scan_id FROM scans WHERE created_at >= {NOW} - INTERVAL 15 DAY")(
     lambda s, sf: H.retained(G.run(s, sf, G.SCANS), now(), 15).select("scan_id"))
+
+
+def _stored_scans(spark, scans):
+    """All scans land, then those of single pages again with another score, twice."""
+    path = f"{shared_folder(spark)}/scans-{uuid.uuid4().hex}"
+    STORE.create(scans, path)
+    again = scans.filter(c("mode") == "single").withColumn("overall_score", F.lit(0))
+    for _ in range(2):
+        STORE.upsert(spark, path, again)
+    return STORE.table(spark, path).select("scan_id", "overall_score")
+
+
+def _merged_scans(spark, scans):
+    """A store of the site scans takes over the others from a store of all."""
+    path = f"{shared_folder(spark)}/scans-{uuid.uuid4().hex}"
+    STORE.create(scans.filter(c("mode") == "site"), path)
+    STORE.merge(spark, path, scans)
+    return STORE.table(spark, path).select("scan_id", "overall_score")
+
+
 register("sink_scan_upsert", SC + " SELECT scan_id, CASE WHEN mode = 'single' THEN 0 ELSE overall_score END AS overall_score FROM scans")(
-    lambda s, sf: (lambda x: H.upsert(x, x.filter(c("mode") == "single").withColumn("overall_score", F.lit(0))).select("scan_id", "overall_score"))(G.run(s, sf, G.SCANS)))
+    lambda s, sf: _stored_scans(s, G.run(s, sf, G.SCANS)))
 register("merge_scan_stores", SC + " SELECT scan_id, overall_score FROM scans")(
-    lambda s, sf: (lambda x: H.merge_missing(x.filter(c("mode") == "site"), x).select("scan_id", "overall_score"))(G.run(s, sf, G.SCANS)))
+    lambda s, sf: _merged_scans(s, G.run(s, sf, G.SCANS)))
 register("topk_recent_scans", SC + " SELECT scan_id, created_at FROM scans ORDER BY created_at DESC, scan_id DESC LIMIT 10")(
     lambda s, sf: H.recent(G.run(s, sf, G.SCANS), 10).select("scan_id", "created_at"))
 register("win_recent_history", f"SELECT scan_id FROM (SELECT scan_id, max(ts) t FROM ({G.SCAN_EVENTS}) GROUP BY 1) ORDER BY t DESC, scan_id DESC LIMIT 10")(

@@ -1,13 +1,22 @@
-"""Projects as folders and archives, and graphs of any depth."""
+"""Projects, scan stores, sitemaps and reports as files; graphs of any depth; rules of users."""
 
+import csv
 import io
+import json
 import warnings
 import zipfile
 
 import pytest
 
+import __spark_entry__  # noqa: F401  registers the queries
+from crawlsight.operators import custom as CU
+from crawlsight.operators import generate as GE
 from crawlsight.operators import graph as GR
+from crawlsight.operators import report as RP
+from crawlsight.operators.page_rules import findings_of as RP_FINDINGS
+from crawlsight.plans import registry_rest
 from crawlsight.sources import projects as PJ
+from crawlsight.sources import scan_store as STORE
 
 FILES = {
     "shop/package.json": b'{"name":"shop"}',
@@ -105,3 +114,77 @@ def test_redirects_are_those_of_walking(spark, most):
     df = spark.createDataFrame([(u, s, loc) for u, (s, loc) in hops.items()], "url string, status int, location string")
     got = {r.url: tuple(r)[1:] for r in GR.redirect_chains(df, most).collect()}
     assert got == {u: walked(hops, u, most) for u in hops}
+
+
+def scans(spark, rows):
+    return spark.createDataFrame(rows, "scan_id string, at string, score int").selectExpr("scan_id", "cast(at as timestamp) created_at", "score")
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "scans")
+    STORE.create(scans(spark, [("a", "2024-01-01 10:00:00", 1), ("b", "2024-01-01 11:00:00", 2), ("c", "2024-01-02 10:00:00", 3), ("a", "2024-01-01 09:00:00", 9)]), path)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "scans" / "day=2024-01-02").iterdir()}
+    batch = scans(spark, [("b", "2024-01-03 08:00:00", 20), ("d", "2024-01-01 12:00:00", 4), ("a", "2024-01-01 10:00:00", 10)])
+    want = [("a", "2024-01-01", 10), ("b", "2024-01-03", 20), ("c", "2024-01-02", 3), ("d", "2024-01-01", 4)]
+    for _ in range(3):
+        STORE.upsert(spark, path, batch)
+        assert sorted((r.scan_id, str(r.day), r.score) for r in STORE.table(spark, path).collect()) == want
+    assert {f: f.stat().st_mtime_ns for f in (tmp_path / "scans" / "day=2024-01-02").iterdir()} == before  # not touched
+    STORE.merge(spark, path, scans(spark, [("a", "2024-01-09 10:00:00", 99), ("e", "2024-01-09 10:00:00", 5)]))
+    assert sorted((r.scan_id, r.score) for r in STORE.table(spark, path).collect()) == [("a", 10), ("b", 20), ("c", 3), ("d", 4), ("e", 5)]
+
+
+def test_the_last_scan_of_a_day_can_move(spark, tmp_path):
+    path = str(tmp_path / "scans")
+    STORE.create(scans(spark, [("a", "2024-01-01 10:00:00", 1)]), path)
+    for day in ("2024-01-02", "2024-01-02", "2024-01-01"):
+        STORE.upsert(spark, path, scans(spark, [("a", f"{day} 10:00:00", 7)]))
+        assert [(r.scan_id, str(r.day)) for r in STORE.table(spark, path).collect()] == [("a", day)]
+
+
+def test_a_look_up_reads_one_day(spark, tmp_path, capsys):
+    path = str(tmp_path / "scans")
+    STORE.create(scans(spark, [(f"s{i}", f"2024-01-0{1 + i % 5} 10:00:00", i) for i in range(50)]), path)
+    found = STORE.lookup(spark, path, "2024-01-03", "s7")
+    assert [r.score for r in found.collect()] == [7]
+    found.explain()
+    assert "PartitionFilters: [isnotnull(day" in capsys.readouterr().out
+
+
+def test_sitemap_files_are_full_and_in_order(spark, tmp_path):
+    pages = spark.createDataFrame([("big", f"https://big/{i:05}") for i in range(1003)] + [("small", "https://small/")], "site string, url string").repartition(7)
+    lines = GE.sitemap_lines(pages, "2024-01-31", 100)
+    got = sorted((r.site, r.file_no, r.url) for r in lines.collect())
+    assert got == [("big", i // 100, f"https://big/{i:05}") for i in range(1003)] + [("small", 0, "https://small/")]
+    assert sorted((r.site, r.file_no) for r in GE.sitemap_index(lines, "2024-01-31").collect()) == [("big", k) for k in range(11)] + [("small", 0)]
+    GE.write_sitemaps(lines, str(tmp_path / "maps"))
+    for k in range(11):
+        (file,) = (tmp_path / "maps" / "site=big" / f"file_no={k}").glob("part-*")
+        text = file.read_text().splitlines()
+        assert text[0] == GE.SITEMAP and text[-1] == "</urlset>" and len(text) == 2 + (100 if k < 10 else 3)
+        assert text[1:-1] == sorted(text[1:-1])
+
+
+def test_reports_are_whole_documents(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    audited = registry_rest._audited(spark, sf)
+    report = RP.Report(audited, RP_FINDINGS(audited), spark.createDataFrame([("seo", "title")], "category string, rule_id string"), "https://x.example.com/", "2024-01-31")
+    texts = {}
+    for kind in RP.FORMATS:
+        RP.write(report, kind, str(tmp_path / kind))
+        texts[kind] = "".join(f.read_text() for f in sorted((tmp_path / kind).glob("part-*")))
+    whole = json.loads(texts["json"])
+    assert len(whole["categories"]) == 6 and len(whole["pages"]) == audited.count() and whole["overall_score"] == round(sum(x["score"] for x in whole["categories"]) / 6)
+    weights = [x["weight"] for x in whole["issues"]]
+    assert weights == sorted(weights, reverse=True) and [p["url"] for p in whole["pages"]] == sorted(p["url"] for p in whole["pages"])
+    rows = list(csv.reader(texts["csv"].splitlines()))
+    assert len(rows) == len(texts["tsv"].splitlines()) and rows[2][:2] == ["Category", "Score"]
+    order = [texts["markdown"].index(x) for x in ("# Audit report", "## Category scores", "## Issues", "## Passed checks", "## Per-page scores")]
+    assert order == sorted(order) and texts["txt"].startswith("=" * 70 + "\nAUDIT REPORT") and texts["yaml"].count("\n  - ") == 6 + len(whole["issues"]) + len(whole["passed_checks"]) + len(whole["pages"])
+
+
+def test_rules_that_fail_do_not_stop_others(spark):
+    df = spark.createDataFrame([(1, "a", 2.5), (2, None, 0.0)], "id long, name string, x double")
+    got = CU.row_rules(df, {"long": lambda r: len(r["name"]), "inverse": lambda r: 1 / r["x"] if r["x"] != 2.5 else None}, ["id"])
+    assert got.dtypes[0] == ("id", "bigint")
+    assert sorted(map(tuple, got.collect()), key=repr) == [(1, "long", "1", None), (2, "inverse", None, "ZeroDivisionError: float division by zero"), (2, "long", None, "TypeError: object of type 'NoneType' has no len()")]
