@@ -46,7 +46,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -383,8 +383,22 @@ def one_of_each(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     stay, repeated or not. Of other repeated rows one stays.
     """
     names = docs.columns
-    rows = stored(numbered(docs.toDF(*[f"c{i}" for i in range(len(names))])), "numbered-documents")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split, place = F.shiftright("row_no", 33), F.col("row_no").bitwiseAND((1 << 33) - 1)  # of monotonically_increasing_id
+    rows = bucketed(numbered(docs.toDF(*[f"c{i}" for i in range(len(names))])).withColumn("batch", split), "numbered_documents", buckets)
     members, labelled = near_classes(with_texts(rows, names), sim)
     first = labelled.groupBy("component").agg(F.min("stays").alias("m")).select("m.row_no")
     stay = stored(first.unionByName(members.filter("key is null").select("row_no")), "near-duplicates")
-    return rows.join(stay, "row_no", "left_semi").drop("row_no").toDF(*names)
+
+    def marks(table: pa.Table) -> pa.Table:
+        at = table.column("place").to_numpy()
+        bits = np.zeros(int(at.max()) + 1, np.uint8)
+        bits[at] = 1
+        return pa.table({"batch": table.column("batch")[:1], "marks": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    # one bitmap of the rows that stay for each split that was numbered; texts lie in buckets by split and do not move
+    staying = stored(stay.select(split.alias("batch"), place.alias("place")).groupBy("batch").applyInArrow(marks, "batch long, marks binary"), "rows-that-stay")
+    byte = F.conv(F.hex(F.expr("substring(marks, cast(place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.pow(F.lit(2), 7 - F.col("place") % 8).cast("int")
+    marked = rows.withColumn("place", place).join(staying, "batch").filter(byte.bitwiseAND(bit) != 0)
+    return marked.select(*[F.col(f"c{i}") for i in range(len(names))]).toDF(*names)
