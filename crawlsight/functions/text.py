@@ -194,6 +194,11 @@ _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčď
 _BASE = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegiilnnoorrsstuuuzzz"
 
 
+def slug_warnings(slug: Column) -> Column:
+    """``gen_slug``: what is too long about a slug."""
+    return F.concat_ws(";", F.when(F.length(slug) > 75, "length"), F.when(F.size(F.split(slug, "-")) > 8, "words"))
+
+
 def slugify(title: Column) -> Column:
     s = F.translate(F.lower(title), _ACCENTED, _BASE)
     s = F.regexp_replace(s, r"[^a-z0-9\s-]", "")

@@ -74,7 +74,9 @@ def near_duplicates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     With n shingles and threshold t, two similar sets share at least one of the n - ceil(t n) + 1
     rarest shingles of each, so only those go into the join. A shingle all documents share is last
-    in that order and reaches the join only for documents that have nothing rarer.
+    in that order and reaches the join only for documents that have nothing rarer; there the shingles that a
+    document has alone count against every pair (positional filter), so a passage that many documents share
+    makes pairs only of those that are little else.
 
     A hot shingle that still holds many documents is not paired inside one task: the join key is
     (shingle, size class, chunk of the probing side), so its rows spread over the cluster.
@@ -89,25 +91,30 @@ def near_duplicates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         rows.join(df, "h")
         .groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
         .withColumn("prefix_len", (c("n") - F.ceil(F.lit(threshold) * c("n") - 1e-9) + 1).cast("int"))
-        .select("id", "n", F.explode(F.slice("order", F.lit(1), c("prefix_len"))).alias("p"))
-        .select("id", "n", c("p.h").alias("h"), c("p.df").alias("df"))
+        .withColumn("lone", F.size(F.filter("order", lambda x: x["df"] == 1)))
+        .filter(c("lone") < c("prefix_len"))
+        .select("id", "n", "lone", F.posexplode(F.slice("order", F.lit(1), c("prefix_len"))).alias("at", "p"))
+        .select("id", "n", "at", "lone", c("p.h").alias("h"), c("p.df").alias("df"))
         .filter(c("df") > 1)
     )
     # Size classes: similar sets differ in size by at most 1/t, so they fall in the same or the next class.
     step = math.log(1.0 / threshold)
     cls = F.floor(F.log(c("n").cast("double")) / step + 1e-9).cast("int")
-    left = ranked.select(c("id").alias("ia"), c("n").alias("na"), "h", "df", cls.alias("ca"))
-    right = ranked.select(c("id").alias("ib"), c("n").alias("nb"), "h", "df", cls.alias("cb"))
+    left = ranked.select(c("id").alias("ia"), c("n").alias("na"), c("at").alias("pa"), c("lone").alias("la"), "h", "df", cls.alias("ca"))
+    right = ranked.select(c("id").alias("ib"), c("n").alias("nb"), c("at").alias("pb"), c("lone").alias("lb"), "h", "df", cls.alias("cb"))
     # A shingle with many documents is cut into chunks: the left row goes to one chunk of its own, the
     # right row is copied to every chunk, so each pair still meets exactly once.
     chunks = F.greatest(F.lit(1), F.ceil(c("df") / 256)).cast("int")
-    left = left.select("ia", "na", "h", F.explode(F.array(c("ca") - 1, c("ca"), c("ca") + 1)).alias("cls"),
+    left = left.select("ia", "na", "pa", "la", "h", F.explode(F.array(c("ca") - 1, c("ca"), c("ca") + 1)).alias("cls"),
                        F.pmod(F.xxhash64("ia"), chunks).cast("int").alias("chunk"))
-    right = right.select("ib", "nb", "h", c("cb").alias("cls"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    right = right.select("ib", "nb", "pb", "lb", "h", c("cb").alias("cls"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    # What two sets can share at most: of the shingles before this one those that anyone else has, it, and what follows.
+    most = F.least(c("pa") - c("la"), c("pb") - c("lb")) + 1 + F.least(c("na") - c("pa") - 1, c("nb") - c("pb") - 1)
     candidates = stored((
         left.join(right, ["h", "cls", "chunk"])
         .filter((c("ia") < c("ib"))
-                & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9))
+                & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)
+                & (most * (1 + threshold) >= threshold * (c("na") + c("nb")) - 1e-9))
         .select("ia", "ib").distinct()
     ), "candidates")
     # few documents are candidates: only their sets move to the check

@@ -515,6 +515,19 @@ def headings(pages: DataFrame) -> DataFrame:
     )
 
 
+def page_snapshot(pages: DataFrame) -> DataFrame:
+    """``agg_page_snapshot``: one compact row per page."""
+    f = page_features(pages)
+    text_of = lambda *levels: F.filter(F.transform(F.filter("headings", lambda h: h["level"].isin(*levels)), lambda h: h["text"]), lambda t: t != "")
+    first = F.coalesce(F.get(F.transform(F.filter("headings", lambda h: h["level"] == 1), lambda h: h["text"]), F.lit(0)), F.lit(""))
+    types = F.array_distinct(F.flatten(F.transform("ld_nodes", node_types)))
+    return f.withColumn("types", types).select(
+        "page_id", "title", "meta_desc", first.alias("h1"), F.array_join(F.slice(text_of(2, 3), 1, 12), " | ").alias("headings"), F.left("intro", F.lit(500)).alias("intro"),
+        F.array_join("types", ",").alias("jsonld_types"), F.arrays_overlap("types", F.array(*map(F.lit, ("FAQPage", "QAPage", "HowTo")))).alias("has_faq"),
+        (F.col("has_byline") | (F.col("meta_author") != "")).alias("has_author"), F.col("has_time").alias("has_date"), (F.col("n_statistics") > 0).alias("has_statistics"),
+        "n_words", "n_outbound", F.left("body_text", F.lit(2500)).alias("excerpt"))
+
+
 def skip_reason(status: Column, content_type: Column) -> Column:
     """``src_page_filter``: why a fetched page is not audited, NULL when it is."""
     return F.when(~status.between(200, 299), F.concat(F.lit("HTTP "), status.cast("string"))).when(

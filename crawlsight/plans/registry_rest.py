@@ -89,8 +89,9 @@ register("agg_sentence_stats", f"""WITH t AS (SELECT doc_id, {OP.collapse('text'
 SELECT doc_id, len(ns)::BIGINT AS n_sentences, round(list_avg(ns), 4) AS mean_words FROM q WHERE len(ns) > 0""")(
     lambda s, sf: G.table(s, sf, "documents").select("doc_id", F.filter(F.transform(F.regexp_extract_all(T.collapse_ws(c("text")), F.lit("[^.!?]+[.!?]+"), F.lit(0)), lambda z: T.word_count(F.trim(z))), lambda n: n >= 4).alias("ns"))
     .filter(F.size("ns") > 0).select("doc_id", F.size("ns").cast("long").alias("n_sentences"), F.round(F.aggregate("ns", F.lit(0), lambda a, x: a + x) / F.size("ns"), 4).alias("mean_words")))
-register("agg_page_snapshot", OP.FEATURES + " SELECT page_id, title, meta_desc, substr(intro, 1, 500) AS intro, n_words::BIGINT AS n_words, n_outbound::BIGINT AS n_outbound, substr(body_text, 1, 2500) AS excerpt FROM f")(
-    lambda s, sf: _feat(s, sf).select("page_id", "title", "meta_desc", F.left("intro", F.lit(500)).alias("intro"), "n_words", "n_outbound", F.left("body_text", F.lit(2500)).alias("excerpt")))
+_LD = "CASE p_type WHEN 'STANDARD' THEN 'Product' WHEN 'PROMO' THEN 'Organization,WebSite' WHEN 'SMALL' THEN 'FAQPage,BreadcrumbList' WHEN 'LARGE' THEN 'NewsArticle' WHEN 'MEDIUM' THEN 'LocalBusiness,Shop_Front' ELSE '' END"
+register("agg_page_snapshot", OP.FEATURES + f" SELECT page_id, title, meta_desc, coalesce(list_transform(regexp_extract_all(skel, '(?is)<h1(?:\\s[^>]*)?>.*?</h1>'), lambda e: trim({OP.strip('e')}))[1], '') AS h1, array_to_string(h23_texts[1:12], ' | ') AS headings, substr(intro, 1, 500) AS intro, coalesce({_LD}, '') AS jsonld_types, coalesce(p_type = 'SMALL', false) AS has_faq, has_byline AS has_author, has_time AS has_date, n_stats > 0 AS has_statistics, n_words::BIGINT AS n_words, n_outbound::BIGINT AS n_outbound, substr(body_text, 1, 2500) AS excerpt FROM f")(
+    lambda s, sf: X.page_snapshot(_pages(s, sf)))
 # --- stack
 
 PRIMARY = "CASE WHEN p_size % 6 = 4 THEN 'WordPress' WHEN p_size % 6 = 0 THEN 'PHP' WHEN p_size % 5 = 3 THEN 'Cloudflare Pages' ELSE 'Static HTML / unknown' END"
@@ -118,6 +119,8 @@ register("gen_hreflang", """SELECT p_partkey, '<link rel="alternate" hreflang="e
     lambda s, sf: G.table(s, sf, "part").select("p_partkey", GE.hreflang(F.array(F.struct(F.lit("en").alias("lang"), F.concat(F.lit("/en/"), c("p_partkey").cast("string")).alias("url")))).alias("tags")))
 register("gen_slug", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9\s-]', '', 'g')), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")(
     lambda s, sf: G.table(s, sf, "documents").select("doc_id", T.slugify(c("text")).alias("slug")))
+register("gen_slug_warnings", "SELECT p_partkey, slug, concat_ws(';', CASE WHEN length(slug) > 75 THEN 'length' END, CASE WHEN len(string_split(slug, '-')) > 8 THEN 'words' END) AS warnings FROM (SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(repeat(p_name || ' ', 1 + p_size % 9))), '[^a-z0-9 -]', '', 'g'), ' +', '-', 'g') AS slug FROM part)")(
+    lambda s, sf: G.table(s, sf, "part").select("p_partkey", T.slugify(F.expr("repeat(p_name || ' ', 1 + p_size % 9)")).alias("slug")).withColumn("warnings", T.slug_warnings(c("slug"))))
 register("topk_keyword_search", "SELECT doc_id, score FROM (SELECT doc_id, ((length(lower(text)) - length(replace(lower(text), 'tion', ''))) / 4 + (length(lower(text)) - length(replace(lower(text), 'heed', ''))) / 4)::BIGINT AS score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 3")(
     lambda s, sf: GE.keyword_search(G.table(s, sf, "documents"), "doc_id", "text", "tion heed of").select("doc_id", "score"))
 
@@ -262,7 +265,18 @@ register("str_page_audit", GIVEN)(lambda s, sf: J.append_to_table(J.page_audit(_
 register("str_progress", "SELECT user_id, count(*) AS count FROM events GROUP BY 1")(lambda s, sf: J.replace_table(J.progress(_stream(s, sf, "events"), "user_id"), J.work_folder(s)))
 register("str_partial_report", _all(PCS.replace("{top}", "100"), "SELECT category, sum(score)::BIGINT AS score_sum, count(*) AS pages FROM pcs WHERE page_id < 1000000000 GROUP BY 1"))(
     lambda s, sf: J.replace_table(J.partial_report(_site(_stream(s, sf, "pages"))), J.work_folder(s)))
-register("str_seen_dedup", "SELECT DISTINCT user_id, event_type FROM events")(lambda s, sf: J.append_to_table(J.seen_dedup(_stream(s, sf, "events"), ["user_id", "event_type"]), J.work_folder(s)).select("user_id", "event_type"))
+
+
+def _crawled_twice(s, sf, files=3):
+    """Every page address of a crawl, once as given and once with a fragment, in several files."""
+    pages = _site(G.given_pages(s, sf)).select("site", "url")
+    found = pages.unionByName(pages.withColumn("url", F.concat("url", F.lit("#again"))))
+    landed = J.landed(found, J.work_folder(s), files)
+    return J.read_files(s, landed, "*.parquet", 1).withColumn("norm_url", U.normalize(c("url")))
+
+
+register("str_seen_dedup", f"SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS site, {normalize('url')} AS norm_url FROM pages")(
+    lambda s, sf: J.append_to_table(J.seen_dedup(_crawled_twice(s, sf), ["site", "norm_url"]), J.work_folder(s)).select("site", "norm_url"))
 SEEN = f"SELECT page_id, {normalize('url')} AS norm_url FROM pages WHERE {normalize('url')} NOT IN (SELECT {normalize('url')} FROM pages WHERE url LIKE 'https:%')"
 register("anti_seen_urls", SEEN)(lambda s, sf: (lambda p: J.unseen(p, p.filter(c("url").startswith("https:"))).select("page_id", "norm_url"))(G.given_pages(s, sf)))
 register("str_resume", SEEN)(lambda s, sf: J.resume(s, _stream(s, sf, "pages"), G.given_pages(s, sf).filter(c("url").startswith("https:")), J.work_folder(s)).select("page_id", "norm_url"))

@@ -147,7 +147,7 @@ DELTAS = ", dl AS (SELECT pr.scan_id, category, score AS cur, 0 AS prev FROM pr
 DELTA_SELECT = " SELECT scan_id, category, sum(prev)::INT AS previous_score, sum(cur)::INT AS current_score, (sum(cur) - sum(prev))::INT AS delta FROM dl GROUP BY ALL"
 register("join_scan_diff", SC + DELTAS + DELTA_SELECT)(lambda s, sf: H.category_deltas(G.run(s, sf, G.SCAN_SCORES), _pairs(s, sf)))
 register("srt_categories_label", SC + DELTAS + DELTA_SELECT + " ORDER BY scan_id, category")(
-    lambda s, sf: H.category_deltas(G.run(s, sf, G.SCAN_SCORES), _pairs(s, sf)).orderBy("scan_id", "category"))
+    lambda s, sf: H.category_deltas(G.run(s, sf, G.SCAN_SCORES), _pairs(s, sf)).orderBy("scan_id", F.collate("category", "UNICODE_CI_AI"), "category"))
 register("set_union_categories", SC + DELTAS + " SELECT DISTINCT scan_id, category FROM dl")(
     lambda s, sf: (lambda p, x: p.join(x, "scan_id").select("scan_id", "category").union(
         p.join(x.withColumnRenamed("scan_id", "prev_scan_id"), "prev_scan_id").select("scan_id", "category")).distinct())(_pairs(s, sf), G.run(s, sf, G.SCAN_SCORES)))

@@ -119,3 +119,30 @@ def test_page_audit_has_no_shuffle(spark):
     df = spark.createDataFrame([(1, "https://a.example.com/", page())], "page_id long, url string, html string")
     plan = R.all_findings(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_a_passage_in_a_third_of_all_texts_makes_few_candidates(spark, monkeypatch):
+    """Candidate pairs grow with the corpus, not with the square of the texts that share a passage."""
+    from crawlsight.operators import duplicates as D
+
+    made, stored = {}, D.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(D, "stored", counted)
+    passage = " ".join(f"p{i}" for i in range(60))
+    sizes = []
+    for n in (150, 600):
+        texts = [f"{passage} " + " ".join(f"u{i}x{k}" for k in range(1 + i % 9)) if i % 3 == 0 else " ".join(f"w{i}x{k}" for k in range(50)) for i in range(n)]
+        texts += [t + " end" for t in texts[:20:4]]
+        docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+        sets = D.shingle_sets(docs)
+        found = {(r.id_a, r.id_b) for r in D.near_duplicates(sets, 0.9).collect()}
+        words = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+        plain = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if 10 * len(words[a] & words[b]) >= 9 * len(words[a] | words[b])}
+        assert found == plain
+        sizes.append((made["candidates"], len(plain)))
+    assert sizes[1][0] <= 2 * sizes[1][1] + 600, sizes

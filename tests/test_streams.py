@@ -9,7 +9,7 @@ from crawlsight.streaming import jobs as J
 
 SF = "/root/testdata/sf0.001"
 RUNS = {
-    "str_seen_dedup": lambda s, f: J.append_to_table(J.seen_dedup(RR._stream(s, SF, "events", f), ["user_id", "event_type"]), J.work_folder(s)).select("user_id", "event_type"),
+    "str_seen_dedup": lambda s, f: J.append_to_table(J.seen_dedup(RR._crawled_twice(s, SF, f), ["site", "norm_url"]), J.work_folder(s)).select("site", "norm_url"),
     "str_scan_compare": lambda s, f: J.scan_compare(s, RR._scan_events(RR._stream(s, SF, "events", f)), J.work_folder(s)),
     "str_resume": lambda s, f: J.resume(s, RR._stream(s, SF, "pages", f), G.given_pages(s, SF).limit(20), J.work_folder(s)).select("page_id", "norm_url"),
     "str_progress": lambda s, f: J.replace_table(J.progress(RR._stream(s, SF, "events", f), "user_id"), J.work_folder(s)),
