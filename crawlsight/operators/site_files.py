@@ -5,7 +5,7 @@ A file is parsed inside its row (its lines are one array), so a site never needs
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crawlsight.functions import urls as U
@@ -283,3 +283,14 @@ def audit_favicon(features: DataFrame, manifests: DataFrame) -> DataFrame:
     k.issue("manifest-fetch-error", 3, linked & ~readable, severity="low")
     k.issue("manifest-missing-fields", 3, linked & readable & (missing > 0), n=missing, severity="low").ok("manifest-valid", linked & readable & (missing == 0))
     return explode_findings(f, ["page_id"], k.column())
+
+
+def read_sitemap_files(spark: SparkSession, folder: str, tag: str = "url") -> DataFrame:
+    """``ext_sitemap`` of landed files of any size: loc and lastmod of every ``url`` (of an index: ``sitemap``) entry.
+
+    A file is read as a stream of its entries, so that no expression runs over all of it and memory is that of an entry;
+    the protocol keeps a file at 50,000 of them, and files are read side by side. Names of other vocabularies inside an entry are passed over, CDATA is text, an entry that is no XML has
+    neither field. Folders named by partition values give those as columns.
+    """
+    read = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).option("recursiveFileLookup", False)
+    return read.schema("loc string, lastmod string").load(folder)

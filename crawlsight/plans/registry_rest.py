@@ -15,6 +15,7 @@ from crawlsight.operators import generate as GE
 from crawlsight.operators import page_rules as R
 from crawlsight.operators import report as RP
 from crawlsight.operators import score as S
+from crawlsight.operators import site_files as SI
 from crawlsight.operators import source_code as SC
 from crawlsight.operators import stack as ST
 from crawlsight.plans import oracle_dom as OD
@@ -103,6 +104,16 @@ register("agg_site_stack", STACK + " SELECT site, arg_min(\"primary\", (depth <>
 
 ESC = "replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
 register("gen_sitemap", AP + f" SELECT site, ((row_number() OVER (PARTITION BY site ORDER BY url) - 1) // 50000)::INT AS file_no, url, '  <url><loc>' || {ESC} || '</loc><lastmod>2024-01-31</lastmod></url>' AS line FROM ap")(lambda s, sf: GE.sitemap_lines(_pages(s, sf), "2024-01-31"))
+
+
+@register("src_sitemap_files", AP + " SELECT site, ((row_number() OVER (PARTITION BY site ORDER BY url) - 1) // 50000)::INT AS file_no, url AS loc, '2024-01-31' AS lastmod FROM ap")
+def src_sitemap_files(spark, sf):
+    """The sitemaps that were written, read again entry by entry."""
+    out = f"{J.work_folder(spark)}/sitemaps"
+    GE.write_sitemaps(GE.sitemap_lines(_pages(spark, sf), "2024-01-31"), out)
+    return SI.read_sitemap_files(spark, out).select("site", "file_no", "loc", "lastmod")
+
+
 register("gen_sitemap_index", AP + " SELECT site, k::INT AS file_no, '  <sitemap><loc>https://' || site || '/sitemap-' || (k + 1) || '.xml</loc><lastmod>2024-01-31</lastmod></sitemap>' AS line FROM (SELECT site, unnest(range((count(*) + 49999) // 50000)) AS k FROM ap GROUP BY site)")(
     lambda s, sf: GE.sitemap_index(GE.sitemap_lines(_pages(s, sf), "2024-01-31"), "2024-01-31"))
 register("gen_llms_txt", AP + """, r AS (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY url) AS rn, regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') AS p FROM ap)

@@ -13,6 +13,7 @@ from crawlsight.operators import custom as CU
 from crawlsight.operators import generate as GE
 from crawlsight.operators import graph as GR
 from crawlsight.operators import report as RP
+from crawlsight.operators import site_files as SI
 from crawlsight.operators.page_rules import findings_of as RP_FINDINGS
 from crawlsight.plans import registry_rest
 from crawlsight.sources import projects as PJ
@@ -188,3 +189,15 @@ def test_rules_that_fail_do_not_stop_others(spark):
     got = CU.row_rules(df, {"long": lambda r: len(r["name"]), "inverse": lambda r: 1 / r["x"] if r["x"] != 2.5 else None}, ["id"])
     assert got.dtypes[0] == ("id", "bigint")
     assert sorted(map(tuple, got.collect()), key=repr) == [(1, "long", "1", None), (2, "inverse", None, "ZeroDivisionError: float division by zero"), (2, "long", None, "TypeError: object of type 'NoneType' has no len()")]
+
+
+def test_a_large_sitemap_is_read_entry_by_entry(spark, tmp_path):
+    entries = "".join(f"<url>\n <loc>https://x.example.com/{i}?a=1&amp;b=2</loc><image:image><image:loc>no</image:loc></image:image><lastmod><![CDATA[2024-01-0{1 + i % 9}]]></lastmod></url>\n" for i in range(50_000))
+    (tmp_path / "big.xml").write_text(f'<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:image="http://www.google.com/schemas/sitemap-image/1.1">{entries}</urlset>')
+    (tmp_path / "cut.xml").write_text("<urlset><url><loc>https://y.example.com/</loc></url><url><loc>https://y.example.com/cut")
+    got = {(r["loc"], r["lastmod"]) for r in SI.read_sitemap_files(spark, str(tmp_path)).collect() if r["loc"]}
+    want = {(f"https://x.example.com/{i}?a=1&b=2", f"2024-01-0{1 + i % 9}") for i in range(50_000)} | {("https://y.example.com/", None)}
+    assert want <= got and len(got - want) <= 1
+    (tmp_path / "index").mkdir()
+    (tmp_path / "index" / "i.xml").write_text("<sitemapindex><sitemap><loc>https://x.example.com/1.xml</loc></sitemap><sitemap/></sitemapindex>")
+    assert [r["loc"] for r in SI.read_sitemap_files(spark, str(tmp_path / "index"), "sitemap").collect() if r["loc"]] == ["https://x.example.com/1.xml"]
