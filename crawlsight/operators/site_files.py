@@ -34,17 +34,25 @@ def robots_lines(text: Column) -> Column:
 
 
 def _with_groups(lines: Column, shared: bool = True) -> Column:
-    """Each line with its group number: a user-agent line opens a group unless it follows another one."""
+    """Each line with its group number: a user-agent line opens a group unless it follows another one.
 
-    def group_no(ls: Column) -> Column:
+    The lines are strung together with a mark in front of each group and cut at the marks: a line's group is the number
+    of its piece, and the work is linear in the lines.
+    """
+    group, row, cell = "\x1d", "\x1e", "\x1f"
+    clean = lambda x: F.translate(x, group + row + cell, "")
+
+    def numbered(ls: Column) -> Column:
         known = F.filter(ls, lambda x: x["directive"] != "sitemap") if not shared else ls
         opens = lambda a, i: (a["directive"] == "user-agent") & (
             F.lit(not shared) | (i == 0) | (F.get(known, i - 1)["directive"] != "user-agent"))
-        starts = F.filter(F.transform(known, lambda a, i: F.when(opens(a, i), i)), lambda x: x.isNotNull())
-        return F.transform(known, lambda a, i: F.struct(
-            a["directive"].alias("directive"), a["value"].alias("value"), F.size(F.filter(starts, lambda s: s <= i)).alias("group_no")))
+        marked = F.transform(known, lambda a, i: F.concat(F.when(opens(a, i), group).otherwise(""), clean(a["directive"]), F.lit(cell), clean(a["value"])))
+        rows = lambda g, k: F.transform(
+            F.filter(F.split(g, row), lambda x: x != ""),
+            lambda x: F.struct(F.substring_index(x, cell, 1).alias("directive"), F.substring_index(x, cell, -1).alias("value"), k.alias("group_no")))
+        return F.flatten(F.transform(F.split(F.array_join(marked, row), group), rows))
 
-    return let(lines, group_no)
+    return let(lines, numbered)
 
 
 def robots_rows(files: DataFrame) -> DataFrame:
@@ -289,8 +297,8 @@ def read_sitemap_files(spark: SparkSession, folder: str, tag: str = "url") -> Da
     """``ext_sitemap`` of landed files of any size: loc and lastmod of every ``url`` (of an index: ``sitemap``) entry.
 
     A file is read as a stream of its entries, so that no expression runs over all of it and memory is that of an entry;
-    the protocol keeps a file at 50,000 of them, and files are read side by side. Names of other vocabularies inside an entry are passed over, CDATA is text, an entry that is no XML has
-    neither field. Folders named by partition values give those as columns.
+    the protocol keeps a file at 50,000 of them, and files are read side by side. Names of other vocabularies inside an
+    entry are passed over, CDATA is text, an entry that is no XML has neither field. Folders named by partition values give those as columns.
     """
     read = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).option("recursiveFileLookup", False)
     return read.schema("loc string, lastmod string").load(folder)

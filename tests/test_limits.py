@@ -101,3 +101,20 @@ def test_numbers_of_any_length_in_references(spark):
     cases = {"&#65;&#x42;": "AB", "&#0000000000066;": "B", "&#128512;": "\U0001f600", "&#1114112;": "\ufffd", "&#55357;": "\ufffd", "&#99999999999999999999;": "\ufffd", "&#xFFFFFFFFFFFF;": "\ufffd", "&amp;&nosuchname;&": "&&nosuchname;&"}
     got = spark.createDataFrame(list(cases.items()), "a string, b string").select("b", T.decode_entities(F.col("a")).alias("x")).collect()
     assert [r["x"] for r in got] == [r["b"] for r in got]
+
+
+def test_many_robots_groups_take_linear_time(spark):
+    import time
+
+    from crawlsight.operators import site_files as SI
+
+    def run(n):
+        text = "\n".join(f"User-agent: bot{i}\nDisallow: /{i}" for i in range(n))
+        df = spark.createDataFrame([("s", "Allow: /early\n" + text)], "site string, robots string")
+        began = time.time()
+        rows = SI.robots_rows(df).collect()
+        assert len(rows) == 2 * n and (rows[-1]["group_no"], rows[-1]["directive"], rows[-1]["value"]) == (n, "disallow", f"/{n - 1}")
+        return time.time() - began
+
+    run(10)
+    assert run(20_000) < 15
