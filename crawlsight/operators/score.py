@@ -7,6 +7,8 @@ rows per task whatever the size of the crawl.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,21 +20,48 @@ c = F.col
 # Label of each report category.
 LABELS = {"seo": "SEO", "aeo": "AEO", "geo": "GEO", "speed": "Performance", "a11y": "Accessibility", "conversions": "Conversions"}
 
-# Tool name, category its findings come from, rule prefixes it shows ('' shows all).
-TOOL_VIEWS = [
-    ("meta-tag-checker", "seo", ["title", "meta-desc", "meta-charset", "canonical", "og-", "twitter"]),
-    ("structured-data-checker", "seo", ["schema-", "jsonld-", "microdata", "rdfa", "structured-data"]),
-    ("indexability-checker", "seo", ["noindex", "canonical"]),
-    ("heading-structure-checker", "seo", ["h1-", "heading-order"]),
-    ("content-seo-checker", "seo", ["thin-content", "above-fold", "trust", "cta-clarity", "contact-path", "form-length", "url-structure"]),
-    ("image-alt-text-checker", "seo", ["alt-text", "decorative-alt", "lazy-loading"]),
-    ("hreflang-checker", "seo", ["hreflang"]),
-    ("speed-signals-checker", "speed", [""]),
-    ("accessibility-checker", "a11y", [""]),
-    ("mobile-friendly-checker", "seo", ["mobile-viewport", "zoom-disabled"]),
-    ("ai-discoverability-checker", "geo", [""]),
-    ("ai-citation-readiness-checker", "aeo", [""]),
-    ("ai-crawler-access-checker", "aeo", ["aeo-ai-crawler"]),
+
+class Tool(NamedTuple):
+    slug: str
+    engine: str
+    source: str | None = None
+    prefixes: tuple[str, ...] = ()
+
+
+# Every tool, what runs it, the audit it shows and the rule prefixes it shows of that (none: all).
+TOOLS = [
+    Tool("meta-tag-checker", "audit", "seo", ("title", "meta-desc", "meta-charset", "canonical", "og-", "twitter")),
+    Tool("meta-tag-generator", "generator"),
+    Tool("schema-markup-generator", "generator"),
+    Tool("structured-data-checker", "audit", "structured"),
+    Tool("robots-txt-checker", "audit", "robots"),
+    Tool("robots-txt-generator", "generator"),
+    Tool("sitemap-checker", "audit", "sitemap"),
+    Tool("sitemap-generator", "generator"),
+    Tool("broken-link-checker", "audit", "links"),
+    Tool("indexability-checker", "audit", "seo", ("noindex", "canonical")),
+    Tool("redirect-status-checker", "audit", "redirect"),
+    Tool("heading-structure-checker", "audit", "seo", ("h1-", "heading-order")),
+    Tool("content-seo-checker", "audit", "seo", ("thin-content", "above-fold", "trust", "cta-clarity", "contact-path", "form-length", "url-structure")),
+    Tool("duplicate-content-checker", "audit", "duplicate"),
+    Tool("image-alt-text-checker", "audit", "seo", ("alt-text", "decorative-alt", "lazy-loading")),
+    Tool("image-optimization-checker", "audit", "images"),
+    Tool("url-slug-generator", "generator"),
+    Tool("hreflang-checker", "audit", "seo", ("hreflang",)),
+    Tool("hreflang-generator", "generator"),
+    Tool("speed-signals-checker", "audit", "speed"),
+    Tool("core-web-vitals-checker", "pagespeed"),
+    Tool("security-headers-checker", "audit", "security"),
+    Tool("security-headers-generator", "generator"),
+    Tool("accessibility-checker", "audit", "a11y"),
+    Tool("mobile-friendly-checker", "audit", "seo", ("mobile-viewport", "zoom-disabled")),
+    Tool("tech-stack-detector", "audit", "stack"),
+    Tool("favicon-pwa-checker", "audit", "favicon"),
+    Tool("ai-discoverability-checker", "audit", "geo"),
+    Tool("ai-citation-readiness-checker", "audit", "aeo"),
+    Tool("ai-crawler-access-checker", "audit", "aeo", ("aeo-ai-crawler",)),
+    Tool("llms-txt-generator", "ai"),
+    Tool("ai-seo-fix-generator", "ai"),
 ]
 
 
@@ -109,13 +138,11 @@ def by_prefix(findings: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 
 def tool_views(findings: DataFrame) -> DataFrame:
-    """``flt_tool_view``: findings of each tool. The registry is a fixed list of 13 tools."""
-    spark = findings.sparkSession
-    rows = [(t, cat, p) for t, cat, ps in TOOL_VIEWS for p in ps]
-    tools = spark.createDataFrame(rows, "tool string, tool_category string, prefix string")
-    hit = findings.join(
-        F.broadcast(tools), (c("category") == c("tool_category")) & c("rule_id").startswith(c("prefix")))
-    return hit.select("tool", "page_id", "category", "rule_id", "passed", "weight")
+    """``flt_tool_view``: findings (source, subject, rule_id, passed, weight) of each tool of the fixed list."""
+    rows = [(t.slug, t.source, p) for t in TOOLS if t.source for p in t.prefixes or ("",)]
+    tools = findings.sparkSession.createDataFrame(rows, "tool string, tool_source string, prefix string")
+    hit = findings.join(F.broadcast(tools), (c("source") == c("tool_source")) & c("rule_id").startswith(c("prefix")))
+    return hit.select("tool", "source", "subject", "rule_id", "passed", "weight")
 
 
 def min_severity(findings: DataFrame, floor: str) -> DataFrame:

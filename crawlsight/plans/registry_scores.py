@@ -108,9 +108,6 @@ def flt_rule_prefix(spark, sf):
     return S.by_prefix(_findings(spark, sf), prefixes).select("page_id", "category", "rule_id")
 
 
-_TOOLS = ", ".join(f"('{t}', '{k}', '{p}')" for t, k, ps in S.TOOL_VIEWS for p in ps)
-register("flt_tool_view", _all("", f"SELECT tool, page_id, category, rule_id, passed, weight FROM fx JOIN (VALUES {_TOOLS}) t(tool, k, prefix) ON category = k AND starts_with(rule_id, prefix)"))(
-    lambda s, sf: S.tool_views(_findings(s, sf)))
 register("prj_severity", "SELECT l_orderkey, l_linenumber, CASE WHEN w >= 14 THEN 'critical' WHEN w >= 9 THEN 'high' WHEN w >= 5 THEN 'medium' WHEN w >= 2 THEN 'low' ELSE 'informational' END AS severity FROM (SELECT *, CAST(l_quantity / 3 AS INT) w FROM (SELECT l_orderkey, l_linenumber, floor(l_quantity / 3) * 3 AS l_quantity FROM lineitem))")(
     lambda s, sf: G.table(s, sf, "lineitem").select("l_orderkey", "l_linenumber", severity_of(F.floor(c("l_quantity") / 3)).alias("severity")))
 register("prj_score_band", _all(PCS.replace("{top}", "100"), "SELECT page_id, category, CASE WHEN score >= 80 THEN 'good' WHEN score >= 60 THEN 'warn' ELSE 'critical' END AS band FROM pcs"))(
