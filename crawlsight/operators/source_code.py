@@ -279,6 +279,15 @@ def internal_links(files: DataFrame) -> DataFrame:
     return keyed.join(targets, ["project", "key"]).filter(c("source") != c("target")).select("project", "source", "target").distinct()
 
 
+def worst_files(files: DataFrame, n: int) -> DataFrame:
+    """``topk_worst_files``: the files with the most findings, beside the files and links of their projects."""
+    worst = audit_files(files).groupBy("project", "path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "project", "path").limit(n)
+    nodes = files.groupBy("project").agg(F.count_distinct("path").alias("n_nodes"))
+    edges = internal_links(files).groupBy("project").agg(F.count(F.lit(1)).alias("n_edges"))
+    sized = nodes.join(edges, "project", "left").select("project", "n_nodes", F.coalesce("n_edges", F.lit(0)).cast("long").alias("n_edges"))
+    return worst.join(sized, "project").select("project", "path", "n", "n_nodes", "n_edges")
+
+
 # Weight of a project finding by severity.
 PROJECT_WEIGHTS = {"critical": 16, "high": 10, "medium": 6, "low": 3, "informational": 1, "good": 0}
 

@@ -20,7 +20,7 @@ def _linked(s, sf):
     return G.run(s, sf, G.LINKED_FILES)
 
 
-register("src_project_meta", LF + " SELECT project, path, strlen(content) AS n FROM lf WHERE path IN ('package.json', 'robots.txt')")(
+register("src_project_meta", LF + " SELECT project, path, strlen(content) AS n FROM lf WHERE path IN ('package.json', 'robots.txt', 'sitemap.xml', 'vercel.json')")(
     lambda s, sf: SC.meta_files(_linked(s, sf)).select("project", "path", F.octet_length("content").cast("long").alias("n")))
 register("flt_source_fixable", PF + " SELECT p_partkey, p_type <> 'STANDARD' AS fixable FROM pf")(
     lambda s, sf: _files(s, sf).select("p_partkey", SC.fixable(c("path"), c("content")).alias("fixable")))
@@ -29,7 +29,7 @@ register("flt_full_document", LF + " SELECT project, path, path = 'about.html' A
 register("join_ancestor_metadata", LF + " SELECT project, path FROM lf WHERE s_acctbal > 5000 AND path LIKE 'app/%'")(lambda s, sf: SC.has_metadata_above(_linked(s, sf)))
 register("join_resolve_internal_links", LF + " SELECT project, 'app/shop/page.tsx' AS source, 'about.html' AS target FROM lf WHERE path = 'about.html' UNION ALL SELECT project, 'about.html', 'app/shop/page.tsx' FROM lf WHERE path = 'about.html'")(
     lambda s, sf: SC.internal_links(_linked(s, sf)))
-register("audit_project_wide", LF + " SELECT project, bool_or(path = 'robots.txt') AS has_robots, false AS has_sitemap, false AS has_headers_config FROM lf GROUP BY 1")(lambda s, sf: SC.project_wide(_linked(s, sf)))
+register("audit_project_wide", LF + " SELECT project, bool_or(path = 'robots.txt') AS has_robots, bool_or(path = 'sitemap.xml') AS has_sitemap, bool_or(path = 'vercel.json') AS has_headers_config FROM lf GROUP BY 1")(lambda s, sf: SC.project_wide(_linked(s, sf)))
 register("audit_native_components", LF + " SELECT project, 'app/shop/page.tsx' AS path, 'framework-link' AS rule_id, 2::BIGINT AS n FROM lf WHERE path = 'app/shop/page.tsx' AND s_acctbal > 5000")(
     lambda s, sf: SC.native_components(_linked(s, sf), SC.project_stack(_linked(s, sf))))
 register("agg_affected_files", PF + f" SELECT project, rule_id, count(DISTINCT p) AS n_files, min(p) AS first_path FROM ({' UNION ALL '.join(f'''SELECT project, p, '{r}' AS rule_id FROM pf WHERE {cond}''' for r, cond in _src)}) GROUP BY ALL")(

@@ -124,8 +124,38 @@ register("gen_robots", "SELECT s_name AS site, 'User-agent: *' || chr(10) || CAS
 register("gen_meta_tags", """SELECT p_partkey, length('<title>' || p_name || '</title>') AS n_title, concat_ws(';', CASE WHEN length(p_name) NOT BETWEEN 10 AND 60 THEN 'title' END, CASE WHEN length(p_type) NOT BETWEEN 50 AND 160 THEN 'description' END, CASE WHEN p_size % 2 = 0 THEN 'image' END) AS warnings FROM part""")(
     lambda s, sf: GE.meta_tags(G.table(s, sf, "part"), c("p_name"), c("p_type"), F.lit("https://x.example.com/"), F.when(c("p_size") % 2 == 0, "").otherwise("https://x.example.com/i.png"))
     .select("p_partkey", F.length(F.substring_index("head", "\n", 1)).cast("long").alias("n_title"), "warnings"))
-register("gen_jsonld", """SELECT p_partkey, '{"@context":"https://schema.org","@type":"Product","name":"' || p_name || '","brand":{"@type":"Brand","name":"' || p_brand || '"}' || CASE WHEN p_size % 2 = 0 THEN ',"offers":{"@type":"Offer","price":"' || p_size || '","priceCurrency":"USD"}' ELSE '' END || '}' AS jsonld FROM part""")(
-    lambda s, sf: G.table(s, sf, "part").select("p_partkey", GE.jsonld("Product", name=c("p_name"), brand=c("p_brand"), description=F.lit(""), price=F.when(c("p_size") % 2 == 0, c("p_size").cast("string")).otherwise("")).alias("jsonld")))
+
+
+_ctx = lambda kind, *parts: "'{\"@context\":\"https://schema.org\",\"@type\":\"" + kind + "\"' || " + " || ".join(parts) + " || '}'"
+_kv = lambda key, sql: f"',\"{key}\":\"' || {sql} || '\"'"
+_opt = lambda key, sql: f"CASE WHEN p_size % 2 = 0 THEN {_kv(key, sql)} ELSE '' END"
+_obj = lambda key, kind, inner, sql: f"',\"{key}\":{{\"@type\":\"{kind}\",\"{inner}\":\"' || {sql} || '\"}}'"
+_U = "'https://x.example.com/' || p_partkey"
+_LD_KINDS = [
+    ("Organization", dict(name="p_name", url=_U, logo="even"), [_kv("name", "p_name"), _kv("url", _U), _opt("logo", "p_type")]),
+    ("Person", dict(name="p_name", url=_U, jobTitle="even"), [_kv("name", "p_name"), _kv("url", _U), _opt("jobTitle", "p_type")]),
+    ("Article", dict(headline="p_name", author="p_brand", datePublished="even"), [_kv("headline", "p_name"), _obj("author", "Person", "name", "p_brand"), _opt("datePublished", "p_type")]),
+    ("Product", dict(name="p_name", brand="p_brand", price="even"), [_kv("name", "p_name"), _obj("brand", "Brand", "name", "p_brand"), "CASE WHEN p_size % 2 = 0 THEN ',\"offers\":{\"@type\":\"Offer\",\"price\":\"' || p_type || '\",\"priceCurrency\":\"USD\"}' ELSE '' END"]),
+    ("WebSite", dict(name="p_name", url=_U), [_kv("name", "p_name"), _kv("url", _U)]),
+    ("WebPage", dict(name="p_name", description="even", url=_U), [_kv("name", "p_name"), _opt("description", "p_type"), _kv("url", _U)]),
+    ("SoftwareApplication", dict(name="p_name", applicationCategory="p_type", operatingSystem="even"), [_kv("name", "p_name"), _kv("applicationCategory", "p_type"), _opt("operatingSystem", "p_type")]),
+    ("LocalBusiness", dict(name="p_name", telephone="even", streetAddress="p_brand"), [_kv("name", "p_name"), _opt("telephone", "p_type"), _obj("address", "PostalAddress", "streetAddress", "p_brand")]),
+    ("Event", dict(name="p_name", startDate="p_type", endDate="even", locationName="p_brand"), [_kv("name", "p_name"), _kv("startDate", "p_type"), _opt("endDate", "p_type"), _obj("location", "Place", "name", "p_brand")]),
+    ("BreadcrumbList", dict(items="'Home|/' || chr(10) || p_name"), ["',\"itemListElement\":[{\"@type\":\"ListItem\",\"position\":1,\"name\":\"Home\",\"item\":\"/\"},{\"@type\":\"ListItem\",\"position\":2,\"name\":\"' || p_name || '\"}]'"]),
+    ("FAQPage", dict(items="p_name || '?|' || p_type"), ["',\"mainEntity\":[{\"@type\":\"Question\",\"name\":\"' || p_name || '?\",\"acceptedAnswer\":{\"@type\":\"Answer\",\"text\":\"' || p_type || '\"}}]'"]),
+]
+
+
+@register("gen_jsonld", "SELECT p_partkey, CASE p_partkey % 11 " + " ".join(f"WHEN {i} THEN {_ctx(kind, *parts)}" for i, (kind, _, parts) in enumerate(_LD_KINDS)) + " END AS jsonld FROM part")
+def gen_jsonld(spark, sf):
+    """Every one of the eleven types, one after the other; a field is empty where the size is odd."""
+    value = lambda x: F.when(c("p_size") % 2 == 0, c("p_type")).otherwise("") if x == "even" else F.expr(x)
+    out = F.lit(None).cast("string")
+    for i, (kind, fields, _) in enumerate(_LD_KINDS):
+        out = F.when(c("p_partkey") % 11 == i, GE.jsonld(kind, **{k: value(v) for k, v in fields.items()})).otherwise(out)
+    return G.table(spark, sf, "part").select("p_partkey", out.alias("jsonld"))
+
+
 register("gen_hreflang", """SELECT p_partkey, '<link rel="alternate" hreflang="en" href="/en/' || p_partkey || '" />' || chr(10) || '<link rel="alternate" hreflang="x-default" href="/en/' || p_partkey || '" />' AS tags FROM part""")(
     lambda s, sf: G.table(s, sf, "part").select("p_partkey", GE.hreflang(F.array(F.struct(F.lit("en").alias("lang"), F.concat(F.lit("/en/"), c("p_partkey").cast("string")).alias("url")))).alias("tags")))
 register("gen_slug", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9\s-]', '', 'g')), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")(
@@ -194,8 +224,9 @@ register("audit_source_live", _lm + " SELECT project, p AS path, rule_id, count(
 _found = " UNION ALL ".join(f"SELECT project, p, '{r}' AS rule_id FROM pf WHERE {cond}" for r, cond in _src)
 register("agg_file_issue_counts", PF + f", x AS ({_found}) SELECT project, p AS name, 'file' AS kind, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT project, split_part(p, '/', 1), 'folder', count(*) FROM x GROUP BY ALL")(
     lambda s, sf: SC.issue_counts(SC.audit_files(_files(s, sf))))
-register("topk_worst_files", PF + f" SELECT project, p AS path, count(*) AS n FROM ({_found}) GROUP BY ALL ORDER BY n DESC, project, path LIMIT 8")(
-    lambda s, sf: SC.audit_files(_files(s, sf)).groupBy("project", "path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "project", "path").limit(8))
+_size = "SELECT project, count(DISTINCT p) AS n_nodes, 0::BIGINT AS n_edges FROM pf GROUP BY 1"
+register("topk_worst_files", PF + f" SELECT project, path, n, n_nodes, n_edges FROM (SELECT project, p AS path, count(*) AS n FROM ({_found}) GROUP BY ALL ORDER BY n DESC, project, path LIMIT 8) JOIN ({_size}) USING (project)")(
+    lambda s, sf: SC.worst_files(_files(s, sf), 8))
 register("audit_project_stack", PF + " SELECT project, CASE WHEN bool_or(p_type = 'PROMO') THEN 'vue' WHEN bool_or(p_type IN ('SMALL', 'MEDIUM', 'LARGE')) THEN 'react' ELSE 'static' END AS stack FROM pf GROUP BY 1")(lambda s, sf: SC.project_stack(_files(s, sf)))
 register("audit_fix_integrity", """SELECT p_partkey, CASE p_size % 5 WHEN 1 THEN 'shrunk' WHEN 2 THEN 'angle-brackets' WHEN 3 THEN 'quotes' WHEN 4 THEN 'closing-tag' END AS reason FROM part""")(
     lambda s, sf: SC.integrity(G.table(s, sf, "part").select(

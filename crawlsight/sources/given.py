@@ -287,7 +287,7 @@ FROM (SELECT *, CAST(p_partkey AS STRING) AS key FROM part) b
 
 # A linked project per supplier: config files, layouts, pages that link to each other. One row per (supplier, role).
 LINKED_FILES = """
-SELECT s_name AS project, CASE r.r_regionkey WHEN 0 THEN 'app/layout.tsx' WHEN 1 THEN 'app/shop/page.tsx' WHEN 2 THEN 'about.html' WHEN 3 THEN 'package.json' ELSE 'robots.txt' END AS path,
+SELECT s_name AS project, CASE r.r_regionkey WHEN 0 THEN 'app/layout.tsx' WHEN 1 THEN 'app/shop/page.tsx' WHEN 2 THEN 'about.html' WHEN 3 THEN 'package.json' ELSE CASE WHEN s_acctbal > 8000 THEN 'sitemap.xml' WHEN s_acctbal > 5000 THEN 'vercel.json' ELSE 'robots.txt' END END AS path,
   CASE r.r_regionkey WHEN 0 THEN CASE WHEN s_acctbal > 5000 THEN 'export const metadata = {};' ELSE 'export default 1;' END
     WHEN 1 THEN '<a href="/about">About</a><a href="/about?x=1">Again</a><a href="https://out.example.org/">Out</a>'
     WHEN 2 THEN '<html><a href="app/shop">Shop</a><a href="about.html#me">Me</a></html>'
