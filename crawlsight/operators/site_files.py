@@ -125,9 +125,22 @@ def with_features(files: DataFrame) -> DataFrame:
     })
 
 
-def audit_crawl_files(files: DataFrame) -> DataFrame:
-    """``audit_crawl_files``: robots.txt and sitemap findings per site. A null status is a fetch that failed."""
+def with_reach(files: DataFrame, fetched: DataFrame) -> DataFrame:
+    """``files`` with n_unreachable: the sitemaps that a site's index lists and that ``fetched`` (url, status) has no good
+    answer for."""
+    children = F.transform(F.regexp_extract_all(c("sitemap"), F.lit(r"(?is)<sitemap>.*?</sitemap>"), F.lit(0)), lambda e: F.trim(F.regexp_extract(e, "(?is)<loc>(.*?)</loc>", 1)))
+    asked = files.select("site", F.explode(F.filter(children, U.is_http)).alias("url"))
+    lost = asked.join(fetched.groupBy("url").agg(F.max("status").alias("status")), "url", "left").filter(~F.coalesce(c("status").between(200, 299), F.lit(False)))
+    return files.join(lost.groupBy("site").agg(F.count(F.lit(1)).alias("n_unreachable")), "site", "left")
+
+
+def audit_crawl_files(files: DataFrame, fetched: DataFrame) -> DataFrame:
+    """``audit_crawl_files``: robots.txt and sitemap findings per site. A null status is a fetch that failed.
+
+    ``fetched`` (url, status) are the answers for the sitemaps that indexes list.
+    """
     k = Checks("crawl")
+    files = with_reach(files, fetched)
     st, ok = c("robots_status"), c("ok_robots")
     k.issue("robots-fetch", 7, st.isNull()).issue("sitemap-fetch", 10, c("sitemap_status").isNull())
     k.issue("robots-missing", 6, st == 404)
@@ -163,8 +176,10 @@ def audit_crawl_files(files: DataFrame) -> DataFrame:
     no_loc, bad = F.exists("children", lambda u: u == ""), F.exists("children", lambda u: (u != "") & ~U.is_http(u))
     k.issue("sitemap-index-empty", 9, index & (F.size("children") == 0))
     k.issue("sitemap-index-missing-loc", 8, index & no_loc).issue("sitemap-index-invalid-loc", 7, index & bad)
+    lost = F.coalesce(c("n_unreachable") > 0, F.lit(False))
+    k.issue("sitemap-index-unreachable", 7, index & lost)
     k.issue("sitemap-index-size", 8, index & (F.size("children") > 50000))
-    k.ok("sitemap-index-valid", index & F.size("children").between(1, 50000) & ~no_loc & ~bad)
+    k.ok("sitemap-index-valid", index & F.size("children").between(1, 50000) & ~no_loc & ~bad & ~lost)
     k.issue("sitemap-file-size", 7, xml & (F.octet_length("sitemap") > 50 * 1024 * 1024))
     return explode_findings(with_features(files), ["site"], k.column())
 

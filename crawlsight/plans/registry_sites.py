@@ -51,8 +51,9 @@ register("audit_crawl_files", FILES + " " + _rules([
     ("sitemap-http", False, 10, "k = 10"), ("sitemap-not-xml", False, 10, "k = 11"), ("sitemap-root", False, 10, "k = 12"), ("sitemap-empty", False, 10, "k = 13"),
     ("sitemap-missing-loc", False, 9, "k = 17"), ("sitemap-invalid-loc", False, 8, "k = 17"), ("sitemap-duplicates", False, 5, "k = 18"), ("sitemap-off-domain", False, 7, "k = 16"),
     ("sitemap-mixed-domain", False, 4, "k = 19"), ("sitemap-lastmod", False, 4, "k = 19"), ("sitemap-valid", True, 0, f"{_set} AND k NOT IN (16, 17, 18, 19)"),
-    ("sitemap-index-missing-loc", False, 8, "k = 14"), ("sitemap-index-invalid-loc", False, 7, "k = 14")]))(
-    lambda s, sf: SF.audit_crawl_files(_files(s, sf)).select("site", "rule_id", "passed", "weight"))
+    ("sitemap-index-missing-loc", False, 8, "k = 14"), ("sitemap-index-invalid-loc", False, 7, "k = 14"),
+    ("sitemap-index-unreachable", False, 7, "k = 14 AND coalesce(llms, '') <> '# Site'")]))(
+    lambda s, sf: SF.audit_crawl_files(_files(s, sf), G.run(s, sf, G.CHILD_SITEMAPS)).select("site", "rule_id", "passed", "weight"))
 register("audit_aeo_site", FILES + " " + _rules([
     ("aeo-ai-crawlers-blocked", False, 12, "k >= 18 AND k <> 20"), ("aeo-ai-crawlers", True, 0, "k NOT IN (1, 2) AND k < 18"),
     ("aeo-llms-txt", True, 0, "trim(llms) <> ''"), ("aeo-llms-txt-missing", False, 3, "coalesce(trim(llms), '') = ''"),

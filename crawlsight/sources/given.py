@@ -250,6 +250,11 @@ SELECT s_name AS site, 'https://' || LOWER(REPLACE(s_name, '#', '')) || '.exampl
 FROM (SELECT *, CAST(s_nationkey AS INT) AS k FROM supplier) x
 """
 
+# Answers for the sitemaps that a supplier's index lists.
+CHILD_SITEMAPS = """
+SELECT 'https://' || LOWER(REPLACE(s_name, '#', '')) || '.example.com/s1.xml' AS url, CASE WHEN s_acctbal > 5000 THEN 200 ELSE 404 END AS status FROM supplier
+"""
+
 # Page speed responses, one per order.
 VITALS = """
 SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN

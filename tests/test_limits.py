@@ -42,7 +42,7 @@ def test_all_children_of_a_sitemap_index(spark):
     locs = "".join(f"<sitemap><loc>https://a.example/{i}.xml</loc></sitemap>" for i in range(6)) + "<sitemap></sitemap>"
     row = ("a", "https://a.example", 200, "User-agent: *\nDisallow:", "text/plain", 200, f"<sitemapindex>{locs}</sitemapindex>")
     files = spark.createDataFrame([row], "site string, origin string, robots_status int, robots string, robots_type string, sitemap_status int, sitemap string")
-    assert "sitemap-index-missing-loc" in {r["rule_id"] for r in SF.audit_crawl_files(files.withColumns({"llms": F.lit(None).cast("string"), "browser_status": F.lit(200), "bot_status": F.lit(200)})).collect()}
+    assert "sitemap-index-missing-loc" in {r["rule_id"] for r in SF.audit_crawl_files(files.withColumns({"llms": F.lit(None).cast("string"), "browser_status": F.lit(200), "bot_status": F.lit(200)}), spark.createDataFrame([], "url string, status int")).collect()}
 
 
 def test_more_than_500_broken_links(spark):
