@@ -148,7 +148,11 @@ def by_row(found: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no window of ``items`` occurs."""
+    """The rows of ``docs``, with all their columns, in which no window of ``items`` occurs.
+
+    Null and empty texts have no words and stay; so do repeated rows without a hit. Items that are null, empty or blank
+    have no window; without items all rows stay.
+    """
     names = docs.columns
     rows = stored(numbered(docs.toDF(*[f"c{i}" for i in range(len(names))])), "numbered-documents")
     texts = with_texts(rows, names)

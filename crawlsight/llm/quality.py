@@ -172,6 +172,8 @@ def quality_scores(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: floa
 def good_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that :func:`quality_scores` keeps, with all their columns.
 
+    Null, empty and blank texts have no words and go; repeated rows stay or go together; null ids are no reason to go.
+
     The model is fitted on all rows first; rows are then judged where they stand, so texts are neither shuffled nor
     written twice.
     """
