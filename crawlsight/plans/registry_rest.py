@@ -336,7 +336,7 @@ def _routed(s, sf):
 
 register("str_event_router", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type FROM events WHERE event_id % 17 <> 3")(
     lambda s, sf: _routed(s, sf)[0].select("event_id", c("props.k").alias("k"), "event_type"))
-register("str_rejected_events", f"SELECT value AS bad FROM ({NDJSON.replace('STRING', 'VARCHAR')}) WHERE NOT json_valid(value)")(lambda s, sf: _routed(s, sf)[1])
+register("str_rejected_events", f"SELECT value AS bad FROM ({NDJSON}) WHERE NOT json_valid(value)")(lambda s, sf: _routed(s, sf)[1])
 
 
 @register("src_events_ndjson", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 17 <> 3")
