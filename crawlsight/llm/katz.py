@@ -35,7 +35,7 @@ PARTITION = 1_200_000
 #: The most frequent words of a partition that are looked at when contexts are split. Splitting changes no result.
 TOP = 64
 END = xxhash.xxh64_intdigest(b"\n")  # no word has a line feed
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 def held_out(doc_id: object, folds: int = 7, fold: int = 2) -> bool:
