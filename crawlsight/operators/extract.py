@@ -248,6 +248,17 @@ def _with_head(parsed: DataFrame) -> DataFrame:
     )
 
 
+TITLE = rf"(?is)<title(?=[\s/>]){M.ATTRS}>(.*?)(?:</title|$)"
+
+
+def head_texts(pages: DataFrame) -> DataFrame:
+    """page_id, title and meta_desc as :func:`page_features` has them, and nothing else of the page."""
+    html = F.col("html")
+    base = pages.select("page_id", M.drop_comments(html).alias("nc"), M.skeleton(html).alias("skel"))
+    tag = F.get(F.filter(M.tags(F.col("skel"), "meta"), lambda t: M.attr(t, "name", False) == "description"), F.lit(0))
+    return base.select("page_id", T.trim_ws(M.text_of(F.regexp_extract("nc", TITLE, 1))).alias("title"), F.coalesce(M.attr_or_null(tag, "content"), F.lit("")).alias("meta_desc"))
+
+
 def page_features(pages: DataFrame) -> DataFrame:
     """One row per page with every field the page rules read.
 

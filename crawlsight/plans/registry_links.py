@@ -219,7 +219,7 @@ _SAME = " UNION ALL ".join(f"SELECT '{k}' AS kind, page_id AS id, n, first_id FR
 @register("agg_dup_groups", f"WITH {AUDIT_PAGES}, {_HEADS}, {O.DOCS}, {O.LONG}, {O.EXACT} {_SAME} UNION ALL SELECT 'body', k.id, g.n, g.first_id FROM k JOIN g USING (body_key)")
 def agg_dup_groups(spark, sf):
     """Pages with a title or a description that others have, documents with a body that others have."""
-    heads = stored(X.page_features(G.audit_pages(spark, sf)).select("page_id", "title", "meta_desc"), "page-heads")
+    heads = stored(X.head_texts(G.audit_pages(spark, sf)), "page-heads")
     keys = lambda x: heads.select(c("page_id").alias("id"), F.lower(T.collapse_ws(c(x))).alias("key"))
     rows = lambda kind, df: df.select(F.lit(kind).alias("kind"), "id", "n", "first_id")
     return rows("title", D.members(keys("title"), "key")).unionByName(rows("description", D.members(keys("meta_desc"), "key"))).unionByName(rows("body", D.member_rows(_docs(spark, sf))))
