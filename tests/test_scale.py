@@ -1,9 +1,15 @@
 """Work is dealt over the tasks however the files hold their rows, is done once, and is done for every row."""
 
+import json
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from crawlsight.plans import registry_rest as RR
 from crawlsight.sources import given as G
+from crawlsight.streaming import jobs as J
 
 
 @pytest.fixture
@@ -31,3 +37,22 @@ def test_no_task_gets_all_pages(spark, one_row_group):
     assert scan.rdd.getNumPartitions() > cores and scan.groupBy(F.spark_partition_id()).count().count() == 1
     shares = G.audit_pages(spark, one_row_group).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in shares) == 8000 and max(r["count"] for r in shares) <= 2 * 4000 / cores
+
+
+def test_batches_of_pages_are_dealt(spark, one_row_group):
+    tasks = RR._page_stream(spark, one_row_group).select("page_id", F.spark_partition_id().alias("task"))
+    rows = J.append_to_table(tasks, J.work_folder(spark))
+    assert rows.count() == 4000 and rows.select("task").distinct().count() > 1
+
+
+@pytest.mark.parametrize("name", ["audit_images", "join_image_status", "join_link_status", "audit_links_site", "audit_duplicates"])
+def test_pages_are_read_for_links_images_and_heads_once(spark, name):
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"<img|<picture|<\(a\)|<title", plan)
+
+
+def test_every_event_is_read_from_the_lines(spark, tmp_path):
+    rows = [(i, "click", json.dumps({"k": i * 2})) for i in range(40)] + [(100, None, None)]
+    spark.createDataFrame(rows, "event_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r.event_id, r.k) for r in entry.queries()["src_events_ndjson"](spark, str(tmp_path)).collect())
+    assert got == [(i, i * 2) for i in range(40)] + [(100, None)]
