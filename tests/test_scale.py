@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from crawlsight.functions.findings import Checks
+from crawlsight.operators import extract as X
 from crawlsight.plans import registry_rest as RR
 from crawlsight.sources import given as G
 from crawlsight.streaming import jobs as J
@@ -56,3 +58,15 @@ def test_every_event_is_read_from_the_lines(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
     got = sorted((r.event_id, r.k) for r in entry.queries()["src_events_ndjson"](spark, str(tmp_path)).collect())
     assert got == [(i, i * 2) for i in range(40)] + [(100, None)]
+
+
+def test_page_rules_do_no_work_twice(spark):
+    pages = spark.createDataFrame([(1, "https://a.example/", "<body><h2>a</h2><p>b c</p><h2>d</h2></body>")], "page_id long, url string, html string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    words = plan(pages.select(X.section_words(F.col("html")).alias("words")))
+    assert words.count("figcaption") == 2  # a block's start and its end, each tried once a token
+    marks = plan(X.page_features(pages).select("has_trust", "has_contact", "app_shell"))
+    assert marks.count("lower(html") <= 2  # one for the marks, one for what is taken out of the page
+    assert "filter(" not in plan(pages.select(Checks("seo").issue("a", 1, F.col("page_id") > 0).ok("b", F.col("page_id").isNull()).column()))
+    got = pages.select(F.inline(Checks("seo").issue("a", 1, F.col("page_id") > 0).ok("b", F.lit(None).cast("boolean")).column())).collect()
+    assert [(r.rule_id, r.passed) for r in got] == [("a", False)]
