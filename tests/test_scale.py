@@ -1,5 +1,6 @@
 """Work is dealt over the tasks however the files hold their rows, is done once, and is done for every row."""
 
+import itertools
 import json
 import re
 
@@ -41,6 +42,24 @@ def test_no_task_gets_all_pages(spark, one_row_group):
     assert sum(r["count"] for r in shares) == 8000 and max(r["count"] for r in shares) <= 2 * 4000 / cores
 
 
+def below_dealing(df):
+    """The parts of an optimized plan that run before rows are dealt."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(re.match(r"[ :+-]*", line)[0]) for line in lines]
+    dealings = [i for i, line in enumerate(lines) if "Repartition" in line]
+    assert dealings
+    return ["\n".join(itertools.takewhile(bool, (lines[k] if depth[k] > depth[i] else "" for k in range(i + 1, len(lines))))) for i in dealings]
+
+
+def test_pages_are_not_made_or_searched_before_they_are_dealt(spark, one_row_group):
+    """``ext_images``, and any filter on the pages: below the dealing one task would make every page to test it."""
+    rows = entry.queries()["ext_images"](spark, one_row_group)
+    for plan in below_dealing(rows) + below_dealing(G.audit_pages(spark, one_row_group).filter("html like '%<img%'").filter("page_id >= 1000000000")):
+        assert "<main>" not in plan
+    assert not [plan for plan in below_dealing(rows) if "<img" in plan]
+    assert rows.count() > 4000
+
+
 def test_batches_of_pages_are_dealt(spark, one_row_group):
     tasks = RR._page_stream(spark, one_row_group).select("page_id", F.spark_partition_id().alias("task"))
     rows = J.append_to_table(tasks, J.work_folder(spark))
