@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from crawlsight.functions.findings import Checks
 from crawlsight.operators import extract as X
+from crawlsight.operators import stack as ST
 from crawlsight.plans import registry_rest as RR
 from crawlsight.sources import given as G
 from crawlsight.streaming import jobs as J
@@ -89,3 +90,31 @@ def test_page_rules_do_no_work_twice(spark):
     assert "filter(" not in plan(pages.select(Checks("seo").issue("a", 1, F.col("page_id") > 0).ok("b", F.col("page_id").isNull()).column()))
     got = pages.select(F.inline(Checks("seo").issue("a", 1, F.col("page_id") > 0).ok("b", F.lit(None).cast("boolean")).column())).collect()
     assert [(r.rule_id, r.passed) for r in got] == [("a", False)]
+
+
+def test_signals_try_a_pattern_only_where_its_text_stands(spark):
+    """``audit_stack``: every alternative of every pattern is still found in either case, and patterns stand behind plain searches."""
+    texts = {
+        "WordPress": "wp-content|wp-includes|wp-json", "Drupal": "Drupal.settings|drupal.js|/sites/default/files", "Joomla": "/media/jui/|Joomla!",
+        "Wix": "static.wixstatic.com|wix-code|X-Wix-", "Squarespace": "static1.squarespace.com|squarespace-cdn.com|Squarespace.SQUARESPACE_ROLLUPS",
+        "Webflow": "data-wf-site|data-wf-page|webflow.com", "Shopify": "cdn.shopify.com|Shopify.theme|/cdn/shop/",
+        "BigCommerce": "cdn11.bigcommerce.com|bigcommerce.com/s-", "Magento": "Mage.Cookies|/skin/frontend/|Magento_", "WooCommerce": "woocommerce",
+        "Next.js": "__NEXT_DATA__|/_next/static/", "Nuxt": "__NUXT__|/_nuxt/", "Gatsby": "___gatsby|/page-data/",
+        "SvelteKit": "__sveltekit|/_app/immutable/", "Angular": '<b ng-version="1">', "Astro": "astro-island|data-astro-cid",
+        "Remix": "__remixContext|/build/entry.client", "React": "data-reactroot|data-reactid|react-dom", "Vue": "data-v-0a1b2c|__VUE__|vue.global.js",
+        "ASP.NET": "__VIEWSTATE", "jQuery": "jquery.js|jquery.min.js", "Bootstrap": "bootstrap.css|bootstrap.min.js",
+        "Tailwind CSS": "tailwindcss|tailwind.min.css", "Elementor": "elementor",
+    }
+    assert set(texts) == {s[0] for s in ST.SIGNALS if s[3]}
+    cases = [(name, case(text)) for name, row in texts.items() for text in row.split("|") for case in (str, str.upper, str.lower)]
+    cases += [("WordPress", '<meta name="generator" content="WORDPRESS 6">'), (None, "wordpress react nuxt tailwind drupal"), (None, None)]
+    pages = spark.createDataFrame(
+        [(i, "s", 0, "https://s/", html and f"<p>{html}</p>", {}) for i, (_, html) in enumerate(cases)],
+        "page_id long, site string, depth int, url string, html string, headers map<string,string>")
+    found = pages.select("page_id", F.col("html").alias("h"), "headers", "html").withColumn("low", F.lower("html")).select("page_id", ST._signals()["name"].alias("names"))
+    got = {r.page_id: r.names for r in found.collect()}
+    for i, (name, html) in enumerate(cases):
+        assert name in got[i] if name else not got[i], (name, html, got[i])
+    assert ST.detect(pages).filter("n_signals = 0").count() == 2
+    plan = ST.detect(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"lower\(html", plan)) == 1
