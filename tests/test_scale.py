@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from crawlsight.functions import text as T
 from crawlsight.functions.findings import Checks
 from crawlsight.operators import extract as X
+from crawlsight.operators import page_rules as R
 from crawlsight.operators import stack as ST
 from crawlsight.plans import registry_rest as RR
 from crawlsight.sources import given as G
@@ -118,3 +120,48 @@ def test_signals_try_a_pattern_only_where_its_text_stands(spark):
     assert ST.detect(pages).filter("n_signals = 0").count() == 2
     plan = ST.detect(pages)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"lower\(html", plan)) == 1
+
+
+def test_the_rules_of_a_union_of_pages_are_one_projection(spark):
+    """A projection on a union would be planned, compiled and warmed up once a branch."""
+    pages = spark.createDataFrame([(1, "https://a.example/", "<p>b</p>")], "page_id long, url string, html string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    speed = lambda df: plan(R.audit(df, "speed")).count("render-blocking-js")
+    assert speed(pages.union(pages)) == speed(pages)
+
+
+def test_a_json_ld_node_is_asked_once_for_each_thing(spark):
+    """Conditions, weights and severities of a node's checks read one value."""
+    plan = R._node_checks(F.col("node"), F.col("t"))._jc.toString()
+    assert all(plan.count(name) == 4 for name in ("itemListElement", "mainEntity", "potentialAction"))  # parsed once; as_array names its text four times
+    crumbs = '[{"@type":"ListItem"},{"@type":"ListItem","position":2,"name":"x","item":"https://a.example/"}]'
+    nodes = [("BreadcrumbList", {"itemListElement": crumbs}), ("Person", {}), ("WebSite", {"name": "a", "url": "b"}), ("Offer", {}), ("Product", {"name": "p"})]
+    df = spark.createDataFrame(nodes, "t string, node map<string,string>").select("t", F.explode_outer(R._node_checks(F.col("node"), F.col("t"))).alias("f"))
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.t, []).append(r.f and (r.f.rule_id, r.f.weight, r.f.severity, r.f.n, r.f.info))
+    assert got == {
+        "BreadcrumbList": [("schema-breadcrumb-invalid", 8, "medium", 3, None)], "Person": [("schema-person-required", 5, "medium", 1, "name")],
+        "WebSite": [("schema-website", 0, "good", None, None), ("schema-searchaction-missing", 4, "low", None, None)], "Offer": [None],
+        "Product": [("schema-product", 0, "good", None, None), ("schema-product-offers", 6, "medium", None, None), ("schema-product-image", 3, "low", None, None)],
+    }
+
+
+def test_fixed_findings_reach_the_plan_in_one_piece(spark):
+    row = Checks("seo").issue("a'b\\", 9, F.lit(True), n=3, info="x").ok("c", F.lit(True)).issue("d", F.lit(2), F.lit(True), severity="high").column()
+    assert [tuple(r) for r in spark.range(1).select(F.inline(row)).collect()] == [
+        ("seo", "a'b\\", False, 9, "high", 3, "x"), ("seo", "c", True, 0, "good", None, None), ("seo", "d", False, 2, "high", None, None)]
+    assert "cast(" not in str(Checks("seo")._struct("a", True, 0, "good", None, None)).lower().replace("named_struct(", "").split("category")[0]
+
+
+def test_spaces_and_sections_read_as_before(spark):
+    old = "[\\s\\u000b\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+    every = spark.range(1, 0xD800).select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("ch"))
+    assert every.filter(F.col("ch").rlike(f"^{old}$") != F.col("ch").rlike(f"^{T.WS_CLASS}$")).count() == 0
+    texts = ["", " ", "  a", "a \t\n", "　a   b﻿ ", "a", "a\n", "  a  b  "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    was = F.regexp_replace("t", f"^{old}++|(?<!{old}){old}++$", "")
+    assert df.filter(T.trim_ws(F.col("t")) != was).count() == 0
+    body = "<main><H2>a</H2><P>one two<DIV >three</DIV><br><p-x>four</p-x><hr/><scripty>five</scripty></ p>six<!-- no --></main>seven<h3>b</h3><p>x</p></p >y"
+    got = spark.createDataFrame([(body,)], "b string").select(X.section_words(F.col("b")).alias("w")).first().w
+    assert got == [5, 1]
