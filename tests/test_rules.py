@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from crawlsight.functions import markup as M
 from crawlsight.functions import text as T
 from crawlsight.functions import urls as U
+from crawlsight import session
+from crawlsight.llm import common
 from crawlsight.operators import duplicates as D
 from crawlsight.operators import extract as X
 from crawlsight.operators import graph as GR
@@ -146,3 +148,33 @@ def test_a_passage_in_a_third_of_all_texts_makes_few_candidates(spark, monkeypat
         assert found == plain
         sizes.append((made["candidates"], len(plain)))
     assert sizes[1][0] <= 2 * sizes[1][1] + 600, sizes
+
+
+def brute_force(rows, threshold):
+    """(id_a, id_b, common) of the pairs of (id, text) with a similarity of at least ``threshold`` hundredths."""
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in rows}
+    common = {(a, b): len(sets[a] & sets[b]) for a, b in itertools.combinations(sorted(sets), 2)}
+    return {(a, b, n) for (a, b), n in common.items() if 100 * n >= threshold * (len(sets[a]) + len(sets[b]) - n)}
+
+
+def test_near_duplicates_keep_less_than_their_sets(spark, tmp_path, monkeypatch):
+    """A set of 8-byte hashes is larger than its text: what is stored stays in proportion to the texts."""
+    for module in (session, common):
+        monkeypatch.setattr(module, "shared_folder", lambda _: f"{tmp_path}/shared")
+    rows = [(i, " ".join(f"w{i * k * k % 997}" for k in range(1, 600))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    got = {(r.id_a, r.id_b) for r in D.near_duplicates(D.shingle_sets(docs), 0.7).collect()}
+    size = sum(x.stat().st_size for x in (tmp_path / "shared").rglob("*.parquet"))
+    assert got == {(a, b) for a, b, _ in brute_force(rows, 70)}
+    assert 0 < size < 8 * sum(len(t.split()) for _, t in rows)
+
+
+@pytest.mark.parametrize("block", [300, 1 << 16])
+def test_large_groups_are_checked_block_by_block(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "BLOCK", block)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(100 - i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(40)]  # a group of copies, each edited in its own way
+    rows += [(200 + i, " ".join([f"y{i // 2}z{k}" for k in range(45)] + ["end"] * (i % 2))) for i in range(20)]  # and pairs
+    docs = spark.createDataFrame([*rows, (7, None), (300, "")], "id long, text string")
+    got = [(r.id_a, r.id_b, r.common) for r in D.near_duplicates(D.shingle_sets(docs), 0.7).select("id_a", "id_b", "common").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_force(rows, 70)
