@@ -191,6 +191,20 @@ def test_rules_that_fail_do_not_stop_others(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == [(1, "long", "1", None), (2, "inverse", None, "ZeroDivisionError: float division by zero"), (2, "long", None, "TypeError: object of type 'NoneType' has no len()")]
 
 
+def test_rules_over_rows_move_them_in_batches(spark):
+    """``udf_row_rules``: keys keep their values, whatever their types, and a rule sees what a Row of the table holds."""
+    df = spark.sql("SELECT id, timestamp'2024-01-02 03:04:05' + make_dt_interval(0, 0, 0, id) AS at, cast(id as decimal(9,2)) AS price, "
+                   "named_struct('x', array(id, null)) AS nested, if(id % 2 = 0, null, 'odd') AS word FROM range(2500)")
+    rules = {"seen": lambda r: f"{r.at} {r.price} {r['nested'].x}" if r.id % 1000 == 1 else None, "fails": lambda r: r.word.upper() if r.id > 2497 else None}
+    out = CU.row_rules(df, rules, ["nested", "at", "id"])
+    assert out.columns == ["id", "at", "nested", "custom_rule", "found", "error"] and "UDTF" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = {r.id: r for r in df.collect()}
+    want = [(i, "seen", f"{rows[i].at} {rows[i].price} {[i, None]}", None) for i in (1, 1001, 2001)]
+    want += [(2498, "fails", None, "AttributeError: 'NoneType' object has no attribute 'upper'"), (2499, "fails", "ODD", None)]
+    got = out.collect()
+    assert sorted((r.id, r.custom_rule, r.found, r.error) for r in got) == want and all((r.at, r.nested) == (rows[r.id].at, rows[r.id].nested) for r in got)
+
+
 def test_a_large_sitemap_is_read_entry_by_entry(spark, tmp_path):
     entries = "".join(f"<url>\n <loc>https://x.example.com/{i}?a=1&amp;b=2</loc><image:image><image:loc>no</image:loc></image:image><lastmod><![CDATA[2024-01-0{1 + i % 9}]]></lastmod></url>\n" for i in range(50_000))
     (tmp_path / "big.xml").write_text(f'<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:image="http://www.google.com/schemas/sitemap-image/1.1">{entries}</urlset>')
