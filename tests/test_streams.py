@@ -1,5 +1,6 @@
 """Streams give the same rows however their input falls into batches."""
 
+import pandas as pd
 import pytest
 
 import __spark_entry__  # noqa: F401  registers the queries
@@ -40,3 +41,36 @@ def test_a_later_batch_does_not_read_earlier_ones(spark):
     stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in/0").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in")
     got = sorted(map(tuple, J.scan_compare(spark, stream, f"{folder}/run").collect()))
     assert got == [("s2", "seo", "a", "resolved"), ("s2", "seo", "b", "new"), ("s3", "seo", "a", "new"), ("s3", "seo", "b", "resolved"), ("s4", "seo", "c", "new")]
+
+
+class Counted:
+    """State in memory that counts the calls to it."""
+
+    def __init__(self):
+        self.kept, self.calls = {}, 0
+
+    def called(self, result=None):
+        self.calls += 1
+        return result
+
+    getValueState = getMapState = lambda self, name, *schemas: self
+    exists = lambda self: self.called("order" in self.kept)
+    get = lambda self: self.called(self.kept.get("order"))
+    update = lambda self, value: self.called(self.kept.update(order=value))
+    containsKey = lambda self, key: self.called(key in self.kept)
+    getValue = lambda self, key: self.called(self.kept.get(key))
+    updateValue = lambda self, key, value: self.called(self.kept.update({key: value}))
+
+
+def test_a_site_asks_its_state_a_few_times_a_batch():
+    """``str_scan_compare``: every call to the state is a message, so they do not grow with the scans a batch touches."""
+    handle, scans, last = Counted(), J.SiteScans(), {}
+    scans.init(handle)
+    for batch in range(3):  # each scan's rules come in three batches
+        rows = pd.DataFrame([(f"s{i:03}", i, "seo", f"r{(i * 7 + batch) % 5}") for i in range(150)], columns=["scan_id", "at", "category", "rule_id"])
+        for out in scans.handleInputRows(("u", "site"), iter([rows]), None):
+            for scan_id, changes in out.groupby("scan_id"):
+                last[scan_id] = sorted((c, r) for c, r in zip(changes["change"], changes["rule_id"], strict=True) if c is not None)
+    assert handle.calls <= 3 * 12
+    found = [{f"r{(i * 7 + b) % 5}" for b in range(3)} for i in range(150)]
+    assert last == {f"s{i:03}": [("new", r) for r in sorted(found[i] - found[i - 1])] + [("resolved", r) for r in sorted(found[i - 1] - found[i])] if i else [] for i in range(150)}
