@@ -75,6 +75,11 @@ def test_pages_are_read_for_links_images_and_heads_once(spark, name):
     assert not re.search(r"<img|<picture|<\(a\)|<title", plan)
 
 
+def test_link_findings_read_the_links_of_a_page_once(spark):
+    plan = entry.queries()["audit_links_page"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "<(a)" not in plan and "noopener" not in plan.replace("missing_noopener", "").replace("missing-rel-noopener", "").replace("n_noopener", "")
+
+
 def test_every_event_is_read_from_the_lines(spark, tmp_path):
     rows = [(i, "click", json.dumps({"k": i * 2})) for i in range(40)] + [(100, None, None)]
     spark.createDataFrame(rows, "event_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
