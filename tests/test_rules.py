@@ -178,3 +178,16 @@ def test_large_groups_are_checked_block_by_block(spark, monkeypatch, block):
     docs = spark.createDataFrame([*rows, (7, None), (300, "")], "id long, text string")
     got = [(r.id_a, r.id_b, r.common) for r in D.near_duplicates(D.shingle_sets(docs), 0.7).select("id_a", "id_b", "common").collect()]
     assert len(got) == len(set(got)) and set(got) == brute_force(rows, 70)
+
+
+def test_findings_of_near_duplicates_do_not_move_texts(spark, monkeypatch):
+    """``audit_duplicates``: of the texts only their keys and the places of those that nobody else has are dealt out again."""
+    made, old = {}, D.stored
+    monkeypatch.setattr(D, "stored", lambda df, name: made.setdefault(name, old(df, name)))
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (2, " ".join(base)), (3, " ".join([*base[:-1], "x"])), (4, " ".join([*base[:-1], "y"])), (5, "too short"), (6, None)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    none = spark.createDataFrame([], "id long, key string")
+    got = sorted((r.rule_id, r.n) for r in D.audit_duplicates(none, none, docs).collect())
+    assert got == [("duplicate-body-content", 1), ("near-duplicate-content", 1)]
+    assert made["body-keys"].columns == ["id", "body_key", "batch", "place"]
