@@ -157,15 +157,16 @@ def brute_force(rows, threshold):
     return {(a, b, n) for (a, b), n in common.items() if 100 * n >= threshold * (len(sets[a]) + len(sets[b]) - n)}
 
 
-def test_near_duplicates_keep_less_than_their_sets(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("threshold", [0.7, 0.9])
+def test_near_duplicates_keep_less_than_their_sets(spark, tmp_path, monkeypatch, threshold):
     """A set of 8-byte hashes is larger than its text: what is stored stays in proportion to the texts."""
     for module in (session, common):
         monkeypatch.setattr(module, "shared_folder", lambda _: f"{tmp_path}/shared")
     rows = [(i, " ".join(f"w{i * k * k % 997}" for k in range(1, 600))) for i in range(200)]
     docs = spark.createDataFrame(rows, "id long, text string")
-    got = {(r.id_a, r.id_b) for r in D.near_duplicates(D.shingle_sets(docs), 0.7).collect()}
+    got = {(r.id_a, r.id_b) for r in D.near_duplicates(D.shingle_sets(docs), threshold).collect()}
     size = sum(x.stat().st_size for x in (tmp_path / "shared").rglob("*.parquet"))
-    assert got == {(a, b) for a, b, _ in brute_force(rows, 70)}
+    assert got == {(a, b) for a, b, _ in brute_force(rows, round(100 * threshold))}
     assert 0 < size < 8 * sum(len(t.split()) for _, t in rows)
 
 
