@@ -9,7 +9,6 @@ from crawlsight.functions import markup as M
 from crawlsight.functions import text as T
 from crawlsight.functions import urls as U
 from crawlsight import session
-from crawlsight.llm import common
 from crawlsight.operators import duplicates as D
 from crawlsight.operators import extract as X
 from crawlsight.operators import graph as GR
@@ -160,8 +159,7 @@ def brute_force(rows, threshold):
 @pytest.mark.parametrize("threshold", [0.7, 0.9])
 def test_near_duplicates_keep_less_than_their_sets(spark, tmp_path, monkeypatch, threshold):
     """A set of 8-byte hashes is larger than its text: what is stored stays in proportion to the texts."""
-    for module in (session, common):
-        monkeypatch.setattr(module, "shared_folder", lambda _: f"{tmp_path}/shared")
+    monkeypatch.setattr(session, "shared_folder", lambda _: f"{tmp_path}/shared")
     rows = [(i, " ".join(f"w{i * k * k % 997}" for k in range(1, 600))) for i in range(200)]
     docs = spark.createDataFrame(rows, "id long, text string")
     got = {(r.id_a, r.id_b) for r in D.near_duplicates(D.shingle_sets(docs), threshold).collect()}
